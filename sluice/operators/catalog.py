@@ -69,15 +69,16 @@ def lineage_id(*parts) -> Column:
 
 
 def lineage_edges(runs: DataFrame) -> DataFrame:
-    """K3: every run stages its source; then stores or quarantines it.
+    """K3: every run stages its source; then stores and/or quarantines it
+    (a record-gated run can do both; edges follow the paths it wrote).
     ``runs``: run_id, source_name, source_path, staging_path, status,
     lakehouse_path, quarantine_path, error."""
     stage = runs.select("run_id", "source_name", F.col("source_path").alias("from_path"),
                         F.col("staging_path").alias("to_path"), F.lit(OP_STAGE).alias("operation"))
-    stored = runs.filter(F.col("status") == "stored").select(
+    stored = runs.filter(F.col("lakehouse_path").isNotNull()).select(
         "run_id", "source_name", F.col("staging_path").alias("from_path"),
         F.col("lakehouse_path").alias("to_path"), F.lit(OP_STORE).alias("operation"))
-    quarantined = runs.filter(F.col("status") == "quarantined").select(
+    quarantined = runs.filter(F.col("quarantine_path").isNotNull()).select(
         "run_id", "source_name", F.col("staging_path").alias("from_path"),
         F.col("quarantine_path").alias("to_path"),
         F.concat(F.lit(OP_QUARANTINE_PREFIX),
@@ -93,7 +94,7 @@ def dataset_log(runs: DataFrame) -> DataFrame:
     it twice on success."""
     base = runs.select("run_id", "source_name", "staging_path", "schema_version", "modality")
     first = base.select("*", F.lit(None).cast("string").alias("lakehouse_path"), F.lit(0).alias("write_seq"))
-    second = runs.filter(F.col("status") == "stored").select(
+    second = runs.filter(F.col("lakehouse_path").isNotNull()).select(
         "run_id", "source_name", "staging_path", "schema_version", "modality", "lakehouse_path",
         F.lit(1).alias("write_seq"))
     return first.unionByName(second)
@@ -111,7 +112,7 @@ def exposed_datasets(runs: DataFrame) -> DataFrame:
     """K5: the newest *stored* run of each source stays exposed even when a
     later run was quarantined (E17); ``stale_since_run`` names the first
     quarantined run after it."""
-    stored = F.col("status") == "stored"
+    stored = F.col("lakehouse_path").isNotNull()
     g = runs.groupBy("source_name").agg(
         F.max(F.when(stored, F.col("run_id"))).alias("exposed_run"),
         F.max_by(F.when(stored, F.col("lakehouse_path")),

@@ -1,0 +1,162 @@
+"""Query keys that run the ingestion pipeline and the file readers/sinks
+over driver tables written to the shared scratch folder (S1-S4, S8, A4,
+A5, A8, A2, A3, A12, C4, K2)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import catalog, quality, route
+from ..session import scratch_path
+from ..sinks import tables
+from ..sources import files, readers
+from . import derive
+from .pipeline import Lake, ingest_frame, new_run_id, record_run
+from .queries import ORDER_RULES_SQL, order_rules, query
+
+T = derive.table
+_RUNS: dict = {}
+
+
+def _orders_run(spark: SparkSession, sf: str) -> dict:
+    """One pipeline run of ``orders`` under the record gate, shared by the
+    three pipeline keys of a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _RUNS:
+        lake = Lake(scratch_path(spark, "lake"))
+        row = ingest_frame(spark, T(spark, sf, "orders"), lake, "orders", new_run_id(),
+                           rules=order_rules(), gate="record", target_table="orders_curated",
+                           source_path=f"{sf}/orders.parquet")
+        record_run(spark, lake, [row])
+        _RUNS[key] = {"lake": lake, "run": row}
+    return _RUNS[key]
+
+
+@query("pipeline_stage", f"""
+SELECT o_orderkey, o_orderstatus, o_totalprice, {ORDER_RULES_SQL} AS reasons FROM orders
+""")
+def q_pipeline_stage(spark, sf):
+    r = _orders_run(spark, sf)["run"]
+    st = spark.read.parquet(r["staging_path"])
+    return st.select("o_orderkey", "o_orderstatus", "o_totalprice",
+                     F.array_join(quality.REASONS, "|").alias("reasons"))
+
+
+@query("pipeline_curated", f"""
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority
+FROM orders WHERE {ORDER_RULES_SQL} = ''
+""")
+def q_pipeline_curated(spark, sf):
+    r = _orders_run(spark, sf)["run"]
+    cur = spark.read.parquet(r["lakehouse_path"])
+    return cur.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+
+
+@query("pipeline_quarantine", f"""
+SELECT o_orderkey, reasons FROM (SELECT o_orderkey, {ORDER_RULES_SQL} AS reasons FROM orders) o WHERE reasons <> ''
+""")
+def q_pipeline_quarantine(spark, sf):
+    r = _orders_run(spark, sf)["run"]
+    q = spark.read.parquet(r["quarantine_path"])
+    return q.select("o_orderkey", F.array_join(quality.REASONS, "|").alias("reasons"))
+
+
+def flagship_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The minimum slice: orders through staging, record gate,
+    curated + quarantine; returns the run row joined with its profile."""
+    lake = _orders_run(spark, sf)["lake"]
+    runs = spark.read.parquet(lake.section("runs"))
+    prof = spark.read.parquet(lake.section("profiles"))
+    return runs.select("run_id", "source_name", "status", "modality", "ingestion_mode",
+                       "lakehouse_path", "quarantine_path").join(
+        prof.select("run_id", "source_name", "record_count", "invalid_count", "valid_count"),
+        ["run_id", "source_name"])
+
+
+# --- file round trips -------------------------------------------------------------
+CONV_COLS = ["conv_id", "turn", "role", "text"]
+
+
+def _conversations_csv(spark, sf) -> str:
+    path = scratch_path(spark, "conv-csv") + "/data"
+    tables.write_csv(T(spark, sf, "conversations").select(*CONV_COLS), path)
+    return path
+
+
+@query("csv_roundtrip", "SELECT conv_id, turn, role, text FROM conversations")
+def q_csv_roundtrip(spark, sf):
+    """A5: texts with commas and newlines survive a CSV write and read."""
+    path = _conversations_csv(spark, sf)
+    df = readers.read_csv(spark, path, CONV_COLS, multi_line=True)
+    return df.select(F.col("conv_id").cast("bigint").alias("conv_id"),
+                     F.col("turn").cast("bigint").alias("turn"), "role", "text")
+
+
+@query("csv_to_json", "SELECT conv_id, turn, role, text FROM conversations")
+def q_csv_to_json(spark, sf):
+    """Every CSV file to JSON Lines, read back."""
+    csv_path = _conversations_csv(spark, sf)
+    json_path = scratch_path(spark, "conv-json") + "/data"
+    tables.csv_to_json(spark, csv_path, json_path, multi_line=True,
+                       schema=readers.string_schema(CONV_COLS, corrupt=None))
+    js = readers.read_json(spark, json_path, schema=readers.string_schema(CONV_COLS, corrupt=None))
+    return js.select(F.col("conv_id").cast("bigint").alias("conv_id"),
+                     F.col("turn").cast("bigint").alias("turn"), "role", "text")
+
+
+ORDER_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+@query("headerless_csv_count", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
+def q_headerless_csv_count(spark, sf):
+    """A4: a headerless read counts every header line as data; each file's
+    first row is found the way D1 does it and removed."""
+    path = scratch_path(spark, "orders-csv") + "/data"
+    tables.write_csv(T(spark, sf, "orders").select(*ORDER_COLS).repartition(4), path)
+    raw = readers.read_headerless_csv(spark, path)
+    raw = raw.select("*", F.col("_metadata.file_block_start").alias("_start"),
+                     F.monotonically_increasing_id().alias("_rid"))
+    heads = (raw.filter(F.col("_start") == 0).groupBy("_source_file")
+             .agg(F.min("_rid").alias("_rid")))
+    data = raw.join(heads, ["_source_file", "_rid"], "left_anti")
+    return data.groupBy(F.col("_c2").alias("o_orderstatus")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("xml_decode", """
+SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(18,2)) AS o_totalprice, o_orderpriority
+FROM orders
+""")
+def q_xml_decode(spark, sf):
+    """Orders written as XML (one <order> per row) and read back by row tag."""
+    path = scratch_path(spark, "orders-xml") + "/data"
+    o = T(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                                      "o_orderpriority")
+    o.write.option("rowTag", "order").option("rootTag", "orders").xml(path)
+    sch = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string"
+    x = readers.read_xml(spark, path, "order", schema=sch)
+    return x.select("o_orderkey", "o_custkey", "o_orderstatus",
+                    F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice"), "o_orderpriority")
+
+
+# --- listings of the scale-factor folder (rows-only checks) -----------------------
+@query("file_manifest")
+def q_file_manifest(spark, sf):
+    """A2 + C4 + K2: file entities of every file under the sf folder."""
+    m = files.file_manifest(spark, sf, source_name=sf.rstrip("/").rsplit("/", 1)[-1])
+    return catalog.file_entities(m).drop("run_id")
+
+
+@query("manifest_summary")
+def q_manifest_summary(spark, sf):
+    """A3: size, file count and sorted extensions of the sf folder."""
+    m = files.file_manifest(spark, sf, source_name=sf.rstrip("/").rsplit("/", 1)[-1])
+    s = route.manifest_summary(m)
+    return s.select("source_name", "file_count", "size_bytes", F.array_join("extensions", ",").alias("extensions"))
+
+
+@query("binary_scan")
+def q_binary_scan(spark, sf):
+    """The binary scan with bytes: path, length and a content digest."""
+    b = files.read_binary(spark, sf, with_content=True, extensions=None)
+    return b.select("path", "length", F.sha2("content", 256).alias("content_sha256"))
