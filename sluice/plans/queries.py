@@ -675,9 +675,10 @@ TS_FMT_SPARK = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 TS_FMT_SQL = "%Y-%m-%d %H:%M:%S.%f"
 
 
-def event_message(ev: DataFrame) -> DataFrame:
-    """Events as ``k:v`` messages (G1); the timestamp carries colons."""
-    return ev.select("event_id", codec.kv_encode(
+def event_message(ev: DataFrame, *keep) -> DataFrame:
+    """Events as ``k:v`` messages (G1); the timestamp carries colons.
+    ``keep`` names further columns to carry along in the same projection."""
+    return ev.select("event_id", *keep, codec.kv_encode(
         ("event_id", F.col("event_id")),
         ("ts", F.date_format("ts", TS_FMT_SPARK)),
         ("user_id", F.col("user_id")),
