@@ -18,6 +18,11 @@ def _listing(spark: SparkSession, path: str) -> DataFrame:
             .load(path).select("path", "length", "modificationTime"))
 
 
+def _same_form(uri: str) -> str:
+    """``inputFiles()`` spells local files ``file:///x``; scan rows use ``file:/x``."""
+    return "file:/" + uri[len("file:///"):] if uri.startswith("file:///") else uri
+
+
 def file_manifest(spark: SparkSession, path: str, source_name: str | None = None,
                   extensions=None, include_empty: bool = True) -> DataFrame:
     """A2: one row per file under ``path``: source_name, path, file_name,
@@ -29,7 +34,7 @@ def file_manifest(spark: SparkSession, path: str, source_name: str | None = None
         # inputFiles() is the driver-side file index the scan already holds
         # (Spark lists files on the driver for any file scan); zero-byte
         # files are the ones in the index that produced no row.
-        listed = listing.inputFiles()
+        listed = [_same_form(p) for p in listing.inputFiles()]
         if listed:
             all_files = spark.createDataFrame([(p,) for p in listed], "path string")
             empties = all_files.join(rows.select("path"), "path", "left_anti").select(
