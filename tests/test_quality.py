@@ -1,0 +1,68 @@
+"""Rules, gates, cleaning and profiles."""
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from sluice.operators import profile, quality
+
+
+def test_rules_and_unique(spark):
+    df = spark.createDataFrame([(1, 1, 5.0, "A"), (1, 1, 60.0, "N"), (2, 1, 10.0, "Z"), (3, None, 1.0, "N")],
+                               "k bigint, l bigint, q double, f string")
+    t = quality.apply_rules(df, [quality.in_range("q", hi=50), quality.in_domain("f", ["A", "N"]),
+                                 quality.not_null("l")], unique=["k", "l"])
+    got = sorted((r["k"], r["q"], tuple(r[quality.REASONS])) for r in t.collect())
+    assert got == [(1, 5.0, ("unique:k,l",)), (1, 60.0, ("range:q", "unique:k,l")),
+                   (2, 10.0, ("domain:f",)), (3, 1.0, ("not_null:l",))]
+
+
+def test_castable_and_pattern(spark):
+    df = spark.createDataFrame([("12", "1-HIGH"), ("x", "9-LOW"), (None, "2-MED")], "n string, p string")
+    t = quality.apply_rules(df, [quality.castable("n", "int"), quality.matches("p", r"^[1-5]-[A-Z]+$")])
+    assert [tuple(r[quality.REASONS]) for r in t.collect()] == [(), ("castable:n", "pattern:p"), ()]
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.integers(min_value=0, max_value=100), min_size=1, max_size=60))
+def test_record_gate_partitions_rows(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v bigint")
+    t = quality.apply_rules(df, [quality.in_range("v", hi=50)])
+    valid, invalid = quality.record_gate(t)
+    assert valid.count() + invalid.count() == len(values)
+    assert invalid.count() == sum(v > 50 for v in values)
+
+
+def test_source_gate(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 99)], "s string, v bigint")
+    t = quality.apply_rules(df, [quality.in_range("v", hi=10)])
+    stored, quarantined, summary = quality.source_gate(t, "s")
+    assert {r["s"] for r in stored.collect()} == {"a"}
+    assert quarantined.count() == 2
+    row = {r["s"]: r for r in summary.collect()}["b"]
+    assert (row["record_count"], row["invalid_count"], row["valid_count"], row["status"]) == (2, 1, 1, "quarantined")
+
+
+def test_clean_rows(spark):
+    df = spark.createDataFrame([(" a ", "x"), ("a", "x"), ("  ", None), ("b", " ")], "t string, u string")
+    c = quality.clean_rows(df, dedupe=True)
+    assert sorted(map(tuple, c.collect())) == [("a", "x"), ("b", None)]
+
+
+def test_profile_and_column_profile(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, None), (2, "c")], "n bigint, s string")
+    t = quality.apply_rules(df, [quality.not_null("s")])
+    p = t.agg(*profile.profile_exprs()).first()
+    assert (p["record_count"], p["invalid_count"], p["valid_count"]) == (3, 1, 2)
+    cp = {r["column_name"]: r for r in profile.column_profile(df, exact=True).collect()}
+    assert (cp["n"]["n_distinct"], float(cp["n"]["max_num"])) == (2, 2.0)
+    assert (cp["s"]["n_null"], cp["s"]["min_text"], cp["s"]["max_len"]) == (1, "ab", 2)
+    approx = {r["column_name"]: r["n_distinct"] for r in profile.column_profile(df).collect()}
+    assert approx["n"] == 2
+
+
+def test_observed_counts_come_from_the_write(spark, tmp_path):
+    df = quality.apply_rules(spark.range(100).withColumnRenamed("id", "v"), [quality.in_range("v", hi=89)])
+    watched, obs = profile.observed(df, "t_obs")
+    watched.write.parquet(str(tmp_path / "o"))
+    assert obs.get == {"record_count": 100, "invalid_count": 10}
