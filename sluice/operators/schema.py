@@ -94,14 +94,16 @@ def variant_type_to_py(type_text: Column) -> Column:
 def json_key_types(df: DataFrame, json_col: str, keys=()) -> DataFrame:
     """C2 over a whole column: one row per (document, top-level key) with the
     Python type name of its value. A top-level array uses its first element,
-    as the reference does; anything not an object yields no key."""
-    v = F.try_parse_json(F.col(json_col))
-    first = F.when(F.schema_of_variant(v).startswith("ARRAY"),
-                   F.try_variant_get(v, "$[0]", "variant")).otherwise(v)
-    obj = F.when(F.schema_of_variant(first).startswith("OBJECT"), first)
-    m = F.from_json(F.to_json(obj), "map<string,variant>")
-    out = df.select(*keys, F.explode(m).alias("key", "value"))
-    return out.select(*keys, "key", variant_type_to_py(F.schema_of_variant("value")).alias("type_name"))
+    as the reference does; anything not an object yields no key. The JSON is
+    parsed once into a variant and its fields are exploded by
+    ``variant_explode`` (planned as a Generate, not a join)."""
+    keys = list(keys)
+    v = df.select(*keys, F.try_parse_json(F.col(json_col)).alias("_v"))
+    o = v.select(*keys, F.when(F.schema_of_variant("_v").startswith("ARRAY"),
+                               F.try_variant_get("_v", "$[0]", "variant")).otherwise(F.col("_v")).alias("_o"))
+    e = o.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_o").outer()))
+    e = e.filter(F.col("key").isNotNull())
+    return e.select(*keys, "key", variant_type_to_py(F.schema_of_variant("value")).alias("type_name"))
 
 
 def json_field_types(df: DataFrame, json_col: str) -> DataFrame:
