@@ -160,3 +160,32 @@ def q_binary_scan(spark, sf):
     """The binary scan with bytes: path, length and a content digest."""
     b = files.read_binary(spark, sf, with_content=True, extensions=None)
     return b.select("path", "length", F.sha2("content", 256).alias("content_sha256"))
+
+
+# --- D1 + D7 on driver data ---------------------------------------------------------
+@query("csv_header_checks", """
+SELECT 'orders' AS dataset, true AS header_ok, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_bad_rows FROM orders
+UNION ALL
+SELECT 'customer', false, count(*), count(*) FROM customer
+""")
+def q_csv_header_checks(spark, sf):
+    """One folder holds ``orders`` (6 columns) and ``customer`` (5 columns) as
+    headered CSV part files. Against the 6-column schema, D1 flags every
+    customer file's header (``header_width``) and D7 flags every customer row
+    (too few cells); orders pass both. One scan each, any number of files."""
+    root = scratch_path(spark, "mixed-csv")
+    tables.write_csv(T(spark, sf, "orders").select(*ORDER_COLS), root + "/orders")
+    cust = T(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    tables.write_csv(cust, root + "/customer")
+    dataset = F.regexp_extract(F.col("file_path"), r"/(orders|customer)/[^/]*$", 1)
+    checks = quality.header_checks(spark, root, len(ORDER_COLS))
+    per_ds = checks.groupBy(dataset.alias("dataset")).agg(F.bool_and(F.col("reason").isNull()).alias("header_ok"))
+    rows = readers.read_csv(spark, root, ORDER_COLS)
+    tagged = quality.apply_rules(rows, [quality.row_width("_corrupt")])
+    # stage the tagged rows as the pipeline does; counts come from the staged copy
+    staged_path = tables.write_version(tagged, root + "/_staging", "mixed", "q")
+    tagged = spark.read.parquet(staged_path)
+    ds_rows = F.regexp_extract(F.col("_source_file"), r"/(orders|customer)/[^/]*$", 1)
+    counts = tagged.groupBy(ds_rows.alias("dataset")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.size(quality.REASONS) > 0).alias("n_bad_rows"))
+    return per_ds.join(counts, "dataset")

@@ -74,6 +74,8 @@ def test_orchestrated_run(spark, tmp_path):
     assert {"good", "json", "text", "vid"} <= exposed and "bad" not in exposed
     reg = {r["source_name"]: r["version"] for r in spark.read.parquet(lake.section("schema_registry")).collect()}
     assert reg["good"] == 1
+    prof = {r["source_name"]: r for r in spark.read.parquet(lake.section("profiles")).collect()}
+    assert prof["good"]["valid_count"] == 6 and prof["good"]["processing_time_seconds"] > 0
 
 
 def test_rerun_reuses_then_evolves_schema(spark, tmp_path):

@@ -168,3 +168,15 @@ def test_bounded_take_is_ordered(spark):
     df = spark.range(0, 1000, 1, 8).withColumn("k", (F.col("id") * 7919) % 1000)
     got = [r["k"] for r in files.bounded_take(df, 5, "k").collect()]
     assert got == [0, 1, 2, 3, 4]
+
+
+def test_unreadable_text_files(spark, tmp_path):
+    import gzip
+    d = tmp_path / "txt"
+    write(str(d / "ok.txt"), "fine\n")
+    write(str(d / "empty.log"), "")
+    write(str(d / "good.txt.gz"), gzip.compress(b"zipped text\n"))
+    write(str(d / "broken.txt.gz"), b"\x1f\x8b\x08\x00garbage-not-gzip")
+    m = files.file_manifest(spark, str(d), "t")
+    bad = {os.path.basename(r["path"]): r["reason"] for r in files.unreadable_files(spark, m, str(d)).collect()}
+    assert bad == {"broken.txt.gz": "unreadable"}                 # zero-byte files are readable (D2)

@@ -26,6 +26,9 @@ def test_throttled_batches(spark, tmp_path):
     q = jobs.append_stream(s, out + "/t", out + "/ck")
     batches = [p for p in q.recentProgress if p["numInputRows"] > 0]
     assert len(batches) == 4                                  # one file per micro-batch (W3)
+    from sluice.operators.profile import stream_progress_row
+    row = stream_progress_row(batches[-1])                    # P4 from the query's own progress
+    assert row["num_input_rows"] == 100 and row["batch_id"] is not None
     assert spark.read.parquet(out + "/t").count() == 400
 
 
