@@ -12,6 +12,7 @@ passes through it. Tables live under ``root`` (a shared folder)."""
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.paths import has_streaming_hint, modality_of_extension
+from ..functions.paths import STREAMING_HINTS, modality_of_extension
 from ..operators import catalog, profile, quality, route, schema
 from ..sinks import tables
 from ..sources import files, readers
@@ -148,13 +149,15 @@ def exposed(spark: SparkSession, lake: Lake) -> DataFrame | None:
 # --- file sources ---------------------------------------------------------------
 
 def discover_fields(spark: SparkSession, manifest: DataFrame, modality: str):
-    """The source's fields from its first file."""
+    """The source's fields from its first non-empty file.
+    Zero-byte files are left out of discovery and counted invalid instead
+    (E10, independent of listing order)."""
     if modality == "streaming":
         return schema.STREAM_FIELDS
     if modality not in ("structured", "semi_structured"):
         return schema.FILE_ENTITY_FIELDS
     picks = {"p": (".csv", ".tsv")} if modality == "structured" else {"p": (".json",)}
-    first = route.first_files(manifest, picks).collect()
+    first = route.first_files(manifest.filter(F.col("size_bytes") > 0), picks).collect()
     path = first[0]["p"] if first else None
     if not path:
         return schema.UNKNOWN_FIELDS
@@ -162,37 +165,57 @@ def discover_fields(spark: SparkSession, manifest: DataFrame, modality: str):
         sep = "\t" if path.lower().endswith(".tsv") else ","
         head = (spark.read.option("header", False).option("sep", sep).option("escape", '"')
                 .option("multiLine", True).csv(path).limit(1))
-        cells = F.array(*[F.col(c) for c in head.columns]) if head.columns else F.array()
+        cells = F.array(*[F.col(c) for c in head.columns])
         row = head.select(schema.header_fields(cells).alias("f")).collect()
-        return [(f["name"], "string") for f in row[0]["f"]] if row else UNKNOWN_EMPTY
+        return [(f["name"], "string") for f in row[0]["f"]] if row else schema.UNKNOWN_FIELDS
     doc = spark.read.text(path, wholetext=True)
     kt = schema.json_key_types(doc, "value").collect()
     return [(r["key"], r["type_name"]) for r in kt] or schema.UNKNOWN_FIELDS
 
 
-UNKNOWN_EMPTY: list = []
+def _opt(options: dict | None, key: str, default=None):
+    options = options or {}
+    return options.get(key, options.get(key.lower(), default))
 
 
-def source_frame(spark: SparkSession, path: str, manifest: DataFrame, worker: str, fields) -> tuple:
-    """The read plan and rules for one routed source (one scan per source)."""
+def _truthy(v) -> bool:
+    return str(v).lower() in ("1", "true", "yes")
+
+
+def source_frame(spark: SparkSession, path: str, manifest: DataFrame, worker: str, fields,
+                 options: dict | None = None) -> tuple:
+    """The read plan and rules for one routed source: ONE scan per format
+    over the whole source folder (not one job per file)."""
     names = [n for n, _ in fields]
-    if worker == "direct" and names and names != ["unknown"] and fields is not UNKNOWN_EMPTY:
+    if worker == "direct":
         exts = {r["extension"] for r in manifest.select("extension").distinct().collect()}
-        frames = []
-        for ext, glob in ((".csv", "*.[cC][sS][vV]"), (".tsv", "*.[tT][sS][vV]")):
-            if ext in exts:
-                frames.append(readers.read_csv(spark, path, names, sep=readers.sep_for(ext), path_glob=glob))
-        if frames:
+        multi_line = _truthy(_opt(options, "multiLine", "false"))
+        tabular = [(e, g) for e, g in ((".csv", "*.[cC][sS][vV]"), (".tsv", "*.[tT][sS][vV]")) if e in exts]
+        if tabular and names and names != ["unknown"]:
+            frames = [readers.read_csv(spark, path, names, sep=readers.sep_for(e), path_glob=g,
+                                       multi_line=multi_line) for e, g in tabular]
             df = frames[0]
             for f in frames[1:]:
                 df = df.unionByName(f)
-            checks = quality.header_checks(spark, path, len(names))
+            checks = quality.header_checks(spark, path, len(names), multi_line=multi_line)
             bad_files = checks.filter(F.col("reason").isNotNull())
             df = df.join(bad_files.withColumnRenamed("file_path", "_source_file"), "_source_file", "left")
             rules = [quality.row_width("_corrupt"),
                      ("header_width", F.col("reason") == "header_width"),
                      ("duplicate_header", F.col("reason") == "duplicate_header")]
             return df, rules
+        if ".parquet" in exts:
+            return readers.read_parquet(spark, path, merge_schema=True, recursive=True), []
+        if ".json" in exts:
+            r = (spark.read.option("multiLine", multi_line).option("recursiveFileLookup", True)
+                 .option("pathGlobFilter", "*.[jJ][sS][oO][nN]").option("mode", "PERMISSIVE")
+                 .option("columnNameOfCorruptRecord", "_corrupt"))
+            df = r.json(path).withColumn("_source_file", F.col("_metadata.file_path"))
+            rules = [("json_parse", F.col("_corrupt").isNotNull())] if "_corrupt" in df.columns else []
+            return df, rules
+        row_tag = _opt(options, "rowTag")
+        if ".xml" in exts and row_tag:
+            return readers.read_xml(spark, path, row_tag), []
     if worker == "text":
         docs = files.read_text_documents(spark, path, ignore_corrupt=True)
         return docs, []
@@ -204,32 +227,45 @@ def source_frame(spark: SparkSession, path: str, manifest: DataFrame, worker: st
 
 
 def ingest_sources(spark: SparkSession, sources: DataFrame, lake: Lake, run_id: str | None = None,
-                   gate: str = "source") -> DataFrame:
-    """Run every configured file source. Routing for all sources is one
-    plan; each source then gets its own read plan. A failing source yields a
-    ``failed`` run row and the loop goes on."""
+                   gate: str = "source", max_parallel: int = 4) -> DataFrame:
+    """Run every configured source. Sources are independent, so up to
+    ``max_parallel`` of them submit their Spark jobs concurrently from driver
+    threads (the scheduler shares the executors). A failing source yields a
+    ``failed`` run row and the others go on."""
+    from concurrent.futures import ThreadPoolExecutor
+
     run_id = run_id or new_run_id()
-    rows = []
-    for s in sources.collect():  # one row per configured source
-        src = s.asDict()
+    srcs = [s.asDict() for s in sources.collect()]  # one row per configured source
+
+    def one(src):
         try:
-            rows.append(_ingest_one(spark, src, lake, run_id, gate))
+            return _ingest_one(spark, src, lake, run_id, gate)
         except Exception as e:  # noqa: BLE001 - recorded as a failed run
-            rows.append({"run_id": run_id, "source_name": src["name"], "status": "failed",
-                         "source_path": src["path"], "error": f"{type(e).__name__}: {e}"[:500]})
+            return {"run_id": run_id, "source_name": src["name"], "status": "failed",
+                    "source_path": src["path"], "error": f"{type(e).__name__}: {e}"[:500]}
+    if max_parallel > 1 and len(srcs) > 1:
+        with ThreadPoolExecutor(max_workers=max_parallel) as pool:
+            rows = list(pool.map(one, srcs))
+    else:
+        rows = [one(s) for s in srcs]
     return record_run(spark, lake, rows)
 
 
+_EMPTY_MANIFEST = ("source_name string, path string, file_name string, extension string, "
+                   "size_bytes bigint, modified timestamp")
+
+
 def _ingest_one(spark, src: dict, lake: Lake, run_id: str, gate: str) -> dict:
     path = src["path"]
-    hinted = bool(spark.range(1).select(has_streaming_hint(F.lit(path))).first()[0])
-    try:
-        manifest = files.file_manifest(spark, path, src["name"]) if not (hinted and "://" in path) else None
-    except Exception:
-        manifest = None
+    hinted = any(h in path.lower() for h in STREAMING_HINTS)
+    manifest = None
+    if not (hinted and "://" in path):
+        try:
+            manifest = files.file_manifest(spark, path, src["name"])
+        except Exception:  # the path does not exist (E3)
+            manifest = None
     if manifest is None:
-        manifest = spark.createDataFrame([], "source_name string, path string, file_name string, "
-                                             "extension string, size_bytes bigint, modified timestamp")
+        manifest = spark.createDataFrame([], _EMPTY_MANIFEST)
     one = spark.createDataFrame([(src["name"], path, src.get("modality"), src.get("ingestion_mode"),
                                   src.get("worker"))], "name string, path string, modality string, "
                                                        "ingestion_mode string, worker string")
@@ -238,11 +274,12 @@ def _ingest_one(spark, src: dict, lake: Lake, run_id: str, gate: str) -> dict:
     fields = discover_fields(spark, manifest, modality)
     version = register_schema(spark, lake, src["name"], modality, fields, run_id)
     if modality == "streaming" or routed["file_count"] is None:
-        status = "empty"
-        return {"run_id": run_id, "source_name": src["name"], "status": status, "modality": modality,
+        # stream sources run as Structured Streaming queries (sluice.streaming);
+        # a batch run records them with no rows, as the reference does
+        return {"run_id": run_id, "source_name": src["name"], "status": "empty", "modality": modality,
                 "ingestion_mode": mode, "worker": worker, "schema_version": version,
                 "record_count": 0, "invalid_count": 0, "valid_count": 0, "source_path": path}
-    df, rules = source_frame(spark, path, manifest, worker, fields)
+    df, rules = source_frame(spark, path, manifest, worker, fields, src.get("options"))
     empty_tabular = 0
     if worker == "direct":
         empty_tabular = manifest.filter(F.col("extension").isin(".csv", ".tsv")
@@ -253,9 +290,19 @@ def _ingest_one(spark, src: dict, lake: Lake, run_id: str, gate: str) -> dict:
                         extra_invalid=empty_tabular)
 
 
+_REGISTRY_LOCK = threading.Lock()
+
+
 def register_schema(spark: SparkSession, lake: Lake, source_name: str, modality: str, fields, run_id: str) -> int:
     """C6/C7 live: compare with the latest registered version and append a
-    new version when the fields (order-free) or the modality changed."""
+    new version when the fields (order-free) or the modality changed.
+    Registry appends of concurrently ingested sources are serialized (two
+    jobs appending to one folder would share the committer's temp folder)."""
+    with _REGISTRY_LOCK:
+        return _register(spark, lake, source_name, modality, fields, run_id)
+
+
+def _register(spark, lake, source_name, modality, fields, run_id) -> int:
     discovered = spark.createDataFrame(
         [(source_name, modality, [(i, n, t) for i, (n, t) in enumerate(fields)])],
         T.StructType([T.StructField("source_name", T.StringType()), T.StructField("modality", T.StringType()),

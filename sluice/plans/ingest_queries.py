@@ -12,7 +12,7 @@ from ..session import scratch_path
 from ..sinks import tables
 from ..sources import files, readers
 from . import derive
-from .pipeline import Lake, ingest_frame, new_run_id, record_run
+from .ingest import Lake, ingest_frame, new_run_id, record_run
 from .queries import ORDER_RULES_SQL, order_rules, query
 
 T = derive.table
@@ -21,7 +21,7 @@ _RUNS: dict = {}
 
 def _orders_run(spark: SparkSession, sf: str) -> dict:
     """One pipeline run of ``orders`` under the record gate, shared by the
-    three pipeline keys of a session."""
+    three ingest keys of a session."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _RUNS:
         lake = Lake(scratch_path(spark, "lake"))
@@ -33,30 +33,30 @@ def _orders_run(spark: SparkSession, sf: str) -> dict:
     return _RUNS[key]
 
 
-@query("pipeline_stage", f"""
+@query("ingest_stage", f"""
 SELECT o_orderkey, o_orderstatus, o_totalprice, {ORDER_RULES_SQL} AS reasons FROM orders
 """)
-def q_pipeline_stage(spark, sf):
+def q_ingest_stage(spark, sf):
     r = _orders_run(spark, sf)["run"]
     st = spark.read.parquet(r["staging_path"])
     return st.select("o_orderkey", "o_orderstatus", "o_totalprice",
                      F.array_join(quality.REASONS, "|").alias("reasons"))
 
 
-@query("pipeline_curated", f"""
+@query("ingest_curated", f"""
 SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority
 FROM orders WHERE {ORDER_RULES_SQL} = ''
 """)
-def q_pipeline_curated(spark, sf):
+def q_ingest_curated(spark, sf):
     r = _orders_run(spark, sf)["run"]
     cur = spark.read.parquet(r["lakehouse_path"])
     return cur.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
 
 
-@query("pipeline_quarantine", f"""
+@query("ingest_quarantine", f"""
 SELECT o_orderkey, reasons FROM (SELECT o_orderkey, {ORDER_RULES_SQL} AS reasons FROM orders) o WHERE reasons <> ''
 """)
-def q_pipeline_quarantine(spark, sf):
+def q_ingest_quarantine(spark, sf):
     r = _orders_run(spark, sf)["run"]
     q = spark.read.parquet(r["quarantine_path"])
     return q.select("o_orderkey", F.array_join(quality.REASONS, "|").alias("reasons"))

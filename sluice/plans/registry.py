@@ -2,34 +2,16 @@
 
 from __future__ import annotations
 
-from . import queries
-
-
-def _modules():
-    mods = [queries]
-    try:
-        from . import pipeline_queries
-        mods.append(pipeline_queries)
-    except ImportError:  # pragma: no cover
-        pass
-    try:
-        from . import stream_queries
-        mods.append(stream_queries)
-    except ImportError:  # pragma: no cover
-        pass
-    return mods
+from . import ingest_queries, queries, stream_queries  # noqa: F401 - registration by import
 
 
 def all_queries() -> dict:
-    _modules()
     return dict(queries.QUERIES)
 
 
 def all_oracles() -> dict:
-    _modules()
     return dict(queries.ORACLES)
 
 
 def flagship(spark, sf_dir: str):
-    from .pipeline_queries import flagship_summary
-    return flagship_summary(spark, sf_dir)
+    return ingest_queries.flagship_summary(spark, sf_dir)

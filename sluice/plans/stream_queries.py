@@ -151,7 +151,7 @@ def _decoded_projection(d: DataFrame) -> DataFrame:
                     codec.kv_get("_msg", "value", "float").alias("value"))
 
 
-def _pipeline_stream(spark, sf) -> str:
+def _gated_stream(spark, sf) -> str:
     src, out = _kafka_files(spark, sf, damaged=_damaged()), scratch_path(spark, "stream-pipe")
     s = ssrc.kafka_shaped_file_stream(spark, src, max_files_per_trigger=2)
     fn = jobs.batch_writer(out, _decoded_projection, rules=[quality.in_range("value", hi=400)])
@@ -165,22 +165,22 @@ FROM events WHERE {DAMAGED_SQL}
 """)
 def q_stream_dead_letter(spark, sf):
     """Undecodable messages are kept whole in a dead-letter table."""
-    out = _pipeline_stream(spark, sf)
+    out = _gated_stream(spark, sf)
     dl = spark.read.parquet(out + "/dead_letter")
     return dl.select(F.col("offset").alias("kafka_offset"), F.col("value").alias("raw"))
 
 
-@query("stream_pipeline", f"""
+@query("stream_gate", f"""
 SELECT CASE WHEN {DAMAGED_SQL} THEN 'dead_letter'
             WHEN CAST(CAST(value AS DECIMAL(12,2)) AS DOUBLE) > 400 THEN 'quarantine'
             ELSE 'curated' END AS side,
        event_id AS kafka_offset
 FROM events
 """)
-def q_stream_pipeline(spark, sf):
+def q_stream_gate(spark, sf):
     """Stage -> validate -> store / quarantine per micro-batch, plus the
     dead letters, all keyed by batch id."""
-    out = _pipeline_stream(spark, sf)
+    out = _gated_stream(spark, sf)
     parts = []
     for side in ("curated", "quarantine", "dead_letter"):
         df = spark.read.parquet(f"{out}/{side}")

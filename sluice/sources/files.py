@@ -35,7 +35,9 @@ def file_manifest(spark: SparkSession, path: str, source_name: str | None = None
         # (Spark lists files on the driver for any file scan); zero-byte
         # files are the ones in the index that produced no row.
         listed = [_same_form(p) for p in listing.inputFiles()]
-        if listed:
+        # only when the index holds more files than the scan emitted (some are
+        # zero-byte) are the paths turned into rows for an anti-join
+        if listed and len(listed) > rows.count():
             all_files = spark.createDataFrame([(p,) for p in listed], "path string")
             empties = all_files.join(rows.select("path"), "path", "left_anti").select(
                 "path", F.lit(0).cast("bigint").alias("size_bytes"),

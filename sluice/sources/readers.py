@@ -63,9 +63,14 @@ def read_json(spark: SparkSession, path: str, schema=None, multi_line: bool = Fa
     return _with_file(r.json(path))
 
 
-def read_parquet(spark: SparkSession, path: str, merge_schema: bool = False) -> DataFrame:
-    """Parquet (filters and projections push into the scan)."""
-    return _with_file(spark.read.option("mergeSchema", merge_schema).parquet(path))
+def read_parquet(spark: SparkSession, path: str, merge_schema: bool = False, recursive: bool = False) -> DataFrame:
+    """Parquet (filters and projections push into the scan). A table
+    folder keeps partition discovery; a source folder of loose files is read
+    recursively (only ``*.parquet`` files)."""
+    r = spark.read.option("mergeSchema", merge_schema)
+    if recursive:
+        r = r.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+    return _with_file(r.parquet(path))
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from sluice.operators import catalog
-from sluice.plans.pipeline import Lake, ingest_sources
+from sluice.plans.ingest import Lake, ingest_sources
 from sluice.sources import config
 
 from conftest import png_bytes, write
@@ -104,3 +104,20 @@ def test_record_gate_run(spark, tmp_path):
     assert (r["status"], r["record_count"], r["invalid_count"], r["valid_count"]) == ("partial", 3, 2, 1)
     assert spark.read.parquet(r["lakehouse_path"]).count() == 1
     assert spark.read.parquet(r["quarantine_path"]).count() == 2
+
+
+def test_parquet_json_xml_sources_are_read(spark, tmp_path):
+    root = str(tmp_path / "data")
+    spark.range(5).withColumnRenamed("id", "k").write.parquet(f"{root}/pq/part")
+    write(f"{root}/js/a.json", '{"k": 1, "v": "x"}\n{"k": 2, "v": "y"}\nnot json\n')
+    write(f"{root}/xml/a.xml", "<r><row><a>1</a></row><row><a>2</a></row></r>")
+    lake = Lake(str(tmp_path / "lake"))
+    src = config.sources_from_rows(spark, [
+        {"name": "pq", "path": f"{root}/pq"},
+        {"name": "js", "path": f"{root}/js"},
+        {"name": "xml", "path": f"{root}/xml", "options": {"rowTag": "row"}},
+    ])
+    got = {r["source_name"]: r for r in ingest_sources(spark, src, lake, run_id="r1", gate="record").collect()}
+    assert (got["pq"]["status"], got["pq"]["record_count"]) == ("stored", 5)
+    assert (got["js"]["record_count"], got["js"]["invalid_count"]) == (3, 1)      # unparsable line
+    assert got["xml"]["modality"] == "semi_structured" and got["xml"]["record_count"] == 2
