@@ -78,18 +78,22 @@ def document_attempts(docs: DataFrame) -> DataFrame:
                        modality.alias("modality"), fields.alias("fields"), "lang", "text")
 
 
-def document_runs(docs: DataFrame, versions: DataFrame) -> DataFrame:
-    """A run history: each document is one run of its source. Records are
-    the document's lines; a blank line is an invalid record, and any invalid
-    record quarantines the run (source gate). ``versions`` gives the schema
-    version of each attempt (``schema_versions``)."""
+def with_run_counts(attempts: DataFrame) -> DataFrame:
+    """Records of a run are the document's lines; a blank line is an invalid
+    record. Counted per row before any shuffle, so the text never travels."""
     ls = lines(F.col("text"))
     n_blank = F.size(F.filter(ls, lambda l: py_strip(l) == ""))
-    r = docs.select(
-        F.col("doc_id").alias("run_id"), F.col("source").alias("source_name"),
-        line_count(F.col("text")).alias("record_count"), n_blank.cast("bigint").alias("invalid_count"))
-    r = r.join(versions.select(F.col("attempt_id").alias("run_id"), "source_name", "modality",
-                               F.col("version").alias("schema_version")), ["run_id", "source_name"])
+    return attempts.withColumn("record_count", line_count(F.col("text"))) \
+        .withColumn("invalid_count", n_blank.cast("bigint")).drop("text")
+
+
+def document_runs(versions: DataFrame) -> DataFrame:
+    """A run history: each document is one run of its source; any invalid
+    record quarantines the run (source gate). ``versions`` are attempts with
+    run counts (``with_run_counts``) and their schema version."""
+    r = versions.select(
+        F.col("attempt_id").alias("run_id"), "source_name", "modality",
+        F.col("version").alias("schema_version"), "record_count", "invalid_count")
     rid = F.col("run_id").cast("string")
     stored = F.col("invalid_count") == 0
     return r.select(

@@ -113,7 +113,7 @@ def q_headerless_csv_count(spark, sf):
     """A4: a headerless read counts every header line as data; each file's
     first row is found the way D1 does it and removed."""
     path = scratch_path(spark, "orders-csv") + "/data"
-    tables.write_csv(T(spark, sf, "orders").select(*ORDER_COLS).repartition(4), path)
+    tables.write_csv(T(spark, sf, "orders").select(*ORDER_COLS), path)
     raw = readers.read_headerless_csv(spark, path)
     raw = raw.select("*", F.col("_metadata.file_block_start").alias("_start"),
                      F.monotonically_increasing_id().alias("_rid"))

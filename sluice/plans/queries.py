@@ -303,11 +303,12 @@ def q_json_field_types(spark, sf):
 # C6-C9 schema registry
 # ============================================================================
 def _attempts(spark, sf):
-    return derive.document_attempts(T(spark, sf, "documents"))
+    """Registration attempts without the document text (never shuffled)."""
+    return derive.document_attempts(T(spark, sf, "documents")).drop("text", "lang")
 
 
-def _versions(spark, sf):
-    a = _attempts(spark, sf)
+def _versions(spark, sf, attempts=None):
+    a = attempts if attempts is not None else _attempts(spark, sf)
     a = a.withColumn("_sig", schema.snapshot_signature(F.col("fields"), F.col("modality")))
     return schema.versions_by_change(a, "source_name", "attempt_id", "_sig")
 
@@ -596,8 +597,8 @@ def q_column_profile(spark, sf):
 # K1, K3, K5, K6, K7, S9 catalog
 # ============================================================================
 def _runs(spark, sf):
-    docs = T(spark, sf, "documents")
-    return derive.document_runs(docs, _versions(spark, sf))
+    a = derive.with_run_counts(derive.document_attempts(T(spark, sf, "documents")).drop("lang"))
+    return derive.document_runs(_versions(spark, sf, a))
 
 
 @query("run_summary", f"""

@@ -20,15 +20,36 @@ from . import derive
 from .queries import EVENT_MESSAGE_SQL, TS_FMT_SPARK, TS_FMT_SQL, event_message, query
 
 T = derive.table
-N_FILES = 4
+MIN_FILES = 4
+N_BATCHES = 4
 EVENT_COLS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def _event_files(spark: SparkSession, sf: str, n_files: int = N_FILES) -> str:
-    """Events as ``n_files`` parquet files, range-partitioned on event time."""
+def n_files_for(df: DataFrame) -> int:
+    """As many files as the input has scan partitions (so file size stays at
+    the scan split size at any scale), and at least MIN_FILES so small inputs
+    still arrive in several files."""
+    return max(MIN_FILES, df.rdd.getNumPartitions())
+
+
+def per_trigger(n_files: int, batches: int = N_BATCHES) -> int:
+    """Files per micro-batch for a fixed number of batches: throttling that
+    does not turn into one batch per file at 1000x the data."""
+    return max(1, -(-n_files // batches))
+
+
+def _spread(df: DataFrame, path: str, order: str) -> int:
+    """Write ``df`` as files range-partitioned on ``order`` (arrival order)."""
+    n = n_files_for(df)
+    df.repartitionByRange(n, order).write.parquet(path)
+    return n
+
+
+def _event_files(spark: SparkSession, sf: str) -> tuple:
+    """Events as parquet files, range-partitioned on event time."""
     src = scratch_path(spark, "events-src")
-    T(spark, sf, "events").repartitionByRange(n_files, "ts").write.parquet(src)
-    return src
+    n = _spread(T(spark, sf, "events"), src, "ts")
+    return src, n
 
 
 def _read_sink(spark: SparkSession, path: str) -> DataFrame:
@@ -38,7 +59,7 @@ def _read_sink(spark: SparkSession, path: str) -> DataFrame:
 @query("stream_append", "SELECT event_id, user_id, event_type, value FROM events")
 def q_stream_append(spark, sf):
     """A file stream appended to a table (S5, W2 no watermark, W4 drain)."""
-    src, out = _event_files(spark, sf), scratch_path(spark, "stream-append")
+    (src, _), out = _event_files(spark, sf), scratch_path(spark, "stream-append")
     s = ssrc.file_stream(spark, src, EVENT_COLS)
     jobs.append_stream(s.select("event_id", "user_id", "event_type", "value"), out + "/table", out + "/_ckpt")
     return _read_sink(spark, out + "/table")
@@ -50,7 +71,7 @@ SELECT event_id, event_type, value, strftime(ts, '{TS_FMT_SQL}') AS ts_text FROM
 def q_stream_watermark(spark, sf):
     """A zero-delay watermark on rising event time keeps every row of a
     stateless append."""
-    src, out = _event_files(spark, sf), scratch_path(spark, "stream-wm")
+    (src, _), out = _event_files(spark, sf), scratch_path(spark, "stream-wm")
     s = jobs.with_watermark(ssrc.file_stream(spark, src, EVENT_COLS), "ts")
     s = s.select("event_id", "event_type", "value", F.date_format("ts", TS_FMT_SPARK).alias("ts_text"))
     jobs.append_stream(s, out + "/table", out + "/_ckpt")
@@ -59,10 +80,11 @@ def q_stream_watermark(spark, sf):
 
 @query("stream_throttled", "SELECT event_id, value FROM events")
 def q_stream_throttled(spark, sf):
-    """One file per micro-batch (``maxFilesPerTrigger``) instead of a
-    sleep; ``availableNow`` still drains all files, batch by batch."""
-    src, out = _event_files(spark, sf), scratch_path(spark, "stream-throttle")
-    s = ssrc.file_stream(spark, src, EVENT_COLS, max_files_per_trigger=1)
+    """A bounded number of files per micro-batch (``maxFilesPerTrigger``)
+    instead of a sleep; ``availableNow`` still drains all files, batch by
+    batch."""
+    (src, n), out = _event_files(spark, sf), scratch_path(spark, "stream-throttle")
+    s = ssrc.file_stream(spark, src, EVENT_COLS, max_files_per_trigger=per_trigger(n))
     jobs.append_stream(s.select("event_id", "value"), out + "/table", out + "/_ckpt")
     return _read_sink(spark, out + "/table")
 
@@ -101,10 +123,10 @@ def _kafka_rows(ev: DataFrame, damaged=None) -> DataFrame:
                     (F.col("user_id") % 4).cast("int").alias("partition"), F.col("event_id").alias("offset"))
 
 
-def _kafka_files(spark, sf, damaged=None) -> str:
+def _kafka_files(spark, sf, damaged=None) -> tuple:
     src = scratch_path(spark, "kafka-src")
-    _kafka_rows(T(spark, sf, "events"), damaged).repartitionByRange(N_FILES, "offset").write.parquet(src)
-    return src
+    n = _spread(_kafka_rows(T(spark, sf, "events"), damaged), src, "offset")
+    return src, n
 
 
 @query("stream_kafka_shape", """
@@ -115,7 +137,7 @@ FROM events
 def q_stream_kafka_shape(spark, sf):
     """A13 + C3 + G2: Kafka-shaped records (fixed stream schema) decoded in
     the stream."""
-    src, out = _kafka_files(spark, sf), scratch_path(spark, "stream-kafka")
+    (src, _), out = _kafka_files(spark, sf), scratch_path(spark, "stream-kafka")
     s = ssrc.kafka_shaped_file_stream(spark, src)
     d = s.withColumn("_m", codec.kv_decode(F.col("value")))
     d = d.select("key", "topic", F.col("partition").cast("bigint").alias("kafka_partition"),
@@ -132,8 +154,10 @@ def q_stream_text_lines(spark, sf):
     """A14 + S6: text-line files streamed line by line into a row-format
     text sink."""
     src, out = scratch_path(spark, "lines-src"), scratch_path(spark, "stream-lines")
-    event_message(T(spark, sf, "events")).select("message").repartition(N_FILES).write.text(src)
-    s = ssrc.text_line_stream(spark, src, max_files_per_trigger=2)
+    msgs = event_message(T(spark, sf, "events")).select("message")
+    n = n_files_for(msgs)
+    msgs.repartition(n).write.text(src)
+    s = ssrc.text_line_stream(spark, src, max_files_per_trigger=per_trigger(n))
     jobs.text_file_sink(s, out + "/lines", out + "/_ckpt")
     return spark.read.text(out + "/lines").select(F.col("value").alias("message"))
 
@@ -152,8 +176,8 @@ def _decoded_projection(d: DataFrame) -> DataFrame:
 
 
 def _gated_stream(spark, sf) -> str:
-    src, out = _kafka_files(spark, sf, damaged=_damaged()), scratch_path(spark, "stream-pipe")
-    s = ssrc.kafka_shaped_file_stream(spark, src, max_files_per_trigger=2)
+    (src, n), out = _kafka_files(spark, sf, damaged=_damaged()), scratch_path(spark, "stream-gate")
+    s = ssrc.kafka_shaped_file_stream(spark, src, max_files_per_trigger=per_trigger(n))
     fn = jobs.batch_writer(out, _decoded_projection, rules=[quality.in_range("value", hi=400)])
     jobs.foreach_batch_stream(s, fn, out + "/_ckpt")
     return out
