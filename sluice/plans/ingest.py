@@ -87,7 +87,10 @@ def ingest_frame(spark: SparkSession, df: DataFrame, lake: Lake, source_name: st
     tagged = tagged.withColumn("_run_id", F.lit(run_id)).withColumn(
         "_row_state", F.when(F.size(quality.REASONS) == 0, F.lit("valid")).otherwise(F.lit("invalid")))
     watched, obs = profile.observed(tagged, f"stage_{source_name}_{run_id}".replace("-", "_"))
-    staging_path = tables.write_version(watched, lake.staging, source_name, run_id, lake.fmt)
+    # staged once, partitioned by row state: the curated and quarantine
+    # writes below each read only their own partition of the staged copy
+    staging_path = tables.write_version(watched, lake.staging, source_name, run_id, lake.fmt,
+                                        partition_by=["_row_state"])
     counts = obs.get
     staged = spark.read.format(lake.fmt).load(staging_path)
     # extra_invalid: file-level problems that yield no row (zero-byte files)
@@ -107,7 +110,8 @@ def ingest_frame(spark: SparkSession, df: DataFrame, lake: Lake, source_name: st
             status = "quarantined"
             quarantine_path = tables.write_version(staged, lake.quarantine, source_name, run_id, lake.fmt)
     else:
-        valid, invalid = quality.record_gate(staged.drop("_row_state"))
+        valid = staged.filter(F.col("_row_state") == "valid").drop("_row_state", quality.REASONS)
+        invalid = staged.filter(F.col("_row_state") == "invalid").drop("_row_state")
         status = "empty" if rec == 0 else ("stored" if inv == 0 else "partial")
         if rec - inv > 0:
             lakehouse_path = tables.write_version(valid, lake.lakehouse, table, run_id, lake.fmt)

@@ -175,7 +175,19 @@ def _decoded_projection(d: DataFrame) -> DataFrame:
                     codec.kv_get("_msg", "value", "float").alias("value"))
 
 
+_GATED: dict = {}
+
+
 def _gated_stream(spark, sf) -> str:
+    """One gated stream run per session and scale factor, shared by the
+    dead-letter and gate keys."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _GATED:
+        _GATED[key] = _run_gated_stream(spark, sf)
+    return _GATED[key]
+
+
+def _run_gated_stream(spark, sf) -> str:
     (src, n), out = _kafka_files(spark, sf, damaged=_damaged()), scratch_path(spark, "stream-gate")
     s = ssrc.kafka_shaped_file_stream(spark, src, max_files_per_trigger=per_trigger(n))
     fn = jobs.batch_writer(out, _decoded_projection, rules=[quality.in_range("value", hi=400)])

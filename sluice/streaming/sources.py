@@ -15,6 +15,10 @@ from ..operators.schema import STREAM_SCHEMA
 KAFKA_COLUMNS = ["key", "value", "timestamp", "topic", "partition", "offset"]
 
 
+class ConnectorMissing(RuntimeError):
+    pass
+
+
 def kafka_stream(spark: SparkSession, bootstrap: str, topic: str, group_id: str | None = None,
                  starting_offsets: str = "earliest", max_offsets_per_trigger: int | None = None) -> DataFrame:
     """A13 + W5: subscribe from the earliest offset; progress is kept in the
@@ -25,7 +29,14 @@ def kafka_stream(spark: SparkSession, bootstrap: str, topic: str, group_id: str
         r = r.option("kafka.group.id", group_id)
     if max_offsets_per_trigger:
         r = r.option("maxOffsetsPerTrigger", max_offsets_per_trigger)
-    df = r.load()
+    try:
+        df = r.load()
+    except Exception as e:  # the connector jar is optional
+        msg = str(e).lower()
+        if "kafka" in msg and ("find data source" in msg or "not found" in msg or "data_source_not_found" in msg):
+            raise ConnectorMissing("the Kafka connector (spark-sql-kafka) is not on the classpath; "
+                                   "kafka_shaped_file_stream reads files of the same shape") from e
+        raise
     return df.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"),
                      "timestamp", "topic", "partition", "offset")
 

@@ -89,3 +89,13 @@ def test_text_lines_and_sink(spark, tmp_path):
 def test_socket_source_schema_without_connecting(spark):
     s = ssrc.socket_stream(spark, "localhost", 9)
     assert s.isStreaming and s.dtypes == [("value", "string")]
+
+
+def test_kafka_source_without_connector_is_reported(spark):
+    import pytest
+    try:
+        df = ssrc.kafka_stream(spark, "localhost:9092", "t")
+    except ssrc.ConnectorMissing:
+        return
+    assert df.isStreaming and df.columns == ssrc.KAFKA_COLUMNS        # connector present
+    pytest.skip("connector present")
