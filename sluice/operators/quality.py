@@ -112,10 +112,24 @@ def source_gate_summary(tagged: DataFrame, source_col: str) -> DataFrame:
                         .otherwise(F.lit("quarantined")))
 
 
-def source_gate(tagged: DataFrame, source_col: str):
-    """D5 rows: (stored rows, quarantined rows, summary). The summary has one
-    row per source; it joins back on the source column."""
+def source_gate(tagged: DataFrame, source_col: str, max_sources: int = 10_000):
+    """D5 rows: (stored rows, quarantined rows, summary).
+
+    The summary has one row per source - bounded by the configuration - so
+    it is collected (at most ``max_sources`` rows are fetched) and rows are
+    routed by an ``isin`` predicate: no join, no shuffle of the data. Past
+    the bound, the summary joins back instead (AQE picks the strategy)."""
+    spark = tagged.sparkSession
     summary = source_gate_summary(tagged, source_col)
+    rows = summary.limit(max_sources + 1).collect()
+    if len(rows) <= max_sources:
+        fixed = spark.createDataFrame(rows, summary.schema) if rows else spark.createDataFrame([], summary.schema)
+        stored = [r[source_col] for r in rows if r["status"] == "stored"]
+        keep = F.col(source_col).isin([v for v in stored if v is not None])
+        if any(v is None for v in stored):
+            keep = keep | F.col(source_col).isNull()
+        keep = F.coalesce(keep, F.lit(False))
+        return tagged.filter(keep), tagged.filter(~keep), fixed
     j = tagged.join(summary.select(source_col, "status"), source_col)
     return (j.filter(F.col("status") == "stored").drop("status"),
             j.filter(F.col("status") == "quarantined").drop("status"), summary)
@@ -149,41 +163,21 @@ def video_file_invalid(ext) -> Column:
     return ~_c(ext).isin(*VIDEO_EXTENSIONS)
 
 
-def header_rows(spark, path, width: int, sep: str = ",", multi_line: bool = False,
-                corrupt: str = "_corrupt", recursive: bool = True) -> DataFrame:
-    """First parsed row of every CSV file under ``path``, read with a schema
-    of ``width`` string columns plus a corrupt-record column.
-
-    One scan for all files: rows of each file's first split (block start 0),
-    then the earliest row per file by ``monotonically_increasing_id`` (row
-    order inside a task follows file order)."""
-    fields = ", ".join(f"_c{i} string" for i in range(width))
-    schema = f"{fields}, {corrupt} string"
-    r = (spark.read.schema(schema)
-         .option("header", False).option("sep", sep).option("mode", "PERMISSIVE")
-         .option("columnNameOfCorruptRecord", corrupt).option("multiLine", multi_line)
-         .option("escape", '"').option("recursiveFileLookup", recursive)
-         .csv(path))
-    r = r.select("*", F.col("_metadata.file_path").alias("file_path"),
-                 F.col("_metadata.file_block_start").alias("_start"),
-                 F.monotonically_increasing_id().alias("_rid"))
-    r = r.filter(F.col("_start") == 0)
-    cols = [f"_c{i}" for i in range(width)] + [corrupt]
-    first = r.groupBy("file_path").agg(F.min_by(F.struct(*cols), F.col("_rid")).alias("h"))
-    return first.select("file_path", "h.*")
-
-
-def header_checks(spark, path, expected_width: int, sep: str = ",", multi_line: bool = False) -> DataFrame:
-    """Per file ``(file_path, reason)``; reason NULL when the header is
-    fine. ``header_width`` when the cell count differs from the expected
-    schema (E7), ``duplicate_header`` when names collapse (E9). Zero-byte
-    files have no header row; the manifest reports them as ``empty_file``."""
-    h = header_rows(spark, path, expected_width, sep, multi_line)
-    cells = F.array(*[F.col(f"_c{i}") for i in range(expected_width)])
-    n_named = F.size(header_fields(cells))
-    reason = (F.when(F.col("_corrupt").isNotNull(), F.lit("header_width"))
-              .when(n_named < expected_width, F.lit("duplicate_header")))
-    return h.select("file_path", reason.alias("reason"))
+def header_checks(manifest: DataFrame, expected_width: int) -> DataFrame:
+    """Per CSV/TSV file ``(file_path, reason, cells)``; reason NULL when
+    the header is fine, else ``empty_file`` (E10), ``unreadable`` (E11),
+    ``header_width`` (cell count differs from the expected schema, E7) or
+    ``duplicate_header`` (names collapse, E9). Reads only each file's first
+    record (see ``sources.headers``), never the data."""
+    from ..sources.headers import first_records
+    h = first_records(manifest)
+    n_cells = F.size(F.col("cells"))
+    n_named = F.size(header_fields(F.col("cells")))
+    reason = (F.when(F.col("status") == "empty", F.lit("empty_file"))
+              .when(F.col("status") == "unreadable", F.lit("unreadable"))
+              .when(n_cells != expected_width, F.lit("header_width"))
+              .when(n_named < n_cells, F.lit("duplicate_header")))
+    return h.select("file_path", reason.alias("reason"), "cells")
 
 
 def strip_cells(cells) -> Column:

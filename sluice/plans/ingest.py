@@ -24,6 +24,7 @@ from ..functions.paths import STREAMING_HINTS, modality_of_extension
 from ..operators import catalog, profile, quality, route, schema
 from ..sinks import tables
 from ..sources import files, readers
+from ..sources.headers import first_records
 
 RUN_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType()), T.StructField("source_name", T.StringType()),
@@ -166,12 +167,10 @@ def discover_fields(spark: SparkSession, manifest: DataFrame, modality: str):
     if not path:
         return schema.UNKNOWN_FIELDS
     if modality == "structured":
-        sep = "\t" if path.lower().endswith(".tsv") else ","
-        head = (spark.read.option("header", False).option("sep", sep).option("escape", '"')
-                .option("multiLine", True).csv(path).limit(1))
-        cells = F.array(*[F.col(c) for c in head.columns])
-        row = head.select(schema.header_fields(cells).alias("f")).collect()
-        return [(f["name"], "string") for f in row[0]["f"]] if row else schema.UNKNOWN_FIELDS
+        # the same first-record parser as the D1 header check
+        head = first_records(manifest.filter(F.col("path") == path))
+        row = head.select(schema.header_fields(F.col("cells")).alias("f")).collect()
+        return [(f["name"], "string") for f in row[0]["f"]] if row and row[0]["f"] else schema.UNKNOWN_FIELDS
     doc = spark.read.text(path, wholetext=True)
     kt = schema.json_key_types(doc, "value").collect()
     return [(r["key"], r["type_name"]) for r in kt] or schema.UNKNOWN_FIELDS
@@ -201,7 +200,7 @@ def source_frame(spark: SparkSession, path: str, manifest: DataFrame, worker: st
             df = frames[0]
             for f in frames[1:]:
                 df = df.unionByName(f)
-            checks = quality.header_checks(spark, path, len(names), multi_line=multi_line)
+            checks = quality.header_checks(manifest, len(names))
             bad_files = checks.filter(F.col("reason").isNotNull())
             df = df.join(bad_files.withColumnRenamed("file_path", "_source_file"), "_source_file", "left")
             rules = [quality.row_width("_corrupt"),

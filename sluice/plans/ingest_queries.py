@@ -11,6 +11,7 @@ from ..operators import catalog, quality, route
 from ..session import scratch_path
 from ..sinks import tables
 from ..sources import files, readers
+from ..sources.headers import first_records
 from . import derive
 from .ingest import Lake, ingest_frame, new_run_id, record_run
 from .queries import ORDER_RULES_SQL, order_rules, query
@@ -110,17 +111,19 @@ ORDER_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_ord
 
 @query("headerless_csv_count", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
 def q_headerless_csv_count(spark, sf):
-    """A4: a headerless read counts every header line as data; each file's
-    first row is found the way D1 does it and removed."""
+    """A4: a headerless read counts every header line as data. The header
+    lines are known from each file's first record (a few KB per file), so
+    their counts are subtracted after the aggregation - one scan of the data
+    and no row-level anti-join."""
     path = scratch_path(spark, "orders-csv") + "/data"
     tables.write_csv(T(spark, sf, "orders").select(*ORDER_COLS), path)
     raw = readers.read_headerless_csv(spark, path)
-    raw = raw.select("*", F.col("_metadata.file_block_start").alias("_start"),
-                     F.monotonically_increasing_id().alias("_rid"))
-    heads = (raw.filter(F.col("_start") == 0).groupBy("_source_file")
-             .agg(F.min("_rid").alias("_rid")))
-    data = raw.join(heads, ["_source_file", "_rid"], "left_anti")
-    return data.groupBy(F.col("_c2").alias("o_orderstatus")).agg(F.count(F.lit(1)).alias("n"))
+    counts = raw.groupBy(F.col("_c2").alias("o_orderstatus")).agg(F.count(F.lit(1)).alias("_n"))
+    heads = first_records(files.file_manifest(spark, path)).filter(F.col("status") == "ok")
+    head_counts = heads.groupBy(F.col("cells")[2].alias("o_orderstatus")).agg(F.count(F.lit(1)).alias("_h"))
+    j = counts.join(head_counts, "o_orderstatus", "left")
+    n = F.col("_n") - F.coalesce(F.col("_h"), F.lit(0))
+    return j.select("o_orderstatus", n.alias("n")).filter(F.col("n") > 0)
 
 
 @query("xml_decode", """
@@ -178,7 +181,7 @@ def q_csv_header_checks(spark, sf):
     cust = T(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
     tables.write_csv(cust, root + "/customer")
     dataset = F.regexp_extract(F.col("file_path"), r"/(orders|customer)/[^/]*$", 1)
-    checks = quality.header_checks(spark, root, len(ORDER_COLS))
+    checks = quality.header_checks(files.file_manifest(spark, root), len(ORDER_COLS))
     per_ds = checks.groupBy(dataset.alias("dataset")).agg(F.bool_and(F.col("reason").isNull()).alias("header_ok"))
     rows = readers.read_csv(spark, root, ORDER_COLS)
     tagged = quality.apply_rules(rows, [quality.row_width("_corrupt")])
