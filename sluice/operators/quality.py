@@ -4,8 +4,9 @@ A *rule* is ``(reason, violated)`` where ``violated`` is a boolean Column
 (NULL counts as not violated). Rules become one ``_reasons array<string>``
 column in a single projection, so every rule is evaluated in the same
 codegen stage as the scan. Only the uniqueness rule needs a shuffle: an
-aggregate of the key (partial aggregation first) joined back - AQE splits a
-skewed key on the big side and broadcasts the duplicate list when small."""
+aggregate of the key (partial aggregation first) joined back - broadcast
+when the duplicate list is measured small, else a shuffle join in which AQE
+splits a skewed key."""
 
 from __future__ import annotations
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import IMAGE_EXTENSIONS, VIDEO_EXTENSIONS
 from ..functions.text import blank_to_null, py_strip
+from .joins import DEFAULT_MAX_BROADCAST_ROWS, join_small
 from .schema import header_fields
 
 REASONS = "_reasons"
@@ -73,12 +75,16 @@ def reasons_column(rules) -> Column:
                                      for n, v in rules]))
 
 
-def with_unique_flag(df: DataFrame, keys, flag: str = "_dup") -> DataFrame:
+def with_unique_flag(df: DataFrame, keys, flag: str = "_dup",
+                     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Uniqueness (D9): ``flag`` is true on every row whose key occurs more
-    than once. Keys with a NULL part never collide (SQL UNIQUE semantics)."""
+    than once. Keys with a NULL part never collide (SQL UNIQUE semantics).
+    Key counts aggregate map-side first (a hot key collapses before the
+    shuffle); the duplicate list is broadcast when its measured size allows,
+    otherwise joined with a shuffle."""
     dups = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
               .filter(F.col("_n") > 1).select(*keys, F.lit(True).alias(flag)))
-    out = df.join(dups, list(keys), "left")
+    out = join_small(df, dups, list(keys), "left", max_broadcast_rows)
     return out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions.paths import STREAMING_HINTS, modality_of_extension
 from ..operators import catalog, profile, quality, route, schema
+from ..operators.joins import join_small
 from ..sinks import tables
 from ..sources import files, readers
 from ..sources.headers import first_records
@@ -202,7 +203,8 @@ def source_frame(spark: SparkSession, path: str, manifest: DataFrame, worker: st
                 df = df.unionByName(f)
             checks = quality.header_checks(manifest, len(names))
             bad_files = checks.filter(F.col("reason").isNotNull())
-            df = df.join(bad_files.withColumnRenamed("file_path", "_source_file"), "_source_file", "left")
+            df = join_small(df, bad_files.select(F.col("file_path").alias("_source_file"), "reason"),
+                            "_source_file", "left")
             rules = [quality.row_width("_corrupt"),
                      ("header_width", F.col("reason") == "header_width"),
                      ("duplicate_header", F.col("reason") == "duplicate_header")]
