@@ -44,9 +44,14 @@ def content_type(ext) -> Column:
     return F.coalesce(m[e], F.lit("application/octet-stream"))
 
 
-def file_entities(manifest: DataFrame, run_id: Column | str | None = None) -> DataFrame:
-    """K2: manifest -> file entity rows (C4 schema plus source and run)."""
+def file_entities(manifest: DataFrame, run_id: Column | str | None = None,
+                  limit: int | None = None) -> DataFrame:
+    """K2: manifest -> file entity rows (C4 schema plus source and run).
+    ``limit`` keeps the first files by path (the reference capped a call at
+    5000 files, E16); off by default."""
     rid = F.lit(run_id) if isinstance(run_id, str) or run_id is None else run_id
+    if limit is not None:
+        manifest = manifest.orderBy("path").limit(limit)
     return manifest.select(
         F.lit("File").alias("entity_type"), "source_name",
         F.col("path").alias("file_path"), file_name(F.col("path")).alias("file_name"),
@@ -63,6 +68,13 @@ def text_entities(df: DataFrame, text_col: str = "text", keys=()) -> DataFrame:
                      word_count(t).alias("n_words"), line_count(t).alias("n_lines"))
 
 
+def log_entities(manifest: DataFrame) -> DataFrame:
+    """K6 logs: the ``.log`` files of a source."""
+    return manifest.filter(F.col("extension") == ".log").select(
+        F.lit("Log").alias("entity_type"), "source_name", F.col("path").alias("file_path"),
+        "file_name", F.col("size_bytes").cast("bigint").alias("size_bytes"))
+
+
 def lineage_id(*parts) -> Column:
     """Deterministic edge id (the reference used a random uuid)."""
     return F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)

@@ -284,6 +284,7 @@ def _ingest_one(spark, src: dict, lake: Lake, run_id: str, gate: str) -> dict:
         return {"run_id": run_id, "source_name": src["name"], "status": "empty", "modality": modality,
                 "ingestion_mode": mode, "worker": worker, "schema_version": version,
                 "record_count": 0, "invalid_count": 0, "valid_count": 0, "source_path": path}
+    _catalog_entities(spark, lake, src["name"], run_id, manifest, worker, path)
     df, rules = source_frame(spark, path, manifest, worker, fields, src.get("options"))
     empty_tabular = 0
     if worker == "direct":
@@ -295,6 +296,26 @@ def _ingest_one(spark, src: dict, lake: Lake, run_id: str, gate: str) -> dict:
                         extra_invalid=empty_tabular)
 
 
+def _entity_path(lake: Lake, section: str, source_name: str, run_id: str) -> str:
+    """Each (source, run) owns one leaf folder of a catalog section, so
+    sources ingested concurrently never share an output folder; reading the
+    section root brings ``source_name`` and ``run_id`` back as columns."""
+    return f"{lake.section(section)}/source_name={source_name}/run_id={run_id}"
+
+
+def _catalog_entities(spark, lake: Lake, source_name: str, run_id: str, manifest: DataFrame,
+                      worker: str, path: str) -> None:
+    """K2 file entities, K6 text and log entities of one source run."""
+    ents = catalog.file_entities(manifest, run_id).drop("source_name", "run_id")
+    ents.write.mode("overwrite").format(lake.fmt).save(_entity_path(lake, "files", source_name, run_id))
+    logs = catalog.log_entities(manifest).drop("source_name")
+    logs.write.mode("overwrite").format(lake.fmt).save(_entity_path(lake, "logs", source_name, run_id))
+    if worker == "text":
+        docs = files.read_text_documents(spark, path, ignore_corrupt=True)
+        txt = catalog.text_entities(docs, "text", keys=["path"])
+        txt.write.mode("overwrite").format(lake.fmt).save(_entity_path(lake, "text_data", source_name, run_id))
+
+
 _REGISTRY_LOCK = threading.Lock()
 
 

@@ -74,6 +74,12 @@ def test_orchestrated_run(spark, tmp_path):
     assert {"good", "json", "text", "vid"} <= exposed and "bad" not in exposed
     reg = {r["source_name"]: r["version"] for r in spark.read.parquet(lake.section("schema_registry")).collect()}
     assert reg["good"] == 1
+    ents = spark.read.parquet(lake.section("files"))
+    assert ents.filter((F.col("source_name") == "good") & (F.col("run_id") == "r1")).count() == 2
+    assert {r["content_type"] for r in ents.filter(F.col("source_name") == "img").collect()} == {
+        "image/png", "text/plain"}
+    txt = {r["path"].rsplit("/", 1)[-1]: r for r in spark.read.parquet(lake.section("text_data")).collect()}
+    assert (txt["a.txt"]["n_lines"], txt["a.txt"]["n_words"]) == (3, 2)
     prof = {r["source_name"]: r for r in spark.read.parquet(lake.section("profiles")).collect()}
     assert prof["good"]["valid_count"] == 6 and prof["good"]["processing_time_seconds"] > 0
 
