@@ -701,7 +701,7 @@ EVENT_KINDS = "event_id:int,ts:str,user_id:int,event_type:str,value:float"
 
 
 def decode_events(msgs: DataFrame) -> DataFrame:
-    d = msgs.select(codec.kv_decode("message").alias("d"))
+    d = codec.decode_messages(msgs, "message", "d")
     return d.select(codec.kv_get("d", "event_id", "int").alias("event_id"),
                     codec.kv_get("d", "ts").alias("ts"),
                     codec.kv_get("d", "user_id", "int").alias("user_id"),

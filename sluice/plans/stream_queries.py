@@ -139,7 +139,7 @@ def q_stream_kafka_shape(spark, sf):
     the stream."""
     (src, _), out = _kafka_files(spark, sf), scratch_path(spark, "stream-kafka")
     s = ssrc.kafka_shaped_file_stream(spark, src)
-    d = s.withColumn("_m", codec.kv_decode(F.col("value")))
+    d = codec.decode_messages(s, "value", "_m")
     d = d.select("key", "topic", F.col("partition").cast("bigint").alias("kafka_partition"),
                  F.col("offset").alias("kafka_offset"),
                  codec.kv_get("_m", "event_id", "int").alias("event_id"),

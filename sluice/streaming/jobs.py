@@ -63,7 +63,7 @@ def publish_messages(df: DataFrame, bootstrap: str, topic: str, fields, key_col:
 
 def decode_batch(batch: DataFrame, value_col: str = "value") -> DataFrame:
     """W6 decode step: adds ``_msg`` (decoded struct) and ``_ok``."""
-    d = batch.withColumn("_msg", codec.kv_decode(F.col(value_col)))
+    d = codec.decode_messages(batch, value_col, "_msg")
     return d.withColumn("_ok", F.col("_msg.ok"))
 
 

@@ -79,3 +79,21 @@ def test_text_helpers_match_python(spark):
     for r in rows:
         assert r["s"] == r["t"].strip(" \t\n\r\f\x0b")
         assert r["w"] == len(r["t"].split())
+
+
+def test_dataframe_decoder_equals_column_decoder(spark):
+    msgs = ["a:1,b:1.5,c:x", "a:-5", "t:10:20:30", "a:", "a:1,a:2", "novalue", "", "x:1,y"]
+    df = spark.createDataFrame([(m,) for m in msgs], "m string")
+    a = df.select("m", codec.kv_decode("m").alias("d"))
+    b = codec.decode_messages(df, "m", "d")
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.select("m", "d").collect()))
+
+
+def test_regex_extract_equals_decoder(spark):
+    msgs = ["a:1,b:1.5,c:x", "a:-5", "t:10:20:30", "a:", "a:1,a:2", "novalue", "", "x:1,y", "b:2,a:7.5,a:8"]
+    df = spark.createDataFrame([(m,) for m in msgs], "m string")
+    d = codec.decode_messages(df, "m", "d")
+    for key, kind in [("a", "int"), ("a", "float"), ("a", "str"), ("t", "str"), ("b", "float")]:
+        got = d.select("m", codec.kv_get("d", key, kind).alias("x"), codec.kv_extract("m", key, kind).alias("y"))
+        for r in got.collect():
+            assert r["x"] == r["y"], (r["m"], key, kind)
