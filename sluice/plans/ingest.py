@@ -67,6 +67,16 @@ class Lake:
     def section(self, name: str) -> str:
         return f"{self.root}/catalog/{name}"
 
+    def run_leaf(self, name: str, run_id: str, source_name: str | None = None) -> str:
+        """Each run (and source) owns one leaf folder of a catalog section:
+        concurrent writers never share an output folder and a retried run
+        overwrites only its own rows. The section root reads all leaves."""
+        leaf = f"{self.section(name)}/_run={run_id}"
+        return leaf if source_name is None else f"{leaf}/_source={source_name}"
+
+    def write_leaf(self, df: DataFrame, name: str, run_id: str, source_name: str | None = None) -> None:
+        df.write.mode("overwrite").format(self.fmt).save(self.run_leaf(name, run_id, source_name))
+
     def read_section(self, spark: SparkSession, name: str):
         try:
             return spark.read.format(self.fmt).load(self.section(name))
@@ -136,13 +146,14 @@ def record_run(spark: SparkSession, lake: Lake, run_rows: list[dict]) -> DataFra
     """Append the run rows and their catalog consequences (K1, K3, K4, K5,
     K7). These frames hold one row per source, never data rows."""
     runs = spark.createDataFrame([tuple(r.get(f.name) for f in RUN_SCHEMA.fields) for r in run_rows], RUN_SCHEMA)
-    tables.append_rows(runs, lake.section("runs"), lake.fmt)
-    tables.append_rows(catalog.lineage_edges(runs.filter(F.col("staging_path").isNotNull())),
-                       lake.section("lineage"), lake.fmt)
-    tables.append_rows(catalog.dataset_log(runs), lake.section("datasets"), lake.fmt)
-    tables.append_rows(runs.select("run_id", "source_name", "modality", "ingestion_mode", "record_count",
+    run_ids = sorted({r["run_id"] for r in run_rows})
+    rid = run_ids[0] if len(run_ids) == 1 else "mixed-" + uuid.uuid4().hex[:8]
+    lake.write_leaf(runs, "runs", rid)
+    lake.write_leaf(catalog.lineage_edges(runs.filter(F.col("staging_path").isNotNull())), "lineage", rid)
+    lake.write_leaf(catalog.dataset_log(runs), "datasets", rid)
+    lake.write_leaf(runs.select("run_id", "source_name", "modality", "ingestion_mode", "record_count",
                                    "invalid_count", "valid_count", "processing_time_seconds",
-                                   "ingestion_rate_records_per_second"), lake.section("profiles"), lake.fmt)
+                                   "ingestion_rate_records_per_second"), "profiles", rid)
     return runs
 
 
@@ -296,24 +307,16 @@ def _ingest_one(spark, src: dict, lake: Lake, run_id: str, gate: str) -> dict:
                         extra_invalid=empty_tabular)
 
 
-def _entity_path(lake: Lake, section: str, source_name: str, run_id: str) -> str:
-    """Each (source, run) owns one leaf folder of a catalog section, so
-    sources ingested concurrently never share an output folder; reading the
-    section root brings ``source_name`` and ``run_id`` back as columns."""
-    return f"{lake.section(section)}/source_name={source_name}/run_id={run_id}"
-
-
 def _catalog_entities(spark, lake: Lake, source_name: str, run_id: str, manifest: DataFrame,
                       worker: str, path: str) -> None:
     """K2 file entities, K6 text and log entities of one source run."""
-    ents = catalog.file_entities(manifest, run_id).drop("source_name", "run_id")
-    ents.write.mode("overwrite").format(lake.fmt).save(_entity_path(lake, "files", source_name, run_id))
-    logs = catalog.log_entities(manifest).drop("source_name")
-    logs.write.mode("overwrite").format(lake.fmt).save(_entity_path(lake, "logs", source_name, run_id))
+    lake.write_leaf(catalog.file_entities(manifest, run_id), "files", run_id, source_name)
+    lake.write_leaf(catalog.log_entities(manifest).withColumn("run_id", F.lit(run_id)), "logs", run_id, source_name)
     if worker == "text":
         docs = files.read_text_documents(spark, path, ignore_corrupt=True)
-        txt = catalog.text_entities(docs, "text", keys=["path"])
-        txt.write.mode("overwrite").format(lake.fmt).save(_entity_path(lake, "text_data", source_name, run_id))
+        txt = catalog.text_entities(docs, "text", keys=["path"]).select(
+            F.lit(source_name).alias("source_name"), F.lit(run_id).alias("run_id"), "*")
+        lake.write_leaf(txt, "text_data", run_id, source_name)
 
 
 _REGISTRY_LOCK = threading.Lock()
@@ -347,7 +350,7 @@ def _register(spark, lake, source_name, modality, fields, run_id) -> int:
                                                   T.StructField("fields", schema.FIELDS_TYPE),
                                                   T.StructField("version", T.IntegerType()),
                                                   T.StructField("run_id", T.StringType())]))
-        tables.append_rows(row, lake.section("schema_registry"), lake.fmt)
+        lake.write_leaf(row, "schema_registry", run_id, source_name)
     return int(e["version"])
 
 
