@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.paths import STREAMING_HINTS, modality_of_extension
+from ..functions.paths import STREAMING_HINTS
 from ..operators import catalog, profile, quality, route, schema
 from ..operators.joins import join_small
 from ..sinks import tables
@@ -354,5 +354,4 @@ def _register(spark, lake, source_name, modality, fields, run_id) -> int:
     return int(e["version"])
 
 
-__all__ = ["Lake", "ingest_frame", "ingest_sources", "record_run", "register_schema", "new_run_id",
-           "modality_of_extension"]
+__all__ = ["Lake", "ingest_frame", "ingest_sources", "record_run", "register_schema", "new_run_id"]

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions import codec
 from ..operators import quality
-from ..operators.schema import STREAM_SCHEMA
 from ..session import scratch_path
 from ..streaming import jobs
 from ..streaming import sources as ssrc
@@ -225,4 +224,3 @@ def q_stream_gate(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-__all__ = ["STREAM_SCHEMA"]

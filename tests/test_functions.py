@@ -1,6 +1,5 @@
 """Column functions: message codec (F-MESSAGE), path parts, text helpers."""
 
-from pyspark.sql import functions as F
 
 from sluice.functions import codec, paths, text
 
