@@ -67,14 +67,17 @@ def decode_batch(batch: DataFrame, value_col: str = "value") -> DataFrame:
     return d.withColumn("_ok", F.col("_msg.ok"))
 
 
-def batch_writer(root: str, project, rules=(), fmt: str = "parquet"):
+def batch_writer(root: str, project, rules=(), fmt: str = "parquet", stats: dict | None = None,
+                 value_col: str = "value"):
     """A ``foreachBatch`` function. Each micro-batch is decoded; messages
     that do not decode go to ``dead_letter`` (W6); decoded rows are projected
     by ``project(decoded_df)``, tagged by ``rules`` and split into
     ``curated`` / ``quarantine`` (D6). Every output is written to
-    ``<root>/<table>/_batch=<id>`` with overwrite, so a replay is exact."""
+    ``<root>/<table>/_batch=<id>`` with overwrite, so a replay is exact.
+    ``stats`` (a driver-side dict) accumulates records / invalid / dead
+    letter counts of the batches this query processed."""
     def run(batch: DataFrame, batch_id: int):
-        d = decode_batch(batch).persist()
+        d = decode_batch(batch, value_col).persist()
         try:
             dead = d.filter(~F.col("_ok")).drop("_msg", "_ok")
             dead.write.mode("overwrite").format(fmt).save(f"{root}/dead_letter/_batch={batch_id}")
@@ -83,11 +86,26 @@ def batch_writer(root: str, project, rules=(), fmt: str = "parquet"):
             valid, invalid = quality.record_gate(tagged)
             valid.write.mode("overwrite").format(fmt).save(f"{root}/curated/_batch={batch_id}")
             invalid.write.mode("overwrite").format(fmt).save(f"{root}/quarantine/_batch={batch_id}")
+            if stats is not None:
+                c = d.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("_ok")).alias("dead")).first()
+                n_invalid = invalid.count() if rules else 0
+                stats["records"] = stats.get("records", 0) + int(c["n"])
+                stats["dead_letters"] = stats.get("dead_letters", 0) + int(c["dead"])
+                stats["invalid"] = stats.get("invalid", 0) + n_invalid
+                stats["batches"] = stats.get("batches", 0) + 1
         finally:
             d.unpersist()
     return run
 
 
+def generic_projection(d: DataFrame) -> DataFrame:
+    """Decoded messages of unknown keys: the stream's own columns, the
+    fields as a map and the typed JSON document (what the reference wrote)."""
+    meta = [c for c in d.columns if c not in ("_msg", "_ok")]
+    fields = F.map_from_entries(F.transform(F.col("_msg.entries"), lambda e: F.struct(e["key"], e["value"])))
+    return d.select(*meta, fields.alias("fields"), codec.kv_to_json(F.col("_msg")).alias("json"))
+
+
 def foreach_batch_stream(df: DataFrame, fn, checkpoint: str, available_now: bool = True,
                          processing_time: str | None = None, wait: bool = True):
     w = df.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
