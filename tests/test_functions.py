@@ -96,3 +96,39 @@ def test_regex_extract_equals_decoder(spark):
         got = d.select("m", codec.kv_get("d", key, kind).alias("x"), codec.kv_extract("m", key, kind).alias("y"))
         for r in got.collect():
             assert r["x"] == r["y"], (r["m"], key, kind)
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_KEY = st.text(alphabet="abcdefghijklmnopqrstuvwxyz_", min_size=1, max_size=6)
+_TEXT = st.text(alphabet=st.characters(blacklist_characters=",:.", blacklist_categories=("Cs",)),
+                min_size=1, max_size=8)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.dictionaries(_KEY, st.one_of(st.integers(min_value=0, max_value=10**12),
+                                       st.floats(min_value=0.001, max_value=1e6, allow_nan=False).map(lambda f: round(f, 3)),
+                                       _TEXT), min_size=1, max_size=5))
+def test_encode_decode_identity_property(spark, fields):
+    """encode -> decode gives back every value with its type (safe values:
+    no separators inside; floats written with a dot)."""
+    row = {}
+    for k, v in fields.items():
+        if isinstance(v, float) and float(v).is_integer():
+            v = v + 0.5
+        row[k] = v
+    msg = ",".join(f"{k}:{v}" for k, v in row.items())
+    df = spark.createDataFrame([(msg,)], "m string")
+    d = codec.decode_messages(df, "m", "d").first()["d"]
+    assert d["ok"]
+    got = {e["key"]: (e["value"], e["kind"]) for e in d["entries"]}
+    for k, v in row.items():
+        text, kind = got[k]
+        if isinstance(v, bool) or not isinstance(v, (int, float)):
+            exp_kind = "int" if str(v).isascii() and str(v).isdigit() else "str"
+            assert (text, kind) == (str(v), exp_kind)
+        elif isinstance(v, int):
+            assert (int(text), kind) == (v, "int")
+        else:
+            assert (float(text), kind) == (v, "float")

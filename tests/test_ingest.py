@@ -147,3 +147,16 @@ def test_stream_source_runs_and_resumes(spark, tmp_path):
     assert (r2["record_count"], r2["status"]) == (1, "stored")            # only the new file
     r3 = ingest_sources(spark, src, lake, run_id="r3").first()
     assert r3["status"] == "empty"
+
+
+def test_auto_media_routing(spark):
+    from sluice.operators import route
+    sources = config.sources_from_rows(spark, [{"name": "img", "path": "/x/img"}, {"name": "vid", "path": "/x/vid"},
+                                               {"name": "doc", "path": "/x/doc"}])
+    manifest = spark.createDataFrame(
+        [("img", "/x/img/a.png", ".png", 1), ("vid", "/x/vid/a.mp4", ".mp4", 1), ("doc", "/x/doc/a.txt", ".txt", 1)],
+        "source_name string, path string, extension string, size_bytes bigint")
+    plain = {r["name"]: r["worker_name"] for r in route.route_sources(sources, manifest).collect()}
+    auto = {r["name"]: r["worker_name"] for r in route.route_sources(sources, manifest, auto_media=True).collect()}
+    assert plain == {"img": "text", "vid": "text", "doc": "text"}          # E5: reference default
+    assert auto == {"img": "image", "vid": "video", "doc": "text"}
