@@ -63,7 +63,8 @@ def text_data_rows(text) -> Column:
 def ingestion_rate(df: DataFrame, keys, ts: str, count_col: str | None = None) -> DataFrame:
     """Records, event-time span (seconds) and records per second."""
     n = F.sum(count_col) if count_col else F.count(F.lit(1))
-    span_us = F.unix_micros(F.max(F.col(ts).cast("timestamp"))) - F.unix_micros(F.min(F.col(ts).cast("timestamp")))
+    # timestamp_diff works on TIMESTAMP_NTZ as is: no session time zone involved
+    span_us = F.timestamp_diff("MICROSECOND", F.min(F.col(ts)), F.max(F.col(ts)))
     g = df.groupBy(*keys).agg(n.alias("records"), span_us.alias("_span_us"))
     return g.select(*keys, "records",
                     (F.col("_span_us") / F.lit(1_000_000)).cast("decimal(20,6)").alias("span_seconds"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalog, quality, route
-from ..session import scratch_path
+from ..session import scratch_path, session_key
 from ..sinks import tables
 from ..sources import files, readers
 from ..sources.headers import first_records
@@ -23,7 +23,7 @@ _RUNS: dict = {}
 def _orders_run(spark: SparkSession, sf: str) -> dict:
     """One pipeline run of ``orders`` under the record gate, shared by the
     three ingest keys of a session."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = (session_key(spark), sf)
     if key not in _RUNS:
         lake = Lake(scratch_path(spark, "lake"))
         row = ingest_frame(spark, T(spark, sf, "orders"), lake, "orders", new_run_id(),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec
 from ..operators import quality
-from ..session import scratch_path
+from ..session import scratch_path, session_key
 from ..streaming import jobs
 from ..streaming import sources as ssrc
 from . import derive
@@ -28,7 +28,11 @@ def n_files_for(df: DataFrame) -> int:
     """As many files as the input has scan partitions (so file size stays at
     the scan split size at any scale), and at least MIN_FILES so small inputs
     still arrive in several files."""
-    return max(MIN_FILES, df.rdd.getNumPartitions())
+    try:
+        n = df.rdd.getNumPartitions()          # planning only, no job
+    except Exception:  # pragma: no cover - no RDD API (Spark Connect)
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(MIN_FILES, n)
 
 
 def per_trigger(n_files: int, batches: int = N_BATCHES) -> int:
@@ -180,7 +184,7 @@ _GATED: dict = {}
 def _gated_stream(spark, sf) -> str:
     """One gated stream run per session and scale factor, shared by the
     dead-letter and gate keys."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = (session_key(spark), sf)
     if key not in _GATED:
         _GATED[key] = _run_gated_stream(spark, sf)
     return _GATED[key]

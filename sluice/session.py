@@ -101,3 +101,11 @@ def local_path(path: str) -> str:
 
 def exists_local(path: str) -> bool:
     return os.path.exists(local_path(path))
+
+
+def session_key(spark: SparkSession) -> str:
+    """A stable id of the running application (works without SparkContext)."""
+    try:
+        return spark.conf.get("spark.app.id")
+    except Exception:  # pragma: no cover
+        return str(id(spark))
