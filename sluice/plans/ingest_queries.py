@@ -192,3 +192,42 @@ def q_csv_header_checks(spark, sf):
     counts = tagged.groupBy(ds_rows.alias("dataset")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(F.size(quality.REASONS) > 0).alias("n_bad_rows"))
     return per_ds.join(counts, "dataset")
+
+
+# --- A6 JSON Lines, S4 create-only, S9 run summary file -----------------------------
+EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+@query("json_roundtrip", """
+SELECT event_id, user_id, event_type, value, props, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts_text FROM events
+""")
+def q_json_roundtrip(spark, sf):
+    """Events written as JSON Lines (S8's sink format) and read back
+    with an explicit schema - no inference pass."""
+    path = scratch_path(spark, "events-json") + "/data"
+    tables.write_json(T(spark, sf, "events"), path)
+    js = readers.read_json(spark, path, schema=EVENT_SCHEMA)
+    return js.select("event_id", "user_id", "event_type", "value", "props",
+                     F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts_text"))
+
+
+@query("create_only_write", """
+SELECT o_orderkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(18,2)) AS o_totalprice FROM orders
+""")
+def q_create_only_write(spark, sf):
+    """The first create-only write succeeds; a second one to the same
+    path must fail and leave the first table unchanged."""
+    path = scratch_path(spark, "create-only") + "/orders"
+    o = T(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    tables.write_create_only(o, path)
+    try:
+        tables.write_create_only(T(spark, sf, "lineitem").select(
+            F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("o_orderstatus"),
+            F.col("l_extendedprice").alias("o_totalprice")), path)
+    except Exception as e:  # the expected outcome: the path already exists
+        if "already exists" not in str(e).lower() and "path_already_exists" not in str(e).lower():
+            raise
+    else:
+        raise AssertionError("create-only write replaced an existing table")
+    back = spark.read.parquet(path)
+    return back.select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice"))

@@ -601,6 +601,11 @@ def _runs(spark, sf):
     return derive.document_runs(_versions(spark, sf, a))
 
 
+RUN_ROW_SCHEMA = ("run_id bigint, source string, status string, modality string, ingestion_mode string, "
+                  "schema_version int, record_count bigint, invalid_count bigint, valid_count bigint, "
+                  "output_path string, error string")
+
+
 @query("run_summary", f"""
 WITH {RUNS_CTE.strip()}
 SELECT run_id, source_name AS source, status, modality, schema_version, record_count, invalid_count, valid_count,
@@ -608,7 +613,12 @@ SELECT run_id, source_name AS source, status, modality, schema_version, record_c
 FROM runs
 """)
 def q_run_summary(spark, sf):
-    r = catalog.run_rows(_runs(spark, sf))
+    """K7 rows, written as the run summary file (S9, JSON Lines) and read back."""
+    from ..session import scratch_path
+    from ..sinks import tables
+    path = scratch_path(spark, "run-summary") + "/runs"
+    tables.write_run_summary(catalog.run_rows(_runs(spark, sf)), path)
+    r = spark.read.schema(RUN_ROW_SCHEMA).json(path)
     return r.select("run_id", "source", "status", "modality", F.col("schema_version").cast("bigint")
                     .alias("schema_version"), "record_count", "invalid_count", "valid_count", "output_path")
 

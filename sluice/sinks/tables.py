@@ -11,6 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Spark's text formats default to millisecond timestamps; keep microseconds.
+TS_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+              "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def version_path(root: str, table: str, run_id: str) -> str:
     return f"{root.rstrip('/')}/{table}/_v={run_id}"
 
@@ -48,7 +53,7 @@ def csv_to_json(spark: SparkSession, csv_path: str, json_path: str, multi_line:
          .option("recursiveFileLookup", True))
     if schema is not None:
         r = r.schema(schema)
-    r.csv(csv_path).write.mode("errorifexists").json(json_path)
+    r.csv(csv_path).write.mode("errorifexists").options(**TS_OPTIONS).json(json_path)
     return json_path
 
 
@@ -56,13 +61,20 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True) ->
     """CSV with quotes escaped by doubling, so values with separators,
     quotes and newlines read back (with ``multiLine``) as one row."""
     (df.write.mode("errorifexists").option("header", header).option("sep", sep)
-     .option("escape", '"').option("quoteAll", False).csv(path))
+     .option("escape", '"').option("quoteAll", False).options(**TS_OPTIONS).csv(path))
+    return path
+
+
+def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
+    """JSON Lines, one object per row, newline-terminated, microsecond
+    timestamps."""
+    df.write.mode(mode).options(**TS_OPTIONS).json(path)
     return path
 
 
 def write_run_summary(runs: DataFrame, path: str) -> str:
     """The run rows as JSON Lines (the reference dumped one JSON list)."""
-    runs.write.mode("append").json(path)
+    runs.write.mode("append").options(**TS_OPTIONS).json(path)
     return path
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sinks.tables import TS_OPTIONS
+
 
 def _with_file(df: DataFrame) -> DataFrame:
     return df.withColumn("_source_file", F.col("_metadata.file_path"))
@@ -39,7 +41,7 @@ def read_csv(spark: SparkSession, path: str, columns, sep: str = ",", multi_line
     PERMISSIVE with a corrupt-record column so short and long rows are kept
     and flagged (D7) instead of failing the job. ``multi_line`` is needed for
     quoted newlines and makes each file one task; leave it off otherwise."""
-    r = (spark.read.schema(string_schema(columns, corrupt))
+    r = (spark.read.schema(string_schema(columns, corrupt)).options(**TS_OPTIONS)
          .option("header", header).option("sep", sep).option("mode", "PERMISSIVE")
          .option("multiLine", multi_line).option("escape", '"')
          .option("recursiveFileLookup", True))
@@ -57,7 +59,7 @@ def sep_for(ext: str) -> str:
 def read_json(spark: SparkSession, path: str, schema=None, multi_line: bool = False) -> DataFrame:
     """JSON Lines (or one array per line); ``multi_line`` for pretty
     printed documents and whole-file arrays."""
-    r = spark.read.option("multiLine", multi_line).option("recursiveFileLookup", True)
+    r = spark.read.option("multiLine", multi_line).option("recursiveFileLookup", True).options(**TS_OPTIONS)
     if schema is not None:
         r = r.schema(schema)
     return _with_file(r.json(path))
