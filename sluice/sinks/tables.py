@@ -73,8 +73,9 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
 
 
 def write_run_summary(runs: DataFrame, path: str) -> str:
-    """The run rows as JSON Lines (the reference dumped one JSON list)."""
-    runs.write.mode("append").options(**TS_OPTIONS).json(path)
+    """The run rows as JSON Lines (the reference dumped one JSON list).
+    ``path`` names one run's summary; a re-run overwrites it (idempotent)."""
+    runs.write.mode("overwrite").options(**TS_OPTIONS).json(path)
     return path
 
 

@@ -160,3 +160,21 @@ def test_auto_media_routing(spark):
     auto = {r["name"]: r["worker_name"] for r in route.route_sources(sources, manifest, auto_media=True).collect()}
     assert plain == {"img": "text", "vid": "text", "doc": "text"}          # E5: reference default
     assert auto == {"img": "image", "vid": "video", "doc": "text"}
+
+
+def test_load_dataset_like_the_scripts(spark, tmp_path):
+    from sluice.plans.loads import load_dataset
+    root = str(tmp_path / "ds")
+    for i in range(3):
+        write(f"{root}/p{i}/f{i}.csv", HEADER + ROWS)
+    write(f"{root}/img/a.png", png_bytes(2, 2))
+    write(f"{root}/img/b.png", png_bytes(3, 1))
+    r = load_dataset(spark, root, str(tmp_path / "t_csv"), "csv")
+    assert r["records"] == 12                                  # headerless: 3 headers counted as data
+    r2 = load_dataset(spark, root, str(tmp_path / "t_csv2"), "csv", first_files=2)
+    assert r2["records"] == 8
+    r3 = load_dataset(spark, root, str(tmp_path / "t_img"), "image")
+    assert r3["records"] == 2 and spark.read.parquet(r3["target"]).agg(F.sum("width")).first()[0] == 5
+    import pytest
+    with pytest.raises(Exception):
+        load_dataset(spark, root, str(tmp_path / "t_csv"), "csv")   # create-only (S4)
