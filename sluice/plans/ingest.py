@@ -25,7 +25,7 @@ from ..operators import catalog, profile, quality, route, schema
 from ..operators.joins import join_small
 from ..sinks import tables
 from ..sources import files, readers
-from ..sources.headers import first_records
+from ..sources.headers import first_records, json_fields
 
 RUN_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType()), T.StructField("source_name", T.StringType()),
@@ -183,8 +183,8 @@ def discover_fields(spark: SparkSession, manifest: DataFrame, modality: str):
         head = first_records(manifest.filter(F.col("path") == path))
         row = head.select(schema.header_fields(F.col("cells")).alias("f")).collect()
         return [(f["name"], "string") for f in row[0]["f"]] if row and row[0]["f"] else schema.UNKNOWN_FIELDS
-    doc = spark.read.text(path, wholetext=True)
-    kt = schema.json_key_types(doc, "value").collect()
+    # the first document parsed inside a task, bounded in bytes (no whole-file row)
+    kt = json_fields(manifest.filter(F.col("path") == path)).filter(F.col("key").isNotNull()).collect()
     return [(r["key"], r["type_name"]) for r in kt] or schema.UNKNOWN_FIELDS
 
 

@@ -57,3 +57,49 @@ def first_records(manifest: DataFrame, extensions=(".csv", ".tsv")) -> DataFrame
     of ``extensions`` (tab-separated for ``.tsv``)."""
     files = manifest.filter(F.col("extension").isin(*extensions)).select("path", "extension")
     return files.mapInPandas(_headers, HEADER_SCHEMA)
+
+
+# --- first JSON document (C2) ----------------------------------------------------------
+JSON_FIELDS_SCHEMA = "file_path string, key string, type_name string, status string"
+
+
+def first_json_fields(uri: str, max_bytes: int) -> tuple:
+    """Top-level keys of a JSON file with Python type names (``str``, ``int``,
+    ``float``, ``bool``, ``list``, ``dict``, ``NoneType``). A file up to
+    ``max_bytes`` is parsed whole, as the reference did (so JSON Lines give
+    no keys); beyond that only its first value is decoded from the first
+    ``max_bytes``. A list uses its first element."""
+    import json
+    try:
+        with _open(uri) as raw:
+            data = raw.read(max_bytes + 1)
+    except Exception:  # noqa: BLE001
+        return [], "unreadable"
+    text = data[:max_bytes].decode("utf-8", errors="ignore")
+    try:
+        if len(data) <= max_bytes:
+            doc = json.loads(text)
+        else:
+            doc, _ = json.JSONDecoder().raw_decode(text.lstrip())
+    except ValueError:
+        return [], "unknown"
+    if isinstance(doc, list) and doc:
+        doc = doc[0]
+    if not isinstance(doc, dict):
+        return [], "unknown"
+    return [(str(k), type(v).__name__) for k, v in doc.items()], "ok"
+
+
+def json_fields(manifest: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """``(file_path, key, type_name, status)`` of every ``.json`` file of the
+    manifest (one row per key; one row with NULL key when there is none)."""
+    def run(batches):
+        import pandas as pd
+        for pdf in batches:
+            rows = []
+            for p in pdf["path"]:
+                fields, status = first_json_fields(p, max_bytes)
+                rows += [(p, k, t, status) for k, t in fields] or [(p, None, None, status)]
+            yield pd.DataFrame(rows, columns=["file_path", "key", "type_name", "status"])
+    files = manifest.filter(F.col("extension") == ".json").select("path")
+    return files.mapInPandas(run, JSON_FIELDS_SCHEMA)

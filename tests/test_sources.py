@@ -181,3 +181,17 @@ def test_unreadable_text_files(spark, tmp_path):
     m = files.file_manifest(spark, str(d), "t")
     bad = {os.path.basename(r["path"]): r["reason"] for r in files.unreadable_files(spark, m, str(d)).collect()}
     assert bad == {"broken.txt.gz": "unreadable"}                 # zero-byte files are readable (D2)
+
+
+def test_first_json_document_fields(spark, tmp_path):
+    from sluice.sources.headers import first_json_fields
+    d = tmp_path / "j"
+    obj = write(str(d / "obj.json"), json.dumps({"s": "x", "i": 1, "f": 1.5, "b": False, "l": [], "d": {}, "n": None}))
+    arr = write(str(d / "arr.json"), json.dumps([{"k": 1}, {"z": 2}]))
+    jsonl = write(str(d / "lines.json"), '{"a": 1}\n{"a": 2}\n')
+    assert first_json_fields("file:" + obj, 1 << 20) == (
+        [("s", "str"), ("i", "int"), ("f", "float"), ("b", "bool"), ("l", "list"), ("d", "dict"), ("n", "NoneType")], "ok")
+    assert first_json_fields("file:" + arr, 1 << 20) == ([("k", "int")], "ok")
+    assert first_json_fields("file:" + jsonl, 1 << 20)[1] == "unknown"      # whole-document parse, as the reference
+    assert first_json_fields("file:" + jsonl, 4) == ([], "unknown")          # bound too small to hold a value
+    assert first_json_fields("file:" + jsonl, 10) == ([("a", "int")], "ok")  # large file: first value only
