@@ -75,6 +75,23 @@ def log_entities(manifest: DataFrame) -> DataFrame:
         "file_name", F.col("size_bytes").cast("bigint").alias("size_bytes"))
 
 
+def text_file_entities(spark, path: str, manifest: DataFrame | None = None) -> DataFrame:
+    """K6 for files of any size: lines are read splittably (``lineSep`` LF)
+    and aggregated per file - characters (without line breaks), words,
+    lines - so no file ever becomes a single row. Files without a line
+    (zero bytes) come from the manifest with zero counts."""
+    lines_df = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(path)
+    per_file = lines_df.groupBy(F.col("_metadata.file_path").alias("path")).agg(
+        F.sum(F.length("value")).cast("bigint").alias("n_chars"),
+        F.sum(word_count(F.col("value"))).cast("bigint").alias("n_words"),
+        F.count(F.lit(1)).alias("n_lines"))
+    if manifest is None:
+        return per_file
+    out = manifest.select("path").join(per_file, "path", "left")
+    return out.select("path", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+                                for c in ("n_chars", "n_words", "n_lines")])
+
+
 def lineage_id(*parts) -> Column:
     """Deterministic edge id (the reference used a random uuid)."""
     return F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)

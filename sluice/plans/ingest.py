@@ -233,8 +233,7 @@ def source_frame(spark: SparkSession, path: str, manifest: DataFrame, worker: st
         if ".xml" in exts and row_tag:
             return readers.read_xml(spark, path, row_tag), []
     if worker == "text":
-        docs = files.read_text_documents(spark, path, ignore_corrupt=True)
-        return docs, []
+        return text_documents(spark, path, manifest, int(_opt(options, "maxDocumentBytes", MAX_DOCUMENT_BYTES)))
     if worker == "image":
         return manifest, [("extension", quality.image_file_invalid(F.col("extension")))]
     if worker == "video":
@@ -242,6 +241,25 @@ def source_frame(spark: SparkSession, path: str, manifest: DataFrame, worker: st
     return manifest, []
 
 
+MAX_DOCUMENT_BYTES = 256 << 20
+
+
+def text_documents(spark: SparkSession, path: str, manifest: DataFrame, max_bytes: int = MAX_DOCUMENT_BYTES):
+    """Text worker rows: one row per file (a file is a record, as in the
+    reference). Files above ``max_bytes`` are not loaded as one value (a row
+    cannot exceed 2 GB); they stay records with reason ``document_too_large``
+    and their text is in the line-based ``text_data`` entities."""
+    big = manifest.filter(F.col("size_bytes") > max_bytes)
+    if big.limit(1).count() == 0:
+        return files.read_text_documents(spark, path, ignore_corrupt=True), []
+    small_paths = [r["path"] for r in manifest.filter(F.col("size_bytes") <= max_bytes).select("path").collect()]
+    docs = (files.read_text_documents_from(spark, small_paths) if small_paths
+            else spark.createDataFrame([], "path string, text string, size_bytes bigint"))
+    large = big.select("path", F.lit(None).cast("string").alias("text"), "size_bytes")
+    rows = docs.unionByName(large)
+    return rows, [("document_too_large", F.col("text").isNull() & (F.col("size_bytes") > max_bytes))]
+
+
 def ingest_sources(spark: SparkSession, sources: DataFrame, lake: Lake, run_id: str | None = None,
                    gate: str = "source", max_parallel: int = 4) -> DataFrame:
     """Run every configured source. Sources are independent, so up to
@@ -314,8 +332,7 @@ def _catalog_entities(spark, lake: Lake, source_name: str, run_id: str, manifest
     lake.write_leaf(catalog.file_entities(manifest, run_id), "files", run_id, source_name)
     lake.write_leaf(catalog.log_entities(manifest).withColumn("run_id", F.lit(run_id)), "logs", run_id, source_name)
     if worker == "text":
-        docs = files.read_text_documents(spark, path, ignore_corrupt=True)
-        txt = catalog.text_entities(docs, "text", keys=["path"]).select(
+        txt = catalog.text_file_entities(spark, path, manifest).select(
             F.lit(source_name).alias("source_name"), F.lit(run_id).alias("run_id"), "*")
         lake.write_leaf(txt, "text_data", run_id, source_name)
 

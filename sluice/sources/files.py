@@ -68,6 +68,13 @@ def read_text_documents(spark: SparkSession, path: str, ignore_corrupt: bool = F
                      F.col("_metadata.file_size").alias("size_bytes"))
 
 
+def read_text_documents_from(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """A10 over an explicit file list (used when some files must be left out)."""
+    df = spark.read.option("ignoreCorruptFiles", True).text(paths, wholetext=True)
+    return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"),
+                     F.col("_metadata.file_size").alias("size_bytes"))
+
+
 def read_images(spark: SparkSession, path: str, drop_invalid: bool = False) -> DataFrame:
     """Decoded images; an undecodable file has width/height -1."""
     df = (spark.read.format("image").option("recursiveFileLookup", True)

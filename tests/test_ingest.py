@@ -80,7 +80,7 @@ def test_orchestrated_run(spark, tmp_path):
     assert {r["content_type"] for r in ents.filter(F.col("source_name") == "img").collect()} == {
         "image/png", "text/plain"}
     txt = {r["path"].rsplit("/", 1)[-1]: r for r in spark.read.parquet(lake.section("text_data")).collect()}
-    assert (txt["a.txt"]["n_lines"], txt["a.txt"]["n_words"]) == (3, 2)
+    assert (txt["a.txt"]["n_lines"], txt["a.txt"]["n_words"], txt["a.txt"]["n_chars"]) == (2, 2, 6)
     prof = {r["source_name"]: r for r in spark.read.parquet(lake.section("profiles")).collect()}
     assert prof["good"]["valid_count"] == 6 and prof["good"]["processing_time_seconds"] > 0
 
@@ -178,3 +178,18 @@ def test_load_dataset_like_the_scripts(spark, tmp_path):
     import pytest
     with pytest.raises(Exception):
         load_dataset(spark, root, str(tmp_path / "t_csv"), "csv")   # create-only (S4)
+
+
+def test_text_source_with_a_file_over_the_document_bound(spark, tmp_path):
+    root = str(tmp_path / "data" / "logs")
+    write(f"{root}/small.txt", "a b\n")
+    write(f"{root}/big.log", "word " * 200 + "\n")
+    lake = Lake(str(tmp_path / "lake"))
+    src = config.sources_from_rows(spark, [{"name": "t", "path": root, "options": {"maxDocumentBytes": "100"}}])
+    r = ingest_sources(spark, src, lake, run_id="r1", gate="record").first()
+    assert (r["record_count"], r["invalid_count"], r["status"]) == (2, 1, "partial")
+    q = spark.read.parquet(r["quarantine_path"]).collect()
+    assert q[0]["path"].endswith("big.log") and list(q[0]["_reasons"]) == ["document_too_large"]
+    ents = {x["path"].rsplit("/", 1)[-1]: x for x in spark.read.parquet(lake.section("text_data")).collect()}
+    assert ents["big.log"]["n_words"] == 200                               # counted line by line
+
