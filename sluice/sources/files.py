@@ -85,13 +85,26 @@ def read_images(spark: SparkSession, path: str, drop_invalid: bool = False) -> D
         "image.nChannels", "image.mode", "image.data")
 
 
+MAX_CONTENT_BYTES = 512 << 20
+
+
 def read_binary(spark: SparkSession, path: str, with_content: bool = False,
-                extensions=VIDEO_EXTENSIONS) -> DataFrame:
+                extensions=VIDEO_EXTENSIONS, max_content_bytes: int = MAX_CONTENT_BYTES) -> DataFrame:
     """Binary files (videos by default). Bytes are read only when
-    ``with_content`` asks for them; otherwise the scan is a listing."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    cols = ["path", "modificationTime", "length"] + (["content"] if with_content else [])
-    out = df.select(*cols)
+    ``with_content`` asks for them, and only for files up to
+    ``max_content_bytes`` (the source skips larger files on its ``length``
+    filter); larger files are listed with ``content`` NULL - a row cannot
+    hold more than 2 GB."""
+    def scan():
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    if with_content:
+        small = scan().filter(F.col("length") <= max_content_bytes).select(
+            "path", "modificationTime", "length", "content")
+        large = scan().filter(F.col("length") > max_content_bytes).select(
+            "path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"))
+        out = small.unionByName(large)
+    else:
+        out = scan().select("path", "modificationTime", "length")
     if extensions:
         out = out.filter(extension(file_name(F.col("path"))).isin(*extensions))
     return out

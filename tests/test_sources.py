@@ -195,3 +195,13 @@ def test_first_json_document_fields(spark, tmp_path):
     assert first_json_fields("file:" + jsonl, 1 << 20)[1] == "unknown"      # whole-document parse, as the reference
     assert first_json_fields("file:" + jsonl, 4) == ([], "unknown")          # bound too small to hold a value
     assert first_json_fields("file:" + jsonl, 10) == ([("a", "int")], "ok")  # large file: first value only
+
+
+def test_binary_content_bound(spark, tmp_path):
+    d = tmp_path / "bin"
+    write(str(d / "small.mp4"), os.urandom(10))
+    write(str(d / "large.mp4"), os.urandom(100))
+    rows = {os.path.basename(r["path"]): r for r in files.read_binary(spark, str(d), with_content=True,
+                                                                      max_content_bytes=50).collect()}
+    assert len(rows["small.mp4"]["content"]) == 10 and rows["large.mp4"]["content"] is None
+    assert rows["large.mp4"]["length"] == 100
