@@ -67,14 +67,14 @@ def ingestion_rate(df: DataFrame, keys, ts: str, count_col: str | None = None) -
     span_us = F.timestamp_diff("MICROSECOND", F.min(F.col(ts)), F.max(F.col(ts)))
     g = df.groupBy(*keys).agg(n.alias("records"), span_us.alias("_span_us"))
     return g.select(*keys, "records",
-                    (F.col("_span_us") / F.lit(1_000_000)).cast("decimal(20,6)").alias("span_seconds"),
-                    F.try_divide(F.col("records") * F.lit(1_000_000), F.col("_span_us"))
-                    .cast("decimal(24,6)").alias("records_per_second"))
+                    (F.col("_span_us") / F.lit(1_000_000)).alias("span_seconds"),
+                    F.try_divide(F.col("records") * F.lit(1_000_000), F.col("_span_us")).alias("records_per_second"))
 
 
 def column_profile(df: DataFrame, cols=None, exact: bool = False, rsd: float = 0.05) -> DataFrame:
     """P5: one aggregate pass; long output ``(column_name, n, n_null,
-    n_distinct, min_text, max_text, min_num, max_num, min_len, max_len)``.
+    n_distinct, min_text, max_text, min_num, max_num, min_len, max_len)``;
+    lengths are those of each value's text form, for every column.
     ``exact`` uses count(distinct) (a shuffle per distinct column via one
     Expand); the default HyperLogLog sketch merges map-side."""
     cols = cols or df.columns
@@ -87,12 +87,12 @@ def column_profile(df: DataFrame, cols=None, exact: bool = False, rsd: float = 0
         aggs += [
             F.count(col).alias(f"{c}__nn"),
             (F.countDistinct(col) if exact else F.approx_count_distinct(col, rsd)).alias(f"{c}__nd"),
-            (F.min(col).cast("decimal(38,4)") if numeric else F.lit(None).cast("decimal(38,4)")).alias(f"{c}__minn"),
-            (F.max(col).cast("decimal(38,4)") if numeric else F.lit(None).cast("decimal(38,4)")).alias(f"{c}__maxn"),
+            (F.min(col).cast("double") if numeric else F.lit(None).cast("double")).alias(f"{c}__minn"),
+            (F.max(col).cast("double") if numeric else F.lit(None).cast("double")).alias(f"{c}__maxn"),
             (F.lit(None).cast("string") if numeric else F.min(col).cast("string")).alias(f"{c}__mint"),
             (F.lit(None).cast("string") if numeric else F.max(col).cast("string")).alias(f"{c}__maxt"),
-            (F.min(F.length(col)) if t == "string" else F.lit(None)).cast("bigint").alias(f"{c}__minl"),
-            (F.max(F.length(col)) if t == "string" else F.lit(None)).cast("bigint").alias(f"{c}__maxl"),
+            F.min(F.length(col.cast("string"))).cast("bigint").alias(f"{c}__minl"),
+            F.max(F.length(col.cast("string"))).cast("bigint").alias(f"{c}__maxl"),
         ]
     wide = df.agg(F.count(F.lit(1)).alias("__n"), *aggs)
     parts = ", ".join(

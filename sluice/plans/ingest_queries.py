@@ -127,8 +127,7 @@ def q_headerless_csv_count(spark, sf):
 
 
 @query("xml_decode", """
-SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(18,2)) AS o_totalprice, o_orderpriority
-FROM orders
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders
 """)
 def q_xml_decode(spark, sf):
     """Orders written as XML (one <order> per row) and read back by row tag."""
@@ -138,8 +137,7 @@ def q_xml_decode(spark, sf):
     o.write.option("rowTag", "order").option("rootTag", "orders").xml(path)
     sch = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string"
     x = readers.read_xml(spark, path, "order", schema=sch)
-    return x.select("o_orderkey", "o_custkey", "o_orderstatus",
-                    F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice"), "o_orderpriority")
+    return x.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
 
 
 # --- listings of the scale-factor folder (rows-only checks) -----------------------
@@ -212,7 +210,7 @@ def q_json_roundtrip(spark, sf):
 
 
 @query("create_only_write", """
-SELECT o_orderkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(18,2)) AS o_totalprice FROM orders
+SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders
 """)
 def q_create_only_write(spark, sf):
     """The first create-only write succeeds; a second one to the same
@@ -230,4 +228,4 @@ def q_create_only_write(spark, sf):
     else:
         raise AssertionError("create-only write replaced an existing table")
     back = spark.read.parquet(path)
-    return back.select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice"))
+    return back.select("o_orderkey", "o_orderstatus", "o_totalprice")

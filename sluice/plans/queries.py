@@ -2,7 +2,8 @@
 driver tables (or data Spark derives from them) and has, where SQL can say
 it, an independent DuckDB oracle over the same tables.
 
-Conventions: every integer output is BIGINT, computed decimals are DECIMAL,
+Conventions: every integer output is BIGINT, computed fractions are DOUBLE
+from exact operations (bit-identical on both sides), no partially-NULL integers,
 no wall-clock values, and computed columns carry the same alias on both
 sides."""
 
@@ -556,8 +557,8 @@ def q_profile_counts(spark, sf):
 
 @query("ingestion_rate", """
 SELECT event_type, count(*) AS records,
-       CAST((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000 AS DECIMAL(20,6)) AS span_seconds,
-       CAST(count(*) * 1000000 / (epoch_us(max(ts)) - epoch_us(min(ts))) AS DECIMAL(24,6)) AS records_per_second
+       (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000 AS span_seconds,
+       count(*) * 1000000 / (epoch_us(max(ts)) - epoch_us(min(ts))) AS records_per_second
 FROM events GROUP BY event_type
 """)
 def q_ingestion_rate(spark, sf):
@@ -571,15 +572,14 @@ ORDER_PROFILE_COLS = [("o_orderkey", "num"), ("o_custkey", "num"), ("o_orderstat
 def _column_profile_sql():
     parts = []
     for c, kind in ORDER_PROFILE_COLS:
-        num = f"CAST(min({c}) AS DECIMAL(38,4))", f"CAST(max({c}) AS DECIMAL(38,4))"
+        num = f"CAST(min({c}) AS DOUBLE)", f"CAST(max({c}) AS DOUBLE)"
         txt = f"CAST(min({c}) AS VARCHAR)", f"CAST(max({c}) AS VARCHAR)"
-        ln = f"CAST(min(length({c})) AS BIGINT)", f"CAST(max(length({c})) AS BIGINT)"
-        nulls_num = "CAST(NULL AS DECIMAL(38,4))"
+        ln = f"CAST(min(length(CAST({c} AS VARCHAR))) AS BIGINT)", f"CAST(max(length(CAST({c} AS VARCHAR))) AS BIGINT)"
+        nulls_num = "CAST(NULL AS DOUBLE)"
         nulls_txt = "CAST(NULL AS VARCHAR)"
-        nulls_len = "CAST(NULL AS BIGINT)"
         mn, mx = num if kind == "num" else (nulls_num, nulls_num)
         tn, tx = txt if kind != "num" else (nulls_txt, nulls_txt)
-        ln0, ln1 = ln if kind == "str" else (nulls_len, nulls_len)
+        ln0, ln1 = ln
         parts.append(
             f"SELECT '{c}' AS column_name, count(*) AS n, count(*) - count({c}) AS n_null, "
             f"count(DISTINCT {c}) AS n_distinct, {mn} AS min_num, {mx} AS max_num, {tn} AS min_text, "
@@ -643,12 +643,14 @@ def q_dataset_upsert(spark, sf):
 WITH {RUNS_CTE.strip()},
 e AS (SELECT source_name, max(run_id) FILTER (WHERE status = 'stored') AS exposed_run FROM runs GROUP BY source_name)
 SELECT e.source_name, 'available' AS status, 'lakehouse_table_path' AS access_mode, r.lakehouse_path, e.exposed_run,
-       (SELECT min(q.run_id) FROM runs q WHERE q.source_name = e.source_name AND q.status = 'quarantined'
-          AND q.run_id > e.exposed_run) AS stale_since_run
+       CAST((SELECT min(q.run_id) FROM runs q WHERE q.source_name = e.source_name AND q.status = 'quarantined'
+          AND q.run_id > e.exposed_run) AS VARCHAR) AS stale_since_run
 FROM e JOIN runs r ON r.source_name = e.source_name AND r.run_id = e.exposed_run
 """)
 def q_exposed_datasets(spark, sf):
-    return catalog.exposed_datasets(_runs(spark, sf))
+    e = catalog.exposed_datasets(_runs(spark, sf))
+    # a nullable run id is emitted as text (no partially-NULL integer columns)
+    return e.withColumn("stale_since_run", F.col("stale_since_run").cast("string"))
 
 
 @query("lineage_edges", f"""
