@@ -80,7 +80,8 @@ def text_file_entities(spark, path: str, manifest: DataFrame | None = None) -> D
     and aggregated per file - characters (without line breaks), words,
     lines - so no file ever becomes a single row. Files without a line
     (zero bytes) come from the manifest with zero counts."""
-    lines_df = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(path)
+    lines_df = (spark.read.option("lineSep", "\n").option("recursiveFileLookup", True)
+                .option("ignoreCorruptFiles", True).text(path))
     per_file = lines_df.groupBy(F.col("_metadata.file_path").alias("path")).agg(
         F.sum(F.length("value")).cast("bigint").alias("n_chars"),
         F.sum(word_count(F.col("value"))).cast("bigint").alias("n_words"),

@@ -233,7 +233,8 @@ def source_frame(spark: SparkSession, path: str, manifest: DataFrame, worker: st
         if ".xml" in exts and row_tag:
             return readers.read_xml(spark, path, row_tag), []
     if worker == "text":
-        return text_documents(spark, path, manifest, int(_opt(options, "maxDocumentBytes", MAX_DOCUMENT_BYTES)))
+        return text_documents(spark, path, manifest, int(_opt(options, "maxDocumentBytes", MAX_DOCUMENT_BYTES)),
+                              _truthy(_opt(options, "checkUtf8", "false")))
     if worker == "image":
         return manifest, [("extension", quality.image_file_invalid(F.col("extension")))]
     if worker == "video":
@@ -244,20 +245,37 @@ def source_frame(spark: SparkSession, path: str, manifest: DataFrame, worker: st
 MAX_DOCUMENT_BYTES = 256 << 20
 
 
-def text_documents(spark: SparkSession, path: str, manifest: DataFrame, max_bytes: int = MAX_DOCUMENT_BYTES):
+def text_documents(spark: SparkSession, path: str, manifest: DataFrame, max_bytes: int = MAX_DOCUMENT_BYTES,
+                   check_utf8: bool = False):
     """Text worker rows: one row per file (a file is a record, as in the
-    reference). Files above ``max_bytes`` are not loaded as one value (a row
-    cannot exceed 2 GB); they stay records with reason ``document_too_large``
-    and their text is in the line-based ``text_data`` entities."""
+    reference). Reasons: ``unreadable`` for a non-empty file that gave no text
+    (D2, I/O or codec failure), ``document_too_large`` for files above
+    ``max_bytes`` - they are not loaded as one value (a row cannot exceed
+    2 GB; their lines are in the ``text_data`` entities) - and, opt-in,
+    ``bad_utf8`` when the text is not valid UTF-8 (E12)."""
     big = manifest.filter(F.col("size_bytes") > max_bytes)
     if big.limit(1).count() == 0:
-        return files.read_text_documents(spark, path, ignore_corrupt=True), []
-    small_paths = [r["path"] for r in manifest.filter(F.col("size_bytes") <= max_bytes).select("path").collect()]
-    docs = (files.read_text_documents_from(spark, small_paths) if small_paths
-            else spark.createDataFrame([], "path string, text string, size_bytes bigint"))
-    large = big.select("path", F.lit(None).cast("string").alias("text"), "size_bytes")
-    rows = docs.unionByName(large)
-    return rows, [("document_too_large", F.col("text").isNull() & (F.col("size_bytes") > max_bytes))]
+        docs = files.read_text_documents(spark, path, ignore_corrupt=True)
+        large = None
+    else:
+        small_paths = [r["path"] for r in manifest.filter(F.col("size_bytes") <= max_bytes).select("path").collect()]
+        docs = (files.read_text_documents_from(spark, small_paths) if small_paths
+                else spark.createDataFrame([], "path string, text string, size_bytes bigint"))
+        large = big.select("path", F.lit(None).cast("string").alias("text"), "size_bytes",
+                           F.lit("document_too_large").alias("_file_issue"))
+    docs = docs.withColumn("_file_issue", F.lit(None).cast("string"))
+    bad = (files.unreadable_files(spark, manifest.filter(F.col("size_bytes") <= max_bytes), path)
+           .join(manifest.select("path", "size_bytes"), "path")
+           .select("path", F.lit(None).cast("string").alias("text"), "size_bytes",
+                   F.col("reason").alias("_file_issue")))
+    rows = docs.unionByName(bad)
+    if large is not None:
+        rows = rows.unionByName(large)
+    rules = [("unreadable", F.col("_file_issue") == "unreadable"),
+             ("document_too_large", F.col("_file_issue") == "document_too_large")]
+    if check_utf8:
+        rules.append(("bad_utf8", ~F.is_valid_utf8(F.col("text"))))
+    return rows, rules
 
 
 def ingest_sources(spark: SparkSession, sources: DataFrame, lake: Lake, run_id: str | None = None,

@@ -193,3 +193,22 @@ def test_text_source_with_a_file_over_the_document_bound(spark, tmp_path):
     ents = {x["path"].rsplit("/", 1)[-1]: x for x in spark.read.parquet(lake.section("text_data")).collect()}
     assert ents["big.log"]["n_words"] == 200                               # counted line by line
 
+
+def test_text_source_unreadable_and_bad_utf8(spark, tmp_path):
+    import gzip
+    root = str(tmp_path / "data" / "docs")
+    write(f"{root}/ok.txt", "fine\n")
+    write(f"{root}/bytes.txt", b"bad \xff byte\n")
+    write(f"{root}/good.txt.gz", gzip.compress(b"zipped\n"))
+    write(f"{root}/broken.txt.gz", b"\x1f\x8b\x08\x00garbage")
+    lake = Lake(str(tmp_path / "lake"))
+    src = config.sources_from_rows(spark, [{"name": "d", "path": root, "worker": "text"}])
+    r = ingest_sources(spark, src, lake, run_id="r1", gate="record").first()
+    assert (r["record_count"], r["invalid_count"]) == (4, 1)                 # E12: bad bytes are readable
+    q = spark.read.parquet(r["quarantine_path"]).collect()
+    assert [(x["path"].rsplit("/", 1)[-1], list(x["_reasons"])) for x in q] == [("broken.txt.gz", ["unreadable"])]
+    src2 = config.sources_from_rows(spark, [{"name": "d2", "path": root, "worker": "text",
+                                             "options": {"checkUtf8": "true"}}])
+    r2 = ingest_sources(spark, src2, lake, run_id="r2", gate="record").first()
+    assert r2["invalid_count"] == 2                                          # opt-in bad_utf8
+
