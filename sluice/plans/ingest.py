@@ -163,6 +163,17 @@ def exposed(spark: SparkSession, lake: Lake) -> DataFrame | None:
     return None if runs is None else catalog.exposed_datasets(runs)
 
 
+def read_current(spark: SparkSession, lake: Lake, source_name: str) -> DataFrame:
+    """The exposed (current) curated version of a source: the lakehouse
+    version of its newest stored run (a later quarantined run leaves it
+    exposed, E17). Run ids sort by their time prefix."""
+    view = exposed(spark, lake)
+    row = None if view is None else view.filter(F.col("source_name") == source_name).first()
+    if row is None or not row["lakehouse_path"]:
+        raise LookupError(f"no stored version of {source_name!r}")
+    return spark.read.format(lake.fmt).load(row["lakehouse_path"])
+
+
 # --- file sources ---------------------------------------------------------------
 
 def discover_fields(spark: SparkSession, manifest: DataFrame, modality: str):
@@ -443,4 +454,5 @@ def _register(spark, lake, source_name, modality, fields, run_id) -> int:
     return int(e["version"])
 
 
-__all__ = ["Lake", "ingest_frame", "ingest_sources", "record_run", "register_schema", "new_run_id"]
+__all__ = ["Lake", "ingest_frame", "ingest_sources", "record_run", "register_schema", "new_run_id",
+           "read_current", "exposed"]

@@ -212,3 +212,17 @@ def test_text_source_unreadable_and_bad_utf8(spark, tmp_path):
     r2 = ingest_sources(spark, src2, lake, run_id="r2", gate="record").first()
     assert r2["invalid_count"] == 2                                          # opt-in bad_utf8
 
+
+def test_read_current_keeps_last_good_version(spark, tmp_path):
+    from sluice.plans.ingest import read_current
+    root = str(tmp_path / "data")
+    write(f"{root}/s/a.csv", HEADER + ROWS)
+    lake = Lake(str(tmp_path / "lake"))
+    src = config.sources_from_rows(spark, [{"name": "s", "path": f"{root}/s"}])
+    ingest_sources(spark, src, lake, run_id="20260101T000000-a")
+    write(f"{root}/s/b.csv", "x,y\n1,2\n")                           # a bad file: the next run is quarantined
+    r2 = ingest_sources(spark, src, lake, run_id="20260102T000000-b").first()
+    assert r2["status"] == "quarantined"
+    cur = read_current(spark, lake, "s")
+    assert cur.count() == 3                                                # still the first run's rows (E17)
+
