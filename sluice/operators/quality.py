@@ -169,20 +169,29 @@ def video_file_invalid(ext) -> Column:
     return ~_c(ext).isin(*VIDEO_EXTENSIONS)
 
 
-def header_checks(manifest: DataFrame, expected_width: int) -> DataFrame:
+def header_checks(manifest: DataFrame, expected_width: int, expected_names=None) -> DataFrame:
     """Per CSV/TSV file ``(file_path, reason, cells)``; reason NULL when
     the header is fine, else ``empty_file`` (E10), ``unreadable`` (E11),
     ``header_width`` (cell count differs from the expected schema, E7) or
-    ``duplicate_header`` (names collapse, E9). Reads only each file's first
-    record (see ``sources.headers``), never the data."""
+    ``duplicate_header`` (names collapse, E9). Opt-in with
+    ``expected_names``: ``header_order`` (same names, other order - read by
+    position it would shift columns) and ``header_names`` (other names of
+    the same width). Reads only each file's first record (see
+    ``sources.headers``), never the data."""
     from ..sources.headers import first_records
     h = first_records(manifest)
     n_cells = F.size(F.col("cells"))
-    n_named = F.size(header_fields(F.col("cells")))
+    named = header_fields(F.col("cells"))
+    n_named = F.size(named)
     reason = (F.when(F.col("status") == "empty", F.lit("empty_file"))
               .when(F.col("status") == "unreadable", F.lit("unreadable"))
               .when(n_cells != expected_width, F.lit("header_width"))
               .when(n_named < n_cells, F.lit("duplicate_header")))
+    if expected_names:
+        got = F.transform(named, lambda f: f["name"])
+        want = F.array(*[F.lit(n) for n in expected_names])
+        reason = (reason.when(F.array_sort(got) != F.array_sort(want), F.lit("header_names"))
+                  .when(got != want, F.lit("header_order")))
     return h.select("file_path", reason.alias("reason"), "cells")
 
 

@@ -223,13 +223,14 @@ def source_frame(spark: SparkSession, path: str, manifest: DataFrame, worker: st
             df = frames[0]
             for f in frames[1:]:
                 df = df.unionByName(f)
-            checks = quality.header_checks(manifest, len(names))
+            strict = _truthy(_opt(options, "checkHeaderNames", "false"))
+            checks = quality.header_checks(manifest, len(names), names if strict else None)
             bad_files = checks.filter(F.col("reason").isNotNull())
             df = join_small(df, bad_files.select(F.col("file_path").alias("_source_file"), "reason"),
                             "_source_file", "left")
-            rules = [quality.row_width("_corrupt"),
-                     ("header_width", F.col("reason") == "header_width"),
-                     ("duplicate_header", F.col("reason") == "duplicate_header")]
+            rules = [quality.row_width("_corrupt")] + [
+                (r, F.col("reason") == r) for r in
+                ("header_width", "duplicate_header", "header_order", "header_names", "empty_file", "unreadable")]
             return df, rules
         if ".parquet" in exts:
             return readers.read_parquet(spark, path, merge_schema=True, recursive=True), []
@@ -275,6 +276,10 @@ def text_documents(spark: SparkSession, path: str, manifest: DataFrame, max_byte
         large = big.select("path", F.lit(None).cast("string").alias("text"), "size_bytes",
                            F.lit("document_too_large").alias("_file_issue"))
     docs = docs.withColumn("_file_issue", F.lit(None).cast("string"))
+    # zero-byte files give no text row but are readable, empty records
+    empty = manifest.filter(F.col("size_bytes") == 0).select(
+        "path", F.lit("").alias("text"), "size_bytes", F.lit(None).cast("string").alias("_file_issue"))
+    docs = docs.unionByName(empty)
     bad = (files.unreadable_files(spark, manifest.filter(F.col("size_bytes") <= max_bytes), path)
            .join(manifest.select("path", "size_bytes"), "path")
            .select("path", F.lit(None).cast("string").alias("text"), "size_bytes",

@@ -17,6 +17,7 @@ ROWS = "t1,1,2,3\nt2,4,5,6\nt3,7,8,9\n"
 def _fixture(root):
     write(f"{root}/good/a.csv", HEADER + ROWS)
     write(f"{root}/good/sub/a.csv", HEADER + ROWS)
+    write(f"{root}/good/notes.json", '{"note": "beside the csv files"}')      # mixed folder (E2, E6)
     write(f"{root}/bad/a.csv", HEADER + ROWS)
     write(f"{root}/bad/narrow.csv", "timestamp,acc_x\nt,1\n")
     write(f"{root}/hasempty/a.csv", HEADER + ROWS)
@@ -24,6 +25,7 @@ def _fixture(root):
     write(f"{root}/json/a.json", '[{"k": 1, "v": "x"}, {"k": 2, "v": "y"}]')
     write(f"{root}/text/a.txt", "one\ntwo\n")
     write(f"{root}/text/b.md", "# t\n")
+    write(f"{root}/text/empty.log", "")
     write(f"{root}/img/a.png", png_bytes(2, 2))
     write(f"{root}/img/x.txt", "not allowed")
     write(f"{root}/vid/a.mp4", os.urandom(32))
@@ -54,7 +56,8 @@ def test_orchestrated_run(spark, tmp_path):
     assert got["bad"]["status"] == "quarantined"
     assert got["hasempty"]["status"] == "quarantined"              # empty_file (E10)
     assert got["json"]["modality"] == "semi_structured" and got["json"]["status"] == "stored"
-    assert got["text"]["worker"] == "text" and got["text"]["record_count"] == 2
+    assert got["text"]["worker"] == "text" and got["text"]["record_count"] == 3   # zero-byte file counts
+    assert got["text"]["status"] == "stored"
     assert got["img"]["status"] == "quarantined" and got["img"]["invalid_count"] == 1
     assert got["vid"]["status"] == "stored"
     assert got["kafka"]["modality"] == "streaming"
@@ -76,7 +79,7 @@ def test_orchestrated_run(spark, tmp_path):
     reg = {r["source_name"]: r["version"] for r in spark.read.parquet(lake.section("schema_registry")).collect()}
     assert reg["good"] == 1
     ents = spark.read.parquet(lake.section("files"))
-    assert ents.filter((F.col("source_name") == "good") & (F.col("run_id") == "r1")).count() == 2
+    assert ents.filter((F.col("source_name") == "good") & (F.col("run_id") == "r1")).count() == 3
     assert {r["content_type"] for r in ents.filter(F.col("source_name") == "img").collect()} == {
         "image/png", "text/plain"}
     txt = {r["path"].rsplit("/", 1)[-1]: r for r in spark.read.parquet(lake.section("text_data")).collect()}

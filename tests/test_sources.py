@@ -64,6 +64,13 @@ def test_header_checks(spark, tmp_path):
     assert checks["ragged.csv"] is None                               # rows are D7's job
     assert checks["quoted.csv"] is None
     assert checks["empty.csv"] == "empty_file"                        # E10, whatever the listing order
+    write(d + "/reorder.csv", "acc_x,timestamp,acc_y,acc_z\n1,t,2,3\n")
+    m2 = files.file_manifest(spark, d, "s")
+    plain = {os.path.basename(r["file_path"]): r["reason"] for r in quality.header_checks(m2, 4).collect()}
+    strict = {os.path.basename(r["file_path"]): r["reason"]
+              for r in quality.header_checks(m2, 4, ["timestamp", "acc_x", "acc_y", "acc_z"]).collect()}
+    assert plain["reorder.csv"] is None                                # valid by width (E7)
+    assert strict["reorder.csv"] == "header_order" and strict["dup.csv"] == "duplicate_header"
 
 
 def test_row_width_and_quoted_rows(spark, tmp_path):
@@ -195,6 +202,10 @@ def test_first_json_document_fields(spark, tmp_path):
     assert first_json_fields("file:" + jsonl, 1 << 20)[1] == "unknown"      # whole-document parse, as the reference
     assert first_json_fields("file:" + jsonl, 4) == ([], "unknown")          # bound too small to hold a value
     assert first_json_fields("file:" + jsonl, 10) == ([("a", "int")], "ok")  # large file: first value only
+    bad = write(str(d / "bad.json"), "{not json")
+    empty = write(str(d / "empty.json"), "[]")
+    assert first_json_fields("file:" + bad, 1 << 20) == ([], "unknown")
+    assert first_json_fields("file:" + empty, 1 << 20) == ([], "unknown")
 
 
 def test_binary_content_bound(spark, tmp_path):
