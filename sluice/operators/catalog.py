@@ -121,13 +121,19 @@ def lineage_edges(runs: DataFrame) -> DataFrame:
 def dataset_log(runs: DataFrame) -> DataFrame:
     """K1 log: one entry when staged (no lakehouse path) and, for stored
     runs, a second entry with the lakehouse path - as the reference writes
-    it twice on success."""
-    base = runs.select("run_id", "source_name", "staging_path", "schema_version", "modality")
+    it twice on success. When the runs carry ``fields`` / ``metadata`` (the
+    orchestrator's run rows), the entry holds the dataset entity: type,
+    schema, metadata and the time it was written."""
+    keys = ["run_id", "source_name", "staging_path", "schema_version", "modality"]
+    extra = [c for c in ("target_table", "fields", "metadata") if c in runs.columns]
+    base = runs.select(*keys, *extra)
     first = base.select("*", F.lit(None).cast("string").alias("lakehouse_path"), F.lit(0).alias("write_seq"))
     second = runs.filter(F.col("lakehouse_path").isNotNull()).select(
-        "run_id", "source_name", "staging_path", "schema_version", "modality", "lakehouse_path",
-        F.lit(1).alias("write_seq"))
-    return first.unionByName(second)
+        *keys, *extra, "lakehouse_path", F.lit(1).alias("write_seq"))
+    log = first.unionByName(second)
+    if "fields" in extra:
+        log = log.withColumn("entity_type", F.lit("Dataset")).withColumn("updated_at", F.current_timestamp())
+    return log
 
 
 def latest_datasets(log: DataFrame) -> DataFrame:

@@ -38,6 +38,9 @@ RUN_SCHEMA = T.StructType([
     T.StructField("source_path", T.StringType()), T.StructField("staging_path", T.StringType()),
     T.StructField("lakehouse_path", T.StringType()), T.StructField("quarantine_path", T.StringType()),
     T.StructField("error", T.StringType()),
+    T.StructField("target_table", T.StringType()),
+    T.StructField("fields", schema.FIELDS_TYPE),
+    T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
 ])
 
 
@@ -324,6 +327,25 @@ _EMPTY_MANIFEST = ("source_name string, path string, file_name string, extension
 
 
 def _ingest_one(spark, src: dict, lake: Lake, run_id: str, gate: str) -> dict:
+    """One source of a run -> its run row."""
+    row = _ingest_one_inner(spark, src, lake, run_id, gate)
+    row.setdefault("target_table", src.get("target_table") or src["name"])
+    return row
+
+
+def _metadata(src: dict, routed, modality: str, worker: str) -> dict:
+    """K1 dataset metadata: what the reference kept per source, as text."""
+    import json
+    md = {"source_path": src["path"], "exists": str(routed["file_count"] is not None).lower(),
+          "modality": modality, "worker": worker, "options": json.dumps(src.get("options") or {}, sort_keys=True)}
+    if routed["file_count"] is not None:
+        md.update(size_bytes=str(routed["size_bytes"]), file_count=str(routed["file_count"]),
+                  extensions=json.dumps(list(routed["extensions"] or [])))
+    return md
+
+
+def _ingest_one_inner(spark, src: dict, lake: Lake, run_id: str, gate: str) -> dict:
+    """List, route, discover and version the schema; then ingest."""
     path = src["path"]
     hinted = any(h in path.lower() for h in STREAMING_HINTS)
     manifest = None
@@ -341,6 +363,17 @@ def _ingest_one(spark, src: dict, lake: Lake, run_id: str, gate: str) -> dict:
     modality, mode, worker = routed["modality"], routed["ingestion_mode"], routed["worker_name"]
     fields = discover_fields(spark, manifest, modality)
     version = register_schema(spark, lake, src["name"], modality, fields, run_id)
+    extra = {"fields": [(i, n, t) for i, (n, t) in enumerate(fields)],
+             "metadata": _metadata(src, routed, modality, worker)}
+    row = _route_and_ingest(spark, src, lake, run_id, gate, manifest, routed, modality, mode, worker,
+                            fields, version)
+    row.update(extra)
+    return row
+
+
+def _route_and_ingest(spark, src, lake, run_id, gate, manifest, routed, modality, mode, worker, fields, version):
+    """Streams run as streaming queries; files as one staged batch read."""
+    path = src["path"]
     if modality == "streaming" and (path.startswith("kafka://") or routed["file_count"] is not None):
         return ingest_stream(spark, src, lake, run_id, modality, mode, worker, version)
     if modality == "streaming" or routed["file_count"] is None:

@@ -102,7 +102,11 @@ def test_rerun_reuses_then_evolves_schema(spark, tmp_path):
     reg = spark.read.parquet(lake.section("schema_registry"))
     assert sorted(r["version"] for r in reg.collect()) == [1, 2]
     latest = catalog.latest_datasets(spark.read.parquet(lake.section("datasets")))
-    assert latest.filter(F.col("run_id") == "r3").count() == 1
+    row = latest.filter(F.col("run_id") == "r3").first()
+    assert row["entity_type"] == "Dataset" and row["lakehouse_path"].endswith("/_v=r3")
+    assert [f["name"] for f in row["fields"]] == ["timestamp", "acc_x", "acc_y", "acc_z", "acc_w"]
+    assert row["metadata"]["file_count"] == "1" and row["metadata"]["extensions"] == '[".csv"]'
+    assert row["updated_at"] is not None
 
 
 def test_record_gate_run(spark, tmp_path):
