@@ -129,10 +129,15 @@ def versions_by_change(df: DataFrame, key: str, order: str, sig: str,
     d = d.withColumn("_local_change", (F.col("_rn") > 1) & ~F.col(sig).eqNullSafe(F.col("_prev")))
     d = d.withColumn("_local_cum", F.sum(F.col("_local_change").cast("bigint")).over(
         w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    summary = d.groupBy(key, "_chunk").agg(
-        F.min_by(sig, order).alias("_first_sig"),
-        F.max_by(sig, order).alias("_last_sig"),
-        F.sum(F.col("_local_change").cast("bigint")).alias("_n_local"))
+    # the chunk summary comes from the same partitioned, sorted rows: whole-
+    # chunk frames give the last signature and the change count, and the
+    # chunk's first row carries them (a filter, no extra aggregation)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = (d.withColumn("_last_in_chunk", F.last(sig).over(whole))
+          .withColumn("_n_in_chunk", F.sum(F.col("_local_change").cast("bigint")).over(whole)))
+    summary = d.filter(F.col("_rn") == 1).select(
+        key, "_chunk", F.col(sig).alias("_first_sig"), F.col("_last_in_chunk").alias("_last_sig"),
+        F.col("_n_in_chunk").alias("_n_local"))
     wc = Window.partitionBy(key).orderBy("_chunk")
     summary = (summary
                .withColumn("_prev_last", F.lag("_last_sig").over(wc))
@@ -147,7 +152,8 @@ def versions_by_change(df: DataFrame, key: str, order: str, sig: str,
                      .otherwise(F.col("_local_change")))
     j = j.withColumn("version", (F.col("_offset") + F.col("_first_change").cast("bigint")
                                  + F.col("_local_cum")).cast("int"))
-    return j.drop("_chunk", "_rn", "_prev", "_local_change", "_local_cum", "_first_change", "_offset")
+    return j.drop("_chunk", "_rn", "_prev", "_local_change", "_local_cum", "_first_change", "_offset",
+                  "_last_in_chunk", "_n_in_chunk")
 
 
 def snapshot_signature(fields: Column, modality: Column) -> Column:
