@@ -233,3 +233,16 @@ def test_read_current_keeps_last_good_version(spark, tmp_path):
     cur = read_current(spark, lake, "s")
     assert cur.count() == 3                                                # still the first run's rows (E17)
 
+
+
+def test_command_line_run(spark, tmp_path, capsys):
+    import json as _json
+
+    from sluice.__main__ import main
+    root = str(tmp_path / "data")
+    write(f"{root}/good/a.csv", HEADER + ROWS)
+    cfg = write(str(tmp_path / "cfg.json"), _json.dumps({"sources": [{"name": "good", "path": f"{root}/good"}]}))
+    assert main(["--config", cfg, "--lake", str(tmp_path / "lake"), "--summary", str(tmp_path / "summary")]) == 0
+    out = [_json.loads(line) for line in capsys.readouterr().out.splitlines() if line.startswith("{")]
+    assert out[0]["source_name"] == "good" and out[0]["status"] == "stored" and out[0]["record_count"] == 3
+    assert spark.read.json(str(tmp_path / "summary")).count() == 1
