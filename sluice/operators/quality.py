@@ -183,15 +183,16 @@ def header_checks(manifest: DataFrame, expected_width: int, expected_names=None)
     n_cells = F.size(F.col("cells"))
     named = header_fields(F.col("cells"))
     n_named = F.size(named)
+    ok = F.col("status") == "ok"          # "unchecked" files get no reason
     reason = (F.when(F.col("status") == "empty", F.lit("empty_file"))
               .when(F.col("status") == "unreadable", F.lit("unreadable"))
-              .when(n_cells != expected_width, F.lit("header_width"))
-              .when(n_named < n_cells, F.lit("duplicate_header")))
+              .when(ok & (n_cells != expected_width), F.lit("header_width"))
+              .when(ok & (n_named < n_cells), F.lit("duplicate_header")))
     if expected_names:
         got = F.transform(named, lambda f: f["name"])
         want = F.array(*[F.lit(n) for n in expected_names])
-        reason = (reason.when(F.array_sort(got) != F.array_sort(want), F.lit("header_names"))
-                  .when(got != want, F.lit("header_order")))
+        reason = (reason.when(ok & (F.array_sort(got) != F.array_sort(want)), F.lit("header_names"))
+                  .when(ok & (got != want), F.lit("header_order")))
     return h.select("file_path", reason.alias("reason"), "cells")
 
 

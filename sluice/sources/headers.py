@@ -18,22 +18,39 @@ from pyspark.sql import functions as F
 HEADER_SCHEMA = "file_path string, cells array<string>, status string"
 
 
-def _open(uri: str):
+class NoFilesystem(Exception):
+    """pyarrow cannot open this storage scheme on this executor."""
+
+
+def _filesystem(uri: str):
     import pyarrow.fs as pafs
     if uri.startswith("file:"):
         path = uri[len("file://"):] if uri.startswith("file://") else uri[len("file:"):]
-        return pafs.LocalFileSystem().open_input_stream(path)
+        return pafs.LocalFileSystem(), path
     if uri.startswith("s3a://") or uri.startswith("s3n://"):
         uri = "s3://" + uri.split("://", 1)[1]
-    fs, path = pafs.FileSystem.from_uri(uri)
+    try:
+        return pafs.FileSystem.from_uri(uri)
+    except Exception as e:  # unknown scheme, missing libhdfs, ...
+        raise NoFilesystem(str(e)) from e
+
+
+def _open(uri: str):
+    fs, path = _filesystem(uri)
     return fs.open_input_stream(path)
 
 
 def first_record(uri: str, sep: str) -> tuple:
     """(cells, status): the first non-blank CSV record of a file; status
-    ``ok``, ``empty`` (no record at all) or ``unreadable``."""
+    ``ok``, ``empty`` (no record at all), ``unreadable`` (I/O or decode
+    failure) or ``unchecked`` (no filesystem client for the scheme here:
+    the check is skipped rather than failing a readable file)."""
     try:
-        with _open(uri) as raw:
+        fs, path = _filesystem(uri)
+    except NoFilesystem:
+        return None, "unchecked"
+    try:
+        with fs.open_input_stream(path) as raw:
             text = io.TextIOWrapper(io.BufferedReader(raw), encoding="utf-8", errors="ignore", newline="")
             for row in csv.reader(text, delimiter=sep):
                 if row:
@@ -73,6 +90,8 @@ def first_json_fields(uri: str, max_bytes: int) -> tuple:
     try:
         with _open(uri) as raw:
             data = raw.read(max_bytes + 1)
+    except NoFilesystem:
+        return [], "unchecked"
     except Exception:  # noqa: BLE001
         return [], "unreadable"
     text = data[:max_bytes].decode("utf-8", errors="ignore")

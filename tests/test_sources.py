@@ -216,3 +216,9 @@ def test_binary_content_bound(spark, tmp_path):
                                                                       max_content_bytes=50).collect()}
     assert len(rows["small.mp4"]["content"]) == 10 and rows["large.mp4"]["content"] is None
     assert rows["large.mp4"]["length"] == 100
+
+
+def test_unknown_scheme_is_unchecked_not_invalid():
+    from sluice.sources.headers import first_json_fields, first_record
+    assert first_record("nosuchscheme://bucket/a.csv", ",") == (None, "unchecked")
+    assert first_json_fields("nosuchscheme://bucket/a.json", 1024) == ([], "unchecked")
