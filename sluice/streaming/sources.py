@@ -41,11 +41,19 @@ def kafka_stream(spark: SparkSession, bootstrap: str, topic: str, group_id: str
                      "timestamp", "topic", "partition", "offset")
 
 
+def _text_format_options(r, fmt: str):
+    """JSON/CSV files written by our sinks carry microsecond timestamps."""
+    if fmt in ("json", "csv"):
+        from ..sinks.tables import TS_OPTIONS
+        r = r.options(**TS_OPTIONS)
+    return r
+
+
 def kafka_shaped_file_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,
                              fmt: str = "parquet") -> DataFrame:
     """Files holding Kafka-shaped rows, read as a stream (test stand-in for
     a broker; same schema, same downstream plan)."""
-    r = spark.readStream.schema(STREAM_SCHEMA).format(fmt)
+    r = _text_format_options(spark.readStream.schema(STREAM_SCHEMA).format(fmt), fmt)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return r.load(path)
@@ -53,7 +61,7 @@ def kafka_shaped_file_stream(spark: SparkSession, path: str, max_files_per_trigg
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
                 max_files_per_trigger: int | None = None) -> DataFrame:
-    r = spark.readStream.schema(schema).format(fmt)
+    r = _text_format_options(spark.readStream.schema(schema).format(fmt), fmt)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return r.load(path)

@@ -99,3 +99,18 @@ def test_kafka_source_without_connector_is_reported(spark):
         return
     assert df.isStreaming and df.columns == ssrc.KAFKA_COLUMNS        # connector present
     pytest.skip("connector present")
+
+
+def test_json_kafka_shaped_stream_keeps_microseconds(spark, tmp_path):
+    import datetime as dt
+
+    from sluice.sinks import tables
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    ts = dt.datetime(2024, 1, 1, 0, 0, 7, 179575)
+    rows = spark.createDataFrame([("k", "a:1", ts, "t", 0, 1)],
+                                 "key string, value string, timestamp timestamp, topic string, partition int, offset bigint")
+    tables.write_json(rows, src)
+    s = ssrc.kafka_shaped_file_stream(spark, src, fmt="json")
+    jobs.append_stream(s, out + "/t", out + "/ck")
+    got = spark.read.parquet(out + "/t").first()
+    assert got["timestamp"] == ts and got["value"] == "a:1"
