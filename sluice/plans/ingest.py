@@ -166,6 +166,20 @@ def exposed(spark: SparkSession, lake: Lake) -> DataFrame | None:
     return None if runs is None else catalog.exposed_datasets(runs)
 
 
+def register_views(spark: SparkSession, lake: Lake) -> list[str]:
+    """K5 application layer: one temporary view per exposed dataset, named by
+    its target table, over its current version - queryable with SQL."""
+    runs = lake.read_section(spark, "runs")
+    if runs is None:
+        return []
+    view = exposed(spark, lake)
+    names = runs.groupBy("source_name").agg(F.max_by("target_table", "run_id").alias("target_table"))
+    rows = view.join(names, "source_name").select("target_table", "lakehouse_path").collect()  # one per source
+    for r in rows:
+        spark.read.format(lake.fmt).load(r["lakehouse_path"]).createOrReplaceTempView(r["target_table"])
+    return sorted(r["target_table"] for r in rows)
+
+
 def read_current(spark: SparkSession, lake: Lake, source_name: str) -> DataFrame:
     """The exposed (current) curated version of a source: the lakehouse
     version of its newest stored run (a later quarantined run leaves it
@@ -493,4 +507,4 @@ def _register(spark, lake, source_name, modality, fields, run_id) -> int:
 
 
 __all__ = ["Lake", "ingest_frame", "ingest_sources", "record_run", "register_schema", "new_run_id",
-           "read_current", "exposed"]
+           "read_current", "exposed", "register_views"]

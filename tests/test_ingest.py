@@ -246,3 +246,15 @@ def test_command_line_run(spark, tmp_path, capsys):
     out = [_json.loads(line) for line in capsys.readouterr().out.splitlines() if line.startswith("{")]
     assert out[0]["source_name"] == "good" and out[0]["status"] == "stored" and out[0]["record_count"] == 3
     assert spark.read.json(str(tmp_path / "summary")).count() == 1
+
+
+def test_exposed_tables_become_views(spark, tmp_path):
+    from sluice.plans.ingest import register_views
+    root = str(tmp_path / "data")
+    write(f"{root}/good/a.csv", HEADER + ROWS)
+    lake = Lake(str(tmp_path / "lake"))
+    src = config.sources_from_rows(spark, [{"name": "good", "path": f"{root}/good", "target_table": "sensor_data"}])
+    ingest_sources(spark, src, lake, run_id="r1")
+    assert register_views(spark, lake) == ["sensor_data"]
+    assert spark.sql("SELECT count(*) AS n FROM sensor_data WHERE acc_x > '1'").first()["n"] == 2
+
