@@ -194,7 +194,3 @@ def header_checks(manifest: DataFrame, expected_width: int, expected_names=None)
         reason = (reason.when(ok & (F.array_sort(got) != F.array_sort(want)), F.lit("header_names"))
                   .when(ok & (got != want), F.lit("header_order")))
     return h.select("file_path", reason.alias("reason"), "cells")
-
-
-def strip_cells(cells) -> Column:
-    return F.transform(_c(cells), lambda c: py_strip(c))

@@ -71,12 +71,6 @@ def fields_key(fields: Column) -> Column:
         fields, lambda f: F.concat(f["name"], F.lit(":"), f["type"]))), ",")
 
 
-def fields_text(fields: Column) -> Column:
-    """Fields in header order as ``name:type,...``."""
-    return F.array_join(F.transform(F.array_sort(fields), lambda f: F.concat(
-        f["name"], F.lit(":"), f["type"])), ",")
-
-
 def variant_type_to_py(type_text: Column) -> Column:
     """Map ``schema_of_variant`` output to Python type names."""
     t = F.upper(type_text)

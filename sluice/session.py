@@ -3,7 +3,6 @@ shared scratch area (the cluster's ``spark.checkpoint.dir``)."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -90,19 +89,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base}/sluice/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for local filesystem checks in tests."""
-    if path.startswith("file://"):
-        return path[len("file://"):]
-    if path.startswith("file:"):
-        return path[len("file:"):]
-    return path
-
-
-def exists_local(path: str) -> bool:
-    return os.path.exists(local_path(path))
-
-
 def session_key(spark: SparkSession) -> str:
     """A stable id of the running application (works without SparkContext)."""
     try:

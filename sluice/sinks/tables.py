@@ -40,11 +40,6 @@ def write_create_only(df: DataFrame, path: str, fmt: str = "parquet", partition_
     return path
 
 
-def append_rows(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Catalog sections and the run table are append-only."""
-    df.write.mode("append").format(fmt).save(path)
-
-
 def csv_to_json(spark: SparkSession, csv_path: str, json_path: str, multi_line: bool = True,
                 schema=None) -> str:
     """Every CSV file under ``csv_path`` (header row, all strings) to

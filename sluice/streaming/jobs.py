@@ -53,12 +53,17 @@ def text_file_sink(df: DataFrame, path: str, checkpoint: str, column: str = "val
     return q
 
 
+def message_rows(df: DataFrame, fields, key_col: str | None = None) -> DataFrame:
+    """S7 payload: ``key, value`` rows with the ``k:v`` message (G1)."""
+    return df.select((F.col(key_col).cast("string") if key_col else F.lit(None).cast("string")).alias("key"),
+                     codec.kv_encode(*fields).alias("value"))
+
+
 def publish_messages(df: DataFrame, bootstrap: str, topic: str, fields, key_col: str | None = None):
-    """Rows -> ``k:v`` messages (G1) -> a Kafka topic. A failed send
-    fails the task (and is retried) instead of a per-row callback."""
-    out = df.select((F.col(key_col).cast("string") if key_col else F.lit(None).cast("string")).alias("key"),
-                    codec.kv_encode(*fields).alias("value"))
-    out.write.format("kafka").option("kafka.bootstrap.servers", bootstrap).option("topic", topic).save()
+    """Rows -> ``k:v`` messages -> a Kafka topic (connector required). A
+    failed send fails the task (and is retried) instead of a per-row callback."""
+    (message_rows(df, fields, key_col).write.format("kafka")
+     .option("kafka.bootstrap.servers", bootstrap).option("topic", topic).save())
 
 
 def decode_batch(batch: DataFrame, value_col: str = "value") -> DataFrame:

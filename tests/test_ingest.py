@@ -258,3 +258,22 @@ def test_exposed_tables_become_views(spark, tmp_path):
     assert register_views(spark, lake) == ["sensor_data"]
     assert spark.sql("SELECT count(*) AS n FROM sensor_data WHERE acc_x > '1'").first()["n"] == 2
 
+
+
+def test_table_versions_and_message_rows(spark, tmp_path):
+    from sluice.sinks import tables
+    from sluice.sources import readers
+    from sluice.streaming.jobs import message_rows
+    root = str(tmp_path / "data")
+    write(f"{root}/good/a.csv", HEADER + ROWS)
+    lake = Lake(str(tmp_path / "lake"))
+    src = config.sources_from_rows(spark, [{"name": "good", "path": f"{root}/good"}])
+    ingest_sources(spark, src, lake, run_id="r1")
+    write(f"{root}/good/b.csv", HEADER + "t9,1,1,1\n")
+    ingest_sources(spark, src, lake, run_id="r2")
+    allv = tables.read_versions(spark, lake.lakehouse, "good")
+    assert {r["_v"]: r["n"] for r in allv.groupBy("_v").agg(F.count("*").alias("n")).collect()} == {"r1": 3, "r2": 4}
+    assert tables.current_version(allv, "r2").count() == 4 and "_v" not in tables.current_version(allv, "r2").columns
+    assert readers.read_table(spark, tables.version_path(lake.lakehouse, "good", "r1")).count() == 3
+    msgs = message_rows(spark.createDataFrame([(1, "x")], "a bigint, b string"), ["a", "b"], key_col="a")
+    assert [tuple(r) for r in msgs.collect()] == [("1", "a:1,b:x")]
