@@ -49,23 +49,22 @@ def new_run_id() -> str:
 
 
 class Lake:
-    """Folder layout of one lake: staging, lakehouse, quarantine, catalog."""
+    """Folder layout of one lake.
+
+    ``tables/<source>/_v=<run>/_row_state=valid|invalid`` holds each run's
+    staged rows, written once. The curated table of a run is its ``valid``
+    partition and the quarantine its ``invalid`` partition (or, when the
+    source gate fails, the whole version): the run row names them, so
+    nothing is copied a second time. ``catalog/<section>/_run=<run>/...``
+    holds the append-only catalog and ``streams/`` the stream outputs."""
 
     def __init__(self, root: str, fmt: str = "parquet"):
         self.root = root.rstrip("/")
         self.fmt = fmt
 
     @property
-    def staging(self):
-        return f"{self.root}/staging"
-
-    @property
-    def lakehouse(self):
-        return f"{self.root}/lakehouse"
-
-    @property
-    def quarantine(self):
-        return f"{self.root}/quarantine"
+    def tables(self):
+        return f"{self.root}/tables"
 
     def section(self, name: str) -> str:
         return f"{self.root}/catalog/{name}"
@@ -92,46 +91,41 @@ def ingest_frame(spark: SparkSession, df: DataFrame, lake: Lake, source_name: st
                  modality: str = "structured", ingestion_mode: str = "batch", worker: str = "direct",
                  schema_version: int | None = None, source_path: str | None = None,
                  extra_invalid: int = 0) -> dict:
-    """Stage, gate and store one source's rows. Returns the run row.
+    """Stage, gate and store one source's rows in ONE write. Returns the run row.
 
     ``gate="record"``: valid rows -> curated, invalid rows -> quarantine.
     ``gate="source"``: any invalid row quarantines every row of the source.
+    The counts come from the write itself (``observe``); the gate decides
+    which partitions of the written version the run row names.
     """
     t0 = time.time()
     tagged = quality.apply_rules(df, rules, unique=unique)
     tagged = tagged.withColumn("_run_id", F.lit(run_id)).withColumn(
         "_row_state", F.when(F.size(quality.REASONS) == 0, F.lit("valid")).otherwise(F.lit("invalid")))
     watched, obs = profile.observed(tagged, f"stage_{source_name}_{run_id}".replace("-", "_"))
-    # staged once, partitioned by row state: the curated and quarantine
-    # writes below each read only their own partition of the staged copy
-    staging_path = tables.write_version(watched, lake.staging, source_name, run_id, lake.fmt,
+    staging_path = tables.write_version(watched, lake.tables, source_name, run_id, lake.fmt,
                                         partition_by=["_row_state"])
     counts = obs.get
-    staged = spark.read.format(lake.fmt).load(staging_path)
-    # extra_invalid: file-level problems that yield no row (zero-byte files)
     rec = int(counts.get("record_count", 0))
-    inv = int(counts.get("invalid_count", 0)) + int(extra_invalid)
+    row_inv = int(counts.get("invalid_count", 0))
+    # extra_invalid: file-level problems that yield no row (zero-byte files)
+    inv = row_inv + int(extra_invalid)
     counts = {"record_count": rec, "invalid_count": inv}
-    table = target_table or source_name
+    valid_part, invalid_part = f"{staging_path}/_row_state=valid", f"{staging_path}/_row_state=invalid"
     lakehouse_path = quarantine_path = None
-    data_cols = [c for c in staged.columns if c not in (quality.REASONS, "_row_state")]
     if gate == "source":
         if rec == 0:
             status = "empty"
         elif inv == 0:
-            status = "stored"
-            lakehouse_path = tables.write_version(staged.select(*data_cols), lake.lakehouse, table, run_id, lake.fmt)
+            status, lakehouse_path = "stored", valid_part
         else:
-            status = "quarantined"
-            quarantine_path = tables.write_version(staged, lake.quarantine, source_name, run_id, lake.fmt)
+            status, quarantine_path = "quarantined", staging_path
     else:
-        valid = staged.filter(F.col("_row_state") == "valid").drop("_row_state", quality.REASONS)
-        invalid = staged.filter(F.col("_row_state") == "invalid").drop("_row_state")
         status = "empty" if rec == 0 else ("stored" if inv == 0 else "partial")
-        if rec - inv > 0:
-            lakehouse_path = tables.write_version(valid, lake.lakehouse, table, run_id, lake.fmt)
-        if inv > 0:
-            quarantine_path = tables.write_version(invalid, lake.quarantine, source_name, run_id, lake.fmt)
+        if rec - row_inv > 0:
+            lakehouse_path = valid_part
+        if row_inv > 0:
+            quarantine_path = invalid_part
     seconds = time.time() - t0
     prof = profile.profile_row(counts, seconds)
     return {
@@ -140,7 +134,7 @@ def ingest_frame(spark: SparkSession, df: DataFrame, lake: Lake, source_name: st
         "record_count": prof["record_count"], "invalid_count": prof["invalid_count"],
         "valid_count": prof["valid_count"], "processing_time_seconds": prof["processing_time_seconds"],
         "ingestion_rate_records_per_second": prof["ingestion_rate_records_per_second"],
-        "source_path": source_path or source_name, "staging_path": staging_path,
+        "source_path": source_path or source_name, "staging_path": staging_path, "target_table": target_table or source_name,
         "lakehouse_path": lakehouse_path, "quarantine_path": quarantine_path, "error": None,
     }
 

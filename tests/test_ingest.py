@@ -65,7 +65,7 @@ def test_orchestrated_run(spark, tmp_path):
     assert got["missing"]["modality"] == "unstructured" and got["missing"]["status"] == "empty"
     curated = spark.read.parquet(got["good"]["lakehouse_path"])
     assert curated.count() == 6 and "_source_file" in curated.columns
-    assert got["good"]["lakehouse_path"].endswith("/lakehouse/good_t/_v=r1")
+    assert got["good"]["lakehouse_path"].endswith("/tables/good/_v=r1/_row_state=valid")   # no second copy
     q = spark.read.parquet(got["bad"]["quarantine_path"])
     reasons = {x for r in q.select("_reasons").collect() for x in r[0]}
     assert "header_width" in reasons
@@ -103,7 +103,7 @@ def test_rerun_reuses_then_evolves_schema(spark, tmp_path):
     assert sorted(r["version"] for r in reg.collect()) == [1, 2]
     latest = catalog.latest_datasets(spark.read.parquet(lake.section("datasets")))
     row = latest.filter(F.col("run_id") == "r3").first()
-    assert row["entity_type"] == "Dataset" and row["lakehouse_path"].endswith("/_v=r3")
+    assert row["entity_type"] == "Dataset" and row["lakehouse_path"].endswith("/_v=r3/_row_state=valid")
     assert [f["name"] for f in row["fields"]] == ["timestamp", "acc_x", "acc_y", "acc_z", "acc_w"]
     assert row["metadata"]["file_count"] == "1" and row["metadata"]["extensions"] == '[".csv"]'
     assert row["updated_at"] is not None
@@ -271,9 +271,9 @@ def test_table_versions_and_message_rows(spark, tmp_path):
     ingest_sources(spark, src, lake, run_id="r1")
     write(f"{root}/good/b.csv", HEADER + "t9,1,1,1\n")
     ingest_sources(spark, src, lake, run_id="r2")
-    allv = tables.read_versions(spark, lake.lakehouse, "good")
+    allv = tables.read_versions(spark, lake.tables, "good").filter(F.col("_row_state") == "valid")
     assert {r["_v"]: r["n"] for r in allv.groupBy("_v").agg(F.count("*").alias("n")).collect()} == {"r1": 3, "r2": 4}
     assert tables.current_version(allv, "r2").count() == 4 and "_v" not in tables.current_version(allv, "r2").columns
-    assert readers.read_table(spark, tables.version_path(lake.lakehouse, "good", "r1")).count() == 3
+    assert readers.read_table(spark, tables.version_path(lake.tables, "good", "r1")).count() == 3
     msgs = message_rows(spark.createDataFrame([(1, "x")], "a bigint, b string"), ["a", "b"], key_col="a")
     assert [tuple(r) for r in msgs.collect()] == [("1", "a:1,b:x")]
