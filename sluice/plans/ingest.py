@@ -422,7 +422,8 @@ def ingest_stream(spark: SparkSession, src: dict, lake: Lake, run_id: str, modal
     ``kafka://host:port/topic`` reads Kafka (connector required); a folder is
     read as text lines (``options.format = text``, default) or as files of
     Kafka-shaped rows (``parquet`` / ``json``). ``options.maxFilesPerTrigger``
-    / ``maxOffsetsPerTrigger`` throttle (W3)."""
+    / ``maxOffsetsPerTrigger`` throttle (W3); ``minPartitions`` spreads a hot
+    topic partition over several tasks."""
     from ..streaming import jobs
     from ..streaming import sources as ssrc
     t0 = time.time()
@@ -435,9 +436,11 @@ def ingest_stream(spark: SparkSession, src: dict, lake: Lake, run_id: str, modal
     if path.startswith("kafka://"):
         host_port, _, topic = path[len("kafka://"):].partition("/")
         max_off = _opt(opts, "maxOffsetsPerTrigger")
+        min_parts = _opt(opts, "minPartitions")
         try:
             stream = ssrc.kafka_stream(spark, host_port, topic, group_id=_opt(opts, "group.id"),
-                                       max_offsets_per_trigger=int(max_off) if max_off else None)
+                                       max_offsets_per_trigger=int(max_off) if max_off else None,
+                                       min_partitions=int(min_parts) if min_parts else None)
         except ssrc.ConnectorMissing as e:
             return {"run_id": run_id, "source_name": name, "status": "failed", "modality": modality,
                     "ingestion_mode": mode, "worker": worker, "schema_version": version,

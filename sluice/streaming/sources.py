@@ -20,15 +20,20 @@ class ConnectorMissing(RuntimeError):
 
 
 def kafka_stream(spark: SparkSession, bootstrap: str, topic: str, group_id: str | None = None,
-                 starting_offsets: str = "earliest", max_offsets_per_trigger: int | None = None) -> DataFrame:
+                 starting_offsets: str = "earliest", max_offsets_per_trigger: int | None = None,
+                 min_partitions: int | None = None) -> DataFrame:
     """A13 + W5: subscribe from the earliest offset; progress is kept in the
-    query checkpoint (replay-safe), the group id is passed through."""
+    query checkpoint (replay-safe), the group id is passed through.
+    ``min_partitions`` splits the offset range of a hot topic partition over
+    several tasks (a topic partition is otherwise one task per batch)."""
     r = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", bootstrap)
          .option("subscribe", topic).option("startingOffsets", starting_offsets))
     if group_id:
         r = r.option("kafka.group.id", group_id)
     if max_offsets_per_trigger:
         r = r.option("maxOffsetsPerTrigger", max_offsets_per_trigger)
+    if min_partitions:
+        r = r.option("minPartitions", min_partitions)
     try:
         df = r.load()
     except Exception as e:  # the connector jar is optional
