@@ -2,8 +2,8 @@
 
 A *rule* is ``(reason, violated)`` where ``violated`` is a boolean Column
 (NULL counts as not violated). Rules become one ``_reasons array<string>``
-column in a single projection, so every rule is evaluated in the same
-codegen stage as the scan. Only the uniqueness rule needs a shuffle: an
+column in a single projection, evaluated in the same whole-stage codegen
+stage as the scan. Only the uniqueness rule needs a shuffle: an
 aggregate of the key (partial aggregation first) joined back - broadcast
 when the duplicate list is measured small, else a shuffle join in which AQE
 splits a skewed key."""
@@ -68,11 +68,13 @@ def width_status(n_cells, expected: int) -> Column:
 
 
 def reasons_column(rules) -> Column:
-    """All violated rule names of a row, in rule order."""
+    """All violated rule names of a row, in rule order. ``array_except`` with
+    a NULL drops the rules that passed and, unlike a lambda filter, stays in
+    whole-stage codegen."""
     if not rules:
         return F.array().cast("array<string>")
-    return F.array_compact(F.array(*[F.when(F.coalesce(v, F.lit(False)), F.lit(n))
-                                     for n, v in rules]))
+    hits = F.array(*[F.when(F.coalesce(v, F.lit(False)), F.lit(n)) for n, v in rules])
+    return F.array_except(hits, F.array(F.lit(None).cast("string")))
 
 
 def with_unique_flag(df: DataFrame, keys, flag: str = "_dup",
