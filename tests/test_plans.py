@@ -58,3 +58,10 @@ def test_duplicate_keys_are_broadcast_and_big_side_not_shuffled(spark):
 def test_json_keys_explode_without_join(spark):
     p = plan(entry.queries()["json_field_types"](spark, SF))
     assert "Generate" in p and "Join" not in p
+
+
+def test_rules_projection_is_codegen(spark):
+    from sluice.plans.queries import order_rules
+    t = quality.apply_rules(spark.read.parquet(f"{SF}/orders.parquet"), order_rules())
+    lines = [line for line in plan(t).splitlines() if "array_except" in line]
+    assert lines and all(line.lstrip(" +-:").startswith("*(") for line in lines), plan(t)
