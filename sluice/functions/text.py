@@ -28,8 +28,12 @@ def blank_to_null(col) -> Column:
 
 
 def words(col) -> Column:
-    """``str.split()`` tokens as an array (no empty strings)."""
-    return F.filter(F.split(_c(col), rf"{WS_CLASS}+"), lambda t: t != "")
+    """``str.split()`` tokens as an array (no empty strings). The text is
+    stripped first, so splitting on whitespace runs yields no empty token -
+    no lambda, so the expression stays in whole-stage codegen."""
+    stripped = py_strip(col)
+    return F.when(stripped == "", F.array().cast("array<string>")).otherwise(
+        F.split(stripped, rf"{WS_CLASS}+"))
 
 
 def word_count(col) -> Column:
