@@ -2,10 +2,11 @@
 
 Per source: route (B3-B5) -> discover schema (C1/C2/C3/C4) -> version it
 (C6/C7) -> build ONE read plan for the whole source -> tag rows with rule
-reasons -> write the staged table once, with counts observed in the same
-pass (P2) -> gate (D5 source / D6 record) -> curated and/or quarantine
-tables written from the staged copy (no recomputation, lineage cut) ->
-append catalog rows (K1-K5, K7).
+reasons -> write the staged version once, partitioned by row state, with
+counts observed in the same pass (P2) -> gate (D5 source / D6 record): the
+run row names the curated and quarantine partitions of that version -> write
+catalog rows (K1-K5, K7). Stream sources run as availableNow streaming
+queries through the same gate (W7).
 
 The driver only sees per-source summaries (counts, paths); row data never
 passes through it. Tables live under ``root`` (a shared folder)."""
