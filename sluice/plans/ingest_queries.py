@@ -183,7 +183,7 @@ def q_csv_header_checks(spark, sf):
     per_ds = checks.groupBy(dataset.alias("dataset")).agg(F.bool_and(F.col("reason").isNull()).alias("header_ok"))
     rows = readers.read_csv(spark, root, ORDER_COLS)
     tagged = quality.apply_rules(rows, [quality.row_width("_corrupt")])
-    # stage the tagged rows as the pipeline does; counts come from the staged copy
+    # stage the tagged rows as the ingest does; counts come from the staged version
     staged_path = tables.write_version(tagged, root + "/_staging", "mixed", "q")
     tagged = spark.read.parquet(staged_path)
     ds_rows = F.regexp_extract(F.col("_source_file"), r"/(orders|customer)/[^/]*$", 1)
