@@ -222,3 +222,12 @@ def test_unknown_scheme_is_unchecked_not_invalid():
     from sluice.sources.headers import first_json_fields, first_record
     assert first_record("nosuchscheme://bucket/a.csv", ",") == (None, "unchecked")
     assert first_json_fields("nosuchscheme://bucket/a.json", 1024) == ([], "unchecked")
+
+
+def test_config_options_of_any_json_type(spark, tmp_path):
+    cfg = {"sources": [{"name": "a", "path": "/x",
+                        "options": {"kwargs": {"p": 1}, "maxFilesPerTrigger": 2, "multiLine": True}}]}
+    p = write(str(tmp_path / "c.json"), json.dumps(cfg))
+    opts = config.load_sources(spark, p).first()["options"]
+    assert opts["maxFilesPerTrigger"] == "2" and opts["multiLine"] == "true"
+    assert json.loads(opts["kwargs"]) == {"p": 1}                  # nested values stay as JSON text
