@@ -82,3 +82,31 @@ def test_schema_diff(spark):
     reg = schema.registry_from_history(_attempts(spark, rows))
     d = {(r["name"], r["change"]) for r in schema.schema_diff(reg).collect()}
     assert d == {("a", "retyped"), ("b", "removed"), ("c", "added")}
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+def _python_versions(rows):
+    """The reference's semantics, sequentially: a registration whenever the
+    signature differs from the previous attempt of the same source."""
+    out, last, count = {}, {}, {}
+    for src, order, sig in sorted(rows, key=lambda r: (r[0], r[1])):
+        changed = last.get(src) != sig
+        if changed:
+            count[src] = count.get(src, 0) + 1
+        last[src] = sig
+        out[(src, order)] = (changed, count[src])
+    return out
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["hot", "hot", "hot", "a", "b"]), st.integers(0, 400),
+                          st.sampled_from(["x", "y"])), min_size=1, max_size=80, unique_by=lambda r: (r[0], r[1])),
+       st.integers(1, 50))
+def test_versions_property(spark, rows, chunk):
+    df = spark.createDataFrame(rows, "source_name string, attempt_id bigint, sig string")
+    got = {(r["source_name"], r["attempt_id"]): (r["changed"], r["version"])
+           for r in schema.versions_by_change(df, "source_name", "attempt_id", "sig", chunk_size=chunk).collect()}
+    assert got == _python_versions(rows)
