@@ -277,3 +277,19 @@ def test_table_versions_and_message_rows(spark, tmp_path):
     assert readers.read_table(spark, tables.version_path(lake.tables, "good", "r1")).count() == 3
     msgs = message_rows(spark.createDataFrame([(1, "x")], "a bigint, b string"), ["a", "b"], key_col="a")
     assert [tuple(r) for r in msgs.collect()] == [("1", "a:1,b:x")]
+
+
+def test_many_sources_in_parallel(spark, tmp_path):
+    root = str(tmp_path / "data")
+    rows = []
+    for i in range(8):
+        write(f"{root}/s{i}/a.csv", HEADER + ROWS * (i + 1))
+        rows.append({"name": f"s{i}", "path": f"{root}/s{i}"})
+    lake = Lake(str(tmp_path / "lake"))
+    runs = ingest_sources(spark, config.sources_from_rows(spark, rows), lake, run_id="r1", max_parallel=4)
+    got = {r["source_name"]: (r["status"], r["record_count"]) for r in runs.collect()}
+    assert got == {f"s{i}": ("stored", 3 * (i + 1)) for i in range(8)}
+    for section in ("runs", "profiles", "datasets", "schema_registry"):
+        names = [r["source_name"] for r in spark.read.parquet(lake.section(section)).select("source_name").collect()]
+        assert sorted(set(names)) == [f"s{i}" for i in range(8)], section
+    assert spark.read.parquet(lake.section("schema_registry")).count() == 8
