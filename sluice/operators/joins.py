@@ -6,20 +6,50 @@ from the data, so its size is unknown when the plan is built; the static
 planner then shuffles the big side. Here the small side is materialized
 once (persisted, so the join does not recompute it), its rows are counted,
 and it is broadcast only under ``max_rows``; beyond that the join is a
-regular shuffle join (AQE splits skewed keys)."""
+regular shuffle join (AQE splits skewed keys).
+
+Spark's cache matches persisted data by plan, so a later call over the same
+input path (with changed files) could be served the old result: every
+persisted side carries a per-call tag column, which makes its plan unique."""
 
 from __future__ import annotations
 
+import threading
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
+_TAG = "_sluice_call"
+_PERSISTED: list = []
+_LOCK = threading.Lock()
+
+
+def persist_fresh(df: DataFrame) -> DataFrame:
+    """Persist ``df`` under a plan no other call can match. The returned
+    frame has an extra ``_sluice_call`` column (drop it after use)."""
+    tagged = df.withColumn(_TAG, F.lit(uuid.uuid4().hex)).persist(StorageLevel.MEMORY_AND_DISK)
+    with _LOCK:
+        _PERSISTED.append(tagged)
+    return tagged
+
+
+def release() -> None:
+    """Unpersist the small sides kept so far (their joins have run)."""
+    with _LOCK:
+        frames, _PERSISTED[:] = list(_PERSISTED), []
+    for f in frames:
+        try:
+            f.unpersist()
+        except Exception:  # pragma: no cover
+            pass
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
                max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)
-    n = small.count()
-    side = F.broadcast(small) if n <= max_rows else small
-    return big.join(side, on, how)
+    fresh = small if _TAG in small.columns else persist_fresh(small)
+    n = fresh.count()
+    side = F.broadcast(fresh) if n <= max_rows else fresh
+    return big.join(side, on, how).drop(_TAG)

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions.paths import STREAMING_HINTS
 from ..operators import catalog, profile, quality, route, schema
-from ..operators.joins import join_small
+from ..operators.joins import join_small, persist_fresh, release
 from ..sinks import tables
 from ..sources import files, readers
 from ..sources.headers import first_records, json_fields
@@ -91,7 +91,7 @@ def ingest_frame(spark: SparkSession, df: DataFrame, lake: Lake, source_name: st
                  rules=(), unique=None, gate: str = "record", target_table: str | None = None,
                  modality: str = "structured", ingestion_mode: str = "batch", worker: str = "direct",
                  schema_version: int | None = None, source_path: str | None = None,
-                 extra_invalid: int = 0) -> dict:
+                 extra_invalid: int = 0, invalid_override: int | None = None) -> dict:
     """Stage, gate and store one source's rows in ONE write. Returns the run row.
 
     ``gate="record"``: valid rows -> curated, invalid rows -> quarantine.
@@ -109,8 +109,9 @@ def ingest_frame(spark: SparkSession, df: DataFrame, lake: Lake, source_name: st
     counts = obs.get
     rec = int(counts.get("record_count", 0))
     row_inv = int(counts.get("invalid_count", 0))
-    # extra_invalid: file-level problems that yield no row (zero-byte files)
-    inv = row_inv + int(extra_invalid)
+    # extra_invalid: file-level problems that yield no row (zero-byte files);
+    # invalid_override: a count in other units (bad files under the source gate)
+    inv = int(invalid_override) if invalid_override is not None else row_inv + int(extra_invalid)
     counts = {"record_count": rec, "invalid_count": inv}
     valid_part, invalid_part = f"{staging_path}/_row_state=valid", f"{staging_path}/_row_state=invalid"
     lakehouse_path = quarantine_path = None
@@ -222,8 +223,16 @@ def _truthy(v) -> bool:
 
 def source_frame(spark: SparkSession, path: str, manifest: DataFrame, worker: str, fields,
                  options: dict | None = None) -> tuple:
-    """The read plan and rules for one routed source: ONE scan per format
-    over the whole source folder (not one job per file)."""
+    """The read plan, rules and file-level problems of one routed source:
+    ONE scan per format over the whole source folder (not one job per file).
+    Returns ``(df, rules, file_issues)``; ``file_issues`` counts CSV/TSV
+    files by header reason (None when no file-level check applies)."""
+    df, rules, *rest = _source_frame(spark, path, manifest, worker, fields, options)
+    return df, rules, (rest[0] if rest else None)
+
+
+def _source_frame(spark: SparkSession, path: str, manifest: DataFrame, worker: str, fields,
+                  options: dict | None = None) -> tuple:
     names = [n for n, _ in fields]
     if worker == "direct":
         exts = {r["extension"] for r in manifest.select("extension").distinct().collect()}
@@ -237,13 +246,13 @@ def source_frame(spark: SparkSession, path: str, manifest: DataFrame, worker: st
                 df = df.unionByName(f)
             strict = _truthy(_opt(options, "checkHeaderNames", "false"))
             checks = quality.header_checks(manifest, len(names), names if strict else None)
-            bad_files = checks.filter(F.col("reason").isNotNull())
-            df = join_small(df, bad_files.select(F.col("file_path").alias("_source_file"), "reason"),
-                            "_source_file", "left")
-            rules = [quality.row_width("_corrupt")] + [
-                (r, F.col("reason") == r) for r in
-                ("header_width", "duplicate_header", "header_order", "header_names", "empty_file", "unreadable")]
-            return df, rules
+            bad_files = persist_fresh(checks.filter(F.col("reason").isNotNull()).select(
+                F.col("file_path").alias("_source_file"), "reason"))
+            issues = {r["reason"]: int(r["n"]) for r in
+                      bad_files.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).collect()}
+            df = join_small(df, bad_files, "_source_file", "left")
+            rules = [quality.row_width("_corrupt")] + [(r, F.col("reason") == r) for r in FILE_REASONS]
+            return df, rules, issues
         if ".parquet" in exts:
             return readers.read_parquet(spark, path, merge_schema=True, recursive=True), []
         if ".json" in exts:
@@ -267,6 +276,8 @@ def source_frame(spark: SparkSession, path: str, manifest: DataFrame, worker: st
 
 
 MAX_DOCUMENT_BYTES = 256 << 20
+FILE_REASONS = ("header_width", "duplicate_header", "header_order", "header_names", "empty_file", "unreadable")
+NO_ROW_REASONS = ("empty_file", "unreadable")   # files that yield no data row
 
 
 def text_documents(spark: SparkSession, path: str, manifest: DataFrame, max_bytes: int = MAX_DOCUMENT_BYTES,
@@ -323,11 +334,14 @@ def ingest_sources(spark: SparkSession, sources: DataFrame, lake: Lake, run_id:
         except Exception as e:  # noqa: BLE001 - recorded as a failed run
             return {"run_id": run_id, "source_name": src["name"], "status": "failed",
                     "source_path": src["path"], "error": f"{type(e).__name__}: {e}"[:500]}
-    if max_parallel > 1 and len(srcs) > 1:
-        with ThreadPoolExecutor(max_workers=max_parallel) as pool:
-            rows = list(pool.map(one, srcs))
-    else:
-        rows = [one(s) for s in srcs]
+    try:
+        if max_parallel > 1 and len(srcs) > 1:
+            with ThreadPoolExecutor(max_workers=max_parallel) as pool:
+                rows = list(pool.map(one, srcs))
+        else:
+            rows = [one(s) for s in srcs]
+    finally:
+        release()  # the derived small sides of this run are no longer needed
     return record_run(spark, lake, rows)
 
 
@@ -391,15 +405,20 @@ def _route_and_ingest(spark, src, lake, run_id, gate, manifest, routed, modality
                 "ingestion_mode": mode, "worker": worker, "schema_version": version,
                 "record_count": 0, "invalid_count": 0, "valid_count": 0, "source_path": path}
     _catalog_entities(spark, lake, src["name"], run_id, manifest, worker, path)
-    df, rules = source_frame(spark, path, manifest, worker, fields, src.get("options"))
-    empty_tabular = 0
-    if worker == "direct":
-        empty_tabular = manifest.filter(F.col("extension").isin(".csv", ".tsv")
-                                        & (F.col("size_bytes") == 0)).count()
+    df, rules, file_issues = source_frame(spark, path, manifest, worker, fields, src.get("options"))
+    extra, override = 0, None
+    if file_issues is not None:
+        if gate == "source":
+            # the reference's numbers (E7, E8): files are checked, rows are not;
+            # invalid counts bad files, rows keep their file's reason
+            rules = [r for r in rules if r[0] != "row_width"]
+            override = sum(file_issues.values())
+        else:
+            extra = sum(n for r, n in file_issues.items() if r in NO_ROW_REASONS)
     return ingest_frame(spark, df, lake, src["name"], run_id, rules=rules, gate=gate,
                         target_table=src.get("target_table"), modality=modality, ingestion_mode=mode,
                         worker=worker, schema_version=version, source_path=path,
-                        extra_invalid=empty_tabular)
+                        extra_invalid=extra, invalid_override=override)
 
 
 def _catalog_entities(spark, lake: Lake, source_name: str, run_id: str, manifest: DataFrame,

@@ -54,6 +54,8 @@ def test_orchestrated_run(spark, tmp_path):
     assert got["good"]["status"] == "stored" and got["good"]["record_count"] == 6
     assert got["good"]["modality"] == "structured" and got["good"]["worker"] == "direct"
     assert got["bad"]["status"] == "quarantined"
+    # the reference's numbers under the source gate (E8): 4 data rows, 1 invalid file
+    assert (got["bad"]["record_count"], got["bad"]["invalid_count"], got["bad"]["valid_count"]) == (4, 1, 3)
     assert got["hasempty"]["status"] == "quarantined"              # empty_file (E10)
     assert got["json"]["modality"] == "semi_structured" and got["json"]["status"] == "stored"
     assert got["text"]["worker"] == "text" and got["text"]["record_count"] == 3   # zero-byte file counts
@@ -293,3 +295,17 @@ def test_many_sources_in_parallel(spark, tmp_path):
         names = [r["source_name"] for r in spark.read.parquet(lake.section(section)).select("source_name").collect()]
         assert sorted(set(names)) == [f"s{i}" for i in range(8)], section
     assert spark.read.parquet(lake.section("schema_registry")).count() == 8
+
+
+def test_ragged_rows_pass_the_source_gate(spark, tmp_path):
+    """FIXTURES ragged.csv: a good header with one short and one long row is
+    valid under the source gate (files are checked, rows are not) and has 2
+    quarantined rows under the record gate."""
+    root = str(tmp_path / "data")
+    write(f"{root}/rag/ragged.csv", HEADER + "t1,1,2\n" + "t2,1,2,3,4\n" + "t3,1,2,3\n")
+    src = config.sources_from_rows(spark, [{"name": "rag", "path": f"{root}/rag"}])
+    r1 = ingest_sources(spark, src, Lake(str(tmp_path / "lake1")), run_id="r1", gate="source").first()
+    assert (r1["status"], r1["record_count"], r1["invalid_count"]) == ("stored", 3, 0)
+    r2 = ingest_sources(spark, src, Lake(str(tmp_path / "lake2")), run_id="r1", gate="record").first()
+    assert (r2["status"], r2["invalid_count"], r2["valid_count"]) == ("partial", 2, 1)
+

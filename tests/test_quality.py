@@ -65,3 +65,15 @@ def test_observed_counts_come_from_the_write(spark, tmp_path):
     watched, obs = profile.observed(df, "t_obs")
     watched.write.parquet(str(tmp_path / "o"))
     assert obs.get == {"record_count": 100, "invalid_count": 10}
+
+
+def test_unique_rule_sees_changed_data_at_the_same_path(spark, tmp_path):
+    """Spark's cache matches plans, not data: a second check of the same path
+    after the files changed must not reuse the first duplicate list."""
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1,), (2,)], "k bigint").write.parquet(path)
+    first = quality.apply_rules(spark.read.parquet(path), unique=["k"])
+    assert sum(len(r[quality.REASONS]) for r in first.collect()) == 0
+    spark.createDataFrame([(1,), (1,)], "k bigint").write.mode("overwrite").parquet(path)
+    second = quality.apply_rules(spark.read.parquet(path), unique=["k"])
+    assert sum(len(r[quality.REASONS]) for r in second.collect()) == 2
