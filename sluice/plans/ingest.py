@@ -327,6 +327,10 @@ def ingest_sources(spark: SparkSession, sources: DataFrame, lake: Lake, run_id:
 
     run_id = run_id or new_run_id()
     srcs = [s.asDict() for s in sources.collect()]  # one row per configured source
+    names = [s["name"] for s in srcs]
+    dup = sorted({n for n in names if names.count(n) > 1})
+    if dup:  # two sources would write the same version folders
+        raise ValueError(f"source names must be unique in a run: {dup}")
 
     def one(src):
         try:

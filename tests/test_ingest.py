@@ -309,3 +309,10 @@ def test_ragged_rows_pass_the_source_gate(spark, tmp_path):
     r2 = ingest_sources(spark, src, Lake(str(tmp_path / "lake2")), run_id="r1", gate="record").first()
     assert (r2["status"], r2["invalid_count"], r2["valid_count"]) == ("partial", 2, 1)
 
+
+
+def test_duplicate_source_names_are_rejected(spark, tmp_path):
+    import pytest
+    src = config.sources_from_rows(spark, [{"name": "x", "path": "/a"}, {"name": "x", "path": "/b"}])
+    with pytest.raises(ValueError, match="unique"):
+        ingest_sources(spark, src, Lake(str(tmp_path / "lake")))
