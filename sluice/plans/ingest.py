@@ -91,7 +91,8 @@ def ingest_frame(spark: SparkSession, df: DataFrame, lake: Lake, source_name: st
                  rules=(), unique=None, gate: str = "record", target_table: str | None = None,
                  modality: str = "structured", ingestion_mode: str = "batch", worker: str = "direct",
                  schema_version: int | None = None, source_path: str | None = None,
-                 extra_invalid: int = 0, invalid_override: int | None = None) -> dict:
+                 extra_invalid: int = 0, invalid_override: int | None = None,
+                 record_override: int | None = None) -> dict:
     """Stage, gate and store one source's rows in ONE write. Returns the run row.
 
     ``gate="record"``: valid rows -> curated, invalid rows -> quarantine.
@@ -107,7 +108,8 @@ def ingest_frame(spark: SparkSession, df: DataFrame, lake: Lake, source_name: st
     staging_path = tables.write_version(watched, lake.tables, source_name, run_id, lake.fmt,
                                         partition_by=["_row_state"])
     counts = obs.get
-    rec = int(counts.get("record_count", 0))
+    rows = int(counts.get("record_count", 0))
+    rec = int(record_override) if record_override is not None else rows
     row_inv = int(counts.get("invalid_count", 0))
     # extra_invalid: file-level problems that yield no row (zero-byte files);
     # invalid_override: a count in other units (bad files under the source gate)
@@ -116,7 +118,7 @@ def ingest_frame(spark: SparkSession, df: DataFrame, lake: Lake, source_name: st
     valid_part, invalid_part = f"{staging_path}/_row_state=valid", f"{staging_path}/_row_state=invalid"
     lakehouse_path = quarantine_path = None
     if gate == "source":
-        if rec == 0:
+        if rows == 0:
             status = "empty"
         elif inv == 0:
             status, lakehouse_path = "stored", valid_part
@@ -124,7 +126,7 @@ def ingest_frame(spark: SparkSession, df: DataFrame, lake: Lake, source_name: st
             status, quarantine_path = "quarantined", staging_path
     else:
         status = "empty" if rec == 0 else ("stored" if inv == 0 else "partial")
-        if rec - row_inv > 0:
+        if rows - row_inv > 0:
             lakehouse_path = valid_part
         if row_inv > 0:
             quarantine_path = invalid_part
@@ -258,7 +260,10 @@ def _source_frame(spark: SparkSession, path: str, manifest: DataFrame, worker: s
         if ".json" in exts:
             r = (spark.read.option("multiLine", multi_line).option("recursiveFileLookup", True)
                  .option("pathGlobFilter", "*.[jJ][sS][oO][nN]").option("mode", "PERMISSIVE")
-                 .option("columnNameOfCorruptRecord", "_corrupt"))
+                 .option("columnNameOfCorruptRecord", "_corrupt").options(**tables.TS_OPTIONS))
+            if names and names != ["unknown"]:
+                # the discovered fields are the schema: no inference pass over the data
+                r = r.schema(json_schema(fields))
             df = r.json(path).withColumn("_source_file", F.col("_metadata.file_path"))
             rules = [("json_parse", F.col("_corrupt").isNotNull())] if "_corrupt" in df.columns else []
             return df, rules
@@ -275,6 +280,17 @@ def _source_frame(spark: SparkSession, path: str, manifest: DataFrame, worker: s
     return manifest, []
 
 
+# Python type names of discovered JSON fields -> read types (lists and
+# objects stay raw JSON text).
+PY_TO_SPARK = {"str": "string", "int": "bigint", "float": "double", "bool": "boolean",
+               "list": "string", "dict": "string", "NoneType": "string"}
+
+
+def json_schema(fields) -> str:
+    cols = [f"`{n.replace('`', '``')}` {PY_TO_SPARK.get(t, 'string')}" for n, t in fields]
+    return ", ".join(cols + ["_corrupt string"])
+
+
 MAX_DOCUMENT_BYTES = 256 << 20
 FILE_REASONS = ("header_width", "duplicate_header", "header_order", "header_names", "empty_file", "unreadable")
 NO_ROW_REASONS = ("empty_file", "unreadable")   # files that yield no data row
@@ -410,7 +426,10 @@ def _route_and_ingest(spark, src, lake, run_id, gate, manifest, routed, modality
                 "record_count": 0, "invalid_count": 0, "valid_count": 0, "source_path": path}
     _catalog_entities(spark, lake, src["name"], run_id, manifest, worker, path)
     df, rules, file_issues = source_frame(spark, path, manifest, worker, fields, src.get("options"))
-    extra, override = 0, None
+    extra, override, records = 0, None, None
+    if gate == "source" and worker == "direct" and file_issues is None:
+        # Without csv/tsv the reference counts files and checks nothing
+        rules, records = [], manifest.count()
     if file_issues is not None:
         if gate == "source":
             # the reference's numbers (E7, E8): files are checked, rows are not;
@@ -422,7 +441,7 @@ def _route_and_ingest(spark, src, lake, run_id, gate, manifest, routed, modality
     return ingest_frame(spark, df, lake, src["name"], run_id, rules=rules, gate=gate,
                         target_table=src.get("target_table"), modality=modality, ingestion_mode=mode,
                         worker=worker, schema_version=version, source_path=path,
-                        extra_invalid=extra, invalid_override=override)
+                        extra_invalid=extra, invalid_override=override, record_override=records)
 
 
 def _catalog_entities(spark, lake: Lake, source_name: str, run_id: str, manifest: DataFrame,

@@ -316,3 +316,16 @@ def test_duplicate_source_names_are_rejected(spark, tmp_path):
     src = config.sources_from_rows(spark, [{"name": "x", "path": "/a"}, {"name": "x", "path": "/b"}])
     with pytest.raises(ValueError, match="unique"):
         ingest_sources(spark, src, Lake(str(tmp_path / "lake")))
+
+
+def test_json_source_counts_files_under_source_gate_and_reads_with_discovered_schema(spark, tmp_path):
+    root = str(tmp_path / "data")
+    write(f"{root}/j/a.json", '[{"k": 1, "v": "x", "tags": ["p"]}, {"k": 2, "v": "y", "tags": []}]')
+    write(f"{root}/j/b.json", '[{"k": 3, "v": "z", "tags": null}]')
+    src = config.sources_from_rows(spark, [{"name": "j", "path": f"{root}/j", "options": {"multiLine": "true"}}])
+    r1 = ingest_sources(spark, src, Lake(str(tmp_path / "l1")), run_id="r1", gate="source").first()
+    assert (r1["status"], r1["record_count"], r1["invalid_count"]) == ("stored", 2, 0)     # E6: files
+    r2 = ingest_sources(spark, src, Lake(str(tmp_path / "l2")), run_id="r1", gate="record").first()
+    assert (r2["record_count"], r2["invalid_count"]) == (3, 0)                            # rows
+    cur = spark.read.parquet(r2["lakehouse_path"])
+    assert dict(cur.dtypes)["k"] == "bigint" and sorted(r["k"] for r in cur.collect()) == [1, 2, 3]
