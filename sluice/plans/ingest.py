@@ -92,7 +92,7 @@ def ingest_frame(spark: SparkSession, df: DataFrame, lake: Lake, source_name: st
                  modality: str = "structured", ingestion_mode: str = "batch", worker: str = "direct",
                  schema_version: int | None = None, source_path: str | None = None,
                  extra_invalid: int = 0, invalid_override: int | None = None,
-                 record_override: int | None = None) -> dict:
+                 record_override: int | None = None, extra_records: int = 0) -> dict:
     """Stage, gate and store one source's rows in ONE write. Returns the run row.
 
     ``gate="record"``: valid rows -> curated, invalid rows -> quarantine.
@@ -109,7 +109,9 @@ def ingest_frame(spark: SparkSession, df: DataFrame, lake: Lake, source_name: st
                                         partition_by=["_row_state"])
     counts = obs.get
     rows = int(counts.get("record_count", 0))
-    rec = int(record_override) if record_override is not None else rows
+    # record_override: a count in other units (files, E6); extra_records:
+    # files counted as records without yielding rows (unreadable, E11)
+    rec = (int(record_override) if record_override is not None else rows) + int(extra_records)
     row_inv = int(counts.get("invalid_count", 0))
     # extra_invalid: file-level problems that yield no row (zero-byte files);
     # invalid_override: a count in other units (bad files under the source gate)
@@ -426,7 +428,7 @@ def _route_and_ingest(spark, src, lake, run_id, gate, manifest, routed, modality
                 "record_count": 0, "invalid_count": 0, "valid_count": 0, "source_path": path}
     _catalog_entities(spark, lake, src["name"], run_id, manifest, worker, path)
     df, rules, file_issues = source_frame(spark, path, manifest, worker, fields, src.get("options"))
-    extra, override, records = 0, None, None
+    extra, override, records, extra_records = 0, None, None, 0
     if gate == "source" and worker == "direct" and file_issues is None:
         # Without csv/tsv the reference counts files and checks nothing
         rules, records = [], manifest.count()
@@ -436,12 +438,15 @@ def _route_and_ingest(spark, src, lake, run_id, gate, manifest, routed, modality
             # invalid counts bad files, rows keep their file's reason
             rules = [r for r in rules if r[0] != "row_width"]
             override = sum(file_issues.values())
+            # An unreadable file is one record (and one invalid)
+            extra_records = file_issues.get("unreadable", 0)
         else:
             extra = sum(n for r, n in file_issues.items() if r in NO_ROW_REASONS)
     return ingest_frame(spark, df, lake, src["name"], run_id, rules=rules, gate=gate,
                         target_table=src.get("target_table"), modality=modality, ingestion_mode=mode,
                         worker=worker, schema_version=version, source_path=path,
-                        extra_invalid=extra, invalid_override=override, record_override=records)
+                        extra_invalid=extra, invalid_override=override, record_override=records,
+                        extra_records=extra_records)
 
 
 def _catalog_entities(spark, lake: Lake, source_name: str, run_id: str, manifest: DataFrame,
