@@ -229,3 +229,24 @@ def q_create_only_write(spark, sf):
         raise AssertionError("create-only write replaced an existing table")
     back = spark.read.parquet(path)
     return back.select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+# --- A10 + K6 on text files ---------------------------------------------------------
+@query("text_file_entities", r"""
+SELECT source,
+       CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS n_lines,
+       CAST(sum(len(list_filter(regexp_split_to_array(text, '[ \t\n\r\f\x0B]+'), lambda t: t <> ''))) AS BIGINT) AS n_words,
+       CAST(sum(length(text) - (len(string_split(text, chr(10))) - 1)) AS BIGINT) AS n_chars
+FROM documents GROUP BY source
+""")
+def q_text_file_entities(spark, sf):
+    """Documents written as text files partitioned by source, read back
+    line by line (splittable) and counted per file (K6), then per source."""
+    from ..operators import catalog
+    path = scratch_path(spark, "docs-text") + "/data"
+    T(spark, sf, "documents").select("source", "text").write.partitionBy("source").text(path)
+    ents = catalog.text_file_entities(spark, path)
+    src = F.regexp_extract(F.col("path"), r"/source=([^/]+)/[^/]*$", 1)
+    return ents.groupBy(src.alias("source")).agg(
+        F.sum("n_lines").cast("bigint").alias("n_lines"), F.sum("n_words").cast("bigint").alias("n_words"),
+        F.sum("n_chars").cast("bigint").alias("n_chars"))
