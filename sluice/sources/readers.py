@@ -92,6 +92,7 @@ def read_xml(spark: SparkSession, path: str, row_tag: str, schema=None) -> DataF
 def read_yaml_documents(spark: SparkSession, path: str) -> DataFrame:
     """YAML files are carried as whole-document rows (schema ``unknown``);
     no YAML parser runs here."""
-    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{yaml,yml,YAML,YML}") \
-        .text(path, wholetext=True)
+    # pathGlobFilter is case-sensitive: character classes accept any case
+    df = (spark.read.option("recursiveFileLookup", True)
+          .option("pathGlobFilter", "*.{[yY][aA][mM][lL],[yY][mM][lL]}").text(path, wholetext=True))
     return df.select(F.col("_metadata.file_path").alias("_source_file"), F.col("value").alias("document"))

@@ -231,3 +231,12 @@ def test_config_options_of_any_json_type(spark, tmp_path):
     opts = config.load_sources(spark, p).first()["options"]
     assert opts["maxFilesPerTrigger"] == "2" and opts["multiLine"] == "true"
     assert json.loads(opts["kwargs"]) == {"p": 1}                  # nested values stay as JSON text
+
+
+def test_yaml_extensions_any_case(spark, tmp_path):
+    d = tmp_path / "y"
+    write(str(d / "a.yaml"), "a: 1\n")
+    write(str(d / "b.Yml"), "b: 2\n")
+    write(str(d / "c.YAML"), "c: 3\n")
+    write(str(d / "d.txt"), "not yaml\n")
+    assert readers.read_yaml_documents(spark, str(d)).count() == 3
