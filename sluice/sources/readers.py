@@ -71,7 +71,7 @@ def read_parquet(spark: SparkSession, path: str, merge_schema: bool = False, rec
     recursively (only ``*.parquet`` files)."""
     r = spark.read.option("mergeSchema", merge_schema)
     if recursive:
-        r = r.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+        r = r.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][aA][rR][qQ][uU][eE][tT]")
     return _with_file(r.parquet(path))
 
 
