@@ -56,8 +56,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
     A cluster names it in ``spark.checkpoint.dir``; that value is always used.
-    Only when nothing is set (local tests, the bench) do we create our own
-    folder and register it, so ``DataFrame.checkpoint()`` works everywhere.
+    Only when nothing is set and the master is local (tests, the bench) do
+    we create our own folder and register it; a cluster run without the
+    setting is an error rather than a machine-local folder.
     """
     value = _conf_get(spark, _CHECKPOINT_KEY)
     if not value:
@@ -67,6 +68,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             value = None
     if value:
         return value.rstrip("/")
+    master = _conf_get(spark, "spark.master") or ""
+    if not master.startswith("local"):
+        # executors on other machines cannot share a folder of this one
+        raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage for a cluster run")
     value = tempfile.mkdtemp(prefix="sluice-ckpt-")
     try:
         spark.sparkContext.setCheckpointDir(value)
