@@ -84,3 +84,22 @@ def test_regex_decoder_agrees_with_lambda_decoder(spark, msgs):
         for key in ("a", "b", "ab"):
             for kind in ("str", "int", "float"):
                 assert r[f"g_{key}_{kind}"] == r[f"x_{key}_{kind}"], (r["m"], key, kind)
+
+
+_VAL = st.one_of(st.none(), st.text(alphabet=" \tab", max_size=3))
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(_VAL, _VAL), min_size=1, max_size=20))
+def test_clean_rows_property(spark, rows):
+    from sluice.operators import quality
+
+    def clean(v):
+        if v is None:
+            return None
+        v = v.strip(" \t\n\r\f\x0b")
+        return v or None
+    expected = {(clean(a), clean(b)) for a, b in rows} - {(None, None)}
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = [tuple(r) for r in quality.clean_rows(df, dedupe=True).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
