@@ -500,7 +500,8 @@ def ingest_stream(spark: SparkSession, src: dict, lake: Lake, run_id: str, modal
         stream = ssrc.kafka_shaped_file_stream(spark, path, max_files_per_trigger=max_files, fmt=fmt)
     stats: dict = {}
     fn = jobs.batch_writer(out, jobs.generic_projection, rules=[], fmt=lake.fmt, stats=stats)
-    jobs.foreach_batch_stream(stream, fn, ckpt)
+    query = jobs.foreach_batch_stream(stream, fn, ckpt)
+    _record_progress(spark, lake, name, run_id, query)
     rec = stats.get("records", 0)
     bad = stats.get("dead_letters", 0) + stats.get("invalid", 0)
     seconds = time.time() - t0
@@ -516,6 +517,24 @@ def ingest_stream(spark: SparkSession, src: dict, lake: Lake, run_id: str, modal
             "quarantine_path": f"{out}/dead_letter" if bad > 0 else None, "error": None}
 
 
+PROGRESS_SCHEMA = ("batch_id bigint, num_input_rows bigint, input_rows_per_second double, "
+                   "processed_rows_per_second double, duration_ms bigint")
+
+
+def _record_progress(spark, lake: Lake, source_name: str, run_id: str, query) -> None:
+    """P4 for streams: the query's own progress reports (one per micro-batch,
+    at most the number Spark keeps) as a catalog section."""
+    rows = [profile.stream_progress_row(p) for p in (query.recentProgress or [])]
+    rows = [r for r in rows if r.get("num_input_rows")]
+    if not rows:
+        return
+    data = [(r["batch_id"], r["num_input_rows"], float(r["input_rows_per_second"] or 0.0),
+             float(r["processed_rows_per_second"] or 0.0), r["duration_ms"]) for r in rows]
+    df = spark.createDataFrame(data, PROGRESS_SCHEMA).select(
+        F.lit(source_name).alias("source_name"), F.lit(run_id).alias("run_id"), "*")
+    lake.write_leaf(df, "stream_progress", run_id, source_name)
+
+
 _REGISTRY_LOCK = threading.Lock()
 
 
