@@ -420,6 +420,8 @@ def _route_and_ingest(spark, src, lake, run_id, gate, manifest, routed, modality
     """Streams run as streaming queries; files as one staged batch read."""
     path = src["path"]
     if modality == "streaming" and (path.startswith("kafka://") or routed["file_count"] is not None):
+        if routed["file_count"] is not None:  # a folder stream: its files are catalogued too (K2)
+            lake.write_leaf(catalog.file_entities(manifest, run_id), "files", run_id, src["name"])
         return ingest_stream(spark, src, lake, run_id, modality, mode, worker, version)
     if modality == "streaming" or routed["file_count"] is None:
         # nothing to read (no such folder, or a stream endpoint we cannot open)

@@ -151,6 +151,7 @@ def test_stream_source_runs_and_resumes(spark, tmp_path):
     assert r1["status"] == "partial"
     curated = spark.read.parquet(r1["lakehouse_path"])
     assert sorted(r["json"] for r in curated.collect()) == ['{"a":1,"b":"x"}', '{"c":2.5}']
+    assert spark.read.parquet(lake.section("files")).filter(F.col("source_name") == "s").count() == 1
     prog = spark.read.parquet(lake.section("stream_progress")).collect()
     assert sum(p["num_input_rows"] for p in prog) == 3 and all(p["source_name"] == "s" for p in prog)
     write(f"{root}/b.txt", "d:4\n")
