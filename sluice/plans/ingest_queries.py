@@ -16,7 +16,7 @@ from . import derive
 from .ingest import Lake, ingest_frame, new_run_id, record_run
 from .queries import ORDER_RULES_SQL, order_rules, query
 
-T = derive.table
+table = derive.table
 _RUNS: dict = {}
 
 
@@ -26,7 +26,7 @@ def _orders_run(spark: SparkSession, sf: str) -> dict:
     key = (session_key(spark), sf)
     if key not in _RUNS:
         lake = Lake(scratch_path(spark, "lake"))
-        row = ingest_frame(spark, T(spark, sf, "orders"), lake, "orders", new_run_id(),
+        row = ingest_frame(spark, table(spark, sf, "orders"), lake, "orders", new_run_id(),
                            rules=order_rules(), gate="record", target_table="orders_curated",
                            source_path=f"{sf}/orders.parquet")
         record_run(spark, lake, [row])
@@ -81,7 +81,7 @@ CONV_COLS = ["conv_id", "turn", "role", "text"]
 
 def _conversations_csv(spark, sf) -> str:
     path = scratch_path(spark, "conv-csv") + "/data"
-    tables.write_csv(T(spark, sf, "conversations").select(*CONV_COLS), path)
+    tables.write_csv(table(spark, sf, "conversations").select(*CONV_COLS), path)
     return path
 
 
@@ -116,7 +116,7 @@ def q_headerless_csv_count(spark, sf):
     their counts are subtracted after the aggregation - one scan of the data
     and no row-level anti-join."""
     path = scratch_path(spark, "orders-csv") + "/data"
-    tables.write_csv(T(spark, sf, "orders").select(*ORDER_COLS), path)
+    tables.write_csv(table(spark, sf, "orders").select(*ORDER_COLS), path)
     raw = readers.read_headerless_csv(spark, path)
     counts = raw.groupBy(F.col("_c2").alias("o_orderstatus")).agg(F.count(F.lit(1)).alias("_n"))
     heads = first_records(files.file_manifest(spark, path)).filter(F.col("status") == "ok")
@@ -132,7 +132,7 @@ SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM
 def q_xml_decode(spark, sf):
     """Orders written as XML (one <order> per row) and read back by row tag."""
     path = scratch_path(spark, "orders-xml") + "/data"
-    o = T(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
                                       "o_orderpriority")
     o.write.option("rowTag", "order").option("rootTag", "orders").xml(path)
     sch = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string"
@@ -175,8 +175,8 @@ def q_csv_header_checks(spark, sf):
     customer file's header (``header_width``) and D7 flags every customer row
     (too few cells); orders pass both. One scan each, any number of files."""
     root = scratch_path(spark, "mixed-csv")
-    tables.write_csv(T(spark, sf, "orders").select(*ORDER_COLS), root + "/orders")
-    cust = T(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    tables.write_csv(table(spark, sf, "orders").select(*ORDER_COLS), root + "/orders")
+    cust = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
     tables.write_csv(cust, root + "/customer")
     dataset = F.regexp_extract(F.col("file_path"), r"/(orders|customer)/[^/]*$", 1)
     checks = quality.header_checks(files.file_manifest(spark, root), len(ORDER_COLS))
@@ -203,7 +203,7 @@ def q_json_roundtrip(spark, sf):
     """Events written as JSON Lines (S8's sink format) and read back
     with an explicit schema - no inference pass."""
     path = scratch_path(spark, "events-json") + "/data"
-    tables.write_json(T(spark, sf, "events"), path)
+    tables.write_json(table(spark, sf, "events"), path)
     js = readers.read_json(spark, path, schema=EVENT_SCHEMA)
     return js.select("event_id", "user_id", "event_type", "value", "props",
                      F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts_text"))
@@ -216,10 +216,10 @@ def q_create_only_write(spark, sf):
     """The first create-only write succeeds; a second one to the same
     path must fail and leave the first table unchanged."""
     path = scratch_path(spark, "create-only") + "/orders"
-    o = T(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     tables.write_create_only(o, path)
     try:
-        tables.write_create_only(T(spark, sf, "lineitem").select(
+        tables.write_create_only(table(spark, sf, "lineitem").select(
             F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("o_orderstatus"),
             F.col("l_extendedprice").alias("o_totalprice")), path)
     except Exception as e:  # the expected outcome: the path already exists
@@ -244,7 +244,7 @@ def q_text_file_entities(spark, sf):
     line by line (splittable) and counted per file (K6), then per source."""
     from ..operators import catalog
     path = scratch_path(spark, "docs-text") + "/data"
-    T(spark, sf, "documents").select("source", "text").write.partitionBy("source").text(path)
+    table(spark, sf, "documents").select("source", "text").write.partitionBy("source").text(path)
     ents = catalog.text_file_entities(spark, path)
     src = F.regexp_extract(F.col("path"), r"/source=([^/]+)/[^/]*$", 1)
     return ents.groupBy(src.alias("source")).agg(

@@ -38,7 +38,7 @@ def _sql_list(values) -> str:
     return ", ".join("NULL" if v is None else f"'{v}'" for v in values)
 
 
-T = derive.table
+table = derive.table
 WS = r"[ \t\n\r\f\x0B]"
 WS_EDGE = rf"^{WS}+|{WS}+\z"
 STRUCT_SQL = _sql_list(STRUCTURED_EXTENSIONS)
@@ -151,7 +151,7 @@ runs AS (
 SELECT event_id, user_id, event_type, value FROM events ORDER BY event_id LIMIT 5
 """)
 def q_bounded_take(spark: SparkSession, sf: str) -> DataFrame:
-    ev = T(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    ev = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
     return bounded_take(ev, 5, "event_id")
 
 
@@ -160,7 +160,7 @@ def q_bounded_take(spark: SparkSession, sf: str) -> DataFrame:
 # ============================================================================
 @query("path_parts", f"WITH {PAGE_PARTS_CTE.strip()} SELECT page_id, file_name, stem, extension FROM page_parts")
 def q_path_parts(spark, sf):
-    p = T(spark, sf, "pages").select("page_id", path_parts("url", url=True).alias("p"))
+    p = table(spark, sf, "pages").select("page_id", path_parts("url", url=True).alias("p"))
     return p.select("page_id", "p.file_name", "p.stem", "p.extension")
 
 
@@ -177,10 +177,10 @@ SELECT item, extension,
 FROM items
 """)
 def q_modality_by_extension(spark, sf):
-    pages = T(spark, sf, "pages").select(
+    pages = table(spark, sf, "pages").select(
         F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("item"),
         path_parts("url", url=True)["extension"].alias("extension"))
-    docs = derive.document_manifest(T(spark, sf, "documents")).select(
+    docs = derive.document_manifest(table(spark, sf, "documents")).select(
         F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("item"), "extension")
     items = pages.unionByName(docs)
     return items.select("item", "extension", modality_of_extension(F.col("extension")).alias("modality"))
@@ -198,7 +198,7 @@ def q_streaming_hint(spark, sf):
     pid = F.col("page_id") % 6
     suffix = (F.when(pid == 1, "/Kafka/t1").when(pid == 2, "/upstream/x").when(pid == 4, "/FlinkJobs")
               .when(pid == 5, "/topics").otherwise(""))
-    p = T(spark, sf, "pages").select("page_id", F.concat("url", suffix).alias("path"))
+    p = table(spark, sf, "pages").select("page_id", F.concat("url", suffix).alias("path"))
     return p.select("page_id", "path", has_streaming_hint(F.col("path")).alias("is_streaming"))
 
 
@@ -206,7 +206,7 @@ def q_streaming_hint(spark, sf):
 # B3-B5 routing, C5 first file
 # ============================================================================
 def _routed(spark, sf):
-    docs = T(spark, sf, "documents")
+    docs = table(spark, sf, "documents")
     return route.route_sources(derive.document_sources(docs), derive.document_manifest(docs))
 
 
@@ -251,7 +251,7 @@ SELECT source_name,
 FROM manifest GROUP BY source_name
 """)
 def q_first_file(spark, sf):
-    m = derive.document_manifest(T(spark, sf, "documents"))
+    m = derive.document_manifest(table(spark, sf, "documents"))
     return route.first_files(m, {"first_tabular": (".csv", ".tsv"), "first_json": (".json",)})
 
 
@@ -262,7 +262,7 @@ SELECT source_name, count(*) AS file_count, CAST(sum(size_bytes) AS BIGINT) AS s
 FROM manifest GROUP BY source_name
 """)
 def q_manifest_summary_synthetic(spark, sf):
-    m = derive.document_manifest(T(spark, sf, "documents"))
+    m = derive.document_manifest(table(spark, sf, "documents"))
     s = route.manifest_summary(m)
     return s.select("source_name", "file_count", F.col("size_bytes").cast("bigint").alias("size_bytes"),
                     F.array_join("extensions", ",").alias("extensions"))
@@ -280,7 +280,7 @@ n AS (SELECT conv_id, turn, pos,
 SELECT conv_id, turn, CAST(min(pos) AS BIGINT) AS pos, name FROM n GROUP BY conv_id, turn, name
 """)
 def q_header_fields(spark, sf):
-    conv = T(spark, sf, "conversations")
+    conv = table(spark, sf, "conversations")
     cells = F.split(first_line(F.col("text")), ",", -1)
     f = conv.select("conv_id", "turn", F.explode(schema.header_fields(cells)).alias("f"))
     return f.select("conv_id", "turn", F.col("f.pos").cast("bigint").alias("pos"), F.col("f.name").alias("name"))
@@ -297,7 +297,7 @@ FROM (SELECT props, unnest(json_keys(props)) AS k FROM events WHERE json_type(pr
 GROUP BY ALL
 """)
 def q_json_field_types(spark, sf):
-    return schema.json_field_types(T(spark, sf, "events"), "props")
+    return schema.json_field_types(table(spark, sf, "events"), "props")
 
 
 # ============================================================================
@@ -305,7 +305,7 @@ def q_json_field_types(spark, sf):
 # ============================================================================
 def _attempts(spark, sf):
     """Registration attempts without the document text (never shuffled)."""
-    return derive.document_attempts(T(spark, sf, "documents")).drop("text", "lang")
+    return derive.document_attempts(table(spark, sf, "documents")).drop("text", "lang")
 
 
 def _versions(spark, sf, attempts=None):
@@ -388,7 +388,7 @@ SELECT conv_id, turn, CAST(len(ls) AS BIGINT) AS n_lines,
 FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS ls FROM conversations) c
 """)
 def q_row_width(spark, sf):
-    conv = T(spark, sf, "conversations")
+    conv = table(spark, sf, "conversations")
     ls = lines(F.col("text"))
 
     def n_with(status):
@@ -422,7 +422,7 @@ t AS (
 SELECT * FROM t WHERE reasons <> ''
 """)
 def q_quality_rules(spark, sf):
-    li = T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                                          "l_quantity", "l_discount", "l_returnflag", "l_linestatus")
     tagged = quality.apply_rules(li, lineitem_rules(), unique=["l_orderkey", "l_linenumber"])
     bad = tagged.filter(F.size(quality.REASONS) > 0)
@@ -447,7 +447,7 @@ def order_rules():
 SELECT reasons, count(*) AS n FROM (SELECT {ORDER_RULES_SQL} AS reasons FROM orders) o GROUP BY reasons
 """)
 def q_record_gate(spark, sf):
-    tagged = quality.apply_rules(T(spark, sf, "orders"), order_rules())
+    tagged = quality.apply_rules(table(spark, sf, "orders"), order_rules())
     valid, invalid = quality.record_gate(tagged)
     v = valid.select(F.lit("").alias("reasons"))
     i = invalid.select(F.array_join(quality.REASONS, "|").alias("reasons"))
@@ -466,7 +466,7 @@ SELECT o_orderpriority AS source,
 FROM orders GROUP BY o_orderpriority
 """)
 def q_source_gate(spark, sf):
-    tagged = quality.apply_rules(T(spark, sf, "orders").select("o_orderpriority", "o_totalprice"),
+    tagged = quality.apply_rules(table(spark, sf, "orders").select("o_orderpriority", "o_totalprice"),
                                  [quality.in_range("o_totalprice", hi=SOURCE_GATE_LIMIT)])
     s = quality.source_gate_summary(tagged, "o_orderpriority")
     return s.select(F.col("o_orderpriority").alias("source"), "status", "record_count",
@@ -483,7 +483,7 @@ d AS (SELECT DISTINCT text, lang FROM c WHERE text IS NOT NULL OR lang IS NOT NU
 SELECT sha256(text) AS text_sha256, lang, CAST(length(text) AS BIGINT) AS n_chars FROM d
 """)
 def q_clean_rows(spark, sf):
-    c = quality.clean_rows(T(spark, sf, "documents").select("text", "lang"), dedupe=True)
+    c = quality.clean_rows(table(spark, sf, "documents").select("text", "lang"), dedupe=True)
     return c.select(F.sha2("text", 256).alias("text_sha256"), "lang",
                     F.length("text").cast("bigint").alias("n_chars"))
 
@@ -495,7 +495,7 @@ SELECT source_name, count(*) AS n_files,
 FROM manifest GROUP BY source_name
 """)
 def q_image_rule(spark, sf):
-    m = derive.document_manifest(T(spark, sf, "documents"))
+    m = derive.document_manifest(table(spark, sf, "documents"))
     return m.groupBy("source_name").agg(
         F.count(F.lit(1)).alias("n_files"),
         F.count_if(quality.image_file_invalid(F.col("extension"))).alias("n_invalid"))
@@ -508,7 +508,7 @@ SELECT source_name, count(*) AS n_files,
 FROM manifest GROUP BY source_name
 """)
 def q_video_rule(spark, sf):
-    m = derive.document_manifest(T(spark, sf, "documents"))
+    m = derive.document_manifest(table(spark, sf, "documents"))
     return m.groupBy("source_name").agg(
         F.count(F.lit(1)).alias("n_files"),
         F.count_if(quality.video_file_invalid(F.col("extension"))).alias("n_invalid"))
@@ -527,7 +527,7 @@ SELECT source_name,
 FROM r GROUP BY source_name
 """)
 def q_record_counts(spark, sf):
-    m = derive.document_manifest(T(spark, sf, "documents"))
+    m = derive.document_manifest(table(spark, sf, "documents"))
     m = m.withColumn("csv_rows", profile.text_data_rows(F.col("text")))
     return profile.record_counts(m, "csv_rows")
 
@@ -548,7 +548,7 @@ def q_profile_counts(spark, sf):
              ("events", F.col("value") > 400)]
     out = None
     for name, bad in specs:
-        p = T(spark, sf, name).agg(*profile.profile_exprs(bad)).select(
+        p = table(spark, sf, name).agg(*profile.profile_exprs(bad)).select(
             F.lit(name).alias("source_name"), F.lit("structured").alias("modality"),
             F.lit("batch").alias("ingestion_mode"), "record_count", "invalid_count", "valid_count")
         out = p if out is None else out.unionByName(p)
@@ -562,7 +562,7 @@ SELECT event_type, count(*) AS records,
 FROM events GROUP BY event_type
 """)
 def q_ingestion_rate(spark, sf):
-    return profile.ingestion_rate(T(spark, sf, "events"), ["event_type"], "ts")
+    return profile.ingestion_rate(table(spark, sf, "events"), ["event_type"], "ts")
 
 
 ORDER_PROFILE_COLS = [("o_orderkey", "num"), ("o_custkey", "num"), ("o_orderstatus", "str"),
@@ -589,7 +589,7 @@ def _column_profile_sql():
 
 @query("column_profile", _column_profile_sql())
 def q_column_profile(spark, sf):
-    o = T(spark, sf, "orders")
+    o = table(spark, sf, "orders")
     return profile.column_profile(o, [c for c, _ in ORDER_PROFILE_COLS], exact=True)
 
 
@@ -597,7 +597,7 @@ def q_column_profile(spark, sf):
 # K1, K3, K5, K6, K7, S9 catalog
 # ============================================================================
 def _runs(spark, sf):
-    a = derive.with_run_counts(derive.document_attempts(T(spark, sf, "documents")).drop("lang"))
+    a = derive.with_run_counts(derive.document_attempts(table(spark, sf, "documents")).drop("lang"))
     return derive.document_runs(_versions(spark, sf, a))
 
 
@@ -678,7 +678,7 @@ SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars,
 FROM documents
 """)
 def q_text_entities(spark, sf):
-    return catalog.text_entities(T(spark, sf, "documents"), "text", keys=["doc_id"])
+    return catalog.text_entities(table(spark, sf, "documents"), "text", keys=["doc_id"])
 
 
 # ============================================================================
@@ -706,7 +706,7 @@ EVENT_MESSAGE_SQL = (f"'event_id:' || CAST(event_id AS VARCHAR) || ',ts:' || str
 
 @query("kv_encode", f"SELECT event_id, {EVENT_MESSAGE_SQL} AS message FROM events")
 def q_kv_encode(spark, sf):
-    return event_message(T(spark, sf, "events"))
+    return event_message(table(spark, sf, "events"))
 
 
 EVENT_KINDS = "event_id:int,ts:str,user_id:int,event_type:str,value:float"
@@ -728,7 +728,7 @@ SELECT event_id, strftime(ts, '{TS_FMT_SQL}') AS ts, user_id, event_type,
 FROM events
 """)
 def q_kv_decode(spark, sf):
-    return decode_events(event_message(T(spark, sf, "events")))
+    return decode_events(event_message(table(spark, sf, "events")))
 
 
 @query("line_tokens", f"""
@@ -738,7 +738,7 @@ SELECT lang, count(*) FILTER (WHERE tok <> '') AS n_tokens,
 FROM t GROUP BY lang
 """)
 def q_line_tokens(spark, sf):
-    docs = T(spark, sf, "documents").select("lang", F.explode(lines(F.col("text"))).alias("line"))
+    docs = table(spark, sf, "documents").select("lang", F.explode(lines(F.col("text"))).alias("line"))
     toks = docs.select("lang", F.explode(codec.line_tokens(F.col("line"))).alias("tok"))
     return toks.groupBy("lang").agg(F.count(F.lit(1)).alias("n_tokens"),
                                     F.countDistinct("tok").alias("n_distinct_tokens"))

@@ -18,7 +18,7 @@ from ..streaming import sources as ssrc
 from . import derive
 from .queries import EVENT_MESSAGE_SQL, TS_FMT_SPARK, TS_FMT_SQL, event_message, query
 
-T = derive.table
+table = derive.table
 MIN_FILES = 4
 N_BATCHES = 4
 EVENT_COLS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -51,7 +51,7 @@ def _spread(df: DataFrame, path: str, order: str) -> int:
 def _event_files(spark: SparkSession, sf: str) -> tuple:
     """Events as parquet files, range-partitioned on event time."""
     src = scratch_path(spark, "events-src")
-    n = _spread(T(spark, sf, "events"), src, "ts")
+    n = _spread(table(spark, sf, "events"), src, "ts")
     return src, n
 
 
@@ -98,7 +98,7 @@ def q_stream_restart(spark, sf):
     the later half arrives and the query restarts from its checkpoint. The
     sink holds every row exactly once."""
     src, out = scratch_path(spark, "events-src"), scratch_path(spark, "stream-restart")
-    ev = T(spark, sf, "events")
+    ev = table(spark, sf, "events")
     # the middle of the event-time range: one aggregate value
     lo, hi = ev.agg(F.min("ts"), F.max("ts")).first()
     mid = lo + (hi - lo) / 2
@@ -128,7 +128,7 @@ def _kafka_rows(ev: DataFrame, damaged=None) -> DataFrame:
 
 def _kafka_files(spark, sf, damaged=None) -> tuple:
     src = scratch_path(spark, "kafka-src")
-    n = _spread(_kafka_rows(T(spark, sf, "events"), damaged), src, "offset")
+    n = _spread(_kafka_rows(table(spark, sf, "events"), damaged), src, "offset")
     return src, n
 
 
@@ -157,7 +157,7 @@ def q_stream_text_lines(spark, sf):
     """A14 + S6: text-line files streamed line by line into a row-format
     text sink."""
     src, out = scratch_path(spark, "lines-src"), scratch_path(spark, "stream-lines")
-    msgs = event_message(T(spark, sf, "events")).select("message")
+    msgs = event_message(table(spark, sf, "events")).select("message")
     n = n_files_for(msgs)
     msgs.repartition(n).write.text(src)
     s = ssrc.text_line_stream(spark, src, max_files_per_trigger=per_trigger(n))
