@@ -103,3 +103,29 @@ def test_clean_rows_property(spark, rows):
     df = spark.createDataFrame(rows, "a string, b string")
     got = [tuple(r) for r in quality.clean_rows(df, dedupe=True).collect()]
     assert len(got) == len(set(got)) and set(got) == expected
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.integers(1, 30),
+                          st.sampled_from(["stored", "quarantined", "partial"])),
+                min_size=1, max_size=25, unique_by=lambda r: (r[0], r[1])))
+def test_exposure_property(spark, history):
+    """The exposed version is the newest run that wrote a curated
+    table; stale_since_run is the first quarantined run after it."""
+    from sluice.operators import catalog
+    rows = [(f"r{n:03d}", s, st_, f"/lh/{s}/{n}" if st_ != "quarantined" else None,
+             f"/q/{s}/{n}" if st_ != "stored" else None) for s, n, st_ in history]
+    runs = spark.createDataFrame(rows, "run_id string, source_name string, status string, "
+                                       "lakehouse_path string, quarantine_path string")
+    got = {r["source_name"]: (r["exposed_run"], r["lakehouse_path"], r["stale_since_run"])
+           for r in catalog.exposed_datasets(runs).collect()}
+    expected = {}
+    for s in {h[0] for h in history}:
+        mine = sorted((rid, st_, lh) for rid, src, st_, lh, _ in rows if src == s)
+        good = [(rid, lh) for rid, st_, lh in mine if lh is not None]
+        if not good:
+            continue
+        last_rid, last_lh = good[-1]
+        later_q = [rid for rid, st_, _ in mine if st_ == "quarantined" and rid > last_rid]
+        expected[s] = (last_rid, last_lh, later_q[0] if later_q else None)
+    assert got == expected
