@@ -129,3 +129,21 @@ def test_exposure_property(spark, history):
         later_q = [rid for rid, st_, _ in mine if st_ == "quarantined" and rid > last_rid]
         expected[s] = (last_rid, last_lh, later_q[0] if later_q else None)
     assert got == expected
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["s1", "s2", "s3"]), st.sampled_from([".csv", ".tsv", ".json", ".png"]),
+                          st.integers(0, 9)), min_size=1, max_size=20))
+def test_record_counts_property(spark, files_):
+    """A source with csv/tsv files counts their data rows (others
+    are ignored); a source without counts files."""
+    from sluice.operators import profile
+    rows = [(s, f"/l/{s}/f{i}{e}", e, r) for i, (s, e, r) in enumerate(files_)]
+    m = spark.createDataFrame(rows, "source_name string, path string, extension string, csv_rows bigint")
+    got = {r["source_name"]: (r["record_count"], r["count_unit"]) for r in profile.record_counts(m).collect()}
+    expected = {}
+    for s in {f[0] for f in files_}:
+        mine = [(e, r) for src, e, r in files_ if src == s]
+        tab = [r for e, r in mine if e in (".csv", ".tsv")]
+        expected[s] = (sum(tab), "rows") if tab else (len(mine), "files")
+    assert got == expected
