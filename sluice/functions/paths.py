@@ -37,7 +37,7 @@ def strip_url_tail(path) -> Column:
 
 def file_name(path) -> Column:
     """Final component of a ``/``-separated path (``os.path.basename``)."""
-    return F.regexp_extract(_c(path), r"([^/]*)$", 1)
+    return F.substring_index(_c(path), "/", -1)
 
 
 def suffix(name) -> Column:

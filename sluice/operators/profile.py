@@ -56,8 +56,9 @@ def record_counts(manifest: DataFrame, rows_col: str = "csv_rows") -> DataFrame:
 def text_data_rows(text) -> Column:
     """Data rows of a quote-free delimited text: lines less the header, no
     trailing empty line."""
-    t = F.regexp_replace(text if isinstance(text, Column) else F.col(text), r"\n\z", "")
-    return F.greatest(line_count(t) - 1, F.lit(0))
+    t = text if isinstance(text, Column) else F.col(text)
+    trailing = F.when(t.endswith("\n"), F.lit(1)).otherwise(F.lit(0))
+    return F.greatest(line_count(t) - 1 - trailing, F.lit(0))
 
 
 def ingestion_rate(df: DataFrame, keys, ts: str, count_col: str | None = None) -> DataFrame:
