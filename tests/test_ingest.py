@@ -332,3 +332,19 @@ def test_json_source_counts_files_under_source_gate_and_reads_with_discovered_sc
     assert (r2["record_count"], r2["invalid_count"]) == (3, 0)                            # rows
     cur = spark.read.parquet(r2["lakehouse_path"])
     assert dict(cur.dtypes)["k"] == "bigint" and sorted(r["k"] for r in cur.collect()) == [1, 2, 3]
+
+
+def test_load_dataset_binary_videos(spark, tmp_path):
+    import os as _os
+
+    from sluice.plans.loads import load_dataset
+    root = str(tmp_path / "vids")
+    for i in range(4):
+        write(f"{root}/c{i}/v{i}.mp4", _os.urandom(16 + i))
+    write(f"{root}/notes.txt", "not a video")
+    r = load_dataset(spark, root, str(tmp_path / "t_all"), "binary")
+    assert r["records"] == 4
+    t = spark.read.parquet(r["target"])
+    assert sorted(x["length"] for x in t.collect()) == [16, 17, 18, 19]
+    r2 = load_dataset(spark, root, str(tmp_path / "t_two"), "binary", first_files=2)
+    assert r2["records"] == 2
