@@ -29,6 +29,7 @@ from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -232,8 +233,7 @@ def _little_endian(ids: array) -> bytes:
 def encode_column(text: Column, path: str, pattern: str) -> Column:
     """Token ids (array of bigint) of a text column; null encodes as the empty text."""
     @F.pandas_udf(T.ArrayType(T.LongType()))
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = worker_codec(path, pattern)
         for s in batches:
             yield pd.Series([codec.encode(t or "").tolist() for t in s])
@@ -243,8 +243,7 @@ def encode_column(text: Column, path: str, pattern: str) -> Column:
 def decode_column(ids: Column, path: str, pattern: str) -> Column:
     """Bytes (binary) that token ids stand for; null decodes to no bytes."""
     @F.pandas_udf(T.BinaryType())
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = worker_codec(path, pattern)
         for s in batches:
             yield pd.Series([codec.decode([] if v is None else [int(i) for i in v]) for v in s])
@@ -259,8 +258,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     Repeated rows stay repeated. One narrow pass: no shuffle, each text is
     handled in the task that read it, memory is bounded by a batch."""
     @F.pandas_udf(RESULT)
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = worker_codec(path, pattern)
         for s in batches:
             rows = []
