@@ -78,18 +78,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates the large-star and small-star steps (Kiveris et al., 2014)
     until the edge set is a star forest. Edge count never grows, every step is
-    an aggregation with map-side combine and a join on the node, and each
-    round is checkpointed to the shared folder. A hub node's edges are one
-    skewed join key, which adaptive execution splits."""
+    an aggregation with map-side combine and a join on the node. A hub node's
+    edges are one skewed join key: the aggregate is checkpointed before it is
+    joined, so the join shuffles both sides and adaptive execution can split
+    the hub."""
     edges = checkpointed(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
                          .distinct())
     before = _signature(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = checkpointed(large.where("u <> v").distinct())  # u > v: each node points to a smaller one
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.explode(F.array(
             F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")) \
             .select(F.col("e.v").alias("u"), F.col("e.u").alias("v")).where("u <> v").distinct()

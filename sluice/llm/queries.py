@@ -4,6 +4,7 @@ operator, with a DuckDB twin where SQL can say it."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -32,3 +33,10 @@ def op9_byte_bpe(spark, sf_dir):
     from . import bpe
     path, pattern = _rank_file()
     return bpe.digests(table(spark, sf_dir, "documents"), path, pattern)
+
+
+@query("op5_simhash")
+def op5_simhash(spark, sf_dir):
+    from . import simhash
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
