@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import held_out
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -40,3 +42,12 @@ def op5_simhash(spark, sf_dir):
     from . import simhash
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op7_language_mixture")
+def op7_language_mixture(spark, sf_dir):
+    from . import langmix
+    docs = table(spark, sf_dir, "documents")
+    model = langmix.fit(docs.where(~held_out(F.col("doc_id"))))
+    return langmix.identify(docs, model) \
+        .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "languages")
