@@ -51,3 +51,10 @@ def op7_language_mixture(spark, sf_dir):
     model = langmix.fit(docs.where(~held_out(F.col("doc_id"))))
     return langmix.identify(docs, model) \
         .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "languages")
+
+
+@query("op6_quality_lines")
+def op6_quality_lines(spark, sf_dir):
+    from . import crf
+    docs = table(spark, sf_dir, "documents")
+    return crf.judge(docs, crf.fit(docs, table(spark, sf_dir, "labels")))
