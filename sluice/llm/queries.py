@@ -58,3 +58,12 @@ def op6_quality_lines(spark, sf_dir):
     from . import crf
     docs = table(spark, sf_dir, "documents")
     return crf.judge(docs, crf.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op4_quality_nbsvm")
+def op4_quality_nbsvm(spark, sf_dir):
+    from . import nbsvm
+    docs = table(spark, sf_dir, "documents")
+    model = nbsvm.fit(docs.where(~held_out(F.col("doc_id"))), table(spark, sf_dir, "labels"))
+    return nbsvm.score(docs, model) \
+        .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "margin")
