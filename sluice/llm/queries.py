@@ -67,3 +67,62 @@ def op4_quality_nbsvm(spark, sf_dir):
     model = nbsvm.fit(docs.where(~held_out(F.col("doc_id"))), table(spark, sf_dir, "labels"))
     return nbsvm.score(docs, model) \
         .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "margin")
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n,
+         md5('mix-1:' || COALESCE(CAST(doc_id AS VARCHAR), '')) AS g
+  FROM documents),
+s AS (
+  SELECT source, sum(n)::BIGINT AS size, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+  FROM d GROUP BY source),
+c AS (
+  SELECT *, 2 * size AS cap,
+         (CAST(1.5 AS DOUBLE) * (sum(size) OVER ())::DOUBLE
+          - COALESCE(sum(2 * size) OVER (ORDER BY 2.0 * size / w, source NULLS LAST
+                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+         / (sum(w) OVER (ORDER BY 2.0 * size / w, source NULLS LAST
+                         ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS lvl
+  FROM s),
+t AS (
+  SELECT source, size, CASE WHEN l.lvl IS NULL OR l.lvl * w >= cap THEN cap::DOUBLE ELSE l.lvl * w END AS target
+  FROM c, (SELECT (SELECT lvl FROM c WHERE lvl * w < cap ORDER BY 2.0 * size / w, source NULLS LAST LIMIT 1) AS lvl) l),
+p AS (
+  SELECT *, CASE WHEN whole < 2 THEN target - whole * size ELSE 0.0 END AS extra
+  FROM (SELECT *, CASE WHEN size > 0 THEN least(floor(target / size), 2)::BIGINT ELSE 0 END AS whole FROM t) x),
+k AS (
+  SELECT d.source, d.g, d.n, count(*) AS times, sum(d.n) AS words FROM d GROUP BY ALL),
+o AS (
+  SELECT k.*, p.extra, (sum(words) OVER (PARTITION BY k.source ORDER BY g, k.n
+                                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::DOUBLE AS upto
+  FROM k JOIN p ON k.source IS NOT DISTINCT FROM p.source),
+r AS (
+  SELECT *, extra > 0 AND upto <= extra AS fits,
+         extra - COALESCE(max(CASE WHEN upto <= extra THEN upto END) OVER (PARTITION BY source), 0) AS rest FROM o),
+b AS (
+  SELECT *, extra > 0 AND NOT fits AND n > 0 AND times = 1 AND abs(n - rest) < rest AS able FROM r),
+f AS (
+  SELECT source, g, n, fits OR (able AND row_number() OVER (PARTITION BY source, able ORDER BY abs(n - rest), g, n) = 1) AS more
+  FROM b)
+SELECT d.doc_id, d.n AS size, p.size AS source_size, p.target,
+       (d.n * (p.whole + CASE WHEN f.more THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+JOIN f ON d.source IS NOT DISTINCT FROM f.source AND d.g = f.g AND d.n = f.n
+"""
+
+
+@query("op3_source_mix", OP3_SQL)
+def op3_source_mix(spark, sf_dir):
+    from . import mixing
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), prefix="m_")
+    return mixed.select("doc_id", F.col("m_size").alias("size"), F.col("m_source_size").alias("source_size"),
+                        F.col("m_target").alias("target"), (F.col("m_size") * F.col("m_copies")).alias("taken"))
+
+
+@query("op10_minimax_shards")
+def op10_minimax_shards(spark, sf_dir):
+    from . import sharding
+    rows = sharding.assign(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"))
