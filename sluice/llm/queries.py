@@ -126,3 +126,9 @@ def op10_minimax_shards(spark, sf_dir):
     rows = sharding.assign(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op8_html_density")
+def op8_html_density(spark, sf_dir):
+    from . import htmltext
+    return htmltext.extract(table(spark, sf_dir, "pages"))
