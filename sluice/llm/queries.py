@@ -132,3 +132,42 @@ def op10_minimax_shards(spark, sf_dir):
 def op8_html_density(spark, sf_dir):
     from . import htmltext
     return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+def _op1_sql() -> str:
+    from . import licenses
+    rows = ", ".join(f"({k}, '{name}', '{b}')" for k, (name, text) in enumerate(licenses.TEMPLATES)
+                     for b in licenses.template_bigrams(text))
+    return rf"""
+WITH tpl(template, license, bigram) AS (VALUES {rows}),
+size_of AS (SELECT template, license, count(*) AS nt FROM tpl GROUP BY ALL),
+norm AS (SELECT row_number() OVER () AS row, doc_id, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS t
+         FROM documents WHERE text IS NOT NULL),
+pieces AS (SELECT row, doc_id, t, string_split(t, chr(10)) AS ls, regexp_split_to_array(t, '\n(?: *\n)+') AS ps FROM norm),
+units AS (
+  SELECT row, doc_id, 'line' AS kind, unnest(range(len(ls))) AS place, trim(unnest(ls)) AS u FROM pieces
+  UNION ALL
+  SELECT row, doc_id, kind, place, trim(regexp_replace(p, '[ \n]+', ' ', 'g')) FROM (
+    SELECT row, doc_id, 'paragraph' AS kind, unnest(range(len(ps))) AS place, unnest(ps) AS p FROM pieces) x
+  WHERE contains(trim(p, ' ' || chr(10)), chr(10))
+  UNION ALL
+  SELECT row, doc_id, 'text', 0, trim(regexp_replace(t, '[ \n]+', ' ', 'g')) FROM pieces WHERE len(ps) > 1),
+cand AS (
+  SELECT row, doc_id, kind, place, w FROM (SELECT *, regexp_split_to_array(u, ' +') AS w FROM units) x WHERE len(w) > 1),
+grams AS (
+  SELECT *, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM cand),
+shared AS (
+  SELECT row, doc_id, kind, place, template, license, n, count(*) AS n_both
+  FROM (SELECT row, doc_id, kind, place, len(g) AS n, unnest(g) AS bigram FROM grams) x JOIN tpl USING (bigram)
+  GROUP BY ALL)
+SELECT doc_id, s.license, kind, place::BIGINT AS place, max(2 * n_both / (n + nt)::DOUBLE) AS score
+FROM shared s JOIN size_of z USING (template)
+WHERE 2 * n_both / (n + nt)::DOUBLE >= 0.8
+GROUP BY row, doc_id, s.license, kind, place
+"""
+
+
+@query("op1_license_dice", _op1_sql())
+def op1_license_dice(spark, sf_dir):
+    from . import licenses
+    return licenses.scan(table(spark, sf_dir, "documents"))
