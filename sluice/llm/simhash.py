@@ -32,7 +32,7 @@ from .common import checkpointed, components, fresh, partitions_of, with_global_
 SHINGLE_WORDS, MAX_BITS = 3, 2
 HASH_SEED = 42
 #: Fewest members of a block, and most blocks (the nodes that are broadcast: three longs each).
-BLOCK_ROWS, MAX_BLOCKS = 8192, 16384
+BLOCK_ROWS, MAX_BLOCKS = 65536, 16384
 #: Children of an index node.
 FANOUT = 16
 #: Shingles hashed, and fingerprints walked down the tree, at a time.
