@@ -10,6 +10,8 @@ from ..session import ensure_checkpoint_dir
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+`` (ASCII only), for Java and RE2 patterns.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Frames up to this measured size are broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 8 << 20
 #: Remainder of crc32(doc_id as text) by 3 that marks a held-out document.
 HELD_OUT_REMAINDER = 1
 
@@ -39,6 +41,14 @@ def held_out(doc_id: Column) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3) == HELD_OUT_REMAINDER
 
 
+def broadcast_if_small(side: DataFrame, key: str | None = None) -> DataFrame:
+    """A broadcast hint for a materialized frame of a few numbers a row whose
+    measured size (rows, and the bytes of ``key``) is bounded; as it is beyond."""
+    width = F.coalesce(F.sum(F.octet_length(key)), F.lit(0)) if key else F.lit(0)
+    n, size = side.agg(F.count(F.lit(1)), width).first()
+    return F.broadcast(side) if n * 256 + size <= BROADCAST_BYTES else side
+
+
 def partitions_of(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

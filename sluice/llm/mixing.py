@@ -20,15 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD_PATTERN, checkpointed, fresh, with_global_index
+from .common import WORD_PATTERN, broadcast_if_small, checkpointed, fresh, with_global_index
 
 #: Cycle of weights over the sources in code point order, share of all words to take, most repetitions of a source.
 WEIGHTS, BUDGET, MAX_EPOCHS = (3, 1, 2), 1.5, 2
 SEED = "mix-1"
 #: Hexadecimal digits of the digest that name a bucket: 16 ** DIGITS buckets a source.
 DIGITS = 3
-#: Tables of one row a source are broadcast up to this measured size, and joined by shuffle beyond it.
-BROADCAST_BYTES = 8 << 20
 
 
 def size_of(text: Column) -> Column:
@@ -88,7 +86,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
     def with_side(rows: DataFrame, side: DataFrame) -> DataFrame:
         side = side.withColumnRenamed("source", "s")
-        return rows.join(_small(side, "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        return rows.join(broadcast_if_small(side, "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
     # at most 16 ** DIGITS rows a source
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -115,12 +113,6 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     return checkpointed(full.join(fills, F.col("source").eqNullSafe(F.col("f")), "left").drop("f"))
 
 
-def _small(side: DataFrame, key: str) -> DataFrame:
-    """A broadcast hint for a table of sources whose measured size is bounded; otherwise as it is."""
-    n, width = side.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(key)), F.lit(0))).first()
-    return F.broadcast(side) if n * 256 + width <= BROADCAST_BYTES else side
-
-
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         prefix: str = "_mix_") -> DataFrame:
     """``docs`` with columns ``<prefix>size``, ``<prefix>source_size``,
@@ -132,7 +124,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Reruns agree."""
     sources = plan(docs, id_col, text_col, source_col)
     names = {c: f"{prefix}{c}" for c in ("size", "source_size", "target", "copies")}
-    side = _small(sources.select("source", F.struct(*[F.col(c) for c in sources.columns]).alias("_plan")), "source")
+    side = broadcast_if_small(sources.select("source", F.struct(*[F.col(c) for c in sources.columns]).alias("_plan")), "source")
     row = fresh(docs, "_row")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row),
                        F.col(source_col).cast("string").alias("_source"), size_of(F.col(text_col)).alias("_n"),

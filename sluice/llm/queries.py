@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _rank_file() -> tuple[str, str]:
+def rank_file() -> tuple[str, str]:
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -33,7 +33,7 @@ def _rank_file() -> tuple[str, str]:
 @query("op9_byte_bpe")
 def op9_byte_bpe(spark, sf_dir):
     from . import bpe
-    path, pattern = _rank_file()
+    path, pattern = rank_file()
     return bpe.digests(table(spark, sf_dir, "documents"), path, pattern)
 
 
@@ -171,3 +171,28 @@ GROUP BY row, doc_id, s.license, kind, place
 def op1_license_dice(spark, sf_dir):
     from . import licenses
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+  ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+n AS (SELECT x, count(*) AS n_links FROM l GROUP BY x),
+c AS (SELECT x, min(y) AS low FROM r GROUP BY x)
+SELECT e.vec_id, COALESCE(n.n_links, 0)::BIGINT AS n_links, least(e.vec_id, COALESCE(c.low, e.vec_id)) AS component_id,
+       least(e.vec_id, COALESCE(c.low, e.vec_id)) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN n ON n.x = e.vec_id LEFT JOIN c ON c.x = e.vec_id
+"""
+
+
+@query("op2_itq_near_dup", OP2_SQL)
+def op2_itq_near_dup(spark, sf_dir):
+    from . import itq
+    return itq.near_duplicates(table(spark, sf_dir, "embeddings"))
