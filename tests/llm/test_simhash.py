@@ -1,0 +1,114 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sluice.llm import simhash
+from xxhash import xxh64_intdigest
+
+
+def plain_fingerprint(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    for c in "\t\n\x0b\x0c\r":
+        low = low.replace(c, " ")
+    words = [w for w in low.split(" ") if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_classes(fps, bits=2):
+    up = {f: f for f in fps}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+    for a in up:
+        for b in up:
+            if a < b and (a ^ b).bit_count() <= bits:
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return {f: root(f) for f in up}
+
+
+TEXTS = [None, "", " \t\n", "one", "one two", "ONE Two", "a b c d e f", "a b c d", "İ ß Ä ö", "x " * 50000,
+         "the same text twice over", "the same text twice over"]
+
+
+def test_fingerprints(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    texts = TEXTS + [" ".join(rng.choices(words, k=rng.randint(1, 60))) for _ in range(60)]
+    for t in texts:
+        assert simhash.fingerprint(t) & (2 ** 64 - 1) == plain_fingerprint(t)
+    one = spark.createDataFrame([("a b c",)], "t string").select(F.xxhash64("t")).first()[0]
+    assert one & (2 ** 64 - 1) == plain_fingerprint("A B C")
+
+
+def near_texts(n=120, seed=5):
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n // 4):
+        words = [f"v{rng.randint(0, 500)}" for _ in range(rng.randint(80, 400))]
+        for _ in range(4):
+            copy = list(words)
+            for _ in range(rng.randint(0, 2)):
+                copy[rng.randrange(len(copy))] = "zz"
+            out.append(" ".join(copy))
+    return out
+
+
+def test_classes_against_brute_force(spark):
+    texts = TEXTS + near_texts()
+    rows = [(i * 3 % 1009, t, "x", 7) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string, component_id int")
+    got = {r["doc_id"]: r for r in simhash.near_duplicates(docs).collect()}
+    fps = {i: plain_fingerprint(t) for i, t, _, _ in rows}
+    classes = plain_classes(set(fps.values()))
+    low = {}
+    for i, f in fps.items():
+        low[classes[f]] = min(i, low.get(classes[f], i))
+    assert len(got) == len(rows)
+    for i, f in fps.items():
+        assert got[i]["fp"] & (2 ** 64 - 1) == f and got[i]["component_id"] == low[classes[f]]
+
+
+@pytest.mark.parametrize("block", [4, 25, 1000])
+def test_links_in_blocks(spark, block, monkeypatch):
+    monkeypatch.setattr(simhash, "FANOUT", 4)
+    rng = np.random.default_rng(block)
+    fps = set()
+    for base in rng.integers(0, 1 << 62, size=60).tolist():
+        for _ in range(6):
+            x = base << 1
+            for b in rng.integers(0, 64, size=rng.integers(0, 4)).tolist():
+                x ^= 1 << b
+            fps.add(x)
+    signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
+    edges = simhash.links(spark.createDataFrame(signed, "fp long"), block_rows=block).collect()
+    classes, up = plain_classes(fps), {f: f for f in fps}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+    for u, v in edges:
+        x, y = root(u & (2 ** 64 - 1)), root(v & (2 ** 64 - 1))
+        up[max(x, y)] = min(x, y)
+    assert {f: root(f) for f in fps} == classes
+
+
+def test_deduplicate_keeps_one_of_each(spark):
+    rows = [(5, "a b c d", "k"), (5, "a b c d", "k"), (2, "a b c d", "m"), (9, "q r s", "n"), (None, "a b c d", "o"),
+            (None, "lone words here", "p"), (None, "lone words here", "p"), (1, None, None), (3, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string")
+    kept = [tuple(r) for r in simhash.deduplicate(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(2, "a b c d", "m"), (9, "q r s", "n"), (None, "lone words here", "p"),
+                                            (1, None, None)], key=str)
+    assert simhash.deduplicate(docs).columns == docs.columns
+    assert simhash.deduplicate(docs.limit(0)).count() == 0
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
