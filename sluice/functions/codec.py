@@ -1,5 +1,6 @@
-"""Message codec (G1-G3): rows <-> ``k:v,k:v`` text, built from Catalyst
-higher-order functions so decoding stays inside the JVM and inside codegen."""
+"""Message codec (G1-G3): rows <-> ``k:v,k:v`` text. Decoding is a built-in
+map parse and regular expressions, so it stays in whole-stage codegen; only
+the typed JSON text of a message walks its entries one by one."""
 
 from __future__ import annotations
 
@@ -23,125 +24,80 @@ def kv_encode(*fields) -> Column:
     return F.concat_ws(",", *items)
 
 
+# What a text must look like to be read as a number with a fraction (no type suffix).
+_FLOAT = r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def value_kind(v) -> Column:
     """Type of a decoded text value, in the reference's precedence (E19):
     a dot means float, ASCII digits mean int, anything else is text. A value
     that is not a valid number stays text instead of failing the message."""
     v = _c(v)
-    as_double = v.try_cast("double")
-    as_long = v.try_cast("bigint")
-    return (F.when(F.instr(v, ".") > 0,
-                   F.when(as_double.isNotNull(), F.lit("float")).otherwise(F.lit("str")))
-            .when(v.rlike(r"^[0-9]+$") & as_long.isNotNull(), F.lit("int"))
+    return (F.when(v.rlike(_FLOAT), F.lit("float"))
+            .when(v.rlike(r"^[0-9]+$") & v.try_cast("bigint").isNotNull(), F.lit("int"))
             .otherwise(F.lit("str")))
 
 
+# A message is decodable iff every ``,``-item holds a ``:`` (key before it).
+_ITEM = r"[^,:]*:[^,]*"
+VALID_MESSAGE = rf"^{_ITEM}(,{_ITEM})*$"
+
+
+def kv_valid(msg) -> Column:
+    """False for a message with an item that lacks ``:`` (dead letter); NULL stays NULL."""
+    return _c(msg).rlike(VALID_MESSAGE)
+
+
 def kv_decode(msg) -> Column:
-    """Text message -> struct<ok boolean, entries array<struct<key, value, kind>>>.
-    Self-contained column form; ``decode_messages`` is the faster DataFrame
-    form of the same decoding.
+    """Text message -> struct<ok boolean, fields map<string, string>>.
 
     Items split at ``,``; each item splits at its *first* ``:`` so values may
-    hold colons (E18). A repeated key keeps its last value. A message with an
-    item lacking ``:`` is not ok (dead letter)."""
-    items = F.split(_c(msg), ",", -1)
-    ok = F.forall(items, lambda x: F.instr(x, ":") > 0)
-    raw = F.transform(items, lambda x: F.struct(
-        F.substring_index(x, ":", 1).alias("key"),
-        F.substr(x, F.instr(x, ":") + 1).alias("value")))
-    keys = F.array_distinct(F.transform(raw, lambda e: e["key"]))
-    entries = F.transform(keys, lambda k: F.struct(
-        k.alias("key"),
-        F.try_element_at(F.filter(raw, lambda e: e["key"] == k), F.lit(-1))["value"].alias("value")))
-    typed = F.transform(entries, lambda e: F.struct(
-        e["key"].alias("key"), e["value"].alias("value"), value_kind(e["value"]).alias("kind")))
-    return F.struct(ok.alias("ok"),
-                    F.when(ok, typed).alias("entries"))
-
-
-def _raw_items(msg) -> Column:
-    return F.transform(F.split(_c(msg), ",", -1), lambda x: F.struct(
-        F.substring_index(x, ":", 1).alias("key"),
-        F.substr(x, F.instr(x, ":") + 1).alias("value"),
-        (F.instr(x, ":") > 0).alias("has_sep")))
+    hold colons (E18). A repeated key keeps its last value: earlier items of
+    such a key are cut out of the text first, and only in messages that have
+    one, whatever the session's rule for duplicate map keys is."""
+    m = _c(msg)
+    ok = kv_valid(m)
+    keys = F.regexp_extract_all(m, F.lit("(?:^|,)([^,:]*):"), F.lit(1))
+    last = F.regexp_replace(F.regexp_replace(m, r"(?:^|,)([^,:]*):[^,]*(?=,(?:[^,]*,)*\1:)", ""), "^,", "")
+    text = F.when(F.size(F.array_distinct(keys)) == F.size(keys), m).otherwise(last)
+    return F.struct(ok.alias("ok"), F.when(ok, F.str_to_map(text, F.lit(","), F.lit(":"))).alias("fields"))
 
 
 def decode_messages(df, msg: str, out: str = "_msg"):
-    """G2 as a DataFrame step (the fast path): the split items are computed
-    once in their own projection, so the per-key lambdas below only read a
-    column (Spark does not share subexpressions inside lambda bodies)."""
-    items = "_kv_items"
-    d = df.withColumn(items, _raw_items(msg))
-    raw = F.col(items)
-    ok = F.forall(raw, lambda e: e["has_sep"])
-    keys = F.array_distinct(F.transform(raw, lambda e: e["key"]))
-    entries = F.transform(keys, lambda k: F.struct(
-        k.alias("key"),
-        F.try_element_at(F.filter(raw, lambda e: e["key"] == k), F.lit(-1))["value"].alias("value")))
-    typed = F.transform(entries, lambda e: F.struct(
-        e["key"].alias("key"), e["value"].alias("value"), value_kind(e["value"]).alias("kind")))
-    return d.withColumn(out, F.struct(ok.alias("ok"), F.when(ok, typed).alias("entries"))).drop(items)
+    """G2 as a DataFrame step: adds the decoded struct ``out``."""
+    return df.withColumn(out, kv_decode(msg))
 
 
 def kv_get(decoded, key: str, kind: str = "str") -> Column:
     """Typed value of ``key`` from a decoded message (NULL when absent)."""
-    hit = F.try_element_at(F.filter(_c(decoded)["entries"], lambda e: e["key"] == F.lit(key)), F.lit(1))
-    v = hit["value"]
+    v = _c(decoded)["fields"][F.lit(key)]
     if kind == "int":
-        return F.when(hit["kind"] == "int", v.try_cast("bigint"))
+        return F.when(value_kind(v) == "int", v.try_cast("bigint"))
     if kind == "float":
-        return F.when(hit["kind"].isin("int", "float"), v.try_cast("double"))
+        return F.when(value_kind(v).isin("int", "float"), v.try_cast("double"))
     return v
 
 
-# A message is decodable iff every ``,``-item holds a ``:`` (key before it).
-_ITEM = r"[^,:]*:[^,]*"
-VALID_MESSAGE = rf"^{_ITEM}(,{_ITEM})*$"
-
-
-def kv_valid(msg) -> Column:
-    """Same ``ok`` as ``kv_decode``, as one regular expression (codegen)."""
-    return _c(msg).rlike(VALID_MESSAGE)
-
-
-def kv_extract(msg, key: str, kind: str = "str") -> Column:
-    """Typed value of a known ``key`` straight from the message text: the
-    greedy prefix makes the *last* occurrence win, as in ``kv_decode``.
-    Regular expressions stay inside whole-stage codegen, unlike lambdas;
-    NULL when the key is absent or the message is not decodable."""
-    import re
-    k = re.escape(key)
-    m = _c(msg)
-    present = kv_valid(m) & m.rlike(rf"(^|,){k}:")
-    v = F.regexp_extract(m, rf"^.*(?:^|,){k}:([^,]*)", 1)
-    kind_v = value_kind(v)
-    if kind == "int":
-        return F.when(present & (kind_v == "int"), v.try_cast("bigint"))
-    if kind == "float":
-        return F.when(present & kind_v.isin("int", "float"), v.try_cast("double"))
-    if kind == "kind":
-        return F.when(present, kind_v)
-    return F.when(present, v)
-
-
 def kv_kinds(decoded) -> Column:
-    """``key:kind`` list of a decoded message, in first-seen key order."""
-    return F.array_join(F.transform(_c(decoded)["entries"],
-                                    lambda e: F.concat(e["key"], F.lit(":"), e["kind"])), ",")
+    """``key:kind`` list of a decoded message, in the order of its keys."""
+    return F.array_join(F.transform(F.map_entries(_c(decoded)["fields"]),
+                                    lambda e: F.concat(e["key"], F.lit(":"), value_kind(e["value"]))), ",")
 
 
 def kv_to_json(decoded) -> Column:
     """JSON object of a decoded message, numbers as numbers (the reference's
     ``json.dumps`` of the typed dict)."""
+    def text(v):
+        quoted = F.to_json(F.array(v))
+        return quoted.substr(F.lit(2), F.length(quoted) - 2)
+
     def frag(e):
-        num = F.when(e["kind"] == "int", e["value"].try_cast("bigint").cast("string")) \
-               .when(e["kind"] == "float", e["value"].try_cast("double").cast("string"))
-        txt = F.to_json(F.array(e["value"]))
-        return F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2),
-                        F.lit(":"),
-                        F.coalesce(num, txt.substr(F.lit(2), F.length(txt) - 2)))
+        kind = value_kind(e["value"])
+        num = F.when(kind == "int", e["value"].try_cast("bigint").cast("string")) \
+               .when(kind == "float", e["value"].try_cast("double").cast("string"))
+        return F.concat(text(e["key"]), F.lit(":"), F.coalesce(num, text(e["value"])))
     return F.when(_c(decoded)["ok"], F.concat(
-        F.lit("{"), F.array_join(F.transform(_c(decoded)["entries"], frag), ","), F.lit("}")))
+        F.lit("{"), F.array_join(F.transform(F.map_entries(_c(decoded)["fields"]), frag), ","), F.lit("}")))
 
 
 def line_tokens(line) -> Column:

@@ -30,6 +30,24 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def plain_path(path) -> Column:
+    """Canonical form of a path as file listings spell it (not URL-encoded):
+    local files are ``file:/x`` whatever number of slashes they came with."""
+    return F.regexp_replace(_c(path), r"^file:/+", "file:/")
+
+
+def decoded_path(uri) -> Column:
+    """Canonical form of a URL-encoded path (``_metadata.file_path``,
+    ``inputFiles``): names with blanks, ``%``, ``#`` or non-ASCII characters
+    come out as the listing spells them. A ``+`` in a name is a plus."""
+    return plain_path(F.url_decode(F.replace(_c(uri), F.lit("+"), F.lit("%2B"))))
+
+
+def source_file() -> Column:
+    """Canonical path of the file a scanned row comes from."""
+    return decoded_path(F.col("_metadata.file_path"))
+
+
 def strip_url_tail(path) -> Column:
     """Drop ``?query`` and ``#fragment`` from a URL-like string."""
     return F.regexp_replace(_c(path), r"[?#].*$", "")

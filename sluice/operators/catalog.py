@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import file_name, extension
+from ..functions.paths import extension, file_name, source_file
 from ..functions.text import line_count, word_count
 
 # ---------------------------------------------------------------------------
@@ -82,7 +82,7 @@ def text_file_entities(spark, path: str, manifest: DataFrame | None = None) -> D
     (zero bytes) come from the manifest with zero counts."""
     lines_df = (spark.read.option("lineSep", "\n").option("recursiveFileLookup", True)
                 .option("ignoreCorruptFiles", True).text(path))
-    per_file = lines_df.groupBy(F.col("_metadata.file_path").alias("path")).agg(
+    per_file = lines_df.groupBy(source_file().alias("path")).agg(
         F.sum(F.length("value")).cast("bigint").alias("n_chars"),
         F.sum(word_count(F.col("value"))).cast("bigint").alias("n_words"),
         F.count(F.lit(1)).alias("n_lines"))
@@ -103,17 +103,14 @@ def lineage_edges(runs: DataFrame) -> DataFrame:
     (a record-gated run can do both; edges follow the paths it wrote).
     ``runs``: run_id, source_name, source_path, staging_path, status,
     lakehouse_path, quarantine_path, error."""
-    stage = runs.select("run_id", "source_name", F.col("source_path").alias("from_path"),
-                        F.col("staging_path").alias("to_path"), F.lit(OP_STAGE).alias("operation"))
-    stored = runs.filter(F.col("lakehouse_path").isNotNull()).select(
-        "run_id", "source_name", F.col("staging_path").alias("from_path"),
-        F.col("lakehouse_path").alias("to_path"), F.lit(OP_STORE).alias("operation"))
-    quarantined = runs.filter(F.col("quarantine_path").isNotNull()).select(
-        "run_id", "source_name", F.col("staging_path").alias("from_path"),
-        F.col("quarantine_path").alias("to_path"),
-        F.concat(F.lit(OP_QUARANTINE_PREFIX),
-                 F.coalesce(F.col("error"), F.lit(DEFAULT_QUARANTINE_REASON))).alias("operation"))
-    e = stage.unionByName(stored).unionByName(quarantined)
+    def edge(a, b, operation):
+        return F.struct(F.col(a).alias("from_path"), F.col(b).alias("to_path"), operation.alias("operation"))
+    reason = F.concat(F.lit(OP_QUARANTINE_PREFIX), F.coalesce(F.col("error"), F.lit(DEFAULT_QUARANTINE_REASON)))
+    edges = F.array_compact(F.array(
+        edge("source_path", "staging_path", F.lit(OP_STAGE)),
+        F.when(F.col("lakehouse_path").isNotNull(), edge("staging_path", "lakehouse_path", F.lit(OP_STORE))),
+        F.when(F.col("quarantine_path").isNotNull(), edge("staging_path", "quarantine_path", reason))))
+    e = runs.select("run_id", "source_name", F.explode(edges).alias("_e")).select("run_id", "source_name", "_e.*")
     return e.withColumn("lineage_id", lineage_id(F.col("run_id"), F.col("source_name"), F.col("operation"),
                                                  F.col("from_path"), F.col("to_path")))
 
@@ -126,11 +123,10 @@ def dataset_log(runs: DataFrame) -> DataFrame:
     schema, metadata and the time it was written."""
     keys = ["run_id", "source_name", "staging_path", "schema_version", "modality"]
     extra = [c for c in ("target_table", "fields", "metadata") if c in runs.columns]
-    base = runs.select(*keys, *extra)
-    first = base.select("*", F.lit(None).cast("string").alias("lakehouse_path"), F.lit(0).alias("write_seq"))
-    second = runs.filter(F.col("lakehouse_path").isNotNull()).select(
-        *keys, *extra, "lakehouse_path", F.lit(1).alias("write_seq"))
-    log = first.unionByName(second)
+    entry = F.array_compact(F.array(
+        F.struct(F.lit(None).cast("string").alias("lakehouse_path"), F.lit(0).alias("write_seq")),
+        F.when(F.col("lakehouse_path").isNotNull(), F.struct(F.col("lakehouse_path"), F.lit(1).alias("write_seq")))))
+    log = runs.select(*keys, *extra, F.explode(entry).alias("_e")).select(*keys, *extra, "_e.*")
     if "fields" in extra:
         log = log.withColumn("entity_type", F.lit("Dataset")).withColumn("updated_at", F.current_timestamp())
     return log
@@ -154,11 +150,11 @@ def exposed_datasets(runs: DataFrame) -> DataFrame:
         F.max_by(F.when(stored, F.col("lakehouse_path")),
                  F.when(stored, F.col("run_id"))).alias("lakehouse_path"))
     g = g.filter(F.col("exposed_run").isNotNull())
-    later = runs.filter(F.col("status") == "quarantined").select("source_name", F.col("run_id").alias("_q"))
-    stale = (g.select("source_name", "exposed_run").join(later, "source_name")
-              .filter(F.col("_q") > F.col("exposed_run"))
-              .groupBy("source_name").agg(F.min("_q").alias("stale_since_run")))
-    out = g.join(stale, "source_name", "left")
+    # runs meet their source's newest stored run (a row a source) and are aggregated once more
+    quarantined = F.when((F.col("status") == "quarantined") & (F.col("run_id") > F.col("exposed_run")), F.col("run_id"))
+    out = runs.select("source_name", "run_id", "status").join(g, "source_name").groupBy("source_name").agg(
+        F.first("lakehouse_path").alias("lakehouse_path"), F.first("exposed_run").alias("exposed_run"),
+        F.min(quarantined).alias("stale_since_run"))
     return out.select("source_name", F.lit(EXPOSED_STATUS).alias("status"),
                       F.lit(ACCESS_MODE).alias("access_mode"), "lakehouse_path", "exposed_run",
                       "stale_since_run")

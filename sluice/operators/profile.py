@@ -21,12 +21,15 @@ def profile_exprs(invalid: Column | None = None) -> list[Column]:
             F.greatest(rec - inv, F.lit(0)).alias("valid_count")]
 
 
-def observed(df: DataFrame, name: str = "profile", invalid: Column | None = None):
-    """Attach P2 counts to ``df``; read ``obs.get`` after the write action."""
+def observed(df: DataFrame, name: str = "profile", invalid: Column | None = None, counted: Column | None = None):
+    """Attach P2 counts to ``df``; read ``obs.get`` after the write action.
+    ``counted`` says which rows are records (all, if not given)."""
     bad = invalid if invalid is not None else (F.size(F.col(REASONS)) > 0)
     obs = Observation(name)
-    return df.observe(obs, F.count(F.lit(1)).alias("record_count"),
-                      F.count_if(bad).alias("invalid_count")), obs
+    rows, records = F.count(F.lit(1)), []
+    if counted is not None:
+        rows, records = F.count_if(counted), [rows.alias("row_count")]
+    return df.observe(obs, rows.alias("record_count"), F.count_if(bad).alias("invalid_count"), *records), obs
 
 
 def profile_row(counts: dict, seconds: float) -> dict:

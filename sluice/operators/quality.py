@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import IMAGE_EXTENSIONS, VIDEO_EXTENSIONS
 from ..functions.text import blank_to_null, py_strip
-from .joins import DEFAULT_MAX_BROADCAST_ROWS, join_small
+from .joins import join_small, persist_fresh
 from .schema import header_fields
 
 REASONS = "_reasons"
@@ -25,14 +25,21 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _ref(name: str) -> Column:
+    """A rule's column: a name, or a field access such as ``fields['key']``."""
+    return F.expr(name) if "[" in name else F.col(name)
+
+
 # --- rule constructors (D9) --------------------------------------------------
 
 def not_null(col: str, name: str | None = None):
-    return (name or f"not_null:{col}", F.col(col).isNull())
+    return (name or f"not_null:{col}", _ref(col).isNull())
 
 
-def in_range(col: str, lo=None, hi=None, name: str | None = None):
-    c = F.col(col)
+def in_range(col: str, lo=None, hi=None, name: str | None = None, text: bool = False):
+    c = _ref(col)
+    if text:  # a text column: values that are no number are the castable rule's matter
+        c = c.try_cast("double")
     bad = F.lit(False)
     if lo is not None:
         bad = bad | (c < F.lit(lo))
@@ -42,16 +49,16 @@ def in_range(col: str, lo=None, hi=None, name: str | None = None):
 
 
 def in_domain(col: str, values, name: str | None = None):
-    return (name or f"domain:{col}", ~F.col(col).isin(*values))
+    return (name or f"domain:{col}", ~_ref(col).isin(*values))
 
 
 def castable(col: str, type_name: str, name: str | None = None):
-    c = F.col(col)
+    c = _ref(col)
     return (name or f"castable:{col}", c.isNotNull() & c.try_cast(type_name).isNull())
 
 
 def matches(col: str, pattern: str, name: str | None = None):
-    return (name or f"pattern:{col}", ~F.col(col).rlike(pattern))
+    return (name or f"pattern:{col}", ~_ref(col).rlike(pattern))
 
 
 def row_width(corrupt_col: str = "_corrupt", name: str = "row_width"):
@@ -67,6 +74,31 @@ def width_status(n_cells, expected: int) -> Column:
             .otherwise(F.lit("long")))
 
 
+def rules_from_config(text: str | None) -> tuple[list, list | None]:
+    """D9 from a source's options: ``(rules, unique key)`` of a JSON list such as
+    ``[{"not_null": "a"}, {"range": "a", "lo": 0, "hi": 9}, {"domain": "a",
+    "values": ["x"]}, {"castable": "a", "type": "int"}, {"pattern": "a",
+    "regex": "^x"}, {"unique": ["a", "b"]}]``; ``name`` names a rule's reason."""
+    import json
+    makers = {"not_null": lambda r, c: not_null(c, r.get("name")),
+              "range": lambda r, c: in_range(
+                  c, r.get("lo"), r.get("hi"), r.get("name"),
+                  text=not any(isinstance(v, str) for v in (r.get("lo"), r.get("hi")))),
+              "domain": lambda r, c: in_domain(c, r["values"], r.get("name")),
+              "castable": lambda r, c: castable(c, r["type"], r.get("name")),
+              "pattern": lambda r, c: matches(c, r["regex"], r.get("name"))}
+    rules, unique = [], None
+    for r in json.loads(text) if text else []:
+        kind = next((k for k in r if k in makers or k == "unique"), None)
+        if kind is None:
+            raise ValueError(f"unknown rule {r}: one of {sorted([*makers, 'unique'])}")
+        if kind == "unique":
+            unique = [r["unique"]] if isinstance(r["unique"], str) else list(r["unique"])
+        else:
+            rules.append(makers[kind](r, r[kind]))
+    return rules, unique
+
+
 def reasons_column(rules) -> Column:
     """All violated rule names of a row, in rule order. ``array_except`` with
     a NULL drops the rules that passed and, unlike a lambda filter, stays in
@@ -77,8 +109,7 @@ def reasons_column(rules) -> Column:
     return F.array_except(hits, F.array(F.lit(None).cast("string")))
 
 
-def with_unique_flag(df: DataFrame, keys, flag: str = "_dup",
-                     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+def with_unique_flag(df: DataFrame, keys, flag: str = "_dup") -> DataFrame:
     """Uniqueness (D9): ``flag`` is true on every row whose key occurs more
     than once. Keys with a NULL part never collide (SQL UNIQUE semantics).
     Key counts aggregate map-side first (a hot key collapses before the
@@ -86,7 +117,7 @@ def with_unique_flag(df: DataFrame, keys, flag: str = "_dup",
     otherwise joined with a shuffle."""
     dups = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
               .filter(F.col("_n") > 1).select(*keys, F.lit(True).alias(flag)))
-    out = join_small(df, dups, list(keys), "left", max_broadcast_rows)
+    out = join_small(df, dups, list(keys), "left")
     return out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
@@ -120,42 +151,34 @@ def source_gate_summary(tagged: DataFrame, source_col: str) -> DataFrame:
                         .otherwise(F.lit("quarantined")))
 
 
-def source_gate(tagged: DataFrame, source_col: str, max_sources: int = 10_000):
-    """D5 rows: (stored rows, quarantined rows, summary).
-
-    The summary has one row per source - bounded by the configuration - so
-    it is collected (at most ``max_sources`` rows are fetched) and rows are
-    routed by an ``isin`` predicate: no join, no shuffle of the data. Past
-    the bound, the summary joins back instead (AQE picks the strategy)."""
-    spark = tagged.sparkSession
-    summary = source_gate_summary(tagged, source_col)
-    rows = summary.limit(max_sources + 1).collect()
-    if len(rows) <= max_sources:
-        fixed = spark.createDataFrame(rows, summary.schema) if rows else spark.createDataFrame([], summary.schema)
-        stored = [r[source_col] for r in rows if r["status"] == "stored"]
-        keep = F.col(source_col).isin([v for v in stored if v is not None])
-        if any(v is None for v in stored):
-            keep = keep | F.col(source_col).isNull()
-        keep = F.coalesce(keep, F.lit(False))
-        return tagged.filter(keep), tagged.filter(~keep), fixed
-    j = tagged.join(summary.select(source_col, "status"), source_col)
-    return (j.filter(F.col("status") == "stored").drop("status"),
-            j.filter(F.col("status") == "quarantined").drop("status"), summary)
+def source_gate(tagged: DataFrame, source_col: str):
+    """D5 rows: (stored rows, quarantined rows, summary). Every row meets its
+    source's decision by a null-safe join - rows without a source are a source
+    of their own - which is a broadcast where the summary is measured small
+    and otherwise a shuffle join whose skewed sources are split."""
+    summary = persist_fresh(source_gate_summary(tagged, source_col))
+    verdict = summary.select(F.col(source_col).alias("_gate_source"), F.col("status").alias("_gate_status"))
+    j = join_small(tagged, verdict, F.col(source_col).eqNullSafe(F.col("_gate_source")), "inner")
+    return (j.filter(F.col("_gate_status") == "stored").select(*tagged.columns),
+            j.filter(F.col("_gate_status") == "quarantined").select(*tagged.columns), summary.drop("_sluice_call"))
 
 
 # --- cleaning (D8) --------------------------------------------------------------
 
-def clean_rows(df: DataFrame, dedupe: bool = False, string_cols=None) -> DataFrame:
+def clean_rows(df: DataFrame, dedupe: bool = False, string_cols=None, technical=()) -> DataFrame:
     """Strip strings, blank -> NULL, drop rows with every column NULL, and
     optionally drop exact duplicates (partial aggregation, so a repeated row
-    collapses before the shuffle)."""
+    collapses before the shuffle). ``technical`` columns (file name, parse
+    state) are left as they are and decide nothing."""
+    data = [c for c in df.columns if c not in technical]
     string_cols = string_cols if string_cols is not None else [
-        f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+        f.name for f in df.schema.fields if f.dataType.simpleString() == "string" and f.name in data]
     out = df.select(*[blank_to_null(F.col(c)).alias(c) if c in string_cols else F.col(c)
                       for c in df.columns])
-    out = out.filter(F.greatest(*[F.col(c).isNotNull() for c in out.columns])
-                     if len(out.columns) > 1 else F.col(out.columns[0]).isNotNull())
-    return out.dropDuplicates() if dedupe else out
+    if data:
+        out = out.filter(F.greatest(*[F.col(c).isNotNull() for c in data])
+                         if len(data) > 1 else F.col(data[0]).isNotNull())
+    return out.dropDuplicates(data if technical else None) if dedupe else out
 
 
 # --- file rules (D1-D4) --------------------------------------------------------
@@ -171,28 +194,44 @@ def video_file_invalid(ext) -> Column:
     return ~_c(ext).isin(*VIDEO_EXTENSIONS)
 
 
-def header_checks(manifest: DataFrame, expected_width: int, expected_names=None) -> DataFrame:
-    """Per CSV/TSV file ``(file_path, reason, cells)``; reason NULL when
-    the header is fine, else ``empty_file`` (E10), ``unreadable`` (E11),
-    ``header_width`` (cell count differs from the expected schema, E7) or
-    ``duplicate_header`` (names collapse, E9). Opt-in with
-    ``expected_names``: ``header_order`` (same names, other order - read by
+def header_checks(spark, path: str, manifest: DataFrame, expected_width: int, expected_names=None) -> DataFrame:
+    """Per CSV/TSV file of the manifest ``(file_path, uri, reason, cells,
+    multi_line)``; reason NULL when the header is fine, else ``empty_file``
+    (E10), ``unreadable`` (E11), ``header_width`` (cell count differs from the
+    expected schema, E7) or ``duplicate_header`` (names collapse, E9). Opt-in
+    with ``expected_names``: ``header_order`` (same names, other order - read by
     position it would shift columns) and ``header_names`` (other names of
-    the same width). Reads only each file's first record (see
-    ``sources.headers``), never the data."""
-    from ..sources.headers import first_records
-    h = first_records(manifest)
+    the same width). One line scan of the files; see ``sources.headers``."""
+    from ..sources.headers import first_records, quoted_headers
+    # one row a file: small beside the data, and used by the gate several times
+    heads = persist_fresh(first_records(spark, path)).drop("_sluice_call")
+    broken = heads.filter("broken")
+    cells = F.col("cells")
+    found = heads
+    extensions = [r[0] for r in broken.select("extension").distinct().collect()]
+    if extensions:
+        read = None
+        for ext in extensions:
+            part = quoted_headers(spark, path, ext, broken.filter(F.col("extension") == ext), expected_width)
+            read = part if read is None else read.unionByName(part)
+        found = heads.join(read.select("uri", F.col("cells").alias("_quoted")), "uri", "left")
+        cells = F.coalesce(F.col("cells"), F.col("_quoted"))
+    found = found.select("file_path", "uri", cells.alias("cells"), "multi_line", "broken")
+    listed = manifest.filter(F.col("extension").isin(".csv", ".tsv")).select(F.col("path").alias("file_path"), "size_bytes")
+    h = listed.join(found, "file_path", "left")
     n_cells = F.size(F.col("cells"))
     named = header_fields(F.col("cells"))
     n_named = F.size(named)
-    ok = F.col("status") == "ok"          # "unchecked" files get no reason
-    reason = (F.when(F.col("status") == "empty", F.lit("empty_file"))
-              .when(F.col("status") == "unreadable", F.lit("unreadable"))
-              .when(ok & (n_cells != expected_width), F.lit("header_width"))
-              .when(ok & (n_named < n_cells), F.lit("duplicate_header")))
+    ok = F.col("cells").isNotNull()
+    reason = (F.when(F.col("size_bytes") == 0, F.lit("empty_file"))
+              .when(F.col("multi_line").isNull(), F.lit("unreadable"))
+              .when(F.col("broken") & ~ok, F.lit("header_width"))
+              .when(~ok, F.lit("empty_file"))
+              .when(n_cells != expected_width, F.lit("header_width"))
+              .when(n_named < n_cells, F.lit("duplicate_header")))
     if expected_names:
         got = F.transform(named, lambda f: f["name"])
         want = F.array(*[F.lit(n) for n in expected_names])
         reason = (reason.when(ok & (F.array_sort(got) != F.array_sort(want)), F.lit("header_names"))
                   .when(ok & (got != want), F.lit("header_order")))
-    return h.select("file_path", reason.alias("reason"), "cells")
+    return h.select("file_path", "uri", reason.alias("reason"), "cells", F.coalesce("multi_line", F.lit(False)).alias("multi_line"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import blank_to_null
+from ..session import ensure_checkpoint_dir
 
 FIELD_TYPE = T.StructType([
     T.StructField("pos", T.IntegerType()),
@@ -106,17 +107,22 @@ def json_field_types(df: DataFrame, json_col: str) -> DataFrame:
     return json_key_types(df, json_col).groupBy("key", "type_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-def versions_by_change(df: DataFrame, key: str, order: str, sig: str,
-                       chunk_size: int = 1 << 16) -> DataFrame:
+def versions_by_change(df: DataFrame, key: str, order: str, sig: str, chunks: int | None = None) -> DataFrame:
     """C6/C7 over a history: ``changed`` is true on a source's first attempt
     and whenever ``sig`` differs from the previous attempt; ``version`` is the
     running count of changes (A -> B -> A gives 1, 2, 3).
 
-    Rows are cut into chunks of ``chunk_size`` consecutive ``order`` values,
-    so the row-level windows are bounded per task even when one source holds
-    most rows; only one summary row per chunk goes through the per-source
-    window, and it joins back on (key, chunk)."""
-    d = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk_size)).cast("bigint"))
+    Rows are range partitioned by (source, order), and each partition is a
+    chunk: its size follows the rows there are, not the values of ``order``, so
+    the row-level windows are bounded per task even when one source holds
+    most rows and its order column is sparse. Only one summary row per source
+    and chunk goes through the per-source window, and it joins back on (key,
+    chunk). The chunks are checkpointed to the shared folder, because range
+    bounds are sampled anew whenever a plan is run again."""
+    spark = df.sparkSession
+    n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(spark)
+    d = df.repartitionByRange(n, key, order).withColumn("_chunk", F.spark_partition_id()).checkpoint(eager=True)
     w = Window.partitionBy(key, "_chunk").orderBy(order)
     d = (d.withColumn("_rn", F.row_number().over(w))
           .withColumn("_prev", F.lag(sig).over(w)))

@@ -17,16 +17,16 @@ import threading
 import time
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.paths import STREAMING_HINTS
+from ..functions.paths import extension, file_name, source_file
 from ..operators import catalog, profile, quality, route, schema
-from ..operators.joins import join_small, persist_fresh, release
+from ..operators.joins import join_small, persist_fresh, released
 from ..sinks import tables
-from ..sources import files, readers
-from ..sources.headers import first_records, json_fields
+from ..sources import files, headers, readers
 
 RUN_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType()), T.StructField("source_name", T.StringType()),
@@ -45,8 +45,18 @@ RUN_SCHEMA = T.StructType([
 ])
 
 
+_LAST_RUN = [0]
+_RUN_LOCK = threading.Lock()
+
+
 def new_run_id() -> str:
-    return time.strftime("%Y%m%dT%H%M%S") + "-" + uuid.uuid4().hex[:8]
+    """Id that sorts by start: UTC to the microsecond, strictly rising inside a
+    driver (also when its clock steps back), then random digits against
+    another driver's run of the same microsecond."""
+    with _RUN_LOCK:
+        now = _LAST_RUN[0] = max(time.time_ns() // 1000, _LAST_RUN[0] + 1)
+    stamp = time.strftime("%Y%m%dT%H%M%S", time.gmtime(now // 1_000_000))
+    return f"{stamp}{now % 1_000_000:06d}Z-{uuid.uuid4().hex[:8]}"
 
 
 class Lake:
@@ -81,10 +91,14 @@ class Lake:
         df.write.mode("overwrite").format(self.fmt).save(self.run_leaf(name, run_id, source_name))
 
     def read_section(self, spark: SparkSession, name: str):
+        if not files.path_exists(spark, self.section(name)):
+            return None
         try:
             return spark.read.format(self.fmt).load(self.section(name))
-        except Exception:  # the section has no rows yet
-            return None
+        except AnalysisException as e:
+            if e.getCondition() == "UNABLE_TO_INFER_SCHEMA":  # a first writer is still at work: no rows yet
+                return None
+            raise
 
 
 def ingest_frame(spark: SparkSession, df: DataFrame, lake: Lake, source_name: str, run_id: str,
@@ -92,26 +106,28 @@ def ingest_frame(spark: SparkSession, df: DataFrame, lake: Lake, source_name: st
                  modality: str = "structured", ingestion_mode: str = "batch", worker: str = "direct",
                  schema_version: int | None = None, source_path: str | None = None,
                  extra_invalid: int = 0, invalid_override: int | None = None,
-                 record_override: int | None = None, extra_records: int = 0) -> dict:
+                 record_override: int | None = None, extra_records: int = 0, counted=None) -> dict:
     """Stage, gate and store one source's rows in ONE write. Returns the run row.
 
     ``gate="record"``: valid rows -> curated, invalid rows -> quarantine.
     ``gate="source"``: any invalid row quarantines every row of the source.
     The counts come from the write itself (``observe``); the gate decides
-    which partitions of the written version the run row names.
+    which partitions of the written version the run row names. ``counted``
+    (a boolean column) says which rows are records, where not all are.
     """
     t0 = time.time()
     tagged = quality.apply_rules(df, rules, unique=unique)
     tagged = tagged.withColumn("_run_id", F.lit(run_id)).withColumn(
         "_row_state", F.when(F.size(quality.REASONS) == 0, F.lit("valid")).otherwise(F.lit("invalid")))
-    watched, obs = profile.observed(tagged, f"stage_{source_name}_{run_id}".replace("-", "_"))
+    watched, obs = profile.observed(tagged, f"stage_{source_name}_{run_id}".replace("-", "_"), counted=counted)
     staging_path = tables.write_version(watched, lake.tables, source_name, run_id, lake.fmt,
                                         partition_by=["_row_state"])
     counts = obs.get
-    rows = int(counts.get("record_count", 0))
+    rows = int(counts.get("row_count", counts.get("record_count", 0)))
     # record_override: a count in other units (files, E6); extra_records:
     # files counted as records without yielding rows (unreadable, E11)
-    rec = (int(record_override) if record_override is not None else rows) + int(extra_records)
+    records = int(counts.get("record_count", 0))
+    rec = (int(record_override) if record_override is not None else records) + int(extra_records)
     row_inv = int(counts.get("invalid_count", 0))
     # extra_invalid: file-level problems that yield no row (zero-byte files);
     # invalid_override: a count in other units (bad files under the source gate)
@@ -193,27 +209,48 @@ def read_current(spark: SparkSession, lake: Lake, source_name: str) -> DataFrame
 
 # --- file sources ---------------------------------------------------------------
 
-def discover_fields(spark: SparkSession, manifest: DataFrame, modality: str):
-    """The source's fields from its first non-empty file.
-    Zero-byte files are left out of discovery and counted invalid instead
-    (E10, independent of listing order)."""
+#: Columns the readers add; they are no data of the source.
+TECHNICAL = ("_source_file", "_corrupt", "_raw", "_extra", "_at", "_issue", "reason", "path", "size_bytes", "modificationTime",
+             "length", "issue", "_file_issue")
+FILE_REASONS = ("header_width", "duplicate_header", "header_order", "header_names", "empty_file", "unreadable")
+NO_ROW_REASONS = ("empty_file", "unreadable")   # files that yield no data row
+
+
+def discover_fields(spark: SparkSession, path: str, manifest: DataFrame, modality: str):
+    """The source's fields from its first readable file (C5) that
+    holds a record; zero-byte files and files without a header are left out of
+    discovery and counted invalid instead (E10, E11), whatever the listing
+    order."""
     if modality == "streaming":
         return schema.STREAM_FIELDS
     if modality not in ("structured", "semi_structured"):
         return schema.FILE_ENTITY_FIELDS
-    picks = {"p": (".csv", ".tsv")} if modality == "structured" else {"p": (".json",)}
-    first = route.first_files(manifest.filter(F.col("size_bytes") > 0), picks).collect()
-    path = first[0]["p"] if first else None
-    if not path:
-        return schema.UNKNOWN_FIELDS
+    present = {r[0] for r in manifest.filter(F.col("size_bytes") > 0).select("extension").distinct().collect()}
     if modality == "structured":
-        # the same first-record parser as the D1 header check
-        head = first_records(manifest.filter(F.col("path") == path))
-        row = head.select(schema.header_fields(F.col("cells")).alias("f")).collect()
-        return [(f["name"], "string") for f in row[0]["f"]] if row and row[0]["f"] else schema.UNKNOWN_FIELDS
-    # the first document parsed inside a task, bounded in bytes (no whole-file row)
-    kt = json_fields(manifest.filter(F.col("path") == path)).filter(F.col("key").isNotNull()).collect()
-    return [(r["key"], r["type_name"]) for r in kt] or schema.UNKNOWN_FIELDS
+        for ext in (".csv", ".tsv"):
+            if ext not in present:
+                continue
+            # one aggregate row a file, the smallest path of those with a header
+            heads = headers.first_records(spark, path, (ext,)).filter(F.col("cells").isNotNull() | F.col("broken"))
+            row = heads.agg(F.min_by(F.struct("file_path", "cells", "broken"), "file_path").alias("h")).first()["h"]
+            if row is None:
+                continue
+            cells = headers.header_of(spark, row["file_path"], readers.sep_for(ext), True) if row["broken"] else row["cells"]
+            one = spark.createDataFrame([(cells,)], "cells array<string>").select(schema.header_fields(F.col("cells")).alias("f"))
+            return [(f["name"], "string") for f in one.first()["f"]]
+        return schema.UNKNOWN_FIELDS
+    if ".json" not in present:
+        return schema.UNKNOWN_FIELDS
+    # the first value of the first file that holds an object
+    docs = headers.json_documents(spark, path).filter(F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)))
+    first = docs.select("_source_file", "_at", F.to_json("v").alias("doc")).orderBy("_source_file", "_at").limit(1)
+    found = first.collect()
+    if not found:
+        return schema.UNKNOWN_FIELDS
+    first = spark.createDataFrame(found, first.schema)
+    keys = schema.json_key_types(first, "doc").collect()
+    order = {k: i for i, k in enumerate(headers.first_keys(spark, found[0]["_source_file"]))}
+    return [(r["key"], r["type_name"]) for r in sorted(keys, key=lambda r: order.get(r["key"], 0))] or schema.UNKNOWN_FIELDS
 
 
 def _opt(options: dict | None, key: str, default=None):
@@ -227,114 +264,225 @@ def _truthy(v) -> bool:
 
 def source_frame(spark: SparkSession, path: str, manifest: DataFrame, worker: str, fields,
                  options: dict | None = None) -> tuple:
-    """The read plan, rules and file-level problems of one routed source:
-    ONE scan per format over the whole source folder (not one job per file).
-    Returns ``(df, rules, file_issues)``; ``file_issues`` counts CSV/TSV
-    files by header reason (None when no file-level check applies)."""
-    df, rules, *rest = _source_frame(spark, path, manifest, worker, fields, options)
-    return df, rules, (rest[0] if rest else None)
-
-
-def _source_frame(spark: SparkSession, path: str, manifest: DataFrame, worker: str, fields,
-                  options: dict | None = None) -> tuple:
-    names = [n for n, _ in fields]
-    if worker == "direct":
-        exts = {r["extension"] for r in manifest.select("extension").distinct().collect()}
-        multi_line = _truthy(_opt(options, "multiLine", "false"))
-        tabular = [(e, g) for e, g in ((".csv", "*.[cC][sS][vV]"), (".tsv", "*.[tT][sS][vV]")) if e in exts]
-        if tabular and names and names != ["unknown"]:
-            frames = [readers.read_csv(spark, path, names, sep=readers.sep_for(e), path_glob=g,
-                                       multi_line=multi_line) for e, g in tabular]
-            df = frames[0]
-            for f in frames[1:]:
-                df = df.unionByName(f)
-            strict = _truthy(_opt(options, "checkHeaderNames", "false"))
-            checks = quality.header_checks(manifest, len(names), names if strict else None)
-            bad_files = persist_fresh(checks.filter(F.col("reason").isNotNull()).select(
-                F.col("file_path").alias("_source_file"), "reason"))
-            issues = {r["reason"]: int(r["n"]) for r in
-                      bad_files.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).collect()}
-            df = join_small(df, bad_files, "_source_file", "left")
-            rules = [quality.row_width("_corrupt")] + [(r, F.col("reason") == r) for r in FILE_REASONS]
-            return df, rules, issues
-        if ".parquet" in exts:
-            return readers.read_parquet(spark, path, merge_schema=True, recursive=True), []
-        if ".json" in exts:
-            r = (spark.read.option("multiLine", multi_line).option("recursiveFileLookup", True)
-                 .option("pathGlobFilter", "*.[jJ][sS][oO][nN]").option("mode", "PERMISSIVE")
-                 .option("columnNameOfCorruptRecord", "_corrupt").options(**tables.TS_OPTIONS))
-            if names and names != ["unknown"]:
-                # the discovered fields are the schema: no inference pass over the data
-                r = r.schema(json_schema(fields))
-            df = r.json(path).withColumn("_source_file", F.col("_metadata.file_path"))
-            rules = [("json_parse", F.col("_corrupt").isNotNull())] if "_corrupt" in df.columns else []
-            return df, rules
-        row_tag = _opt(options, "rowTag")
-        if ".xml" in exts and row_tag:
-            return readers.read_xml(spark, path, row_tag), []
+    """The read plan, rules and file-level problems of one routed source: one
+    scan per format over the whole source folder (not one job per file), all
+    formats of a folder in one frame. Returns ``(df, rules, file_issues)``;
+    ``file_issues`` counts CSV/TSV files by header reason (None when there is no
+    such file)."""
     if worker == "text":
-        return text_documents(spark, path, manifest, int(_opt(options, "maxDocumentBytes", MAX_DOCUMENT_BYTES)),
-                              _truthy(_opt(options, "checkUtf8", "false")))
+        return (*text_documents(spark, path, manifest, _truthy(_opt(options, "checkUtf8", "false"))), None)
     if worker == "image":
-        return manifest, [("extension", quality.image_file_invalid(F.col("extension")))]
+        return (*image_rows(spark, path, manifest, options), None)
     if worker == "video":
-        return manifest, [("extension", quality.video_file_invalid(F.col("extension")))]
-    return manifest, []
+        return (*video_rows(spark, path, manifest, options), None)
+    present = {r[0] for r in manifest.select("extension").distinct().collect()}
+    names = [n for n, _ in fields]
+    frames, rules, issues = [], [], None
+    if present & {".csv", ".tsv"}:
+        df, own, issues = delimited_rows(spark, path, manifest, [] if names == ["unknown"] else names, present, options)
+        frames.append(df)
+        rules += own
+    if ".json" in present:
+        # beside csv/tsv files the source's schema is theirs; the JSON values have fields of their own
+        own_fields = discover_fields(spark, path, manifest, "semi_structured") if present & {".csv", ".tsv"} else fields
+        df, own = json_rows(spark, path, own_fields)
+        frames.append(df)
+        rules += own
+    if ".parquet" in present:
+        frames.append(readers.read_parquet(spark, path, merge_schema=True, recursive=True))
+    if ".xml" in present:
+        row_tag = _opt(options, "rowTag")
+        frames.append(readers.read_xml(spark, path, row_tag, glob=headers.GLOBS[".xml"]) if row_tag
+                      else _documents(spark, path, headers.GLOBS[".xml"]))
+    if present & {".yaml", ".yml"}:
+        frames.append(readers.read_yaml_documents(spark, path))
+    if ".delta" in present or path.rstrip("/").lower().endswith(".delta"):
+        frames.append(readers.read_table(spark, path, "delta"))  # fails the source where its connector is absent
+    others = sorted(present - {".csv", ".tsv", ".json", ".parquet", ".xml", ".yaml", ".yml", ".delta"})
+    if others:  # whatever else lies in the folder is stored too, as bytes
+        rest = files.read_binary(spark, path, with_content=True, extensions=others)
+        frames.append(rest.select(F.col("path").alias("_source_file"), "length", "content", F.col("issue").alias("_issue")))
+        rules.append((files.TOO_LARGE, F.col("_issue") == files.TOO_LARGE))
+    if any(e in present for e in (".xml", ".yaml", ".yml")):
+        rules.append(("unreadable", F.col("_issue") == "unreadable"))
+        frames = [f if "_issue" in f.columns else f.withColumn("_issue", F.lit(None).cast("string")) for f in frames]
+    return union_all(frames), rules, issues
+
+
+def _documents(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    d = files.read_text_documents(spark, path, glob=glob)
+    return d.select(F.col("path").alias("_source_file"), F.col("text").alias("document"))
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    """Rows of frames with different columns. A column of different types (or
+    whose names differ in case only) is text in all of them."""
+    if len(frames) == 1:
+        return frames[0]
+    types: dict = {}
+    for f in frames:
+        for n, t in f.dtypes:
+            types.setdefault(n.lower(), (n, set()))[1].add(t)
+    out = None
+    for f in frames:
+        cols = []
+        for n, t in f.dtypes:
+            name, seen = types[n.lower()]
+            c = F.col(f"`{n}`")
+            if len(seen) > 1:
+                c = F.to_json(c) if t.startswith(("array", "map", "struct", "variant")) else c.cast("string")
+            cols.append(c.alias(name))
+        f = f.select(*cols)
+        out = f if out is None else out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def delimited_rows(spark: SparkSession, path: str, manifest: DataFrame, names: list[str], present: set,
+                   options: dict | None = None) -> tuple:
+    """Rows of a folder's CSV and TSV files with their file's
+    header reason. Files with a value over several lines are read whole-record
+    (``multiLine``), the others stay splittable; ``options.multiLine`` ``true``
+    reads all that way, ``false`` is the user's promise that there are none.
+    Files without a data row to tag are counted by their reason; if no file
+    has a readable header, each file is a row with its reason."""
+    wanted = str(_opt(options, "multiLine", "auto")).lower()
+    strict = _truthy(_opt(options, "checkHeaderNames", "false"))
+    checks = persist_fresh(quality.header_checks(spark, path, manifest, len(names), names if strict else None))
+    bad = persist_fresh(checks.filter(F.col("reason").isNotNull()).select(F.col("file_path").alias("_source_file"), "reason"))
+    issues = {r["reason"]: int(r["n"]) for r in bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rules = [quality.row_width("_corrupt")] + [(r, F.col("reason") == r) for r in FILE_REASONS]
+    if not names:
+        df = bad.select("_source_file", F.lit(None).cast("string").alias("_corrupt"), "reason")
+        return df, rules, issues
+    over = checks.filter("multi_line").select("uri") if wanted == "auto" else None
+    some = over is not None and over.limit(1).count() > 0
+    frames = []
+    for ext in (".csv", ".tsv"):
+        if ext not in present:
+            continue
+        def read(multi_line, keep, ext=ext):
+            return readers.read_csv(spark, path, names, sep=readers.sep_for(ext), path_glob=headers.GLOBS[ext],
+                                    multi_line=multi_line, keep=keep)
+        if not some:
+            frames.append(read(wanted == "true", None))
+        else:
+            frames.append(read(False, lambda d: headers.chosen(d, over, keep=False)))
+            frames.append(read(True, lambda d: headers.chosen(d, over)))
+    df = frames[0]
+    for f in frames[1:]:
+        df = df.unionByName(f)
+    return join_small(df, bad, "_source_file", "left"), rules, issues
 
 
-# Python type names of discovered JSON fields -> read types (lists and
-# objects stay raw JSON text).
+# Python type names of discovered JSON fields -> column types (lists and
+# objects stay JSON text).
 PY_TO_SPARK = {"str": "string", "int": "bigint", "float": "double", "bool": "boolean",
                "list": "string", "dict": "string", "NoneType": "string"}
-
-
-def json_schema(fields) -> str:
-    cols = [f"`{n.replace('`', '``')}` {PY_TO_SPARK.get(t, 'string')}" for n, t in fields]
-    return ", ".join(cols + ["_corrupt string"])
-
-
-MAX_DOCUMENT_BYTES = 256 << 20
-FILE_REASONS = ("header_width", "duplicate_header", "header_order", "header_names", "empty_file", "unreadable")
-NO_ROW_REASONS = ("empty_file", "unreadable")   # files that yield no data row
-
-
-def text_documents(spark: SparkSession, path: str, manifest: DataFrame, max_bytes: int = MAX_DOCUMENT_BYTES,
-                   check_utf8: bool = False):
+#: Kinds of values that a column of a kind holds; any other value goes to ``_extra``.
+HOLDS = {"int": ("int",), "float": ("float", "int"), "str": ("str",), "bool": ("bool",), "list": ("list",), "dict": ("dict",),
+         "NoneType": ("str", "int", "float", "bool", "list", "dict")}
+
+
+def json_rows(spark: SparkSession, path: str, fields) -> tuple:
+    """One row per JSON value of the source's files. Discovered fields are
+    typed columns; every other key, and every value its column cannot hold, is
+    kept as JSON text in ``_extra`` (map). Values that are no object, and texts
+    that are no JSON (reason ``json_parse``), are kept in ``_raw``."""
+    docs = headers.json_documents(spark, path)
+    taken, listed = {t.lower() for t in TECHNICAL}, []
+    for n, t in fields:
+        if n.lower() not in taken and (n, t) != schema.UNKNOWN_FIELDS[0]:
+            taken.add(n.lower())
+            listed.append((n, t))
+    is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    docs = docs.withColumn("_m", F.when(is_object, F.col("v").cast("map<string,variant>")))
+
+    def kind(value):
+        return schema.variant_type_to_py(F.schema_of_variant(value))
+
+    def held(value, type_name):
+        spark_type = PY_TO_SPARK.get(type_name, "string")
+        if type_name in ("list", "dict"):
+            plain = F.to_json(value)
+        elif type_name == "NoneType":
+            plain = F.when(kind(value) == "str", F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
+        else:
+            plain = F.try_variant_get(value, "$", spark_type)
+        return F.when(kind(value).isin(*HOLDS.get(type_name, ("str",))), plain)
+
+    columns = [held(F.col("_m")[F.lit(n)], t).alias(n) for n, t in listed]
+    kinds = dict(listed)
+
+    def left_over(key, value):
+        out = F.lit(True)
+        for n, t in kinds.items():
+            out = F.when(key == n, held(value, t).isNull() & (kind(value) != "NoneType")).otherwise(out)
+        return out
+    extra = F.transform_values(F.map_filter("_m", left_over), lambda k, x: F.to_json(x))
+    df = docs.select(*columns, F.when(F.size(extra) > 0, extra).alias("_extra"),
+                     F.when(F.col("v").isNotNull() & ~is_object, F.to_json("v")).otherwise(F.col("_raw")).alias("_raw"),
+                     F.col("v").isNull().alias("_issue"), "_source_file")
+    df = df.withColumn("_issue", F.when(F.col("_issue"), F.lit("json_parse")))
+    return df, [("json_parse", F.col("_issue") == "json_parse")]
+
+
+def text_documents(spark: SparkSession, path: str, manifest: DataFrame, check_utf8: bool = False):
     """Text worker rows: one row per file (a file is a record, as in the
     reference). Reasons: ``unreadable`` for a non-empty file that gave no text
-    (D2, I/O or codec failure), ``document_too_large`` for files above
-    ``max_bytes`` - they are not loaded as one value (a row cannot exceed
-    2 GB; their lines are in the ``text_data`` entities) - and, opt-in,
-    ``bad_utf8`` when the text is not valid UTF-8 (E12)."""
-    big = manifest.filter(F.col("size_bytes") > max_bytes)
-    if big.limit(1).count() == 0:
-        docs = files.read_text_documents(spark, path, ignore_corrupt=True)
-        large = None
-    else:
-        small_paths = [r["path"] for r in manifest.filter(F.col("size_bytes") <= max_bytes).select("path").collect()]
-        docs = (files.read_text_documents_from(spark, small_paths) if small_paths
-                else spark.createDataFrame([], "path string, text string, size_bytes bigint"))
-        large = big.select("path", F.lit(None).cast("string").alias("text"), "size_bytes",
-                           F.lit("document_too_large").alias("_file_issue"))
-    docs = docs.withColumn("_file_issue", F.lit(None).cast("string"))
-    # zero-byte files give no text row but are readable, empty records
-    empty = manifest.filter(F.col("size_bytes") == 0).select(
-        "path", F.lit("").alias("text"), "size_bytes", F.lit(None).cast("string").alias("_file_issue"))
-    docs = docs.unionByName(empty)
-    bad = (files.unreadable_files(spark, manifest.filter(F.col("size_bytes") <= max_bytes), path)
-           .join(manifest.select("path", "size_bytes"), "path")
-           .select("path", F.lit(None).cast("string").alias("text"), "size_bytes",
-                   F.col("reason").alias("_file_issue")))
-    rows = docs.unionByName(bad)
-    if large is not None:
-        rows = rows.unionByName(large)
-    rules = [("unreadable", F.col("_file_issue") == "unreadable"),
-             ("document_too_large", F.col("_file_issue") == "document_too_large")]
+    (D2, I/O or codec failure), ``too_large_for_row`` for a file that no Spark
+    value can hold (its lines are counted in the ``text_data`` entities) and,
+    opt-in, ``bad_utf8`` when the text is not valid UTF-8 (E12)."""
+    docs = files.read_text_documents(spark, path, ignore_corrupt=True).withColumn("_file_issue", F.lit(None).cast("string"))
+    # files that give no text row: empty (readable), unreadable, too large
+    issue = F.when(F.col("size_bytes") > files.MAX_ROW_BYTES, F.lit(files.TOO_LARGE)) \
+        .when(F.col("size_bytes") > 0, F.lit("unreadable"))
+    missing = manifest.select("path", "size_bytes").join(docs.select("path"), "path", "left_anti") \
+        .select("path", F.when(F.col("size_bytes") == 0, F.lit("")).alias("text"), "size_bytes", issue.alias("_file_issue"))
+    rows = docs.unionByName(missing)
+    rules = [(r, F.col("_file_issue") == r) for r in ("unreadable", files.TOO_LARGE)]
     if check_utf8:
         rules.append(("bad_utf8", ~F.is_valid_utf8(F.col("text"))))
     return rows, rules
 
 
+def image_rows(spark: SparkSession, path: str, manifest: DataFrame, options: dict | None = None) -> tuple:
+    """Image worker rows (A11, D3): decoded images of the folder; other files
+    as rows without pixels, valid only for CSV side files (E13).
+    ``options.decode`` also rejects images that do not decode;
+    ``options.content = paths`` stores the listing alone."""
+    rules = [("extension", quality.image_file_invalid(F.col("extension")))]
+    listed = manifest.select("source_name", "path", "file_name", "extension", "size_bytes")
+    if str(_opt(options, "content", "bytes")).lower() == "paths":
+        return listed, rules
+    ext = extension(file_name(F.col("path")))
+    size = manifest.select("path", "size_bytes", "source_name")
+    images = join_small(files.read_images(spark, path), persist_fresh(size), "path", "left") \
+        .withColumn("file_name", file_name(F.col("path"))).withColumn("extension", ext)
+    # files of other kinds, and image files that gave no row (empty ones)
+    rest = listed.filter(~F.col("extension").isin(*files.IMAGE_EXTENSIONS) | (F.col("size_bytes") == 0))
+    rest = rest.withColumn("width", F.when(F.col("extension").isin(*files.IMAGE_EXTENSIONS), F.lit(-1)))
+    if _truthy(_opt(options, "decode", "false")):
+        rules.append(("undecodable", F.col("width") < 0))
+    return images.unionByName(rest, allowMissingColumns=True), rules
+
+
+def video_rows(spark: SparkSession, path: str, manifest: DataFrame, options: dict | None = None) -> tuple:
+    """Video worker rows (A12, D4): the bytes of video files; other files as
+    rows without bytes, invalid by extension. A file that no Spark value can
+    hold is quarantined (``too_large_for_row``); ``options.content = paths``
+    stores the listing alone."""
+    rules = [("extension", quality.video_file_invalid(F.col("extension"))),
+             (files.TOO_LARGE, F.col("issue") == files.TOO_LARGE)]
+    listed = manifest.select("source_name", "path", "file_name", "extension", "size_bytes")
+    if str(_opt(options, "content", "bytes")).lower() == "paths":
+        return listed, rules[:1]
+    name = file_name(F.col("path"))
+    videos = files.read_binary(spark, path, with_content=True).withColumn("file_name", name) \
+        .withColumn("extension", extension(name)).withColumnRenamed("length", "size_bytes")
+    rest = listed.filter(~F.col("extension").isin(*files.VIDEO_EXTENSIONS) | (F.col("size_bytes") == 0))
+    return videos.unionByName(rest, allowMissingColumns=True), rules
+
+
 def ingest_sources(spark: SparkSession, sources: DataFrame, lake: Lake, run_id: str | None = None,
                    gate: str = "source", max_parallel: int = 4) -> DataFrame:
     """Run every configured source. Sources are independent, so up to
@@ -352,18 +500,16 @@ def ingest_sources(spark: SparkSession, sources: DataFrame, lake: Lake, run_id:
 
     def one(src):
         try:
-            return _ingest_one(spark, src, lake, run_id, gate)
+            with released():  # the derived small sides of this source go with it
+                return _ingest_one(spark, src, lake, run_id, gate)
         except Exception as e:  # noqa: BLE001 - recorded as a failed run
             return {"run_id": run_id, "source_name": src["name"], "status": "failed",
-                    "source_path": src["path"], "error": f"{type(e).__name__}: {e}"[:500]}
-    try:
-        if max_parallel > 1 and len(srcs) > 1:
-            with ThreadPoolExecutor(max_workers=max_parallel) as pool:
-                rows = list(pool.map(one, srcs))
-        else:
-            rows = [one(s) for s in srcs]
-    finally:
-        release()  # the derived small sides of this run are no longer needed
+                    "source_path": src["path"], "error": f"{type(e).__name__}: {e}"}
+    if max_parallel > 1 and len(srcs) > 1:
+        with ThreadPoolExecutor(max_workers=max_parallel) as pool:
+            rows = list(pool.map(one, srcs))
+    else:
+        rows = [one(s) for s in srcs]
     return record_run(spark, lake, rows)
 
 
@@ -389,72 +535,112 @@ def _metadata(src: dict, routed, modality: str, worker: str) -> dict:
     return md
 
 
+#: Schemes of paths that name a stream endpoint, not files.
+STREAM_SCHEMES = ("kafka", "flink", "socket")
+
+
+def _list_files(spark, path: str, name: str) -> DataFrame | None:
+    """The source's files; None for a stream endpoint or a path that does not
+    exist (E3). Any other listing failure is raised."""
+    if path.split("://", 1)[0].lower() in STREAM_SCHEMES and "://" in path:
+        return None
+    return files.file_manifest(spark, path, name) if files.path_exists(spark, path) else None
+
+
 def _ingest_one_inner(spark, src: dict, lake: Lake, run_id: str, gate: str) -> dict:
-    """List, route, discover and version the schema; then ingest."""
-    path = src["path"]
-    hinted = any(h in path.lower() for h in STREAMING_HINTS)
-    manifest = None
-    if not (hinted and "://" in path):
-        try:
-            manifest = files.file_manifest(spark, path, src["name"])
-        except Exception:  # the path does not exist (E3)
-            manifest = None
-    if manifest is None:
+    """List once, route, discover and version the schema; then ingest."""
+    path, name = src["path"], src["name"]
+    phases = _Phases()
+    listed = _list_files(spark, path, name)
+    if listed is None:
         manifest = spark.createDataFrame([], _EMPTY_MANIFEST)
-    one = spark.createDataFrame([(src["name"], path, src.get("modality"), src.get("ingestion_mode"),
+    else:
+        # K2's table is the stored listing; every later step reads it instead of listing again
+        lake.write_leaf(catalog.file_entities(listed, run_id), "files", run_id, name)
+        manifest = spark.read.format(lake.fmt).load(lake.run_leaf("files", run_id, name)) \
+            .select("source_name", F.col("file_path").alias("path"), "file_name", "extension", "size_bytes")
+    one = spark.createDataFrame([(name, path, src.get("modality"), src.get("ingestion_mode"),
                                   src.get("worker"))], "name string, path string, modality string, "
                                                        "ingestion_mode string, worker string")
     routed = route.route_sources(one, manifest).first()
+    phases.done("list", routed["file_count"] or 0)
     modality, mode, worker = routed["modality"], routed["ingestion_mode"], routed["worker_name"]
-    fields = discover_fields(spark, manifest, modality)
-    version = register_schema(spark, lake, src["name"], modality, fields, run_id)
-    extra = {"fields": [(i, n, t) for i, (n, t) in enumerate(fields)],
-             "metadata": _metadata(src, routed, modality, worker)}
+    if worker == "unsupported":
+        return {"run_id": run_id, "source_name": name, "status": "failed", "modality": modality, "ingestion_mode": mode,
+                "worker": worker, "record_count": 0, "invalid_count": 0, "valid_count": 0, "source_path": path,
+                "error": f"worker {src.get('worker')!r} is not supported"}
+    fields = discover_fields(spark, path, manifest, modality)
+    version = register_schema(spark, lake, name, modality, fields, run_id)
+    phases.done("discover", len(fields))
     row = _route_and_ingest(spark, src, lake, run_id, gate, manifest, routed, modality, mode, worker,
                             fields, version)
-    row.update(extra)
+    phases.done("stage", row["record_count"] or 0)
+    row.update({"fields": [(i, n, t) for i, (n, t) in enumerate(fields)], "metadata": _metadata(src, routed, modality, worker)})
+    phases.write(spark, lake, name, run_id)
     return row
 
 
+class _Phases:
+    """P4 for batch jobs: seconds and items (files, fields, records) of each phase of one source's run."""
+
+    def __init__(self):
+        self.rows, self.since = [], time.time()
+
+    def done(self, phase: str, items: int) -> None:
+        now = time.time()
+        self.rows.append((phase, int(items), now - self.since))
+        self.since = now
+
+    def write(self, spark, lake: Lake, source_name: str, run_id: str) -> None:
+        df = spark.createDataFrame([(source_name, run_id, i, *r) for i, r in enumerate(self.rows)],
+                                   "source_name string, run_id string, seq int, phase string, items bigint, seconds double")
+        lake.write_leaf(df.coalesce(1), "phases", run_id, source_name)
+
+
 def _route_and_ingest(spark, src, lake, run_id, gate, manifest, routed, modality, mode, worker, fields, version):
     """Streams run as streaming queries; files as one staged batch read."""
-    path = src["path"]
-    if modality == "streaming" and (path.startswith("kafka://") or routed["file_count"] is not None):
-        if routed["file_count"] is not None:  # a folder stream: its files are catalogued too (K2)
-            lake.write_leaf(catalog.file_entities(manifest, run_id), "files", run_id, src["name"])
-        return ingest_stream(spark, src, lake, run_id, modality, mode, worker, version)
+    path, options = src["path"], src.get("options")
+    if modality == "streaming" and (path.startswith(("kafka://", "socket://")) or routed["file_count"] is not None):
+        return ingest_stream(spark, src, lake, run_id, modality, mode, worker, version, gate)
     if modality == "streaming" or routed["file_count"] is None:
         # nothing to read (no such folder, or a stream endpoint we cannot open)
         return {"run_id": run_id, "source_name": src["name"], "status": "empty", "modality": modality,
                 "ingestion_mode": mode, "worker": worker, "schema_version": version,
                 "record_count": 0, "invalid_count": 0, "valid_count": 0, "source_path": path}
     _catalog_entities(spark, lake, src["name"], run_id, manifest, worker, path)
-    df, rules, file_issues = source_frame(spark, path, manifest, worker, fields, src.get("options"))
-    extra, override, records, extra_records = 0, None, None, 0
-    if gate == "source" and worker == "direct" and file_issues is None:
-        # Without csv/tsv the reference counts files and checks nothing
-        rules, records = [], manifest.count()
+    df, rules, file_issues = source_frame(spark, path, manifest, worker, fields, options)
+    own_rules, unique = quality.rules_from_config(_opt(options, "rules"))
+    if _truthy(_opt(options, "clean", "false")):
+        df = quality.clean_rows(df, dedupe=_truthy(_opt(options, "dedupe", "false")),
+                                technical=[c for c in df.columns if c in TECHNICAL])
+    extra, override, records, extra_records, counted = 0, None, None, 0, None
+    if worker == "direct" and file_issues is None and gate == "source":
+        records = routed["file_count"]  # E6: without csv/tsv the reference counts files
     if file_issues is not None:
+        tabular = extension(file_name(F.col("_source_file"))).isin(".csv", ".tsv")
         if gate == "source":
-            # the reference's numbers (E7, E8): files are checked, rows are not;
-            # invalid counts bad files, rows keep their file's reason
+            # the reference's numbers (E6-E8): csv/tsv rows are records, their files are
+            # checked, their width is not; invalid counts bad files, rows keep their file's reason
             rules = [r for r in rules if r[0] != "row_width"]
-            override = sum(file_issues.values())
+            own = own_rules or unique or any(r[0] in ("json_parse", "unreadable") for r in rules[len(FILE_REASONS):])
+            override = sum(file_issues.values()) if not own else None
+            if own:  # rows that other rules reject count beside the bad files
+                extra = sum(n for r, n in file_issues.items() if r in NO_ROW_REASONS) if fields != schema.UNKNOWN_FIELDS else 0
             # An unreadable file is one record (and one invalid)
             extra_records = file_issues.get("unreadable", 0)
-        else:
+            counted = tabular
+        elif fields != schema.UNKNOWN_FIELDS:
             extra = sum(n for r, n in file_issues.items() if r in NO_ROW_REASONS)
-    return ingest_frame(spark, df, lake, src["name"], run_id, rules=rules, gate=gate,
+    return ingest_frame(spark, df, lake, src["name"], run_id, rules=rules + own_rules, unique=unique, gate=gate,
                         target_table=src.get("target_table"), modality=modality, ingestion_mode=mode,
                         worker=worker, schema_version=version, source_path=path,
                         extra_invalid=extra, invalid_override=override, record_override=records,
-                        extra_records=extra_records)
+                        extra_records=extra_records, counted=counted)
 
 
 def _catalog_entities(spark, lake: Lake, source_name: str, run_id: str, manifest: DataFrame,
                       worker: str, path: str) -> None:
-    """K2 file entities, K6 text and log entities of one source run."""
-    lake.write_leaf(catalog.file_entities(manifest, run_id), "files", run_id, source_name)
+    """K6 text and log entities of one source run (K2 is the stored listing)."""
     lake.write_leaf(catalog.log_entities(manifest).withColumn("run_id", F.lit(run_id)), "logs", run_id, source_name)
     if worker == "text":
         txt = catalog.text_file_entities(spark, path, manifest).select(
@@ -463,7 +649,8 @@ def _catalog_entities(spark, lake: Lake, source_name: str, run_id: str, manifest
 
 
 def ingest_stream(spark: SparkSession, src: dict, lake: Lake, run_id: str, modality: str = "streaming",
-                  mode: str = "stream", worker: str = "streaming", version: int | None = None) -> dict:
+                  mode: str = "stream", worker: str = "streaming", version: int | None = None,
+                  gate: str = "record") -> dict:
     """W7 from the orchestrator: a stream source runs as an ``availableNow``
     Structured Streaming query through the decode -> gate -> curated /
     quarantine / dead-letter writer. The checkpoint lives in the lake, so the
@@ -473,7 +660,11 @@ def ingest_stream(spark: SparkSession, src: dict, lake: Lake, run_id: str, modal
     read as text lines (``options.format = text``, default) or as files of
     Kafka-shaped rows (``parquet`` / ``json``). ``options.maxFilesPerTrigger``
     / ``maxOffsetsPerTrigger`` throttle (W3); ``minPartitions`` spreads a hot
-    topic partition over several tasks."""
+    topic partition over several tasks. ``socket://host:port`` reads lines from
+    a socket. ``options.rules`` (D9, on ``fields['key']``) tag decoded rows; under
+    the source gate one row that a rule rejects quarantines all of the run's
+    rows, which then are not exposed (dead letters alone do not: they hold no
+    row)."""
     from ..streaming import jobs
     from ..streaming import sources as ssrc
     t0 = time.time()
@@ -496,42 +687,46 @@ def ingest_stream(spark: SparkSession, src: dict, lake: Lake, run_id: str, modal
                     "ingestion_mode": mode, "worker": worker, "schema_version": version,
                     "record_count": 0, "invalid_count": 0, "valid_count": 0, "source_path": path,
                     "error": str(e)}
+    elif path.startswith("socket://"):
+        host, _, port = path[len("socket://"):].partition(":")
+        stream = ssrc.socket_stream(spark, host, int(port))
     elif fmt == "text":
         stream = ssrc.text_line_stream(spark, path, max_files_per_trigger=max_files)
     else:
         stream = ssrc.kafka_shaped_file_stream(spark, path, max_files_per_trigger=max_files, fmt=fmt)
     stats: dict = {}
-    fn = jobs.batch_writer(out, jobs.generic_projection, rules=[], fmt=lake.fmt, stats=stats)
-    query = jobs.foreach_batch_stream(stream, fn, ckpt)
-    _record_progress(spark, lake, name, run_id, query)
+    rules, unique = quality.rules_from_config(_opt(opts, "rules"))
+    fn = jobs.batch_writer(out, jobs.generic_projection, rules=rules, unique=unique, fmt=lake.fmt, stats=stats)
+    jobs.foreach_batch_stream(stream, fn, ckpt)
+    _record_progress(spark, lake, name, run_id, stats.get("progress", []))
     rec = stats.get("records", 0)
     bad = stats.get("dead_letters", 0) + stats.get("invalid", 0)
     seconds = time.time() - t0
     prof = profile.profile_row({"record_count": rec, "invalid_count": bad}, seconds)
-    status = "empty" if rec == 0 else ("stored" if bad == 0 else "partial")
+    refuse = gate == "source" and stats.get("invalid", 0) > 0
+    status = "empty" if rec == 0 else ("stored" if bad == 0 else ("quarantined" if refuse else "partial"))
+    good, dead, wrong = (f"{out}/_row_state={side}" for side in ("curated", "dead_letter", "quarantine"))
+    refused = out if status == "quarantined" else (dead if stats.get("dead_letters") else wrong) if bad else None
     return {"run_id": run_id, "source_name": name, "status": status, "modality": modality,
             "ingestion_mode": mode, "worker": worker, "schema_version": version,
             "record_count": prof["record_count"], "invalid_count": prof["invalid_count"],
             "valid_count": prof["valid_count"], "processing_time_seconds": seconds,
             "ingestion_rate_records_per_second": prof["ingestion_rate_records_per_second"],
-            "source_path": path, "staging_path": f"{out}/_microbatches",
-            "lakehouse_path": f"{out}/curated" if rec - bad > 0 else None,
-            "quarantine_path": f"{out}/dead_letter" if bad > 0 else None, "error": None}
+            "source_path": path, "staging_path": out if rec else None,
+            "lakehouse_path": good if rec - bad > 0 and status != "quarantined" else None,
+            "quarantine_path": refused, "error": None}
 
 
 PROGRESS_SCHEMA = ("batch_id bigint, num_input_rows bigint, input_rows_per_second double, "
                    "processed_rows_per_second double, duration_ms bigint")
 
 
-def _record_progress(spark, lake: Lake, source_name: str, run_id: str, query) -> None:
-    """P4 for streams: the query's own progress reports (one per micro-batch,
-    at most the number Spark keeps) as a catalog section."""
-    rows = [profile.stream_progress_row(p) for p in (query.recentProgress or [])]
-    rows = [r for r in rows if r.get("num_input_rows")]
-    if not rows:
+def _record_progress(spark, lake: Lake, source_name: str, run_id: str, progress: list) -> None:
+    """P4 for streams: one row per micro-batch, as the batch writer counted
+    and timed it (nothing depends on how many reports Spark keeps)."""
+    if not progress:
         return
-    data = [(r["batch_id"], r["num_input_rows"], float(r["input_rows_per_second"] or 0.0),
-             float(r["processed_rows_per_second"] or 0.0), r["duration_ms"]) for r in rows]
+    data = [(int(b), int(n), n / t if t > 0 else 0.0, n / t if t > 0 else 0.0, int(t * 1000)) for b, n, t in progress]
     df = spark.createDataFrame(data, PROGRESS_SCHEMA).select(
         F.lit(source_name).alias("source_name"), F.lit(run_id).alias("run_id"), "*")
     lake.write_leaf(df, "stream_progress", run_id, source_name)

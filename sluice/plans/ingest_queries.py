@@ -1,6 +1,6 @@
-"""Query keys that run the ingestion pipeline and the file readers/sinks
-over driver tables written to the shared scratch folder (S1-S4, S8, A4,
-A5, A8, A2, A3, A12, C4, K2)."""
+"""Query keys that run the staged write and the file readers/sinks over
+driver tables written to the shared scratch folder (S1-S4, S8, A4, A5, A8,
+A2, A3, A12, C4, K2). Keys of whole configured runs are in ``source_queries``."""
 
 from __future__ import annotations
 
@@ -8,30 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalog, quality, route
-from ..session import scratch_path, session_key
+from ..session import scratch_path
 from ..sinks import tables
-from ..sources import files, readers
-from ..sources.headers import first_records
+from ..sources import files, headers, readers
 from . import derive
 from .ingest import Lake, ingest_frame, new_run_id, record_run
 from .queries import ORDER_RULES_SQL, order_rules, query
 
 table = derive.table
-_RUNS: dict = {}
-
 
 def _orders_run(spark: SparkSession, sf: str) -> dict:
-    """One pipeline run of ``orders`` under the record gate, shared by the
-    three ingest keys of a session."""
-    key = (session_key(spark), sf)
-    if key not in _RUNS:
-        lake = Lake(scratch_path(spark, "lake"))
-        row = ingest_frame(spark, table(spark, sf, "orders"), lake, "orders", new_run_id(),
-                           rules=order_rules(), gate="record", target_table="orders_curated",
-                           source_path=f"{sf}/orders.parquet")
-        record_run(spark, lake, [row])
-        _RUNS[key] = {"lake": lake, "run": row}
-    return _RUNS[key]
+    """One staged run of ``orders`` under the record gate."""
+    lake = Lake(scratch_path(spark, "lake"))
+    row = ingest_frame(spark, table(spark, sf, "orders"), lake, "orders", new_run_id(),
+                       rules=order_rules(), gate="record", target_table="orders_curated",
+                       source_path=f"{sf}/orders.parquet")
+    return {"lake": lake, "run": row}
 
 
 @query("ingest_stage", f"""
@@ -66,7 +58,9 @@ def q_ingest_quarantine(spark, sf):
 def flagship_summary(spark: SparkSession, sf: str) -> DataFrame:
     """The minimum slice: orders through staging, record gate,
     curated + quarantine; returns the run row joined with its profile."""
-    lake = _orders_run(spark, sf)["lake"]
+    done = _orders_run(spark, sf)
+    lake = done["lake"]
+    record_run(spark, lake, [done["run"]])
     runs = spark.read.parquet(lake.section("runs"))
     prof = spark.read.parquet(lake.section("profiles"))
     return runs.select("run_id", "source_name", "status", "modality", "ingestion_mode",
@@ -112,14 +106,14 @@ ORDER_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_ord
 @query("headerless_csv_count", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
 def q_headerless_csv_count(spark, sf):
     """A4: a headerless read counts every header line as data. The header
-    lines are known from each file's first record (a few KB per file), so
+    lines are known from one aggregate row a file, so
     their counts are subtracted after the aggregation - one scan of the data
     and no row-level anti-join."""
     path = scratch_path(spark, "orders-csv") + "/data"
     tables.write_csv(table(spark, sf, "orders").select(*ORDER_COLS), path)
     raw = readers.read_headerless_csv(spark, path)
     counts = raw.groupBy(F.col("_c2").alias("o_orderstatus")).agg(F.count(F.lit(1)).alias("_n"))
-    heads = first_records(files.file_manifest(spark, path)).filter(F.col("status") == "ok")
+    heads = headers.first_records(spark, path, (".csv",)).filter(F.col("cells").isNotNull())
     head_counts = heads.groupBy(F.col("cells")[2].alias("o_orderstatus")).agg(F.count(F.lit(1)).alias("_h"))
     j = counts.join(head_counts, "o_orderstatus", "left")
     n = F.col("_n") - F.coalesce(F.col("_h"), F.lit(0))
@@ -140,18 +134,41 @@ def q_xml_decode(spark, sf):
     return x.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
 
 
-# --- listings of the scale-factor folder (rows-only checks) -----------------------
-@query("file_manifest")
+# --- listings -----------------------------------------------------------------------
+def _source_files(spark: SparkSession, sf: str) -> str:
+    """Documents as one text file a source, in folders whose names need
+    URL-encoding (``src 7%`` and the like)."""
+    path = scratch_path(spark, "docs by source") + "/data"
+    d = table(spark, sf, "documents").select(F.concat(F.col("source"), F.lit(" 7%")).alias("folder"),
+                                             F.translate("text", "\n\r", "  ").alias("text"))
+    d.repartition("folder").write.partitionBy("folder").text(path)
+    return path
+
+
+_FOLDER = r"/folder=([^/]+) 7%25/[^/]*$"  # Spark itself escapes the per cent sign of a partition value
+
+
+@query("file_manifest", """
+SELECT source AS source_name, 'File' AS entity_type, '.txt' AS extension, 'text/plain' AS content_type,
+       CAST(1 AS BIGINT) AS n_files, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS size_bytes
+FROM documents GROUP BY source
+""")
 def q_file_manifest(spark, sf):
-    """A2 + C4 + K2: file entities of every file under the sf folder."""
-    m = files.file_manifest(spark, sf, source_name=sf.rstrip("/").rsplit("/", 1)[-1])
-    return catalog.file_entities(m).drop("run_id")
+    """A2 + C4 + K2: file entities of a folder of text files, per source."""
+    m = files.file_manifest(spark, _source_files(spark, sf), source_name="docs")
+    e = catalog.file_entities(m).withColumn("source", F.regexp_extract("file_path", _FOLDER, 1))
+    return e.groupBy(F.col("source").alias("source_name"), "entity_type", "extension", "content_type").agg(
+        F.count(F.lit(1)).alias("n_files"), F.sum("size_bytes").cast("bigint").alias("size_bytes"))
 
 
-@query("manifest_summary")
+@query("manifest_summary", """
+SELECT 'docs' AS source_name, count(DISTINCT source) AS file_count,
+       CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS size_bytes, '.txt' AS extensions
+FROM documents
+""")
 def q_manifest_summary(spark, sf):
-    """A3: size, file count and sorted extensions of the sf folder."""
-    m = files.file_manifest(spark, sf, source_name=sf.rstrip("/").rsplit("/", 1)[-1])
+    """A3: size, file count and sorted extensions of a folder."""
+    m = files.file_manifest(spark, _source_files(spark, sf), source_name="docs")
     s = route.manifest_summary(m)
     return s.select("source_name", "file_count", "size_bytes", F.array_join("extensions", ",").alias("extensions"))
 
@@ -179,7 +196,7 @@ def q_csv_header_checks(spark, sf):
     cust = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
     tables.write_csv(cust, root + "/customer")
     dataset = F.regexp_extract(F.col("file_path"), r"/(orders|customer)/[^/]*$", 1)
-    checks = quality.header_checks(files.file_manifest(spark, root), len(ORDER_COLS))
+    checks = quality.header_checks(spark, root, files.file_manifest(spark, root), len(ORDER_COLS))
     per_ds = checks.groupBy(dataset.alias("dataset")).agg(F.bool_and(F.col("reason").isNull()).alias("header_ok"))
     rows = readers.read_csv(spark, root, ORDER_COLS)
     tagged = quality.apply_rules(rows, [quality.row_width("_corrupt")])

@@ -10,7 +10,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import IMAGE_EXTENSIONS, VIDEO_EXTENSIONS
+from ..functions.paths import IMAGE_EXTENSIONS, VIDEO_EXTENSIONS, source_file
 from ..sinks import tables
 from ..sources import files
 
@@ -32,15 +32,14 @@ def load_dataset(spark: SparkSession, path: str, target: str, kind: str = "csv",
     if kind == "csv":
         df = (spark.read.option("header", header).option("recursiveFileLookup", True)
               .option("pathGlobFilter", "*.[cC][sS][vV]").csv(src))
-        df = df.withColumn("_source_file", F.col("_metadata.file_path"))
+        df = df.withColumn("_source_file", source_file())
     elif kind == "image":
-        df = files.read_images(spark, src) if isinstance(src, str) else (
-            spark.read.format("image").load(src).select(
-                F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels",
-                "image.mode", "image.data"))
+        df = files.read_images(spark, src)
     else:
-        df = files.read_binary(spark, src, with_content=True) if isinstance(src, str) else (
-            spark.read.format("binaryFile").load(src).select("path", "modificationTime", "length", "content"))
+        df = files.read_binary(spark, src, with_content=True)
+        # a file that no value can hold stops the load: a table without its bytes would look complete
+        df = df.withColumn("content", F.when(F.col("issue").isNotNull(), F.raise_error(F.concat_ws(
+            ": ", F.col("issue"), F.col("path"))).cast("binary")).otherwise(F.col("content"))).drop("issue")
     return write_counted(df, target, fmt, partition_by)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ingest_queries, queries, stream_queries  # noqa: F401 - registration by import
+from . import ingest_queries, queries, source_queries, stream_queries  # noqa: F401 - registration by import
 
 
 def all_queries() -> dict:

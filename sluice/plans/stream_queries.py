@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec
 from ..operators import quality
-from ..session import scratch_path, session_key
+from ..session import scratch_path
 from ..streaming import jobs
 from ..streaming import sources as ssrc
 from . import derive
@@ -172,30 +172,18 @@ def _damaged():
     return F.col("event_type") == "error"
 
 
-def _decoded_projection(d: DataFrame) -> DataFrame:
-    return d.select(F.col("offset").alias("kafka_offset"),
-                    codec.kv_get("_msg", "event_id", "int").alias("event_id"),
-                    codec.kv_get("_msg", "value", "float").alias("value"))
-
-
-_GATED: dict = {}
+def _decoded_projection(d: DataFrame) -> list:
+    return [F.col("offset").alias("kafka_offset"),
+            codec.kv_get("_msg", "event_id", "int").alias("event_id"),
+            codec.kv_get("_msg", "value", "float").alias("value")]
 
 
 def _gated_stream(spark, sf) -> str:
-    """One gated stream run per session and scale factor, shared by the
-    dead-letter and gate keys."""
-    key = (session_key(spark), sf)
-    if key not in _GATED:
-        _GATED[key] = _run_gated_stream(spark, sf)
-    return _GATED[key]
-
-
-def _run_gated_stream(spark, sf) -> str:
     (src, n), out = _kafka_files(spark, sf, damaged=_damaged()), scratch_path(spark, "stream-gate")
     s = ssrc.kafka_shaped_file_stream(spark, src, max_files_per_trigger=per_trigger(n))
-    fn = jobs.batch_writer(out, _decoded_projection, rules=[quality.in_range("value", hi=400)])
+    fn = jobs.batch_writer(out + "/rows", _decoded_projection, rules=[quality.in_range("value", hi=400)])
     jobs.foreach_batch_stream(s, fn, out + "/_ckpt")
-    return out
+    return out + "/rows"
 
 
 @query("stream_dead_letter", f"""
@@ -205,7 +193,7 @@ FROM events WHERE {DAMAGED_SQL}
 def q_stream_dead_letter(spark, sf):
     """Undecodable messages are kept whole in a dead-letter table."""
     out = _gated_stream(spark, sf)
-    dl = spark.read.parquet(out + "/dead_letter")
+    dl = jobs.read_side(spark, out, "dead_letter")
     return dl.select(F.col("offset").alias("kafka_offset"), F.col("value").alias("raw"))
 
 
@@ -219,12 +207,5 @@ FROM events
 def q_stream_gate(spark, sf):
     """Stage -> validate -> store / quarantine per micro-batch, plus the
     dead letters, all keyed by batch id."""
-    out = _gated_stream(spark, sf)
-    parts = []
-    for side in ("curated", "quarantine", "dead_letter"):
-        df = spark.read.parquet(f"{out}/{side}")
-        col = "kafka_offset" if side != "dead_letter" else "offset"
-        parts.append(df.select(F.lit(side).alias("side"), F.col(col).alias("kafka_offset")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
+    rows = spark.read.parquet(_gated_stream(spark, sf))
+    return rows.select(F.col("_row_state").alias("side"), F.coalesce("kafka_offset", "_dead_letter.offset").alias("kafka_offset"))

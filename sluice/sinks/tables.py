@@ -52,11 +52,11 @@ def csv_to_json(spark: SparkSession, csv_path: str, json_path: str, multi_line:
     return json_path
 
 
-def write_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True) -> str:
+def write_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True, extension: str = "csv") -> str:
     """CSV with quotes escaped by doubling, so values with separators,
     quotes and newlines read back (with ``multiLine``) as one row."""
     (df.write.mode("errorifexists").option("header", header).option("sep", sep)
-     .option("escape", '"').option("quoteAll", False).options(**TS_OPTIONS).csv(path))
+     .option("escape", '"').option("quoteAll", False).option("extension", extension).options(**TS_OPTIONS).csv(path))
     return path
 
 

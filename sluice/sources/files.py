@@ -3,14 +3,28 @@
 A manifest is built from Spark's own file index: ``binaryFile`` rows with
 only ``path, length, modificationTime`` selected never read file bytes (the
 projection prunes ``content``), and zero-byte files - which ``binaryFile``
-does not emit - are added back from ``inputFiles()`` of the same index."""
+does not emit - are added back from the same index. Every path is in one
+canonical form (:func:`sluice.functions.paths.plain_path`), so listings, scans
+and reasons join whatever characters a name holds."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import extension, file_name, IMAGE_EXTENSIONS, VIDEO_EXTENSIONS
+from ..functions.paths import (IMAGE_EXTENSIONS, VIDEO_EXTENSIONS, decoded_path, extension, file_name, plain_path,
+                               source_file)
+
+#: Bytes that one value of a Spark row can hold, with some room. A larger file
+#: is never loaded as one value and never dropped: it is a row with a reason.
+MAX_ROW_BYTES = 2_000_000_000
+TOO_LARGE = "too_large_for_row"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there; a storage failure is raised, never read as "no"."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p))
 
 
 def _listing(spark: SparkSession, path: str) -> DataFrame:
@@ -18,9 +32,16 @@ def _listing(spark: SparkSession, path: str) -> DataFrame:
             .load(path).select("path", "length", "modificationTime"))
 
 
-def _same_form(uri: str) -> str:
-    """``inputFiles()`` spells local files ``file:///x``; scan rows use ``file:/x``."""
-    return "file:/" + uri[len("file:///"):] if uri.startswith("file:///") else uri
+def _indexed(listing: DataFrame):
+    """(number of files in the scan's index, frame of their paths). The index
+    is what Spark holds on the driver for any file scan; its paths become a
+    frame inside the JVM and never a Python list."""
+    spark = listing.sparkSession
+    jvm = spark.sparkContext._jvm
+    names = listing._jdf.inputFiles()
+    listed = jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(names)
+    rows = spark._jsparkSession.createDataset(listed, jvm.org.apache.spark.sql.Encoders.STRING())
+    return len(names), DataFrame(rows.toDF(), spark).select(decoded_path("value").alias("path"))
 
 
 def file_manifest(spark: SparkSession, path: str, source_name: str | None = None,
@@ -28,18 +49,12 @@ def file_manifest(spark: SparkSession, path: str, source_name: str | None = None
     """A2: one row per file under ``path``: source_name, path, file_name,
     extension (lower-case, with dot), size_bytes, modified."""
     listing = _listing(spark, path)
-    rows = listing.select(F.col("path"), F.col("length").alias("size_bytes"),
+    rows = listing.select(plain_path("path").alias("path"), F.col("length").alias("size_bytes"),
                           F.col("modificationTime").alias("modified"))
     if include_empty:
-        # inputFiles() is the driver-side file index the scan already holds
-        # (Spark lists files on the driver for any file scan); zero-byte
-        # files are the ones in the index that produced no row.
-        listed = [_same_form(p) for p in listing.inputFiles()]
-        # only when the index holds more files than the scan emitted (some are
-        # zero-byte) are the paths turned into rows for an anti-join
-        if listed and len(listed) > rows.count():
-            all_files = spark.createDataFrame([(p,) for p in listed], "path string")
-            empties = all_files.join(rows.select("path"), "path", "left_anti").select(
+        n, indexed = _indexed(listing)
+        if n and n > rows.count():  # the index holds files that gave no row: zero-byte ones
+            empties = indexed.join(rows.select("path"), "path", "left_anti").select(
                 "path", F.lit(0).cast("bigint").alias("size_bytes"),
                 F.lit(None).cast("timestamp").alias("modified"))
             rows = rows.unionByName(empties)
@@ -58,20 +73,18 @@ def bounded_take(df: DataFrame, n: int, *order) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def read_text_documents(spark: SparkSession, path: str, ignore_corrupt: bool = False) -> DataFrame:
-    """A10: one row per text file (``wholetext``) with its path."""
+def read_text_documents(spark: SparkSession, path: str, ignore_corrupt: bool = False, glob: str | None = None,
+                        max_bytes: int = MAX_ROW_BYTES) -> DataFrame:
+    """A10: one row per text file (``wholetext``) with its path. Files above
+    ``max_bytes`` cannot be one value and give no row here; the manifest
+    names them."""
     r = spark.read.option("recursiveFileLookup", True)
+    if glob:
+        r = r.option("pathGlobFilter", glob)
     if ignore_corrupt:
         r = r.option("ignoreCorruptFiles", True)
-    df = r.text(path, wholetext=True)
-    return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"),
-                     F.col("_metadata.file_size").alias("size_bytes"))
-
-
-def read_text_documents_from(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """A10 over an explicit file list (used when some files must be left out)."""
-    df = spark.read.option("ignoreCorruptFiles", True).text(paths, wholetext=True)
-    return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"),
+    df = r.text(path, wholetext=True).filter(F.col("_metadata.file_size") <= max_bytes)
+    return df.select(source_file().alias("path"), F.col("value").alias("text"),
                      F.col("_metadata.file_size").alias("size_bytes"))
 
 
@@ -79,32 +92,29 @@ def read_images(spark: SparkSession, path: str, drop_invalid: bool = False) -> D
     """Decoded images; an undecodable file has width/height -1."""
     df = (spark.read.format("image").option("recursiveFileLookup", True)
           .option("dropInvalid", drop_invalid).load(path))
-    ext = extension(file_name(F.col("image.origin")))
-    return df.filter(ext.isin(*IMAGE_EXTENSIONS)).select(
-        F.col("image.origin").alias("path"), "image.height", "image.width",
-        "image.nChannels", "image.mode", "image.data")
-
-
-MAX_CONTENT_BYTES = 512 << 20
+    # the image source names its files URL-encoded
+    origin = decoded_path("image.origin")
+    return df.filter(extension(file_name(origin)).isin(*IMAGE_EXTENSIONS)).select(
+        origin.alias("path"), "image.height", "image.width", "image.nChannels", "image.mode", "image.data")
 
 
 def read_binary(spark: SparkSession, path: str, with_content: bool = False,
-                extensions=VIDEO_EXTENSIONS, max_content_bytes: int = MAX_CONTENT_BYTES) -> DataFrame:
-    """Binary files (videos by default). Bytes are read only when
-    ``with_content`` asks for them, and only for files up to
-    ``max_content_bytes`` (the source skips larger files on its ``length``
-    filter); larger files are listed with ``content`` NULL - a row cannot
-    hold more than 2 GB."""
+                extensions=VIDEO_EXTENSIONS, max_content_bytes: int = MAX_ROW_BYTES) -> DataFrame:
+    """Binary files (videos by default): path, modificationTime, length
+    and, when ``with_content`` asks for the bytes, ``content`` and ``issue``.
+    A file above ``max_content_bytes`` cannot be one value: its row has no
+    content and the issue ``too_large_for_row``, for callers to quarantine."""
     def scan():
         return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     if with_content:
         small = scan().filter(F.col("length") <= max_content_bytes).select(
-            "path", "modificationTime", "length", "content")
+            "path", "modificationTime", "length", "content", F.lit(None).cast("string").alias("issue"))
         large = scan().filter(F.col("length") > max_content_bytes).select(
-            "path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"))
+            "path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"), F.lit(TOO_LARGE).alias("issue"))
         out = small.unionByName(large)
     else:
         out = scan().select("path", "modificationTime", "length")
+    out = out.withColumn("path", plain_path("path"))
     if extensions:
         out = out.filter(extension(file_name(F.col("path"))).isin(*extensions))
     return out
@@ -114,5 +124,5 @@ def unreadable_files(spark: SparkSession, manifest: DataFrame, path: str) -> Dat
     """Non-empty files that produced no text row under
     ``ignoreCorruptFiles`` (zero-byte files are readable and empty)."""
     docs = read_text_documents(spark, path, ignore_corrupt=True).select("path")
-    return (manifest.filter(F.col("size_bytes") > 0).join(docs, "path", "left_anti")
-            .select("source_name", "path", F.lit("unreadable").alias("reason")))
+    return (manifest.filter((F.col("size_bytes") > 0) & (F.col("size_bytes") <= MAX_ROW_BYTES))
+            .join(docs, "path", "left_anti").select("source_name", "path", F.lit("unreadable").alias("reason")))

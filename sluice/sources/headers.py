@@ -1,124 +1,173 @@
-"""First record of every delimited file (C1, D1) without scanning the data.
+"""First records of delimited files and records of JSON files (C1, C2, D1),
+read by Spark's text scan.
 
-Spark's CSV scan cannot skip to the first line of each file: filtering on
-``_metadata.file_block_start = 0`` still reads every split. Here the file
-list (a manifest DataFrame, already spread over tasks by the listing) is
-processed with ``mapInPandas``: each task opens its files through
-``pyarrow.fs`` and parses only the first record with Python's ``csv``
-module - a few KB per file, whatever the file size."""
+A folder's delimited files are scanned once as lines; per file one aggregate
+row keeps the first non-empty line and whether any line holds an odd number
+of quotes (a quoted value then runs over line ends, and the file must be read
+as a whole). JSON files are read as lines; a file with a line that is no JSON
+value is tried as one document."""
 
 from __future__ import annotations
 
-import csv
-import io
+import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HEADER_SCHEMA = "file_path string, cells array<string>, status string"
-
-
-class NoFilesystem(Exception):
-    """pyarrow cannot open this storage scheme on this executor."""
-
-
-def _filesystem(uri: str):
-    import pyarrow.fs as pafs
-    if uri.startswith("file:"):
-        path = uri[len("file://"):] if uri.startswith("file://") else uri[len("file:"):]
-        return pafs.LocalFileSystem(), path
-    if uri.startswith("s3a://") or uri.startswith("s3n://"):
-        uri = "s3://" + uri.split("://", 1)[1]
-    try:
-        return pafs.FileSystem.from_uri(uri)
-    except Exception as e:  # unknown scheme, missing libhdfs, ...
-        raise NoFilesystem(str(e)) from e
-
-
-def _open(uri: str):
-    fs, path = _filesystem(uri)
-    return fs.open_input_stream(path)
-
-
-def first_record(uri: str, sep: str) -> tuple:
-    """(cells, status): the first non-blank CSV record of a file; status
-    ``ok``, ``empty`` (no record at all), ``unreadable`` (I/O or decode
-    failure) or ``unchecked`` (no filesystem client for the scheme here:
-    the check is skipped rather than failing a readable file)."""
-    try:
-        fs, path = _filesystem(uri)
-    except NoFilesystem:
-        return None, "unchecked"
-    try:
-        with fs.open_input_stream(path) as raw:
-            text = io.TextIOWrapper(io.BufferedReader(raw), encoding="utf-8", errors="ignore", newline="")
-            for row in csv.reader(text, delimiter=sep):
-                if row:
-                    return row, "ok"
-            return None, "empty"
-    except Exception:  # noqa: BLE001 - any I/O or decode failure marks the file
-        return None, "unreadable"
-
-
-def _headers(batches):
-    import pandas as pd
-    for pdf in batches:
-        out = [first_record(p, "\t" if (e or "").lower() == ".tsv" else ",")
-               for p, e in zip(pdf["path"], pdf["extension"])]
-        yield pd.DataFrame({"file_path": pdf["path"], "cells": [c for c, _ in out],
-                            "status": [s for _, s in out]})
-
-
-def first_records(manifest: DataFrame, extensions=(".csv", ".tsv")) -> DataFrame:
-    """``(file_path, cells, status)`` for every file of the manifest with one
-    of ``extensions`` (tab-separated for ``.tsv``)."""
-    files = manifest.filter(F.col("extension").isin(*extensions)).select("path", "extension")
-    return files.mapInPandas(_headers, HEADER_SCHEMA)
-
-
-# --- first JSON document (C2) ----------------------------------------------------------
-JSON_FIELDS_SCHEMA = "file_path string, key string, type_name string, status string"
-
-
-def first_json_fields(uri: str, max_bytes: int) -> tuple:
-    """Top-level keys of a JSON file with Python type names (``str``, ``int``,
-    ``float``, ``bool``, ``list``, ``dict``, ``NoneType``). A file up to
-    ``max_bytes`` is parsed whole, as the reference did (so JSON Lines give
-    no keys); beyond that only its first value is decoded from the first
-    ``max_bytes``. A list uses its first element."""
-    import json
-    try:
-        with _open(uri) as raw:
-            data = raw.read(max_bytes + 1)
-    except NoFilesystem:
-        return [], "unchecked"
-    except Exception:  # noqa: BLE001
-        return [], "unreadable"
-    text = data[:max_bytes].decode("utf-8", errors="ignore")
-    try:
-        if len(data) <= max_bytes:
-            doc = json.loads(text)
-        else:
-            doc, _ = json.JSONDecoder().raw_decode(text.lstrip())
-    except ValueError:
-        return [], "unknown"
-    if isinstance(doc, list) and doc:
-        doc = doc[0]
-    if not isinstance(doc, dict):
-        return [], "unknown"
-    return [(str(k), type(v).__name__) for k, v in doc.items()], "ok"
-
-
-def json_fields(manifest: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
-    """``(file_path, key, type_name, status)`` of every ``.json`` file of the
-    manifest (one row per key; one row with NULL key when there is none)."""
-    def run(batches):
-        import pandas as pd
-        for pdf in batches:
-            rows = []
-            for p in pdf["path"]:
-                fields, status = first_json_fields(p, max_bytes)
-                rows += [(p, k, t, status) for k, t in fields] or [(p, None, None, status)]
-            yield pd.DataFrame(rows, columns=["file_path", "key", "type_name", "status"])
-    files = manifest.filter(F.col("extension") == ".json").select("path")
-    return files.mapInPandas(run, JSON_FIELDS_SCHEMA)
+from ..functions.paths import decoded_path, source_file
+from .files import MAX_ROW_BYTES
+
+#: File globs of the text formats, in any case.
+GLOBS = {".csv": "*.[cC][sS][vV]", ".tsv": "*.[tT][sS][vV]", ".json": "*.[jJ][sS][oO][nN]", ".xml": "*.[xX][mM][lL]",
+         ".parquet": "*.[pP][aA][rR][qQ][uU][eE][tT]"}
+#: Chosen files are named to the scan, which then lists only them, up to this many; beyond, rows are joined to the choice.
+NAMED_FILES = 4096
+
+
+def _lines(spark: SparkSession, path: str, glob: str, ignore_corrupt: bool = False) -> DataFrame:
+    return (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+            .option("ignoreCorruptFiles", ignore_corrupt).text(path))
+
+
+def split_record(line, sep: str) -> Column:
+    """Cells of one delimited record: separators inside quotes do not count,
+    doubled quotes stand for one. NULL for a NULL line."""
+    line = F.col(line) if isinstance(line, str) else line
+    s = "\\t" if sep == "\t" else sep
+    cell = f'{s}(?:"[^"]*(?:""[^"]*)*"[^{s}]*|[^{s}]*)'  # each match eats its separator: empty cells count
+    found = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(cell), F.lit(0))
+
+    def value(c):
+        c = F.substr(c, F.lit(2))
+        inner = F.regexp_extract(c, '^"([^"]*(?:""[^"]*)*)"', 1)
+        return F.when(c.startswith('"') & c.rlike('^"[^"]*(?:""[^"]*)*"'), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(c)
+    return F.transform(found, value)
+
+
+def delimited_files(spark: SparkSession, path: str, ext: str) -> DataFrame:
+    """One row per readable file with extension ``ext`` and a line: ``file_path,
+    uri`` (as scans spell it), ``head`` (first non-empty line, NULL if there is
+    none) and ``multi_line``."""
+    lines = _lines(spark, path, GLOBS[ext], ignore_corrupt=True).select(
+        F.col("_metadata.file_path").alias("uri"), F.col("value"),
+        F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("at"))
+    text = F.when(F.col("value") != "", F.col("value"))
+    odd = F.length(F.regexp_replace("value", '[^"]+', "")) % 2 == 1
+    return lines.groupBy("uri").agg(
+        F.min_by(text, F.when(text.isNotNull(), F.col("at"))).alias("head"), F.bool_or(odd).alias("multi_line")) \
+        .select(decoded_path("uri").alias("file_path"), "uri", F.regexp_replace("head", "^\\ufeff", "").alias("head"), "multi_line")
+
+
+def first_records(spark: SparkSession, path: str, extensions=(".csv", ".tsv")) -> DataFrame:
+    """``file_path, uri, extension, cells, multi_line`` of every readable
+    delimited file under ``path``; cells NULL for a file of empty lines only. A
+    header that itself runs over a line end is read to the end of its record."""
+    out = None
+    for ext in extensions:
+        sep = "\t" if ext == ".tsv" else ","
+        files = delimited_files(spark, path, ext)
+        broken = F.length(F.regexp_replace("head", '[^"]+', "")) % 2 == 1
+        cells = F.when(~broken, split_record("head", sep))
+        part = files.select("file_path", "uri", F.lit(ext).alias("extension"), cells.alias("cells"), "multi_line",
+                            F.coalesce(broken, F.lit(False)).alias("broken"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def quoted_headers(spark: SparkSession, path: str, ext: str, files: DataFrame, width: int) -> DataFrame:
+    """``uri, cells`` of files whose header runs over a line end, read as CSV
+    with ``width`` columns; cells NULL where the header has another width."""
+    names = [f"c{i}" for i in range(width)]
+    rows = (spark.read.schema(", ".join(f"`{n}` string" for n in [*names, "_corrupt"])).option("header", False)
+            .option("sep", "\t" if ext == ".tsv" else ",").option("multiLine", True).option("escape", '"')
+            .option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True)
+            .option("pathGlobFilter", GLOBS[ext]).csv(path))
+    rows = chosen(rows, files).select(
+        F.col("_metadata.file_path").alias("uri"), F.monotonically_increasing_id().alias("i"),
+        F.when(F.col("_corrupt").isNull(), F.array(*[F.coalesce(F.col(n), F.lit("")) for n in names])).alias("cells"))
+    return rows.groupBy("uri").agg(F.min_by(F.struct("cells"), "i").alias("first")).select("uri", "first.cells")
+
+
+def literal(path: str) -> str:
+    """A canonical path as a load argument: characters that globs use are escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def header_of(spark: SparkSession, path: str, sep: str, multi_line: bool) -> list[str]:
+    """Header cells of one file, as Spark's CSV reader finds them (it reads the
+    first record only)."""
+    path = literal(path)
+    r = spark.read.option("header", False).option("sep", sep).option("escape", '"').option("multiLine", multi_line)
+    row = r.csv(path).first()
+    return [] if row is None else ["" if c is None else c for c in row]
+
+
+def chosen(df: DataFrame, files: DataFrame, uri: str = "uri", keep: bool = True) -> DataFrame:
+    """Rows of ``df`` (a file scan) that come from ``files`` (or do not). A
+    short choice is named in a filter on the file path, which prunes the scan's
+    file list; a long one is joined. The rows are the same."""
+    rows = files.select(uri).limit(NAMED_FILES + 1).collect()
+    if len(rows) <= NAMED_FILES:
+        hit = F.col("_metadata.file_path").isin([r[0] for r in rows]) if rows else F.lit(False)
+        return df.filter(hit if keep else ~hit)
+    key = F.col("_metadata.file_path").alias("_uri")
+    return df.select("*", key).join(files.select(F.col(uri).alias("_uri")), "_uri", "left_semi" if keep else "left_anti").drop("_uri")
+
+
+# --- JSON ---------------------------------------------------------------------------
+
+def parse_whole(text) -> Column:
+    """Variant of a text that is one JSON value from end to end, else NULL. The
+    built-in parse takes the first value and ignores what follows; as the only
+    member of an object and the only element of a list, the text cannot hold
+    anything else."""
+    text = F.col(text) if isinstance(text, str) else text
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    element = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    alone = F.try_variant_get(element, "$[1]", "variant").isNull()
+    return F.when(member.isNotNull() & alone, F.try_variant_get(element, "$[0]", "variant"))
+
+
+def first_keys(spark: SparkSession, path: str) -> list[str]:
+    """Keys of the first object of one JSON file in the order of its text."""
+    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = spark.read.text(literal(path)).filter(F.btrim("value", F.lit(" \t\r\n")) != "")
+    small = spark.read.text(literal(path), wholetext=True).filter(F.col("_metadata.file_size") <= MAX_ROW_BYTES)
+    for text in (lines.select("value", at.alias("at")).agg(F.min_by("value", "at").alias("t")), small.select(F.col("value").alias("t"))):
+        # a list's first element keeps the order of its text
+        keys = F.coalesce(F.json_object_keys("t"), F.json_object_keys(F.get_json_object("t", "$[0]")))
+        row = text.select(keys.alias("k")).first()
+        if row and row["k"]:
+            return list(row["k"])
+    return []
+
+
+def json_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Every JSON value of the ``.json`` files under ``path`` as ``_source_file,
+    _at`` (order in the file), ``v`` (variant, NULL if the text is no JSON) and
+    ``_raw`` (that text).
+
+    A file is one document if not all its lines are JSON values but the whole
+    is; otherwise each non-blank line is a value of its own. The elements of a
+    top-level array are values of their own."""
+    glob = GLOBS[".json"]
+    value = parse_whole("value")
+    lines = _lines(spark, path, glob).filter(F.btrim("value", F.lit(" \t\r\n")) != "")
+    suspects = lines.filter(value.isNull()).select(F.col("_metadata.file_path").alias("uri")).distinct()
+    whole = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+             .text(path, wholetext=True).filter(F.col("_metadata.file_size") <= MAX_ROW_BYTES))
+    documents = chosen(whole, suspects).select(
+        source_file().alias("_source_file"), F.col("_metadata.file_path").alias("uri"), value.alias("v")).filter(F.col("v").isNotNull())
+    at = F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    single = chosen(lines, documents, keep=False).select(
+        source_file().alias("_source_file"), at.alias("_at"), value.alias("v"),
+        F.when(value.isNull(), F.col("value")).alias("_raw"))
+    documents = documents.select("_source_file", F.struct(F.lit(0).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("i")).alias("_at"),
+                                 "v", F.lit(None).cast("string").alias("_raw"))
+    values = single.unionByName(documents)
+    is_list = F.coalesce(F.schema_of_variant("v").startswith("ARRAY"), F.lit(False))
+    listed = values.filter(is_list).lateralJoin(spark.tvf.variant_explode(F.col("v").outer())) \
+        .filter(F.col("pos").isNotNull()) \
+        .select("_source_file", F.struct(F.col("_at.b").alias("b"), (F.col("_at.i") * 0 + F.col("pos")).alias("i")).alias("_at"),
+                F.col("value").alias("v"), "_raw")
+    return values.filter(~is_list).unionByName(listed)

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.paths import source_file
 from ..sinks.tables import TS_OPTIONS
 
 
 def _with_file(df: DataFrame) -> DataFrame:
-    return df.withColumn("_source_file", F.col("_metadata.file_path"))
+    return df.withColumn("_source_file", source_file())
 
 
 def read_headerless_csv(spark: SparkSession, path: str, sep: str = ",", schema=None) -> DataFrame:
@@ -36,11 +37,12 @@ def string_schema(columns, corrupt: str | None = "_corrupt") -> T.StructType:
 
 def read_csv(spark: SparkSession, path: str, columns, sep: str = ",", multi_line: bool = False,
              corrupt: str | None = "_corrupt", header: bool = True,
-             path_glob: str | None = None) -> DataFrame:
+             path_glob: str | None = None, keep=None) -> DataFrame:
     """A5: headered CSV/TSV, every field a string (the reference's types),
     PERMISSIVE with a corrupt-record column so short and long rows are kept
     and flagged (D7) instead of failing the job. ``multi_line`` is needed for
-    quoted newlines and makes each file one task; leave it off otherwise."""
+    quoted newlines and makes each file one task; leave it off otherwise.
+    ``keep`` narrows the scan to some of its files."""
     r = (spark.read.schema(string_schema(columns, corrupt)).options(**TS_OPTIONS)
          .option("header", header).option("sep", sep).option("mode", "PERMISSIVE")
          .option("multiLine", multi_line).option("escape", '"')
@@ -49,7 +51,8 @@ def read_csv(spark: SparkSession, path: str, columns, sep: str = ",", multi_line
         r = r.option("columnNameOfCorruptRecord", corrupt)
     if path_glob:
         r = r.option("pathGlobFilter", path_glob)
-    return _with_file(r.csv(path))
+    df = r.csv(path)
+    return _with_file(df if keep is None else keep(df))
 
 
 def sep_for(ext: str) -> str:
@@ -81,11 +84,13 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return spark.read.format(fmt).load(path)
 
 
-def read_xml(spark: SparkSession, path: str, row_tag: str, schema=None) -> DataFrame:
+def read_xml(spark: SparkSession, path: str, row_tag: str, schema=None, glob: str | None = None) -> DataFrame:
     """XML with one row per ``row_tag`` element (built-in reader)."""
     r = spark.read.option("rowTag", row_tag).option("recursiveFileLookup", True)
     if schema is not None:
         r = r.schema(schema)
+    if glob:
+        r = r.option("pathGlobFilter", glob)
     return _with_file(r.xml(path))
 
 
@@ -95,4 +100,4 @@ def read_yaml_documents(spark: SparkSession, path: str) -> DataFrame:
     # pathGlobFilter is case-sensitive: character classes accept any case
     df = (spark.read.option("recursiveFileLookup", True)
           .option("pathGlobFilter", "*.{[yY][aA][mM][lL],[yY][mM][lL]}").text(path, wholetext=True))
-    return df.select(F.col("_metadata.file_path").alias("_source_file"), F.col("value").alias("document"))
+    return df.select(source_file().alias("_source_file"), F.col("value").alias("document"))

@@ -2,11 +2,12 @@
 
 All queries keep their progress in a checkpoint folder under the shared
 scratch area, so a restarted or replayed query neither loses nor repeats
-rows. ``foreachBatch`` writers overwrite ``_batch=<id>`` folders: a batch
-replayed after a failure rewrites exactly its own output (idempotent)."""
+rows. The ``foreachBatch`` writer replaces its own ``_batch=<id>`` folders: a
+batch replayed after a failure rewrites exactly its own output (idempotent)."""
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, Observation
@@ -74,48 +75,59 @@ def decode_batch(batch: DataFrame, value_col: str = "value") -> DataFrame:
     return d.withColumn("_ok", F.col("_msg.ok"))
 
 
-def batch_writer(root: str, project, rules=(), fmt: str = "parquet", stats: dict | None = None,
-                 value_col: str = "value"):
-    """A ``foreachBatch`` function. Each micro-batch is decoded; messages
-    that do not decode go to ``dead_letter`` (W6); decoded rows are projected
-    by ``project(decoded_df)``, tagged by ``rules`` and split into
-    ``curated`` / ``quarantine`` (D6). Every output is written to
-    ``<root>/<table>/_batch=<id>`` with overwrite, so a replay is exact.
-    ``stats`` (a driver-side dict) accumulates records / invalid / dead
-    letter counts of the batches this query processed."""
-    def counted(df: DataFrame, name: str, batch_id: int):
-        obs = Observation(f"{name}_{batch_id}_{uuid.uuid4().hex[:8]}")
-        return df.observe(obs, F.count(F.lit(1)).alias("n")), obs
+SIDES = ("curated", "quarantine", "dead_letter")
+
 
+def batch_writer(root: str, project, rules=(), unique=None, fmt: str = "parquet", stats: dict | None = None,
+                 value_col: str = "value"):
+    """A ``foreachBatch`` function that decodes, gates and stores a
+    micro-batch in ONE write, partitioned by side and batch:
+    ``<root>/_row_state=<side>/_batch=<id>``. Messages that do not decode are
+    dead letters (W6) and keep their own columns in ``_dead_letter``; decoded
+    rows have the columns of ``project(decoded_df)`` and go to ``curated`` or, by
+    ``rules`` (in ``_reasons``), to ``quarantine`` (D6). The write replaces its
+    own batch's folders only, so a replay is exact. ``stats`` (a driver-side
+    dict) accumulates records / invalid / dead letter counts and one line per
+    batch, observed in the write."""
     def run(batch: DataFrame, batch_id: int):
-        d = decode_batch(batch, value_col).persist()
-        try:
-            dead, o_dead = counted(d.filter(~F.col("_ok")).drop("_msg", "_ok"), "dead", batch_id)
-            dead.write.mode("overwrite").format(fmt).save(f"{root}/dead_letter/_batch={batch_id}")
-            rows = project(d.filter(F.col("_ok")))
-            tagged = quality.apply_rules(rows, rules)
-            valid, invalid = quality.record_gate(tagged)
-            valid, o_valid = counted(valid, "valid", batch_id)
-            invalid, o_invalid = counted(invalid, "invalid", batch_id)
-            valid.write.mode("overwrite").format(fmt).save(f"{root}/curated/_batch={batch_id}")
-            invalid.write.mode("overwrite").format(fmt).save(f"{root}/quarantine/_batch={batch_id}")
-            if stats is not None:  # the counts come from the three writes themselves
-                n_dead, n_valid, n_invalid = (int(o.get["n"]) for o in (o_dead, o_valid, o_invalid))
-                stats["records"] = stats.get("records", 0) + n_dead + n_valid + n_invalid
-                stats["dead_letters"] = stats.get("dead_letters", 0) + n_dead
-                stats["invalid"] = stats.get("invalid", 0) + n_invalid
-                stats["batches"] = stats.get("batches", 0) + 1
-        finally:
-            d.unpersist()
+        began = time.time()
+        d = decode_batch(batch, value_col)
+        ok = F.coalesce(F.col("_ok"), F.lit(False))
+        whole = F.when(~ok, F.struct(*[F.col(c) for c in batch.columns]))
+        rows = d.select(*project(d), ok.alias("_ok"), whole.alias("_dead_letter"))
+        # only decoded rows are tested, also for uniqueness: dead letters have no fields
+        tested = [(n, F.col("_ok") & v) for n, v in rules]
+        tagged = quality.apply_rules(rows, tested, unique=unique)
+        side = F.when(~F.col("_ok"), F.lit("dead_letter")).when(F.size(quality.REASONS) == 0, F.lit("curated")) \
+            .otherwise(F.lit("quarantine"))
+        tagged = tagged.withColumn("_row_state", side).withColumn("_batch", F.lit(batch_id)).drop("_ok")
+        obs = Observation(f"batch_{batch_id}_{uuid.uuid4().hex[:8]}")
+        tagged = tagged.observe(obs, *[F.count_if(F.col("_row_state") == s).alias(s) for s in SIDES])
+        tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").format(fmt) \
+            .partitionBy("_row_state", "_batch").save(root)
+        if stats is not None:
+            n = {s: int(obs.get[s]) for s in SIDES}
+            stats["records"] = stats.get("records", 0) + sum(n.values())
+            stats["dead_letters"] = stats.get("dead_letters", 0) + n["dead_letter"]
+            stats["invalid"] = stats.get("invalid", 0) + n["quarantine"]
+            stats["batches"] = stats.get("batches", 0) + 1
+            stats.setdefault("progress", []).append((batch_id, sum(n.values()), time.time() - began))
     return run
 
 
-def generic_projection(d: DataFrame) -> DataFrame:
+def read_side(spark, root: str, side: str, fmt: str = "parquet") -> DataFrame:
+    """Rows of one side of a gated stream, without the columns of the others."""
+    df = spark.read.format(fmt).load(root).filter(F.col("_row_state") == side)
+    if side == "dead_letter":
+        return df.select("_dead_letter.*", "_batch")
+    return df.drop("_dead_letter", "_row_state", *(["_reasons"] if side == "curated" else []))
+
+
+def generic_projection(d: DataFrame) -> list:
     """Decoded messages of unknown keys: the stream's own columns, the
     fields as a map and the typed JSON document (what the reference wrote)."""
-    meta = [c for c in d.columns if c not in ("_msg", "_ok")]
-    fields = F.map_from_entries(F.transform(F.col("_msg.entries"), lambda e: F.struct(e["key"], e["value"])))
-    return d.select(*meta, fields.alias("fields"), codec.kv_to_json(F.col("_msg")).alias("json"))
+    meta = [F.col(c) for c in d.columns if c not in ("_msg", "_ok")]
+    return [*meta, F.col("_msg.fields").alias("fields"), codec.kv_to_json(F.col("_msg")).alias("json")]
 
 
 def foreach_batch_stream(df: DataFrame, fn, checkpoint: str, available_now: bool = True,

@@ -80,27 +80,39 @@ def test_text_helpers_match_python(spark):
         assert r["w"] == len(r["t"].split())
 
 
-def test_dataframe_decoder_equals_column_decoder(spark):
-    msgs = ["a:1,b:1.5,c:x", "a:-5", "t:10:20:30", "a:", "a:1,a:2", "novalue", "", "x:1,y"]
-    df = spark.createDataFrame([(m,) for m in msgs], "m string")
-    a = df.select("m", codec.kv_decode("m").alias("d"))
-    b = codec.decode_messages(df, "m", "d")
-    assert sorted(map(str, a.collect())) == sorted(map(str, b.select("m", "d").collect()))
+def plain_decode(msg):
+    """Fields of a message, the last of a repeated key; None if an item has no colon."""
+    items = [i.partition(":") for i in msg.split(",")]
+    return None if any(not sep for _, sep, _ in items) else {k: v for k, _, v in items}
 
 
-def test_regex_extract_equals_decoder(spark):
-    msgs = ["a:1,b:1.5,c:x", "a:-5", "t:10:20:30", "a:", "a:1,a:2", "novalue", "", "x:1,y", "b:2,a:7.5,a:8"]
+def test_decoder_against_plain_python(spark):
+    msgs = ["a:1,b:1.5,c:x", "a:-5", "t:10:20:30", "a:", "a:1,a:2", "novalue", "", "x:1,y", "b:2,a:7.5,a:8", "a:1,b:2,a:3,b:4,a:5",
+            ":v", ":v,:w", "a:1.5d,b:1.5f,c:1.5e3,d:.5,e:5.", "ab:1,b:2,ab:3", "a:b,b:a:1,a:b:2", "x.y:1,x.y:2,xzy:3"]
     df = spark.createDataFrame([(m,) for m in msgs], "m string")
-    d = codec.decode_messages(df, "m", "d")
-    for key, kind in [("a", "int"), ("a", "float"), ("a", "str"), ("t", "str"), ("b", "float")]:
-        got = d.select("m", codec.kv_get("d", key, kind).alias("x"), codec.kv_extract("m", key, kind).alias("y"))
-        for r in got.collect():
-            assert r["x"] == r["y"], (r["m"], key, kind)
+    got = {r["m"]: r["d"] for r in codec.decode_messages(df, "m", "d").collect()}
+    for m in msgs:
+        assert got[m]["ok"] == (plain_decode(m) is not None) and got[m]["fields"] == plain_decode(m), m
+    null = spark.createDataFrame([(None,)], "m string").select(codec.kv_decode("m").alias("d")).first()["d"]
+    assert null["ok"] is None and null["fields"] is None
+
+
+def test_numbers_have_no_type_suffix(spark):
+    values = ["1.5d", "1.5f", "1.5", "-2.5", "+.5", "5.", "1.5e3", "1e5", "12", "-3", "1.2.3", ".", "9" * 30, "inf.", "٣"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = {r["v"]: r["k"] for r in df.select("v", codec.value_kind("v").alias("k")).collect()}
+    assert [v for v in values if got[v] == "float"] == ["1.5", "-2.5", "+.5", "5.", "1.5e3"]
+    assert [v for v in values if got[v] == "int"] == ["12"]
 
 
 from hypothesis import given, settings  # noqa: E402
 from hypothesis import strategies as st  # noqa: E402
 
+def codec_kinds(spark, msg):
+    df = spark.createDataFrame([(msg,)], "m string")
+    return df.select(codec.kv_kinds(codec.kv_decode("m"))).first()[0]
+
+
 _KEY = st.text(alphabet="abcdefghijklmnopqrstuvwxyz_", min_size=1, max_size=6)
 _TEXT = st.text(alphabet=st.characters(blacklist_characters=",:.", blacklist_categories=("Cs",)),
                 min_size=1, max_size=8)
@@ -122,7 +134,8 @@ def test_encode_decode_identity_property(spark, fields):
     df = spark.createDataFrame([(msg,)], "m string")
     d = codec.decode_messages(df, "m", "d").first()["d"]
     assert d["ok"]
-    got = {e["key"]: (e["value"], e["kind"]) for e in d["entries"]}
+    kinds = dict(x.rsplit(":", 1) for x in codec_kinds(spark, msg).split(","))
+    got = {k: (v, kinds[k]) for k, v in d["fields"].items()}
     for k, v in row.items():
         text, kind = got[k]
         if isinstance(v, bool) or not isinstance(v, (int, float)):

@@ -66,7 +66,8 @@ def test_orchestrated_run(spark, tmp_path):
     assert got["kafka"]["status"] == "failed" and "connector" in got["kafka"]["error"]   # no broker jar here
     assert got["missing"]["modality"] == "unstructured" and got["missing"]["status"] == "empty"
     curated = spark.read.parquet(got["good"]["lakehouse_path"])
-    assert curated.count() == 6 and "_source_file" in curated.columns
+    assert curated.filter("note IS NULL").count() == 6 and "_source_file" in curated.columns
+    assert [r["note"] for r in curated.filter("note IS NOT NULL").collect()] == ["beside the csv files"]   # stored, not counted (E6)
     assert got["good"]["lakehouse_path"].endswith("/tables/good/_v=r1/_row_state=valid")   # no second copy
     q = spark.read.parquet(got["bad"]["quarantine_path"])
     reasons = {x for r in q.select("_reasons").collect() for x in r[0]}
@@ -192,16 +193,19 @@ def test_load_dataset_like_the_scripts(spark, tmp_path):
         load_dataset(spark, root, str(tmp_path / "t_csv"), "csv")   # create-only (S4)
 
 
-def test_text_source_with_a_file_over_the_document_bound(spark, tmp_path):
+def test_text_source_with_a_file_no_value_can_hold(spark, tmp_path, monkeypatch):
+    from sluice.sources import files
     root = str(tmp_path / "data" / "logs")
     write(f"{root}/small.txt", "a b\n")
     write(f"{root}/big.log", "word " * 200 + "\n")
     lake = Lake(str(tmp_path / "lake"))
-    src = config.sources_from_rows(spark, [{"name": "t", "path": root, "options": {"maxDocumentBytes": "100"}}])
+    src = config.sources_from_rows(spark, [{"name": "t", "path": root}])
+    monkeypatch.setattr(files, "MAX_ROW_BYTES", 100)
+    monkeypatch.setattr(files.read_text_documents, "__defaults__", (False, None, 100))
     r = ingest_sources(spark, src, lake, run_id="r1", gate="record").first()
     assert (r["record_count"], r["invalid_count"], r["status"]) == (2, 1, "partial")
     q = spark.read.parquet(r["quarantine_path"]).collect()
-    assert q[0]["path"].endswith("big.log") and list(q[0]["_reasons"]) == ["document_too_large"]
+    assert q[0]["path"].endswith("big.log") and list(q[0]["_reasons"]) == ["too_large_for_row"]
     ents = {x["path"].rsplit("/", 1)[-1]: x for x in spark.read.parquet(lake.section("text_data")).collect()}
     assert ents["big.log"]["n_words"] == 200                               # counted line by line
 
@@ -348,3 +352,134 @@ def test_load_dataset_binary_videos(spark, tmp_path):
     assert sorted(x["length"] for x in t.collect()) == [16, 17, 18, 19]
     r2 = load_dataset(spark, root, str(tmp_path / "t_two"), "binary", first_files=2)
     assert r2["records"] == 2
+
+
+def _run(spark, tmp_path, rows, gate="record", name="lake"):
+    lake = Lake(str(tmp_path / name))
+    return lake, {r["source_name"]: r for r in ingest_sources(spark, config.sources_from_rows(spark, rows), lake, gate=gate).collect()}
+
+
+def test_json_keeps_every_key_and_value(spark, tmp_path):
+    root = str(tmp_path / "j")
+    write(f"{root}/a.json", '{"k": 1, "v": "x"}\n{"k": 1.5, "w": [1, 2]}\n')
+    write(f"{root}/b.json", '{\n "k": 7,\n "z": {"q": null}\n}\n')
+    write(f"{root}/c.json", '[{"k": 2}, 5, "text"]')
+    write(f"{root}/d.json", '{"k": 3}\nnot json\n{"k": 8}{"k": 9}\n')      # two values on a line are no value
+    _, got = _run(spark, tmp_path, [{"name": "j", "path": root}])
+    r = got["j"]
+    assert (r["status"], r["record_count"], r["invalid_count"]) == ("partial", 9, 2)
+    rows = spark.read.parquet(r["staging_path"]).collect()
+    assert sorted((x["k"], x["v"], str(x["_extra"]), x["_raw"]) for x in rows if x["k"] is not None) == [
+        (1, "x", "None", None), (2, None, "None", None), (3, None, "None", None), (7, None, "{'z': '{\"q\":null}'}", None)]
+    rest = {(x["_raw"], str(dict(x["_extra"] or {}))) for x in rows if x["k"] is None}
+    assert rest == {(None, "{'k': '1.5', 'w': '[1,2]'}"), ("5", "{}"), ('"text"', "{}"), ("not json", "{}"), ('{"k": 8}{"k": 9}', "{}")}
+    bad = spark.read.parquet(r["quarantine_path"]).collect()
+    assert sorted((x["_raw"], list(x["_reasons"])) for x in bad) == [("not json", ["json_parse"]), ('{"k": 8}{"k": 9}', ["json_parse"])]
+    _, got = _run(spark, tmp_path, [{"name": "j", "path": root}], gate="source", name="lake2")
+    assert (got["j"]["status"], got["j"]["record_count"], got["j"]["invalid_count"]) == ("quarantined", 4, 2)
+
+
+def test_quoted_newlines_stay_one_record(spark, tmp_path):
+    root = str(tmp_path / "c")
+    write(f"{root}/a.csv", 'id,t\n1,"x\ny"\n2,z\n')
+    write(f"{root}/b.csv", "id,t\n3,plain\n")
+    write(f"{root}/c.csv", '"id","t"\n4,"a ""quoted"" one"\n')
+    write(f"{root}/d.csv", '"id","t\nu"\n5,v\n')
+    for gate in ("record", "source"):
+        _, got = _run(spark, tmp_path, [{"name": "c", "path": root}], gate=gate, name="lake-" + gate)
+        assert (got["c"]["status"], got["c"]["record_count"], got["c"]["invalid_count"]) == ("stored", 5, 0)
+        rows = spark.read.parquet(got["c"]["lakehouse_path"]).collect()
+        assert sorted((r["id"], r["t"]) for r in rows) == [("1", "x\ny"), ("2", "z"), ("3", "plain"), ("4", 'a "quoted" one'), ("5", "v")]
+
+
+def test_no_listing_is_stored_for_rows(spark, tmp_path):
+    import gzip
+    root = str(tmp_path / "n")
+    write(f"{root}/long/a.csv", "x" * 200000 + ",b\n1,2\n")
+    write(f"{root}/blank/a.csv", "\n\n")
+    write(f"{root}/broken/a.csv", "")
+    _, got = _run(spark, tmp_path, [{"name": n, "path": f"{root}/{n}"} for n in ("long", "blank", "broken")])
+    assert (got["long"]["status"], got["long"]["record_count"]) == ("stored", 1)
+    assert "x" * 200000 in spark.read.parquet(got["long"]["lakehouse_path"]).columns
+    for n in ("blank", "broken"):
+        rows = spark.read.parquet(got[n]["quarantine_path"]).collect()
+        assert got[n]["lakehouse_path"] is None and [list(r["_reasons"]) for r in rows] == [["empty_file"]]
+    assert gzip  # compressed text is covered by the text tests
+
+
+def test_hint_words_and_explicit_modality(spark, tmp_path):
+    root = str(tmp_path / "upstream topic")
+    write(f"{root}/a.csv", HEADER + ROWS)
+    _, got = _run(spark, tmp_path, [{"name": "u", "path": "file://" + root, "modality": "structured"}])
+    assert (got["u"]["status"], got["u"]["record_count"], got["u"]["modality"]) == ("stored", 3, "structured")
+
+
+def test_media_sources_store_their_data(spark, tmp_path):
+    root = str(tmp_path / "m")
+    write(f"{root}/img/a b.png", png_bytes(2, 2))
+    write(f"{root}/img/bad.png", b"no image")
+    write(f"{root}/img/attr.csv", "id\n1\n")
+    write(f"{root}/vid/a.mp4", b"12345")
+    lake, got = _run(spark, tmp_path, [
+        {"name": "img", "path": f"{root}/img", "worker": "image"}, {"name": "vid", "path": f"{root}/vid", "worker": "video"},
+        {"name": "strict", "path": f"{root}/img", "worker": "image", "options": {"decode": "true"}},
+        {"name": "paths", "path": f"{root}/vid", "worker": "video", "options": {"content": "paths"}}])
+    rows = {r["file_name"]: r for r in spark.read.parquet(got["img"]["lakehouse_path"]).collect()}
+    assert (rows["a b.png"]["width"], rows["bad.png"]["width"], rows["attr.csv"]["width"]) == (2, -1, None)
+    assert bytes(spark.read.parquet(got["vid"]["lakehouse_path"]).first()["content"]) == b"12345"
+    assert (got["strict"]["record_count"], got["strict"]["invalid_count"]) == (3, 1)
+    assert "content" not in spark.read.parquet(got["paths"]["lakehouse_path"]).columns
+    phases = spark.read.parquet(lake.section("phases")).filter("source_name = 'img'").orderBy("seq").collect()
+    assert [p["phase"] for p in phases] == ["list", "discover", "stage"] and phases[2]["items"] == 3
+
+
+def test_yaml_xml_and_script_workers(spark, tmp_path):
+    root = str(tmp_path / "y")
+    write(f"{root}/y/a.yaml", "a: 1\n")
+    write(f"{root}/y/b.YML", "b: 2\n")
+    write(f"{root}/x/a.xml", "<r><i>1</i></r>")
+    write(f"{root}/s/a.csv", HEADER + ROWS)
+    _, got = _run(spark, tmp_path, [{"name": "y", "path": f"{root}/y"}, {"name": "x", "path": f"{root}/x"},
+                                    {"name": "s", "path": f"{root}/s", "worker": "old_script"}])
+    docs = {r["document"] for r in spark.read.parquet(got["y"]["lakehouse_path"]).collect()}
+    assert docs == {"a: 1\n", "b: 2\n"}
+    assert spark.read.parquet(got["x"]["lakehouse_path"]).first()["document"] == "<r><i>1</i></r>"
+    assert got["s"]["status"] == "failed" and "old_script" in got["s"]["error"] and got["s"]["staging_path"] is None
+
+
+def test_rules_and_cleaning_from_options(spark, tmp_path):
+    root = str(tmp_path / "r")
+    write(f"{root}/a.csv", "id,v,c\n1, 5 ,x\n2,50,x\n3,abc,y\n3,7,\n , , \n")
+    rules = ('[{"range": "v", "lo": 1, "hi": 10}, {"castable": "v", "type": "int"}, {"not_null": "c", "name": "no_c"}, {"unique": "id"}]')
+    options = {"rules": rules, "clean": "true"}
+    _, got = _run(spark, tmp_path, [{"name": "r", "path": root, "options": options}])
+    rows = sorted((x["id"], x["v"], x["c"], tuple(x["_reasons"])) for x in spark.read.parquet(got["r"]["staging_path"]).fillna("").collect())
+    assert rows == [("1", "5", "x", ()), ("2", "50", "x", ("range:v",)), ("3", "7", "", ("no_c", "unique:id")),
+                    ("3", "abc", "y", ("castable:v", "unique:id"))]
+    _, got = _run(spark, tmp_path, [{"name": "r", "path": root, "options": options}], gate="source", name="l2")
+    assert (got["r"]["status"], got["r"]["record_count"], got["r"]["invalid_count"]) == ("quarantined", 4, 3)
+    import pytest
+
+    from sluice.operators import quality
+    with pytest.raises(ValueError):
+        quality.rules_from_config('[{"nonsense": "a"}]')
+
+
+def test_run_ids_rise(monkeypatch):
+    from sluice.plans import ingest
+    ids = [ingest.new_run_id() for _ in range(2000)]
+    assert ids == sorted(ids) and len({i.split("-")[0] for i in ids}) == 2000
+    monkeypatch.setattr(ingest.time, "time_ns", lambda: 0)              # a clock that jumps back
+    assert ingest.new_run_id() > ids[-1]
+
+
+def test_stream_rules_and_source_gate(spark, tmp_path):
+    root = str(tmp_path / "stream_in")
+    write(f"{root}/a.txt", "a:1,b:x\nbroken\na:9\n")
+    rows = [{"name": "s", "path": root, "options": {"rules": '[{"range": "fields[\'a\']", "hi": 5, "name": "a"}]'}}]
+    lake, got = _run(spark, tmp_path, rows, gate="source")
+    assert (got["s"]["status"], got["s"]["record_count"], got["s"]["invalid_count"], got["s"]["lakehouse_path"]) == ("quarantined", 3, 2, None)
+    _, got = _run(spark, tmp_path, rows, gate="record", name="l2")
+    assert (got["s"]["status"], got["s"]["invalid_count"]) == ("partial", 2)
+    sides = spark.read.parquet(got["s"]["staging_path"]).groupBy("_row_state").count().collect()
+    assert {r["_row_state"]: r["count"] for r in sides} == {"curated": 1, "quarantine": 1, "dead_letter": 1}

@@ -38,12 +38,23 @@ def test_listing_never_reads_content(spark):
     assert scans and all("content" not in line.split("ReadSchema:")[-1] for line in scans)
 
 
-def test_header_checks_do_not_scan_csv_data(spark, tmp_path):
+def test_headers_come_from_one_aggregated_scan(spark, tmp_path):
+    from sluice.sources import headers
     d = tmp_path / "c"
     os.makedirs(d)
     (d / "a.csv").write_text("a,b\n1,2\n")
-    p = plan(quality.header_checks(files.file_manifest(spark, str(d), "s"), 2))
-    assert "MapInPandas" in p and "Format: CSV" not in p and "ReadSchema: struct<path:string>" in p
+    p = plan(headers.first_records(spark, str(d), (".csv",)))
+    assert p.count("FileScan text") == 1 and "Python" not in p and "Pandas" not in p
+    assert "partial_min_by" in p                                 # one row a file before the shuffle
+
+
+def test_message_decode_is_codegen(spark):
+    from pyspark.sql import functions as F
+
+    from sluice.functions import codec
+    df = spark.read.parquet(f"{SF}/events.parquet").select(F.col("props").alias("m"))
+    p = plan(df.select(codec.kv_get(codec.kv_decode("m"), "k", "int")))
+    assert "lambda" not in p and "str_to_map" in p
 
 
 def test_duplicate_keys_are_broadcast_and_big_side_not_shuffled(spark):

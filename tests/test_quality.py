@@ -33,11 +33,11 @@ def test_record_gate_partitions_rows(spark, values):
 
 
 def test_source_gate(spark):
-    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 99)], "s string, v bigint")
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 99), (None, 3)], "s string, v bigint")
     t = quality.apply_rules(df, [quality.in_range("v", hi=10)])
     stored, quarantined, summary = quality.source_gate(t, "s")
-    assert {r["s"] for r in stored.collect()} == {"a"}
-    assert quarantined.count() == 2
+    assert {r["s"] for r in stored.collect()} == {"a", None}      # rows without a source are one source
+    assert quarantined.count() == 2 and stored.columns == t.columns
     row = {r["s"]: r for r in summary.collect()}["b"]
     assert (row["record_count"], row["invalid_count"], row["valid_count"], row["status"]) == (2, 1, 1, "quarantined")
 

@@ -54,7 +54,7 @@ def test_chunked_versions_equal_plain_window(spark):
         for i in ids:
             rows.append((s, i, rnd.choice(["p", "q", "q", "r"])))
     df = spark.createDataFrame(rows, "source_name string, attempt_id bigint, sig string")
-    chunked = schema.versions_by_change(df, "source_name", "attempt_id", "sig", chunk_size=37)
+    chunked = schema.versions_by_change(df, "source_name", "attempt_id", "sig", chunks=7)
     w = Window.partitionBy("source_name").orderBy("attempt_id")
     plain = df.withColumn("_p", F.lag("sig").over(w)).withColumn(
         "changed", F.col("_p").isNull() | (F.col("_p") != F.col("sig"))).withColumn(
@@ -108,5 +108,5 @@ def _python_versions(rows):
 def test_versions_property(spark, rows, chunk):
     df = spark.createDataFrame(rows, "source_name string, attempt_id bigint, sig string")
     got = {(r["source_name"], r["attempt_id"]): (r["changed"], r["version"])
-           for r in schema.versions_by_change(df, "source_name", "attempt_id", "sig", chunk_size=chunk).collect()}
+           for r in schema.versions_by_change(df, "source_name", "attempt_id", "sig", chunks=chunk).collect()}
     assert got == _python_versions(rows)

@@ -55,7 +55,7 @@ def test_header_checks(spark, tmp_path):
     d = _csv_dir(tmp_path)
     manifest = files.file_manifest(spark, d, "s")
     checks = {os.path.basename(r["file_path"]) + ("/sub" if "/sub/" in r["file_path"] else ""): r["reason"]
-              for r in quality.header_checks(manifest, 4).collect()}
+              for r in quality.header_checks(spark, d, manifest, 4).collect()}
     assert checks["a.csv"] is None and checks["a.csv/sub"] is None    # E22: same stem, no collision
     assert checks["narrow.csv"] == "header_width"
     assert checks["wide.csv"] == "header_width"
@@ -66,9 +66,9 @@ def test_header_checks(spark, tmp_path):
     assert checks["empty.csv"] == "empty_file"                        # E10, whatever the listing order
     write(d + "/reorder.csv", "acc_x,timestamp,acc_y,acc_z\n1,t,2,3\n")
     m2 = files.file_manifest(spark, d, "s")
-    plain = {os.path.basename(r["file_path"]): r["reason"] for r in quality.header_checks(m2, 4).collect()}
+    plain = {os.path.basename(r["file_path"]): r["reason"] for r in quality.header_checks(spark, d, m2, 4).collect()}
     strict = {os.path.basename(r["file_path"]): r["reason"]
-              for r in quality.header_checks(m2, 4, ["timestamp", "acc_x", "acc_y", "acc_z"]).collect()}
+              for r in quality.header_checks(spark, d, m2, 4, ["timestamp", "acc_x", "acc_y", "acc_z"]).collect()}
     assert plain["reorder.csv"] is None                                # valid by width (E7)
     assert strict["reorder.csv"] == "header_order" and strict["dup.csv"] == "duplicate_header"
 
@@ -190,22 +190,32 @@ def test_unreadable_text_files(spark, tmp_path):
     assert bad == {"broken.txt.gz": "unreadable"}                 # zero-byte files are readable (D2)
 
 
-def test_first_json_document_fields(spark, tmp_path):
-    from sluice.sources.headers import first_json_fields
-    d = tmp_path / "j"
-    obj = write(str(d / "obj.json"), json.dumps({"s": "x", "i": 1, "f": 1.5, "b": False, "l": [], "d": {}, "n": None}))
-    arr = write(str(d / "arr.json"), json.dumps([{"k": 1}, {"z": 2}]))
-    jsonl = write(str(d / "lines.json"), '{"a": 1}\n{"a": 2}\n')
-    assert first_json_fields("file:" + obj, 1 << 20) == (
-        [("s", "str"), ("i", "int"), ("f", "float"), ("b", "bool"), ("l", "list"), ("d", "dict"), ("n", "NoneType")], "ok")
-    assert first_json_fields("file:" + arr, 1 << 20) == ([("k", "int")], "ok")
-    assert first_json_fields("file:" + jsonl, 1 << 20)[1] == "unknown"      # whole-document parse, as the reference
-    assert first_json_fields("file:" + jsonl, 4) == ([], "unknown")          # bound too small to hold a value
-    assert first_json_fields("file:" + jsonl, 10) == ([("a", "int")], "ok")  # large file: first value only
-    bad = write(str(d / "bad.json"), "{not json")
-    empty = write(str(d / "empty.json"), "[]")
-    assert first_json_fields("file:" + bad, 1 << 20) == ([], "unknown")
-    assert first_json_fields("file:" + empty, 1 << 20) == ([], "unknown")
+def test_json_values_and_fields(spark, tmp_path):
+    from sluice.plans.ingest import discover_fields
+
+    def fields(name, text):
+        d = str(tmp_path / name)
+        write(f"{d}/x.json", text)
+        return discover_fields(spark, d, files.file_manifest(spark, d, "s"), "semi_structured")
+    obj = {"s": "x", "i": 1, "f": 1.5, "b": False, "l": [], "d": {}, "n": None}
+    want = [("s", "str"), ("i", "int"), ("f", "float"), ("b", "bool"), ("l", "list"), ("d", "dict"), ("n", "NoneType")]
+    assert fields("obj", json.dumps(obj)) == want and fields("pretty", json.dumps(obj, indent=2)) == want
+    assert fields("arr", json.dumps([{"k": 1}, {"z": 2}])) == [("k", "int")]
+    assert fields("lines", '{"a": 1}\n{"a": 2}\n') == [("a", "int")]
+    assert fields("long", '{"a": "' + "x" * 200000 + '"}\n' * 3) == [("a", "str")]       # no size changes the answer
+    for name, text in (("bad", "{not json"), ("empty", "[]"), ("number", "5")):
+        assert fields(name, text) == [("unknown", "string")]
+
+
+def test_header_cells_of_a_line(spark):
+    from sluice.sources import headers
+    rows = [("a,b", ["a", "b"]), (",a,,", ["", "a", "", ""]), ('"x,y",z', ["x,y", "z"]), ('"say ""hi""",b', ['say "hi"', "b"]),
+            ("", [""]), ('"",q', ["", "q"]), ('"open,b', ['"open', "b"]), ("é ö, ü", ["é ö", " ü"])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string")
+    got = {r["i"]: r["c"] for r in df.select("i", headers.split_record("t", ",").alias("c")).collect()}
+    assert got == {i: c for i, (_, c) in enumerate(rows)}
+    tab = spark.createDataFrame([("a\t\tb",)], "t string").select(headers.split_record("t", "\t")).first()[0]
+    assert tab == ["a", "", "b"]
 
 
 def test_binary_content_bound(spark, tmp_path):
@@ -214,14 +224,39 @@ def test_binary_content_bound(spark, tmp_path):
     write(str(d / "large.mp4"), os.urandom(100))
     rows = {os.path.basename(r["path"]): r for r in files.read_binary(spark, str(d), with_content=True,
                                                                       max_content_bytes=50).collect()}
-    assert len(rows["small.mp4"]["content"]) == 10 and rows["large.mp4"]["content"] is None
+    assert len(rows["small.mp4"]["content"]) == 10 and rows["small.mp4"]["issue"] is None
+    assert rows["large.mp4"]["content"] is None and rows["large.mp4"]["issue"] == files.TOO_LARGE
     assert rows["large.mp4"]["length"] == 100
 
 
-def test_unknown_scheme_is_unchecked_not_invalid():
-    from sluice.sources.headers import first_json_fields, first_record
-    assert first_record("nosuchscheme://bucket/a.csv", ",") == (None, "unchecked")
-    assert first_json_fields("nosuchscheme://bucket/a.json", 1024) == ([], "unchecked")
+ODD = ["a b.csv", "per%20cent.csv", "per%cent.csv", "ha#sh.csv", "pl+us.csv", "süß.csv", "q?m.csv"]
+
+
+def test_one_path_form_for_odd_names(spark, tmp_path):
+    """Listings, scans and reasons spell a file alike, whatever its name holds."""
+    from pyspark.sql import functions as F
+
+    from sluice.functions.paths import source_file
+    d = str(tmp_path / "o dd")
+    for n in ODD:
+        write(f"{d}/{n}", HEADER + ROWS)
+    write(f"{d}/no row.csv", "")
+    write(f"{d}/b ad.csv", "x,y\n1,2\n")
+    m = files.file_manifest(spark, d, "s")
+    names = sorted(r["file_name"] for r in m.collect())
+    assert names == sorted([*ODD, "no row.csv", "b ad.csv"])                       # no phantom rows
+    paths = {r["path"] for r in m.collect()}
+    scan = spark.read.option("recursiveFileLookup", True).text(d).select(source_file().alias("p")).distinct()
+    assert {r["p"] for r in scan.collect()} == {p for p in paths if not p.endswith("no row.csv")}
+    reasons = {os.path.basename(r["file_path"]): r["reason"] for r in quality.header_checks(spark, d, m, 4).collect()}
+    assert reasons == {**dict.fromkeys(ODD), "no row.csv": "empty_file", "b ad.csv": "header_width"}
+    assert files.unreadable_files(spark, m.filter(F.col("size_bytes") > 0), d).count() == 0
+
+
+def test_listing_failures_are_not_absence(spark, tmp_path):
+    assert not files.path_exists(spark, str(tmp_path / "nothing"))
+    with pytest.raises(Exception):
+        files.path_exists(spark, "nosuchscheme://bucket/a")
 
 
 def test_config_options_of_any_json_type(spark, tmp_path):

@@ -44,11 +44,11 @@ def test_restart_and_batch_replay_are_exact(spark, tmp_path):
     src, out = str(tmp_path / "src"), str(tmp_path / "out")
     _files(spark, src, n_files=2, rows=200)
     s = ssrc.file_stream(spark, src, SCHEMA, max_files_per_trigger=1)
-    fn = jobs.batch_writer(out, lambda d: d.select("offset", codec.kv_get("_msg", "id", "int").alias("id"),
-                                                   codec.kv_get("_msg", "v", "float").alias("v")), rules=[])
+    fn = jobs.batch_writer(out + "/rows", lambda d: [F.col("offset"), codec.kv_get("_msg", "id", "int").alias("id"),
+                                                     codec.kv_get("_msg", "v", "float").alias("v")], rules=[])
     enc = s.select(codec.kv_encode("id", "v").alias("value"), F.col("id").alias("offset"))
     jobs.foreach_batch_stream(enc, fn, out + "/ck")
-    assert spark.read.parquet(out + "/curated").count() == 200
+    assert jobs.read_side(spark, out + "/rows", "curated").count() == 200
     # lose the last commit: the batch is replayed into the same _batch folder
     commits = sorted(glob.glob(out + "/ck/commits/[0-9]*"), key=lambda p: int(os.path.basename(p)))
     last = commits[-1]
@@ -57,7 +57,7 @@ def test_restart_and_batch_replay_are_exact(spark, tmp_path):
     if os.path.exists(crc):
         os.remove(crc)
     jobs.foreach_batch_stream(enc, fn, out + "/ck")
-    assert spark.read.parquet(out + "/curated").count() == 200
+    assert jobs.read_side(spark, out + "/rows", "curated").count() == 200
 
 
 def test_dead_letters(spark, tmp_path):
@@ -67,13 +67,13 @@ def test_dead_letters(spark, tmp_path):
                           "key string, value string, timestamp timestamp, topic string, partition int, offset bigint"
                           ).write.parquet(src)
     s = ssrc.kafka_shaped_file_stream(spark, src)
-    proj = lambda d: d.select("offset", codec.kv_get("_msg", "a", "int").alias("a"),
-                              codec.kv_get("_msg", "b", "float").alias("b"))
-    fn = jobs.batch_writer(out, proj, rules=[quality.not_null("b")])
+    proj = lambda d: [F.col("offset"), codec.kv_get("_msg", "a", "int").alias("a"),
+                      codec.kv_get("_msg", "b", "float").alias("b")]
+    fn = jobs.batch_writer(out + "/rows", proj, rules=[quality.not_null("b")])
     jobs.foreach_batch_stream(s, fn, out + "/ck")
-    assert [r["value"] for r in spark.read.parquet(out + "/dead_letter").collect()] == ["broken"]
-    assert [r["offset"] for r in spark.read.parquet(out + "/curated").collect()] == [1]
-    assert [r["offset"] for r in spark.read.parquet(out + "/quarantine").collect()] == [3]
+    assert [r["value"] for r in jobs.read_side(spark, out + "/rows", "dead_letter").collect()] == ["broken"]
+    assert [r["offset"] for r in jobs.read_side(spark, out + "/rows", "curated").collect()] == [1]
+    assert [r["offset"] for r in jobs.read_side(spark, out + "/rows", "quarantine").collect()] == [3]
 
 
 def test_text_lines_and_sink(spark, tmp_path):
