@@ -1,4 +1,4 @@
-"""sluice: a Spark-native ingestion and data-quality engine."""
+"""sluice: a Spark-native data loading and data-quality engine."""
 
 # Functions that run in Python workers (mapInPandas header reads, foreachBatch
 # helpers) are shipped by value, so executors need not have this package on

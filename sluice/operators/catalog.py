@@ -164,5 +164,5 @@ def run_rows(runs: DataFrame) -> DataFrame:
     """One row per source and run with its outcome and profile."""
     path = F.when(F.col("status") == "stored", F.col("lakehouse_path")).otherwise(F.col("quarantine_path"))
     return runs.select("run_id", F.col("source_name").alias("source"), "status", "modality",
-                       "ingestion_mode", "schema_version", "record_count", "invalid_count",
+                       "load_mode", "schema_version", "record_count", "invalid_count",
                        "valid_count", path.alias("output_path"), "error")

@@ -40,7 +40,7 @@ def profile_row(counts: dict, seconds: float) -> dict:
     valid = max(rec - inv, 0)
     return {"record_count": rec, "invalid_count": inv, "valid_count": valid,
             "processing_time_seconds": float(seconds),
-            "ingestion_rate_records_per_second": (valid / seconds) if seconds > 0 else 0.0}
+            "rate_records_per_second": (valid / seconds) if seconds > 0 else 0.0}
 
 
 def record_counts(manifest: DataFrame, rows_col: str = "csv_rows") -> DataFrame:
@@ -64,7 +64,7 @@ def text_data_rows(text) -> Column:
     return F.greatest(line_count(t) - 1 - trailing, F.lit(0))
 
 
-def ingestion_rate(df: DataFrame, keys, ts: str, count_col: str | None = None) -> DataFrame:
+def load_rate(df: DataFrame, keys, ts: str, count_col: str | None = None) -> DataFrame:
     """Records, event-time span (seconds) and records per second."""
     n = F.sum(count_col) if count_col else F.count(F.lit(1))
     # timestamp_diff works on TIMESTAMP_NTZ as is: no session time zone involved

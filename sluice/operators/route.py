@@ -47,7 +47,7 @@ def modality_expr(explicit, path, has_structured, has_semi):
     )
 
 
-def ingestion_mode_expr(explicit, modality):
+def load_mode_expr(explicit, modality):
     """B4."""
     return F.coalesce(explicit, F.when(modality == "streaming", F.lit("stream"))
                       .otherwise(F.lit("batch")))
@@ -71,21 +71,21 @@ def worker_expr(worker, modality, has_image=None, has_video=None, auto_media=Fal
 def route_sources(sources: DataFrame, manifest: DataFrame, auto_media: bool = False) -> DataFrame:
     """B3-B5 for every configured source in one plan.
 
-    ``sources``: name, path, modality, ingestion_mode, worker (+ others).
-    Returns the source columns plus ``modality``, ``ingestion_mode``,
+    ``sources``: name, path, modality, load_mode, worker (+ others).
+    Returns the source columns plus ``modality``, ``load_mode``,
     ``worker_name`` and the manifest summary."""
     summary = manifest_summary(manifest)
     s = sources.select(
         "*",
         _blank_null("modality").alias("_explicit_modality"),
-        _blank_null("ingestion_mode").alias("_explicit_mode"),
+        _blank_null("load_mode").alias("_explicit_mode"),
         F.coalesce(_blank_null("worker"), F.lit("")).alias("_worker"),
-    ).drop("modality", "ingestion_mode")
+    ).drop("modality", "load_mode")
     j = s.join(summary, s["name"] == summary["source_name"], "left").drop("source_name")
     modality = modality_expr(F.col("_explicit_modality"), F.col("path"),
                              F.col("has_structured"), F.col("has_semi_structured"))
     j = j.withColumn("modality", modality)
-    j = j.withColumn("ingestion_mode", ingestion_mode_expr(F.col("_explicit_mode"), F.col("modality")))
+    j = j.withColumn("load_mode", load_mode_expr(F.col("_explicit_mode"), F.col("modality")))
     j = j.withColumn("worker_name", worker_expr(F.col("_worker"), F.col("modality"),
                                                 F.col("has_image"), F.col("has_video"), auto_media))
     return j.drop("_explicit_modality", "_explicit_mode", "_worker")

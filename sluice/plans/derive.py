@@ -59,7 +59,7 @@ def document_sources(docs: DataFrame) -> DataFrame:
         F.when(k % 8 == 3, F.concat(F.lit("/lake/upstream/"), F.col("source")))
          .otherwise(F.concat(F.lit("/lake/"), F.col("source"))).alias("path"),
         F.when(k % 6 == 5, F.lit("semi_structured")).alias("modality"),
-        F.when(k % 9 == 4, F.lit("stream")).alias("ingestion_mode"),
+        F.when(k % 9 == 4, F.lit("stream")).alias("load_mode"),
         F.concat(F.lit("t_"), F.col("source")).alias("target_table"),
         worker.alias("worker"))
 
@@ -99,7 +99,7 @@ def document_runs(versions: DataFrame) -> DataFrame:
     return r.select(
         "run_id", "source_name", "record_count", "invalid_count",
         F.greatest(F.col("record_count") - F.col("invalid_count"), F.lit(0)).alias("valid_count"),
-        "modality", F.lit("batch").alias("ingestion_mode"), "schema_version",
+        "modality", F.lit("batch").alias("load_mode"), "schema_version",
         F.when(stored, F.lit("stored")).otherwise(F.lit("quarantined")).alias("status"),
         F.concat(F.lit("/lake/"), F.col("source_name")).alias("source_path"),
         F.concat(F.lit("/staging/"), F.col("source_name"), F.lit("/_v="), rid).alias("staging_path"),

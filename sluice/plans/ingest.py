@@ -1,4 +1,4 @@
-"""The orchestrated ingestion run as Spark jobs.
+"""The orchestrated run as Spark jobs.
 
 Per source: route (B3-B5) -> discover schema (C1/C2/C3/C4) -> version it
 (C6/C7) -> build ONE read plan for the whole source -> tag rows with rule
@@ -31,11 +31,11 @@ from ..sources import files, headers, readers
 RUN_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType()), T.StructField("source_name", T.StringType()),
     T.StructField("status", T.StringType()), T.StructField("modality", T.StringType()),
-    T.StructField("ingestion_mode", T.StringType()), T.StructField("worker", T.StringType()),
+    T.StructField("load_mode", T.StringType()), T.StructField("worker", T.StringType()),
     T.StructField("schema_version", T.IntegerType()), T.StructField("record_count", T.LongType()),
     T.StructField("invalid_count", T.LongType()), T.StructField("valid_count", T.LongType()),
     T.StructField("processing_time_seconds", T.DoubleType()),
-    T.StructField("ingestion_rate_records_per_second", T.DoubleType()),
+    T.StructField("rate_records_per_second", T.DoubleType()),
     T.StructField("source_path", T.StringType()), T.StructField("staging_path", T.StringType()),
     T.StructField("lakehouse_path", T.StringType()), T.StructField("quarantine_path", T.StringType()),
     T.StructField("error", T.StringType()),
@@ -103,7 +103,7 @@ class Lake:
 
 def ingest_frame(spark: SparkSession, df: DataFrame, lake: Lake, source_name: str, run_id: str,
                  rules=(), unique=None, gate: str = "record", target_table: str | None = None,
-                 modality: str = "structured", ingestion_mode: str = "batch", worker: str = "direct",
+                 modality: str = "structured", load_mode: str = "batch", worker: str = "direct",
                  schema_version: int | None = None, source_path: str | None = None,
                  extra_invalid: int = 0, invalid_override: int | None = None,
                  record_override: int | None = None, extra_records: int = 0, counted=None) -> dict:
@@ -152,10 +152,10 @@ def ingest_frame(spark: SparkSession, df: DataFrame, lake: Lake, source_name: st
     prof = profile.profile_row(counts, seconds)
     return {
         "run_id": run_id, "source_name": source_name, "status": status, "modality": modality,
-        "ingestion_mode": ingestion_mode, "worker": worker, "schema_version": schema_version,
+        "load_mode": load_mode, "worker": worker, "schema_version": schema_version,
         "record_count": prof["record_count"], "invalid_count": prof["invalid_count"],
         "valid_count": prof["valid_count"], "processing_time_seconds": prof["processing_time_seconds"],
-        "ingestion_rate_records_per_second": prof["ingestion_rate_records_per_second"],
+        "rate_records_per_second": prof["rate_records_per_second"],
         "source_path": source_path or source_name, "staging_path": staging_path, "target_table": target_table or source_name,
         "lakehouse_path": lakehouse_path, "quarantine_path": quarantine_path, "error": None,
     }
@@ -170,9 +170,9 @@ def record_run(spark: SparkSession, lake: Lake, run_rows: list[dict]) -> DataFra
     lake.write_leaf(runs, "runs", rid)
     lake.write_leaf(catalog.lineage_edges(runs.filter(F.col("staging_path").isNotNull())), "lineage", rid)
     lake.write_leaf(catalog.dataset_log(runs), "datasets", rid)
-    lake.write_leaf(runs.select("run_id", "source_name", "modality", "ingestion_mode", "record_count",
+    lake.write_leaf(runs.select("run_id", "source_name", "modality", "load_mode", "record_count",
                                    "invalid_count", "valid_count", "processing_time_seconds",
-                                   "ingestion_rate_records_per_second"), "profiles", rid)
+                                   "rate_records_per_second"), "profiles", rid)
     return runs
 
 
@@ -559,14 +559,14 @@ def _ingest_one_inner(spark, src: dict, lake: Lake, run_id: str, gate: str) -> d
         lake.write_leaf(catalog.file_entities(listed, run_id), "files", run_id, name)
         manifest = spark.read.format(lake.fmt).load(lake.run_leaf("files", run_id, name)) \
             .select("source_name", F.col("file_path").alias("path"), "file_name", "extension", "size_bytes")
-    one = spark.createDataFrame([(name, path, src.get("modality"), src.get("ingestion_mode"),
+    one = spark.createDataFrame([(name, path, src.get("modality"), src.get("load_mode"),
                                   src.get("worker"))], "name string, path string, modality string, "
-                                                       "ingestion_mode string, worker string")
+                                                       "load_mode string, worker string")
     routed = route.route_sources(one, manifest).first()
     phases.done("list", routed["file_count"] or 0)
-    modality, mode, worker = routed["modality"], routed["ingestion_mode"], routed["worker_name"]
+    modality, mode, worker = routed["modality"], routed["load_mode"], routed["worker_name"]
     if worker == "unsupported":
-        return {"run_id": run_id, "source_name": name, "status": "failed", "modality": modality, "ingestion_mode": mode,
+        return {"run_id": run_id, "source_name": name, "status": "failed", "modality": modality, "load_mode": mode,
                 "worker": worker, "record_count": 0, "invalid_count": 0, "valid_count": 0, "source_path": path,
                 "error": f"worker {src.get('worker')!r} is not supported"}
     fields = discover_fields(spark, path, manifest, modality)
@@ -605,7 +605,7 @@ def _route_and_ingest(spark, src, lake, run_id, gate, manifest, routed, modality
     if modality == "streaming" or routed["file_count"] is None:
         # nothing to read (no such folder, or a stream endpoint we cannot open)
         return {"run_id": run_id, "source_name": src["name"], "status": "empty", "modality": modality,
-                "ingestion_mode": mode, "worker": worker, "schema_version": version,
+                "load_mode": mode, "worker": worker, "schema_version": version,
                 "record_count": 0, "invalid_count": 0, "valid_count": 0, "source_path": path}
     _catalog_entities(spark, lake, src["name"], run_id, manifest, worker, path)
     df, rules, file_issues = source_frame(spark, path, manifest, worker, fields, options)
@@ -632,7 +632,7 @@ def _route_and_ingest(spark, src, lake, run_id, gate, manifest, routed, modality
         elif fields != schema.UNKNOWN_FIELDS:
             extra = sum(n for r, n in file_issues.items() if r in NO_ROW_REASONS)
     return ingest_frame(spark, df, lake, src["name"], run_id, rules=rules + own_rules, unique=unique, gate=gate,
-                        target_table=src.get("target_table"), modality=modality, ingestion_mode=mode,
+                        target_table=src.get("target_table"), modality=modality, load_mode=mode,
                         worker=worker, schema_version=version, source_path=path,
                         extra_invalid=extra, invalid_override=override, record_override=records,
                         extra_records=extra_records, counted=counted)
@@ -684,7 +684,7 @@ def ingest_stream(spark: SparkSession, src: dict, lake: Lake, run_id: str, modal
                                        min_partitions=int(min_parts) if min_parts else None)
         except ssrc.ConnectorMissing as e:
             return {"run_id": run_id, "source_name": name, "status": "failed", "modality": modality,
-                    "ingestion_mode": mode, "worker": worker, "schema_version": version,
+                    "load_mode": mode, "worker": worker, "schema_version": version,
                     "record_count": 0, "invalid_count": 0, "valid_count": 0, "source_path": path,
                     "error": str(e)}
     elif path.startswith("socket://"):
@@ -708,10 +708,10 @@ def ingest_stream(spark: SparkSession, src: dict, lake: Lake, run_id: str, modal
     good, dead, wrong = (f"{out}/_row_state={side}" for side in ("curated", "dead_letter", "quarantine"))
     refused = out if status == "quarantined" else (dead if stats.get("dead_letters") else wrong) if bad else None
     return {"run_id": run_id, "source_name": name, "status": status, "modality": modality,
-            "ingestion_mode": mode, "worker": worker, "schema_version": version,
+            "load_mode": mode, "worker": worker, "schema_version": version,
             "record_count": prof["record_count"], "invalid_count": prof["invalid_count"],
             "valid_count": prof["valid_count"], "processing_time_seconds": seconds,
-            "ingestion_rate_records_per_second": prof["ingestion_rate_records_per_second"],
+            "rate_records_per_second": prof["rate_records_per_second"],
             "source_path": path, "staging_path": out if rec else None,
             "lakehouse_path": good if rec - bad > 0 and status != "quarantined" else None,
             "quarantine_path": refused, "error": None}

@@ -63,7 +63,7 @@ def flagship_summary(spark: SparkSession, sf: str) -> DataFrame:
     record_run(spark, lake, [done["run"]])
     runs = spark.read.parquet(lake.section("runs"))
     prof = spark.read.parquet(lake.section("profiles"))
-    return runs.select("run_id", "source_name", "status", "modality", "ingestion_mode",
+    return runs.select("run_id", "source_name", "status", "modality", "load_mode",
                        "lakehouse_path", "quarantine_path").join(
         prof.select("run_id", "source_name", "record_count", "invalid_count", "valid_count"),
         ["run_id", "source_name"])

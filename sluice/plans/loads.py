@@ -1,7 +1,7 @@
 """Dataset loads in the shape of the reference's per-dataset scripts: a
 folder of CSV, image or binary files becomes ONE table in one read and one
 write (the scripts ran a count job and a write job per file), with the
-record count observed during the write and the ingestion rate (P3)."""
+record count observed during the write and the load rate (P3)."""
 
 from __future__ import annotations
 

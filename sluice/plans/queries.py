@@ -63,7 +63,7 @@ sources AS (
   SELECT name,
          CASE WHEN k % 8 = 3 THEN '/lake/upstream/' || name ELSE '/lake/' || name END AS path,
          CASE WHEN k % 6 = 5 THEN 'semi_structured' END AS modality,
-         CASE WHEN k % 9 = 4 THEN 'stream' END AS ingestion_mode,
+         CASE WHEN k % 9 = 4 THEN 'stream' END AS load_mode,
          [{_sql_list(derive.WORKER_CYCLE)}][k % {len(derive.WORKER_CYCLE)} + 1] AS worker
   FROM srcs
 )"""
@@ -79,7 +79,7 @@ routed AS (
                   CASE WHEN regexp_matches(lower(s.path), '{STREAMING_HINT_PATTERN}') THEN 'streaming'
                        WHEN f.hs THEN 'structured' WHEN f.hsemi THEN 'semi_structured'
                        ELSE 'unstructured' END) AS modality,
-         s.ingestion_mode AS explicit_mode
+         s.load_mode AS explicit_mode
   FROM sources s LEFT JOIN flags f ON s.name = f.source_name
 )"""
 
@@ -218,14 +218,14 @@ def q_modality_precedence(spark, sf):
     return _routed(spark, sf).select(F.col("name").alias("source"), "modality")
 
 
-@query("ingestion_mode", f"""
+@query("load_mode", f"""
 WITH {MANIFEST_CTE.strip()}, {SOURCES_CTE.strip()}, {ROUTED_CTE.strip()}
 SELECT source, modality,
-       COALESCE(explicit_mode, CASE WHEN modality = 'streaming' THEN 'stream' ELSE 'batch' END) AS ingestion_mode
+       COALESCE(explicit_mode, CASE WHEN modality = 'streaming' THEN 'stream' ELSE 'batch' END) AS load_mode
 FROM routed
 """)
-def q_ingestion_mode(spark, sf):
-    return _routed(spark, sf).select(F.col("name").alias("source"), "modality", "ingestion_mode")
+def q_load_mode(spark, sf):
+    return _routed(spark, sf).select(F.col("name").alias("source"), "modality", "load_mode")
 
 
 @query("worker_route", f"""
@@ -533,7 +533,7 @@ def q_record_counts(spark, sf):
 
 
 @query("profile_counts", """
-SELECT 'orders' AS source_name, 'structured' AS modality, 'batch' AS ingestion_mode, count(*) AS record_count,
+SELECT 'orders' AS source_name, 'structured' AS modality, 'batch' AS load_mode, count(*) AS record_count,
        count(*) FILTER (WHERE o_totalprice > 450000) AS invalid_count,
        greatest(count(*) - count(*) FILTER (WHERE o_totalprice > 450000), 0) AS valid_count FROM orders
 UNION ALL
@@ -550,19 +550,19 @@ def q_profile_counts(spark, sf):
     for name, bad in specs:
         p = table(spark, sf, name).agg(*profile.profile_exprs(bad)).select(
             F.lit(name).alias("source_name"), F.lit("structured").alias("modality"),
-            F.lit("batch").alias("ingestion_mode"), "record_count", "invalid_count", "valid_count")
+            F.lit("batch").alias("load_mode"), "record_count", "invalid_count", "valid_count")
         out = p if out is None else out.unionByName(p)
     return out
 
 
-@query("ingestion_rate", """
+@query("load_rate", """
 SELECT event_type, count(*) AS records,
        (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000 AS span_seconds,
        count(*) * 1000000 / (epoch_us(max(ts)) - epoch_us(min(ts))) AS records_per_second
 FROM events GROUP BY event_type
 """)
-def q_ingestion_rate(spark, sf):
-    return profile.ingestion_rate(table(spark, sf, "events"), ["event_type"], "ts")
+def q_load_rate(spark, sf):
+    return profile.load_rate(table(spark, sf, "events"), ["event_type"], "ts")
 
 
 ORDER_PROFILE_COLS = [("o_orderkey", "num"), ("o_custkey", "num"), ("o_orderstatus", "str"),
@@ -601,7 +601,7 @@ def _runs(spark, sf):
     return derive.document_runs(_versions(spark, sf, a))
 
 
-RUN_ROW_SCHEMA = ("run_id bigint, source string, status string, modality string, ingestion_mode string, "
+RUN_ROW_SCHEMA = ("run_id bigint, source string, status string, modality string, load_mode string, "
                   "schema_version int, record_count bigint, invalid_count bigint, valid_count bigint, "
                   "output_path string, error string")
 

@@ -10,16 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SOURCE_TYPE = T.StructType([
-    T.StructField("name", T.StringType()),
-    T.StructField("path", T.StringType()),
-    T.StructField("modality", T.StringType()),
-    T.StructField("ingestion_mode", T.StringType()),
-    T.StructField("target_table", T.StringType()),
-    T.StructField("worker", T.StringType()),
-    T.StructField("options", T.MapType(T.StringType(), T.StringType())),
-])
-CONFIG_SCHEMA = T.StructType([T.StructField("sources", T.ArrayType(SOURCE_TYPE))])
+# Fixed value: the key that configuration files spell this way; our column is ``load_mode``.
+MODE_KEY = "ingestion_mode"
+
+
+def _source_type(mode: str) -> T.StructType:
+    return T.StructType([
+        T.StructField("name", T.StringType()),
+        T.StructField("path", T.StringType()),
+        T.StructField("modality", T.StringType()),
+        T.StructField(mode, T.StringType()),
+        T.StructField("target_table", T.StringType()),
+        T.StructField("worker", T.StringType()),
+        T.StructField("options", T.MapType(T.StringType(), T.StringType())),
+    ])
+
+
+SOURCE_TYPE = _source_type("load_mode")
+FILE_TYPE = _source_type(MODE_KEY)
+CONFIG_SCHEMA = T.StructType([T.StructField("sources", T.ArrayType(FILE_TYPE))])
 
 
 class ConfigError(ValueError):
@@ -27,11 +36,12 @@ class ConfigError(ValueError):
 
 
 def load_sources(spark: SparkSession, config_path: str, validate: bool = True) -> DataFrame:
-    """Rows ``name, path, modality, ingestion_mode, target_table, worker,
+    """Rows ``name, path, modality, load_mode, target_table, worker,
     options``; ``options`` defaults to an empty map. ``name`` and ``path`` are
     required: with ``validate`` a row missing either raises ``ConfigError``."""
     raw = spark.read.schema(CONFIG_SCHEMA).option("multiLine", True).json(config_path)
-    rows = raw.select(F.inline(F.coalesce(F.col("sources"), F.array().cast(T.ArrayType(SOURCE_TYPE)))))
+    rows = raw.select(F.inline(F.coalesce(F.col("sources"), F.array().cast(T.ArrayType(FILE_TYPE))))) \
+        .withColumnRenamed(MODE_KEY, "load_mode")
     rows = rows.withColumn("options", F.coalesce(
         F.col("options"), F.create_map().cast(T.MapType(T.StringType(), T.StringType()))))
     rows = rows.withColumn("target_table", F.coalesce(F.col("target_table"), F.col("name")))
@@ -44,7 +54,7 @@ def load_sources(spark: SparkSession, config_path: str, validate: bool = True) -
 
 def sources_from_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """Programmatic form of a configuration (tests, notebooks)."""
-    data = [(r["name"], r["path"], r.get("modality"), r.get("ingestion_mode"),
+    data = [(r["name"], r["path"], r.get("modality"), r.get(MODE_KEY),
              r.get("target_table") or r["name"], r.get("worker"),
              {k: str(v) for k, v in (r.get("options") or {}).items()}) for r in rows]
     return spark.createDataFrame(data, SOURCE_TYPE)

@@ -6,7 +6,7 @@ from sluice.operators import catalog
 
 RUNS = "run_id string, source_name string, status string, source_path string, staging_path string, " \
        "lakehouse_path string, quarantine_path string, error string, schema_version int, modality string, " \
-       "ingestion_mode string, record_count bigint, invalid_count bigint, valid_count bigint"
+       "load_mode string, record_count bigint, invalid_count bigint, valid_count bigint"
 
 
 def _runs(spark):
