@@ -241,11 +241,16 @@ def discover_fields(spark: SparkSession, path: str, manifest: DataFrame, modalit
         return schema.UNKNOWN_FIELDS
     if ".json" not in present:
         return schema.UNKNOWN_FIELDS
-    # the first value of the first file that holds an object
-    docs = headers.json_documents(spark, path).filter(F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)))
-    first = docs.select("_source_file", "_at", F.to_json("v").alias("doc")).orderBy("_source_file", "_at").limit(1)
-    found = first.collect()
-    if not found:
+    # the first value of the first file that holds an object: mostly of the first file, which is looked at alone
+    head = manifest.filter((F.col("extension") == ".json") & (F.col("size_bytes") > 0)).agg(F.min("path")).first()[0]
+    for place in (headers.literal(head), path):
+        docs = headers.json_documents(spark, place) \
+            .filter(F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)))
+        first = docs.select("_source_file", "_at", F.to_json("v").alias("doc")).orderBy("_source_file", "_at").limit(1)
+        found = first.collect()
+        if found:
+            break
+    else:
         return schema.UNKNOWN_FIELDS
     first = spark.createDataFrame(found, first.schema)
     keys = schema.json_key_types(first, "doc").collect()
