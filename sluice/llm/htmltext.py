@@ -40,14 +40,19 @@ _CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozens
 _SCOPE = {"li": frozenset(["ul", "ol"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"])}
 _TABLE = frozenset(["table"])
 #: Words of a class, id or role that mark a part as not belonging to the article.
-NOISE = frozenset("""ad ads advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion
-nav navigation navbar menu menubar breadcrumb breadcrumbs pagination pager sidebar side rail widget widgets footer
-masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe
-subscription signup login share sharing social comments comment commentlist disqus respond replies reply related
-recommended recommendations teaser outbrain taboola copyright legal disclaimer contentinfo complementary search
-searchform skip""".split())
-#: Names that say article although a noise word may stand beside them.
-ARTICLE = frozenset("article content main post entry story body text".split())
+NOISE = frozenset("""ad ads advert adverts advertisement advertisements advertising adbox adslot adsense banner banners sponsor
+sponsored promo promotion nav navigation navbar menu menubar breadcrumb breadcrumbs pagination pager sidebar rail widget widgets
+header footer masthead topbar toolbar cookie cookies consent gdpr notice notices notification notifications announcement alert
+popup modal overlay newsletter subscribe subscription signup login share sharing social comments comment commentlist disqus
+respond replies reply related recommended recommendations teaser outbrain taboola copyright legal disclaimer banner contentinfo
+complementary search searchform skip form forms""".split())
+#: Those of them that no element inside the part speaks against.
+COMMENTS = frozenset("comments comment commentlist disqus respond replies reply".split())
+#: Words that, in the same name, turn a header into the article's own.
+ARTICLE = frozenset("article content main post entry story body".split())
+#: Words that make a name speak of something else than the part itself ("page-with-sidebar").
+ABOUT = frozenset("with has have no without is".split())
+_CENTRE = frozenset(["article", "main", "h1"])
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _SPACE = re.compile(r"\s+")
 #: Blocks that are parts of an article, never all of it.
@@ -140,21 +145,42 @@ def parse(html: str) -> Node:
     return builder.root
 
 
+def _holds(node: Node, tags: frozenset) -> bool:
+    stack = [node]
+    while stack:
+        for c in stack.pop().children:
+            if not isinstance(c, str):
+                if c.tag in tags:
+                    return True
+                stack.append(c)
+    return False
+
+
 def is_noise(node: Node, in_article: bool) -> bool:
-    """True for a part that does not belong to the article's text."""
+    """True for a part that does not belong to the article's text: by its
+    element, or by a name that says so. A name does not condemn a part that
+    holds the article, a main element or a first heading, unless it speaks of
+    reader comments."""
     if node.tag in DROPPED:
         return True
     if node.tag == "header" and not in_article:
         return True
-    if not node.names:
+    if not node.names or node.tag in ("html", "body", "main"):
         return False
-    words = [w.lower() for w in _WORDS.findall(node.names)]
-    if "hidden" in words and "part" in words:
-        return True
-    if node.tag in ("html", "body", "article", "main"):
+    hits = set()
+    for name in node.names.split():
+        words = {w.lower() for w in _WORDS.findall(name)}
+        if words >= {"hidden", "part"}:
+            return True
+        if words & ABOUT:
+            continue
+        hit = words & NOISE
+        if hit == {"header"} and (words & ARTICLE or in_article and words == hit):
+            continue
+        hits |= hit
+    if not hits:
         return False
-    hit = NOISE.intersection(words)
-    return bool(hit) and not (ARTICLE.intersection(words) and not hit & {"comments", "comment", "ad", "ads", "advert"})
+    return bool(hits & COMMENTS) or not (node.tag == "article" and hits <= {"header", "search"} or _holds(node, _CENTRE))
 
 
 def prune(root: Node) -> None:

@@ -40,6 +40,24 @@ def test_broken_pages_do_not_crash(page):
     assert isinstance(htmltext.main_text(page), str)
 
 
+NOISY = ["<div class='ad-slot'>{}</div>", "<div id=footer>{}</div>", "<div class='post-comments'>{}</div>",
+         "<div class=comment-body>{}</div>", "<article class=comment><p>{}</p></article>", "<div role=navigation>{}</div>",
+         "<div class='widget related-posts'><h3>Read on</h3><p>{}</p></div>", "<p class=notice>{}</p>", "<div class='entry-footer'>{}</div>",
+         "<div class=siteHeader>{}</div>", "<form><label>{}</label></form>", "<noscript>{}</noscript>", "<aside>{}</aside>",
+         "<section aria-label='Reader comments'><p>{}</p></section>", "<div class='newsletter-signup'>{}</div>", "<div hidden>{}</div>"]
+
+
+@pytest.mark.parametrize("noise", NOISY)
+@pytest.mark.parametrize("page", [
+    "<body>{n}<article><h1>Title</h1><p>{a}</p>{n}<p>{b}</p></article>{n}</body>",
+    "<body class=page-with-sidebar><div class='has-sidebar wrap'>{n}<div class=content><h1>Title</h1><p>{a}</p>{n}<p>{b}</p></div></div>{n}</body>",
+    "<body>{n}<main><div class=article-header><h1>Title</h1></div><p>{a}</p><p>{b}</p>{n}</main></body>"])
+def test_noise_by_name_and_element(page, noise):
+    a, b = ("word " * 30).strip() + ".", ("other " * 25).strip() + "."
+    n = noise.format("Some longer text that must never show up in the article, however dense it is. " * 3)
+    assert htmltext.main_text(page.format(n=n, a=a, b=b)) == f"Title\n{a}\n{b}"
+
+
 def test_density_prefers_text_to_links():
     body = htmltext.parse("<body><div><a>l1 l1</a><a>l2 l2</a><a>l3 l3</a></div><div><p>" + "word " * 50 + "</p></div></body>")
     htmltext.measure(body)
