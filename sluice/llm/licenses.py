@@ -133,15 +133,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     fewest, most = min(s[0] for s in sizes), max(s[1] for s in sizes)
     side = spark.createDataFrame(table, "template int, license string, n_template int, bigram string")
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-    found = rows.select("id", "row", F.explode(units(normalised(F.col("text")))).alias("u"))
-    words = F.split("u.text", " +")
-    # distinct bigrams never outnumber word pairs: fewer pairs than the smallest bound cannot match
-    found = found.select("id", "row", F.col("u.kind").alias("kind"), F.col("u.place").alias("place"), words.alias("w")) \
-        .where((F.size("w") > fewest) & F.arrays_overlap("w", F.array(*[F.lit(a) for a in anchors(known, threshold)] or [F.lit("")])))
-    pairs = F.array_distinct(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1),
+    needed = F.array(*[F.lit(a) for a in anchors(known, threshold)] or [F.lit("")])
+    rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("text"), F.monotonically_increasing_id().alias("row"))
+    # a text without any anchor word has no candidate: it is not cut into units
+    rows = rows.where(F.arrays_overlap(F.split("text", "[ \n]+"), needed))
+    # distinct bigrams never outnumber word pairs: fewer pairs than the smallest bound cannot match. The tests stand
+    # inside the array, and the bigrams behind an explode of their own: filters pushed down would compute both again
+    candidates = F.filter(
+        F.transform(units(F.col("text")), lambda u: F.struct(u["kind"].alias("kind"), u["place"].alias("place"),
+                                                             F.split(u["text"], " +").alias("w"))),
+        lambda u: (F.size(u["w"]) > fewest) & F.arrays_overlap(u["w"], needed))
+    found = rows.select("id", "row", F.explode(candidates).alias("u"))
+    w = F.col("u.w")
+    pairs = F.array_distinct(F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1),
                                         lambda a, b: F.concat(a, F.lit(" "), b)))
-    found = found.select("id", "row", "kind", "place", pairs.alias("g")).withColumn("n", F.size("g")) \
+    found = found.select("id", "row", F.col("u.kind").alias("kind"), F.col("u.place").alias("place"),
+                         F.explode(F.array(pairs)).alias("g")).withColumn("n", F.size("g")) \
         .where(F.col("n").between(fewest, most))
     shared = found.select("id", "row", "kind", "place", "n", F.explode("g").alias("bigram")) \
         .join(F.broadcast(side), "bigram") \
