@@ -3,8 +3,9 @@
 A rotation of the centred principal components is learned that brings vectors
 as close as possible to binary codes (iterative quantisation). The code is cut
 into substrings, one hash table each: vectors that agree in a substring meet
-in its bucket, and there the original vectors decide by their cosine in double
-precision. Substrings are as long as keeps an average bucket near
+in its bucket. There the whole codes are compared first, within a radius that
+every simulated pair keeps; only vectors with such a partner are shuffled
+themselves, and their cosine in double precision decides. Substrings are as long as keeps an average bucket near
 ``BUCKET_ROWS``; the number of tables is then chosen so that pairs simulated
 exactly at the threshold meet with probability ``RECALL`` at least (pairs above
 it meet more often). ``measure_recall`` checks that against brute force.
@@ -43,12 +44,15 @@ class Codes:
     planes: np.ndarray  # dimension x (bits * tables)
     bits: int
     tables: int
+    radius: int  # most differing bits of any pair simulated at the threshold
+
+    def signs(self, unit: np.ndarray) -> np.ndarray:
+        return ((unit - self.mean) @ self.planes) >= 0
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
         """Substring values (vectors x tables) of unit vectors."""
-        signs = ((unit - self.mean) @ self.planes) >= 0
         weights = (1 << np.arange(self.bits, dtype=np.int64))
-        return signs.reshape(len(unit), self.tables, self.bits) @ weights
+        return self.signs(unit).reshape(len(unit), self.tables, self.bits) @ weights
 
 
 def _rotation(v: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -83,14 +87,17 @@ def learn(sample: np.ndarray, rows: int, threshold: float = THRESHOLD, seed: int
     right = threshold * left + np.sqrt(1 - threshold ** 2) * noise
     planes = np.zeros((d, 0))
     met = np.zeros(len(left), dtype=bool)
+    apart = np.zeros(len(left), dtype=np.int64)
     tables = 0
     while tables < MAX_TABLES and met.mean() < RECALL:
         while planes.shape[1] < (tables + 1) * bits:  # a further rotation gives further bits
             planes = np.hstack([planes, axes @ _rotation((x - mean) @ axes, rng)])
         p = planes[:, tables * bits:(tables + 1) * bits]
-        met |= ((((left - mean) @ p) >= 0) == (((right - mean) @ p) >= 0)).all(axis=1)
+        differ = (((left - mean) @ p) >= 0) != (((right - mean) @ p) >= 0)
+        met |= ~differ.any(axis=1)
+        apart += differ.sum(axis=1)
         tables += 1
-    return Codes(mean, planes[:, :tables * bits], bits, tables)
+    return Codes(mean, planes[:, :tables * bits], bits, tables, int(apart.max()))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -148,71 +155,112 @@ def _sample(vectors: DataFrame, dim: int, rows: int) -> np.ndarray:
     return np.concatenate([_matrix(c) for c in found.chunks if len(c)] or [np.zeros((0, dim))])
 
 
+def _retrieved(codes: np.ndarray, two: bool, block: np.ndarray, radius: int) -> np.ndarray:
+    """Which of a bucket's members have another one (of the other block, if
+    there are ``two``) within ``radius`` bits. ``codes``: rows of 64-bit words."""
+    n = len(codes)
+    hit = np.zeros(n, dtype=bool)
+    for a in range(0, n, 512):
+        far = np.zeros((len(codes[a:a + 512]), n), dtype=np.uint16)
+        for w in range(codes.shape[1]):
+            far += np.bitwise_count(codes[a:a + 512, w][:, None] ^ codes[:, w][None, :])
+        near = far <= radius
+        if two:
+            near &= block[a:a + 512][:, None] != block[None, :]
+        rows = np.arange(near.shape[0])
+        near[rows, rows + a] = False
+        hit[a:a + 512] |= near.any(axis=1)
+    return hit
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], done) -> Iterator[tuple]:
+    """``done(rows)`` of every run of rows with equal first three columns
+    (bucket and pair of blocks) that has two rows or more, batch by batch."""
+    parts, last = [], None
+    for batch in batches:
+        key = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
+            if a == b:
+                continue
+            k = tuple(key[a])
+            if k != last:
+                if sum(p.num_rows for p in parts) > 1:
+                    yield done(pa.Table.from_batches(parts).combine_chunks().to_batches()[0])
+                parts, last = [], k
+            parts.append(batch.slice(a, b - a))
+    if sum(p.num_rows for p in parts) > 1:
+        yield done(pa.Table.from_batches(parts).combine_chunks().to_batches()[0])
+
+
+def _dealt(coded: DataFrame, payload: list[str]) -> DataFrame:
+    """Rows ``cell, a, b, t, i, node, <payload>`` of every bucket with two members
+    or more, sorted by bucket and pair of blocks (``i``: the row's own block)."""
+    cell = F.shiftleft("grp", 30) + F.shiftleft(F.col("t").cast("bigint"), 24) + F.col("key")
+    spread = coded.select("node", *payload, "grp", F.posexplode("keys").alias("t", "key")) \
+        .select("node", *payload, "t", cell.alias("cell"))
+    sizes = checkpointed(spread.groupBy("cell").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    spread = spread.join(broadcast_if_small(sizes), "cell").withColumn("k", F.ceil(F.col("c") / BLOCK_ROWS).cast("int")) \
+        .withColumn("i", F.pmod("node", F.col("k")).cast("int"))
+    return spread.select("node", *payload, "t", "cell", "i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j")) \
+        .select("cell", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "t", "i", "node", *payload) \
+        .repartition(partitions_of(coded.sparkSession), "cell", "a", "b").sortWithinPartitions("cell", "a", "b", "node")
+
+
 def _links_of(vectors: DataFrame, dim: int, rows: int, threshold: float) -> DataFrame:
-    """``node, root, links`` (partial: sums and edges over tables) among ``vectors(node, grp, v, n)`` of one dimension."""
+    """``node, root, links`` (partial: sums and edges over tables) among
+    ``vectors(node, grp, v, n)`` of one dimension.
+
+    First only codes travel: a vector goes on if a bucket holds another one
+    within the code radius. Then those vectors meet in the same tables and
+    their cosine decides."""
     spark = vectors.sparkSession
     sample = _sample(vectors, dim, rows)
     if not len(sample):
         sample = np.eye(dim)[:2]
     shared = spark.sparkContext.broadcast(learn(sample, rows, threshold))
-    tables = shared.value.tables
-    mine = vectors.where(F.size("v") == dim)
+    mine = vectors.where(F.size("v") == dim).select("node", "grp", "v", "n")
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = shared.value
         for b in batches:
             if b.num_rows:
-                k = codes.keys(_matrix(b.column(1)))
+                signs = codes.signs(_matrix(b.column(2)))
+                k = signs.reshape(b.num_rows, codes.tables, codes.bits) @ (1 << np.arange(codes.bits, dtype=np.int64))
+                packed = np.packbits(signs, axis=1)
+                packed = np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), b.column(2), b.column(3),
+                    [b.column(0), b.column(1), pa.array([row.tobytes() for row in packed], type=pa.binary()),
                      pa.ListArray.from_arrays(pa.array(np.arange(0, k.size + 1, codes.tables, dtype=np.int32)),
-                                              pa.array(k.ravel()))], names=["node", "v", "n", "grp", "keys"])
+                                              pa.array(k.ravel()))], names=["node", "grp", "code", "keys"])
 
-    coded = mine.select("node", "v", "n", "grp") \
-        .mapInArrow(keys, f"node bigint, v {mine.schema['v'].dataType.simpleString()}, n bigint, grp bigint, keys array<bigint>")
-    # a bucket's number: group, table, substring
-    cell = F.shiftleft("grp", 30) + F.shiftleft(F.col("t").cast("bigint"), 24) + F.col("key")
-    spread = coded.select("node", "v", "n", "grp", F.posexplode("keys").alias("t", "key")).select("node", "v", "n", "t", cell.alias("cell"))
-    sizes = checkpointed(spread.groupBy("cell").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
-    split = F.ceil(F.col("c") / BLOCK_ROWS)
-    side = broadcast_if_small(sizes)
-    spread = spread.join(side, "cell").withColumn("k", split.cast("int")).withColumn("i", F.pmod("node", F.col("k")).cast("int"))
-    spread = spread.select("node", "v", "n", "t", "cell", "i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j")) \
-        .select("cell", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "t", "i", "node", "n", "v")
+    def retrieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(batch):
+            words = np.frombuffer(b"".join(batch.column(6).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1)
+            hit = _retrieved(words, batch.column(1)[0] != batch.column(2)[0], batch.column(4).to_numpy(), shared.value.radius)
+            return batch.column(5).to_numpy()[hit]
+        for nodes in _buckets(batches, done):
+            if len(nodes):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes)], names=["node"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = shared.value
 
-        def done(parts):
-            batch = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        def done(batch):
             unit = _matrix(batch.column(7))
             nodes, t = batch.column(5).to_numpy(), batch.column(3)[0].as_py()
             counts, roots = _bucket(unit, codes.keys(unit) if t else None, t, batch.column(6).to_numpy(),
                                     batch.column(4).to_numpy(), batch.column(1)[0] != batch.column(2)[0], threshold)
             hit = counts > 0
             return nodes[hit], nodes[roots[hit]], counts[hit]
-
-        parts, last, out = [], None, []
-        for batch in batches:
-            key = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
-                if a == b:
-                    continue
-                k = tuple(key[a])
-                if k != last:
-                    if sum(p.num_rows for p in parts) > 1:
-                        out.append(done(parts))
-                    parts, last = [], k
-                parts.append(batch.slice(a, b - a))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["node", "root", "links"])
-                out = []
-        if sum(p.num_rows for p in parts) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in done(parts)], names=["node", "root", "links"])
-
-    return spread.repartition(partitions_of(spark), "cell", "a", "b").sortWithinPartitions("cell", "a", "b", "node") \
-        .mapInArrow(link, "node bigint, root bigint, links bigint")
+        for found in _buckets(batches, done):
+            if len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["node", "root", "links"])
+
+    coded = checkpointed(mine.mapInArrow(code, "node bigint, grp bigint, code binary, keys array<bigint>"))
+    near = checkpointed(_dealt(coded, ["code"]).mapInArrow(retrieve, "node bigint").distinct())
+    kept = mine.join(near, "node").join(coded.select("node", "keys"), "node")
+    return _dealt(kept, ["n", "v"]).mapInArrow(link, "node bigint, root bigint, links bigint")
 
 
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
