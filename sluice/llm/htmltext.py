@@ -53,8 +53,11 @@ ARTICLE = frozenset("article content main post entry story body".split())
 #: Words that make a name speak of something else than the part itself ("page-with-sidebar").
 ABOUT = frozenset("with has have no without is".split())
 _CENTRE = frozenset(["article", "main", "h1"])
+_FORMS = frozenset(["form", "forms"])
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _SPACE = re.compile(r"\s+")
+#: Elements that can stand in the head; any other start tag ends it.
+_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript template".split())
 #: Blocks that are parts of an article, never all of it.
 _PARTS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd tr td th tbody thead blockquote pre figure figcaption".split())
 
@@ -78,6 +81,12 @@ class _Builder(HTMLParser):
             self.open[self.at.tag] -= 1
             self.at = self.at.parent
 
+    def _close_head(self, tag):
+        """An omitted ``</head>``; an omitted ``<body>`` begins with the element or text that ends the head."""
+        self._leave_to(next(a for a in _ancestors(self.at) if a.tag == "head").parent)
+        if tag not in ("body", "frameset") and not self.open["body"]:
+            self.handle_starttag("body", [])
+
     def _close_p(self):
         at = self.at if self.open["p"] else None
         while at is not None and at.tag not in ("#root", "table", "td", "th", "button", "object", "caption"):
@@ -87,6 +96,8 @@ class _Builder(HTMLParser):
             at = at.parent
 
     def handle_starttag(self, tag, attrs):
+        if self.open["head"] and (tag == "body" or tag not in _HEAD and not (self.open["noscript"] or self.open["template"])):
+            self._close_head(tag)
         if tag in ("html", "body") and self.open[tag]:
             return
         if tag not in INLINE:
@@ -126,6 +137,8 @@ class _Builder(HTMLParser):
             self._leave_to(at.parent)
 
     def handle_data(self, data):
+        if self.at.tag == "head" and data.strip():
+            self._close_head("#text")
         self.at.children.append(data)
 
 
@@ -156,12 +169,25 @@ def _holds(node: Node, tags: frozenset) -> bool:
     return False
 
 
-def is_noise(node: Node, in_article: bool) -> bool:
+def _letters(root: Node) -> dict[Node, int]:
+    """Characters below every node, without those of elements that are always left out."""
+    out: dict[Node, int] = {}
+    for node in _post_order(root):
+        out[node] = 0 if node.tag in DROPPED and node.tag != "form" else \
+            sum(len("".join(c.split())) if isinstance(c, str) else out[c] for c in node.children)
+    return out
+
+
+def is_noise(node: Node, in_article: bool, most: bool = False) -> bool:
     """True for a part that does not belong to the article's text: by its
     element, or by a name that says so. A name does not condemn a part that
     holds the article, a main element or a first heading, unless it speaks of
-    reader comments."""
-    if node.tag in DROPPED:
+    reader comments. A form that holds one of those, or ``most`` of the
+    page's text, is judged like a plain div."""
+    if node.tag == "form":
+        if not most and not _holds(node, _CENTRE):
+            return True
+    elif node.tag in DROPPED:
         return True
     if node.tag == "header" and not in_article:
         return True
@@ -174,7 +200,7 @@ def is_noise(node: Node, in_article: bool) -> bool:
             return True
         if words & ABOUT:
             continue
-        hit = words & NOISE
+        hit = words & NOISE - (_FORMS if node.tag == "form" else frozenset())
         if hit == {"header"} and (words & ARTICLE or in_article and words == hit):
             continue
         hits |= hit
@@ -185,11 +211,14 @@ def is_noise(node: Node, in_article: bool) -> bool:
 
 def prune(root: Node) -> None:
     """Remove noise parts from the tree, in place."""
+    nodes = _post_order(root)
+    sizes = _letters(root) if any(n.tag == "form" for n in nodes) else {}
+    whole = sizes.get(root, 0)
     stack = [(root, False)]
     while stack:
         node, inside = stack.pop()
         inside = inside or node.tag in ("article", "main")
-        node.children = [c for c in node.children if isinstance(c, str) or not is_noise(c, inside)]
+        node.children = [c for c in node.children if isinstance(c, str) or not is_noise(c, inside, 2 * sizes.get(c, 0) > whole)]
         stack.extend((c, inside) for c in node.children if not isinstance(c, str))
 
 

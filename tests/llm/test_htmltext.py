@@ -58,6 +58,26 @@ def test_noise_by_name_and_element(page, noise):
     assert htmltext.main_text(page.format(n=n, a=a, b=b)) == f"Title\n{a}\n{b}"
 
 
+PARAGRAPHS = "<p>" + "word " * 40 + "</p><p>" + "other " * 30 + "</p>"
+PARAGRAPH_TEXT = "\n".join([("word " * 40).strip(), ("other " * 30).strip()])
+
+
+@pytest.mark.parametrize("page", [
+    "<html><head><title>t</title><meta charset=utf-8><body><div>{}</div></body></html>",
+    "<html><head><title>t</title><script>x</script><div>{}</div></html>",
+    "<head><title>t</title><noscript><p>Switch it on</p></noscript><body>{}",
+    "<head><title>t</title><img src=x></head><body><article>{}</article></body>",
+    "<body><form id=form1 method=post><input type=hidden value=x><div>{}</div><select><option>no</select></form></body>",
+    "<body><form id=aspnetForm><div><main>{}</main></div></form></body>",
+    "<body><form class=form><nav><a>no</a></nav><div>{}</div><footer>no</footer></form><form class=search><label>no</label></form></body>"])
+def test_open_head_and_page_in_a_form(page):
+    assert htmltext.main_text(page.format(PARAGRAPHS)) == PARAGRAPH_TEXT
+
+
+def test_text_ends_the_head():
+    assert htmltext.main_text("<head><title>t</title>hello <b>world</b>") == "hello world"
+
+
 def test_density_prefers_text_to_links():
     body = htmltext.parse("<body><div><a>l1 l1</a><a>l2 l2</a><a>l3 l3</a></div><div><p>" + "word " * 50 + "</p></div></body>")
     htmltext.measure(body)
