@@ -6,8 +6,11 @@ their element, role or class names. On what remains every node gets its
 composite density (characters per tag, adjusted for link characters and link
 tags); a node's density sum adds its children's densities. The node with the
 largest sum leads: the smallest density on its path from the body is the
-threshold, and every subtree that reaches it gives its maximum-sum node. Text
-of the chosen nodes is returned block by block.
+threshold, and every subtree that reaches it gives its maximum-sum node. If the
+leading node lies in an article or main element, all articles beside it (or the
+main element) are chosen instead, and the threshold tells which of them, and
+which parts inside, are lists of links and left out. Text of the chosen nodes
+is returned block by block.
 
 Pages are independent of each other: one narrow pass, a page at a time."""
 
@@ -271,14 +274,16 @@ def select(body: Node) -> list[Node]:
     for node in order:
         if node.total > best.total:
             best = node
-    around = [a for a in _ancestors_to(best, body) if a.tag == "article"] or \
-        [a for a in _ancestors_to(best, body) if a.tag == "main"]
-    if around:  # the author has marked where the article begins and ends
-        return around[-1:]
     # headings and paragraphs beside a single chosen block belong to the same container
     while best is not body and (best.tag in INLINE or best.tag in _PARTS):
         best = best.parent
     threshold = min(n.density for n in _ancestors_to(best, body))
+    marked = _marked(best, body)
+    if marked:  # the author has marked where the article begins and ends: the threshold judges what stands inside
+        found = [n for n in marked if n.chars and not _is_links(n, threshold)]
+        for n in found:
+            _drop_links(n, threshold)
+        return found
     chosen: list[Node] = []
     stack = [(body, best)]
     while stack:
@@ -297,6 +302,41 @@ def select(body: Node) -> list[Node]:
     return chosen
 
 
+def _marked(best: Node, body: Node) -> list[Node]:
+    """The outermost articles around and beside ``best``, all of those in its
+    main element (in the body without one), or the main element itself if
+    ``best`` lies in no article; none without such an element."""
+    path = list(_ancestors_to(best, body))
+    main = next((a for a in reversed(path) if a.tag == "main"), None)
+    if all(a.tag != "article" for a in path):
+        return [main] if main is not None else []
+    outer = next(a for a in reversed(path) if a.tag == "article")
+    scope = main if main is not None and any(a is main for a in _ancestors_to(outer, body)) else body
+    found, stack = [], [scope]
+    while stack:
+        node = stack.pop()
+        if node.tag == "article":
+            found.append(node)
+        else:
+            stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
+    return found
+
+
+def _is_links(node: Node, threshold: float) -> bool:
+    """True for a list of links: below the threshold, several links, and most of the text in them."""
+    return node.density < threshold and node.link_tags > 1 and 2 * node.link_chars > node.chars
+
+
+def _drop_links(root: Node, threshold: float) -> None:
+    """Remove lists of links from a marked part, in place; a part that holds a centre is looked into."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        node.children = [c for c in node.children if isinstance(c, str) or c.tag in INLINE
+                         or not _is_links(c, threshold) or _holds(c, _CENTRE)]
+        stack.extend(c for c in node.children if not isinstance(c, str))
+
+
 def _ancestors_to(node: Node, top: Node) -> Iterator[Node]:
     for a in _ancestors(node):
         yield a

@@ -74,6 +74,26 @@ def test_open_head_and_page_in_a_form(page):
     assert htmltext.main_text(page.format(PARAGRAPHS)) == PARAGRAPH_TEXT
 
 
+LINKS = "<ul>" + "".join(f"<li><a href=x>Another page {i}</a></li>" for i in range(8)) + "</ul>"
+
+
+@pytest.mark.parametrize("page", [
+    "<body><main><article><h2>One</h2>{a}</article><article><h2>Two</h2>{b}</article></main></body>",
+    "<body><main><div><article><h2>One</h2>{a}</article></div><div><article><h2>Two</h2>{b}</article></div></main></body>",
+    "<body><article><h2>One</h2>{a}</article><article><h2>Two</h2>{b}</article><div>{l}</div></body>",
+    "<body><main><h2>One</h2>{a}<div>{l}</div><h2>Two</h2>{b}{l}</main></body>",
+    "<body><article><h2>One</h2>{a}<div>{l}</div><h2>Two</h2>{b}</article><article>{l}</article></body>",
+    "<body><div><div><h2>One</h2>{a}<h2>Two</h2>{b}</div></div><div>{l}</div></body>"])
+def test_several_articles_and_unnamed_link_lists(page):
+    b = "<p>" + "third " * 20 + "</p>"
+    assert htmltext.main_text(page.format(a=PARAGRAPHS, b=b, l=LINKS)) == f"One\n{PARAGRAPH_TEXT}\nTwo\n{('third ' * 20).strip()}"
+
+
+def test_links_inside_a_paragraph_stay():
+    page = "<main><h1>T</h1><p>See <a>the long first reference</a>.</p>" + PARAGRAPHS + "</main>"
+    assert htmltext.main_text(page) == f"T\nSee the long first reference.\n{PARAGRAPH_TEXT}"
+
+
 def test_text_ends_the_head():
     assert htmltext.main_text("<head><title>t</title>hello <b>world</b>") == "hello world"
 
