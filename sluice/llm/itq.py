@@ -8,7 +8,9 @@ every simulated pair keeps; only vectors with such a partner are shuffled
 themselves, and their cosine in double precision decides. Substrings are as long as keeps an average bucket near
 ``BUCKET_ROWS``; the number of tables is then chosen so that pairs simulated
 exactly at the threshold meet with probability ``RECALL`` at least (pairs above
-it meet more often). ``measure_recall`` checks that against brute force.
+it meet more often), whether their difference is alike in all directions or
+follows the vectors' own axes. Where ``MAX_TABLES`` do not reach that,
+substrings get shorter. ``measure_recall`` checks that against brute force.
 
 Identical vectors are collapsed first. A bucket above ``BLOCK_ROWS`` vectors is
 split into blocks, and pairs of blocks go to different tasks. A bucket returns
@@ -32,6 +34,8 @@ THRESHOLD = 0.93
 SAMPLE_ROWS, STEPS = 5000, 40
 #: Average bucket aimed at, largest block of a bucket, and probability that a pair at the threshold meets.
 BUCKET_ROWS, BLOCK_ROWS, RECALL = 32, 2048, 0.995
+#: Sample from which on one half learns and the other measures.
+LEAST_SPLIT = 64
 #: Shortest and longest substring (bits), and most tables.
 MIN_BITS, MAX_BITS, MAX_TABLES = 4, 24, 64
 
@@ -65,6 +69,35 @@ def _rotation(v: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return r
 
 
+def _pairs(sample: np.ndarray, wide: np.ndarray, threshold: float, rng: np.random.Generator) -> list[tuple]:
+    """Kinds of pairs the code must keep, ``(left, right)`` each: exactly at the
+    threshold around the sample's vectors, with noise alike in all directions
+    and with noise that follows the sample's own axes (``wide``); and the
+    sample's own pairs just above the threshold, if there are enough to measure."""
+    out = []
+    for axes in (None, wide):
+        left = sample[rng.integers(0, len(sample), 4000)]
+        noise = rng.standard_normal(left.shape)
+        if axes is not None:
+            noise = noise @ axes.T
+        noise -= (noise * left).sum(axis=1, keepdims=True) * left
+        size = np.linalg.norm(noise, axis=1, keepdims=True)
+        some = size[:, 0] > 1e-9  # none is left where all the sample lies on one line
+        if axes is None or some.any():
+            left, noise = left[some | (axes is None)], (noise / np.maximum(size, 1e-12))[some | (axes is None)]
+            out.append((left, threshold * left + np.sqrt(1 - threshold ** 2) * noise))
+    found = []
+    for a in range(0, len(sample), 512):
+        cosine = np.tril(sample[a:a + 512] @ sample.T, k=a - 1)
+        i, j = np.nonzero((cosine >= threshold) & (cosine < threshold + (1 - threshold) / 4))
+        found.append(np.stack([i + a, j], axis=1))
+    own = np.concatenate(found)
+    if len(own) >= 1 / (1 - RECALL):
+        own = own[rng.permutation(len(own))[:4000]]
+        out.append((sample[own[:, 0]], sample[own[:, 1]]))
+    return out
+
+
 def learn(sample: np.ndarray, rows: int, threshold: float = THRESHOLD, seed: int = 11) -> Codes:
     """Code for ``rows`` vectors from a sample of unit vectors (any number, also none of use)."""
     rng = np.random.default_rng(seed)
@@ -74,30 +107,35 @@ def learn(sample: np.ndarray, rows: int, threshold: float = THRESHOLD, seed: int
     for a in range(0, len(sample), 512):
         close = np.tril(sample[a:a + 512] @ sample.T >= threshold, k=a - 1)
         keep[a:a + 512] = ~(close & keep[None, :]).any(axis=1)
-    x = sample[keep]
+    # recall is measured on vectors the rotation has not seen, where there are enough
+    learnt = np.flatnonzero(keep)
+    learnt = learnt[::2] if len(learnt) >= LEAST_SPLIT else learnt
+    x = sample[learnt]
+    unseen = np.delete(sample, learnt, axis=0) if len(learnt) < keep.sum() else sample
     mean = x.mean(axis=0)
-    _, axes = np.linalg.eigh((x - mean).T @ (x - mean))
-    axes = axes[:, ::-1][:, :64]  # the widest directions
+    spread, axes = np.linalg.eigh((x - mean).T @ (x - mean))
+    spread, axes = spread[::-1], axes[:, ::-1]  # widest first; all of them: the code sees every difference
     bits = int(np.clip(round(np.log2(max(rows, 2) / BUCKET_ROWS)), MIN_BITS, MAX_BITS))
-    # pairs exactly at the threshold, around the sample's vectors
-    left = sample[rng.integers(0, len(sample), 4000)]
-    noise = rng.standard_normal(left.shape)
-    noise -= (noise * left).sum(axis=1, keepdims=True) * left
-    noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
-    right = threshold * left + np.sqrt(1 - threshold ** 2) * noise
+    pairs = _pairs(unseen, axes * np.sqrt(np.maximum(spread, 0)), threshold, rng)
     planes = np.zeros((d, 0))
-    met = np.zeros(len(left), dtype=bool)
-    apart = np.zeros(len(left), dtype=np.int64)
-    tables = 0
-    while tables < MAX_TABLES and met.mean() < RECALL:
-        while planes.shape[1] < (tables + 1) * bits:  # a further rotation gives further bits
-            planes = np.hstack([planes, axes @ _rotation((x - mean) @ axes, rng)])
-        p = planes[:, tables * bits:(tables + 1) * bits]
-        differ = (((left - mean) @ p) >= 0) != (((right - mean) @ p) >= 0)
-        met |= ~differ.any(axis=1)
-        apart += differ.sum(axis=1)
-        tables += 1
-    return Codes(mean, planes[:, :tables * bits], bits, tables, int(apart.max()))
+    while True:
+        met = [np.zeros(len(left), dtype=bool) for left, _ in pairs]
+        apart = [np.zeros(len(left), dtype=np.int64) for left, _ in pairs]
+        tables = 0
+        while tables < MAX_TABLES and min(m.mean() for m in met) < RECALL:
+            while planes.shape[1] < (tables + 1) * bits:  # a further rotation gives further bits
+                planes = np.hstack([planes, axes @ _rotation((x - mean) @ axes, rng)])
+            p = planes[:, tables * bits:(tables + 1) * bits]
+            for (left, right), m, n in zip(pairs, met, apart):
+                differ = (((left - mean) @ p) >= 0) != (((right - mean) @ p) >= 0)
+                m |= ~differ.any(axis=1)
+                n += differ.sum(axis=1)
+            tables += 1
+        recall = min(m.mean() for m in met)
+        if recall >= RECALL or bits == MIN_BITS:
+            break
+        bits -= 1  # all tables miss too many: shorter substrings, larger buckets
+    return Codes(mean, planes[:, :tables * bits], bits, tables, int(max(n.max() for n in apart)))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from sluice.llm import itq
 
@@ -102,6 +103,28 @@ def test_simulated_recall_at_every_size():
         assert signs.shape == (800, codes.tables) and signs.max() < 1 << codes.bits
 
 
+@pytest.mark.parametrize("d", [384, 768])
+def test_recall_on_anisotropic_vectors(d, monkeypatch):
+    monkeypatch.setattr(itq, "STEPS", 5)
+    rng = np.random.default_rng(7)
+    spectrum = 1 / np.arange(1, d + 1)
+
+    def draw(n):
+        return rng.standard_normal((n, d)) * spectrum
+    sample = draw(1500) + 0.5 * spectrum
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    codes = itq.learn(sample, 10 ** 6)
+    left = draw(1000) + 0.5 * spectrum
+    left /= np.linalg.norm(left, axis=1, keepdims=True)
+    noise = draw(1000)
+    noise -= (noise * left).sum(axis=1, keepdims=True) * left
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    right = itq.THRESHOLD * left + math.sqrt(1 - itq.THRESHOLD ** 2) * noise
+    met = (codes.keys(left) == codes.keys(right)).any(axis=1)
+    near = (codes.signs(left) != codes.signs(right)).sum(axis=1) <= codes.radius
+    assert (met & near).mean() >= 0.9
+
+
 def test_empty(spark):
     assert itq.near_duplicates(frame(spark, []).limit(0)).count() == 0
     assert itq.near_duplicates(frame(spark, [(1, None, None)])).first()["kept"]
