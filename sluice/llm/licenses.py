@@ -2,7 +2,7 @@
 
 A text is normalised (lower case, everything but letters and digits one
 blank), and each of its lines, its paragraphs (runs of lines without an empty
-one between) and the whole of it are candidates. A candidate matches a
+one between) and the whole of it are candidates; on demand, runs of words too. A candidate matches a
 template if the Dice coefficient of their sets of word bigrams reaches
 ``THRESHOLD``.
 
@@ -22,6 +22,9 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import broadcast_if_small, checkpointed
 
 THRESHOLD = 0.8
 
@@ -115,8 +118,54 @@ def units(text: Column) -> Column:
     return F.concat(lines, paragraphs, whole)
 
 
+def _spans(rows: DataFrame, side: DataFrame, found: DataFrame, known: list, threshold: float) -> DataFrame:
+    """Best run of words for each licence of ``rows(id, row, text)`` that
+    ``found`` does not have: ``row, kind, place, license, id, score``.
+
+    A run that matches shares ``least`` bigrams with a template, so a text that
+    does not hold as many of them is left after one count. In the others every
+    run that begins with a shared bigram is weighed, up to ``2 * most`` words (a
+    match has ``most`` distinct bigrams at most): a bigram counts where its
+    previous occurrence lies before the run."""
+    limits = rows.sparkSession.createDataFrame([(k, len(b), *_bounds(len(b), threshold)[:2]) for k, (_, b) in enumerate(known)],
+                                               "template int, size int, least int, most int")
+    w = F.split(F.trim(F.regexp_replace("text", r"[ \n]+", " ")), " ")
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1),
+                       lambda a, b: F.concat(a, F.lit(" "), b))
+    cut = rows.select("id", "row", w.alias("w")).where(F.size("w") > 1).select("id", "row", pairs.alias("g"))
+    hits = cut.select("row", F.explode(F.array_distinct("g")).alias("bigram")).join(F.broadcast(side), "bigram") \
+        .groupBy("row", "template", "license").agg(F.count(F.lit(1)).alias("both")) \
+        .join(F.broadcast(limits), "template").where("both >= least").join(found.select("row", "license").distinct(), ["row", "license"], "left_anti")
+    hits = checkpointed(hits.select("row", "template", "license", "size", "least", "most"))
+    # bigrams of what is left, with the place of their previous occurrence
+    words = cut.join(broadcast_if_small(checkpointed(hits.select("row").distinct())), "row").select("id", "row", F.posexplode("g").alias("at", "bigram"))
+    words = words.withColumn("before", F.coalesce(F.lag("at").over(Window.partitionBy("row", "bigram").orderBy("at")), F.lit(-1)))
+    words = words.join(broadcast_if_small(hits), "row").join(F.broadcast(side.select("template", "bigram", F.lit(True).alias("hit"))), ["template", "bigram"], "left")
+    texts = words.groupBy("row", "template", "license", "size", "least", "most").agg(
+        F.first("id").alias("id"),
+        F.array_sort(F.collect_list(F.struct("at", "before", F.coalesce("hit", F.lit(False)).alias("hit")))).alias("g"))
+    texts = texts.withColumn("h", F.transform(F.filter("g", lambda x: x["hit"]), lambda x: x["at"]))
+    # places with enough shared bigrams behind them
+    starts = F.filter(F.transform("h", lambda x, i: F.when(
+        F.coalesce(F.get("h", i + F.col("least") - 1) - x < 2 * F.col("most"), F.lit(False)), x)), lambda x: x.isNotNull())
+
+    def best(start):
+        def step(acc, x):
+            new = (x["before"] < start).cast("int")
+            n, both = acc["n"] + new, acc["both"] + F.when(x["hit"], new).otherwise(0)
+            score = 2 * both / (n + F.col("size"))
+            return F.struct(n.alias("n"), both.alias("both"), F.greatest(acc["score"], score).alias("score"))
+        none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("both"), F.lit(0.0).alias("score"))
+        run = F.aggregate(F.slice("g", start + 1, 2 * F.col("most")), none, step, lambda acc: acc["score"])
+        return F.struct(run.alias("score"), (-start).alias("start"))
+
+    texts = texts.withColumn("best", F.array_max(F.transform(starts, best))).where(F.col("best.score") >= threshold)
+    return texts.groupBy("row", "license").agg(F.first("id").alias("id"), F.max("best").alias("best")) \
+        .select("row", F.lit("span").alias("kind"), (-F.col("best.start")).alias("place"), "license", "id", F.col("best.score").alias("score"))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=None,
-         threshold: float = THRESHOLD) -> DataFrame:
+         threshold: float = THRESHOLD, spans: bool = False) -> DataFrame:
     """One row for each match: ``id_col, license, kind, place, score``, where a
     candidate equal to several templates of one licence counts once with its
     best score.
@@ -124,7 +173,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     Null and empty texts, and candidates of fewer than two words, match
     nothing. Repeated rows are scanned each on its own. Texts are looked at
     whole, whatever their length; only candidates that pass the exact bounds
-    are taken apart."""
+    are taken apart.
+
+    With ``spans``, runs of words anywhere in the text are candidates too: a
+    licence that no line, paragraph or whole text gives has one row of kind
+    ``span`` with its best run, ``place`` counting words from 0."""
     spark = docs.sparkSession
     known = [(name, template_bigrams(text)) for name, text in (TEMPLATES if templates is None else templates)]
     known = [(name, b) for name, b in known if b]
@@ -137,6 +190,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("text"), F.monotonically_increasing_id().alias("row"))
     # a text without any anchor word has no candidate: it is not cut into units
     rows = rows.where(F.arrays_overlap(F.split("text", "[ \n]+"), needed))
+    if spans:  # both passes must number the rows alike
+        rows = checkpointed(rows)
     # distinct bigrams never outnumber word pairs: fewer pairs than the smallest bound cannot match. The tests stand
     # inside the array, and the bigrams behind an explode of their own: filters pushed down would compute both again
     candidates = F.filter(
@@ -158,6 +213,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             F.first("id").alias("id"), F.first("license").alias("license"), F.count(F.lit(1)).alias("both"),
             F.first("n").alias("n"), F.first("n_template").alias("n_template"))
     score = 2 * F.col("both") / (F.col("n") + F.col("n_template"))
-    return shared.withColumn("score", score).where(F.col("score") >= threshold) \
-        .groupBy("row", "kind", "place", "license").agg(F.first("id").alias("id"), F.max("score").alias("score")) \
-        .select(F.col("id").alias(id_col), "license", "kind", F.col("place").cast("bigint").alias("place"), "score")
+    matches = shared.withColumn("score", score).where(F.col("score") >= threshold) \
+        .groupBy("row", "kind", "place", "license").agg(F.first("id").alias("id"), F.max("score").alias("score"))
+    if spans:
+        matches = checkpointed(matches)
+        matches = matches.unionByName(_spans(rows, side, matches, known, threshold))
+    return matches.select(F.col("id").alias(id_col), "license", "kind", F.col("place").cast("bigint").alias("place"), "score")

@@ -170,7 +170,7 @@ GROUP BY row, doc_id, s.license, kind, place
 @query("op1_license_dice", _op1_sql())
 def op1_license_dice(spark, sf_dir):
     from . import licenses
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents"), spans=True)
 
 
 OP2_SQL = """

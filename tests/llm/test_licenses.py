@@ -64,3 +64,21 @@ def test_anchors_are_necessary():
         need = L._bounds(len(grams), 0.8)[2]
         for _ in range(50):
             assert words & {w for g in rng.sample(grams, need) for w in g.split()}
+
+
+def test_notices_inside_long_texts(spark):
+    prose = "\n\n".join(" ".join(f"word{i * j % 97}" for j in range(60)) + " under the terms of the software" for i in range(1, 30))
+    mit = next(t for n, t in L.TEMPLATES if n == "MIT" and len(t) > 500).split()
+    apache = next(t for n, t in L.TEMPLATES if n == "Apache-2.0" and len(t) > 200).split()
+    published = [f"Copyright (c) 2020 Some Body\n\n{' '.join(w[:a])}\n\n{' '.join(w[a:b])}\n\n{' '.join(w[b:])}"
+                 for w, a, b in ((mit, len(mit) // 2, len(mit) * 3 // 5), (apache, len(apache) // 2, len(apache) * 3 // 5))]
+    inline = "This tool, released under the MIT License, parses logs."
+    texts = [(1, published[0], "MIT"), (2, published[1], "Apache-2.0"), (3, inline, "MIT")]
+    rows = [(i, f"{prose}\n\n{t}\n\n{prose}") for i, t, _ in texts] + [(4, prose), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = L.scan(docs, spans=True).collect()
+    assert sorted((r["doc_id"], r["license"], r["kind"]) for r in got) == [(i, n, "span") for i, _, n in texts]
+    assert all(r["score"] > 0.95 for r in got)
+    words = L.scan(docs, spans=True).where("doc_id = 3").first()["place"]
+    assert f"{prose} {inline}".lower().replace(",", " ").split()[words:words + 2] == ["released", "under"]
+    assert L.scan(docs).count() == 0
