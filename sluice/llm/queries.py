@@ -196,3 +196,49 @@ FROM embeddings e LEFT JOIN n ON n.x = e.vec_id LEFT JOIN c ON c.x = e.vec_id
 def op2_itq_near_dup(spark, sf_dir):
     from . import itq
     return itq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = r"""
+WITH tbl AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, v::BIGINT)
+              ORDER BY v) AS t FROM range(256) r(v)),
+f AS (
+  SELECT 'd' AS side, row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 't', row_number() OVER (), NULL,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+x AS MATERIALIZED (SELECT side, row, unnest(w) AS word FROM f),
+crc AS MATERIALIZED (
+  SELECT word, xor(list_reduce(list_transform(range(octet_length(encode(word))),
+                                              lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT),
+                               lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM x) u, tbl),
+n AS (
+  SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 't') AS t FROM x JOIN crc USING (word) GROUP BY bucket),
+z AS (SELECT count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 't') AS t FROM x),
+g AS (
+  SELECT bucket, floor(1000 * ln((n.t + 1)::DOUBLE * (z.s + 10000)::DOUBLE / ((n.s + 1)::DOUBLE * (z.t + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM n, z),
+w AS (
+  SELECT row, count(*) AS n_features, sum(gain)::BIGINT AS weight
+  FROM x JOIN crc USING (word) JOIN g USING (bucket) WHERE side = 'd' GROUP BY row),
+r AS (
+  SELECT f.row, doc_id, COALESCE(n_features, 0) AS n_features, COALESCE(weight, 0) AS weight,
+         COALESCE(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || COALESCE(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+                                               / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM f LEFT JOIN w ON f.row = w.row WHERE side = 'd'),
+o AS (
+  SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n FROM r WHERE n_features >= 20)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank
+FROM r LEFT JOIN o ON r.row = o.row
+"""
+
+
+@query("op11_importance_ahocorasick", OP11_SQL)
+def op11_importance_ahocorasick(spark, sf_dir):
+    from . import importance
+    found = importance.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
