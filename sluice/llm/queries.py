@@ -242,3 +242,34 @@ def op11_importance_ahocorasick(spark, sf_dir):
     from . import importance
     found = importance.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP12_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id,
+         COALESCE(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (
+  SELECT COALESCE(item_id::VARCHAR, '') AS item,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+bw AS MATERIALIZED (
+  SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS gram FROM (
+    SELECT item, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM (SELECT *, least(10, len(w)) AS size FROM b WHERE len(w) > 0) x) y),
+dw AS (
+  SELECT row, i, size, array_to_string(w[i:i + size - 1], ' ') AS gram FROM (
+    SELECT row, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM bw) s) x),
+m AS MATERIALIZED (SELECT row, i, size, item FROM dw JOIN bw USING (size, gram)),
+h AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(i, i + size)) AS p FROM m) x GROUP BY row),
+n AS (
+  SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM m) x GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, COALESCE(n_hit, 0)::BIGINT AS n_hit, COALESCE(n_items, 0)::BIGINT AS n_items,
+       sha256(COALESCE(items, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON d.row = h.row LEFT JOIN n ON d.row = n.row
+"""
+
+
+@query("op12_decontam_automaton", OP12_SQL)
+def op12_decontam_automaton(spark, sf_dir):
+    from . import decontam
+    return decontam.flags(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items")
