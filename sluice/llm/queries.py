@@ -273,3 +273,36 @@ FROM d LEFT JOIN h ON d.row = h.row LEFT JOIN n ON d.row = n.row
 def op12_decontam_automaton(spark, sf_dir):
     from . import decontam
     return decontam.flags(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items")
+
+
+def _op13_sql(rounds: int = 10) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT row, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT x.row, m.c, sum((x.x - m.x) * (x.x - m.x))::BIGINT AS d FROM x JOIN c{r} m USING (i) GROUP BY ALL) q GROUP BY row)""")
+        if r < rounds:
+            steps.append(f"""
+c{r + 1} AS MATERIALIZED (
+  SELECT o.c, o.i, COALESCE(n.x, o.x) AS x FROM c{r} o LEFT JOIN (
+    SELECT a.c, x.i, (sum(x.x) - ((sum(x.x) % count(*)) + count(*)) % count(*)) // count(*) AS x
+    FROM x JOIN a{r} a USING (row) GROUP BY ALL) n ON o.c = n.c AND o.i = n.i)""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(x) >= 131072)) = 0),
+x AS MATERIALIZED (SELECT row, unnest(range(64)) AS i, unnest(v) AS x FROM v),
+s AS (SELECT row, row_number() OVER (ORDER BY sha256('3:' || COALESCE(vec_id::VARCHAR, '')), v) - 1 AS c FROM v),
+c0 AS MATERIALIZED (SELECT s.c, x.i, x.x FROM s JOIN x USING (row) WHERE s.c < 8),{",".join(steps)},
+h AS (SELECT c, sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY c)
+SELECT vec_id, a.c::INTEGER AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+       (sum(a.d) OVER ())::BIGINT AS inertia, h.h AS centroid_sha256
+FROM v JOIN a{rounds} a USING (row) JOIN h ON h.c = a.c
+"""
+
+
+@query("op13_laesa_centroids", _op13_sql())
+def op13_laesa_centroids(spark, sf_dir):
+    from . import laesa
+    return laesa.cluster(table(spark, sf_dir, "embeddings"))
