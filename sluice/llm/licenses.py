@@ -1,19 +1,22 @@
 """Licence scan: word-bigram Dice coefficient against licence templates.
 
 A text is normalised (lower case, everything but letters and digits one
-blank), and each of its lines, its paragraphs (runs of lines without an empty
-one between) and the whole of it are candidates; on demand, runs of words too. A candidate matches a
-template if the Dice coefficient of their sets of word bigrams reaches
-``THRESHOLD``.
+blank) and every run of its words is a candidate, wherever it begins and however lines
+and paragraphs are cut. A run matches a template if the Dice coefficient of their sets of word
+bigrams reaches ``THRESHOLD``. Taking a neighbouring bigram of the template into a run never lowers its
+score, so a best run begins at a *head*: a shared bigram that follows none. Each head and
+template has one candidate, its best run (the shortest of equal ones). Candidates of all licences compete for their
+place: the highest score wins (then the larger run, the earlier one, the earlier template), runs
+that share a word with a winner are out, and so on until every place has one licence.
 
-Two bounds prune before any bigram is made, and both are exact. Sizes: sets of
-``a`` and ``b`` bigrams reach ``t`` only if ``a`` lies between ``t/(2-t) b`` and
-``(2-t)/t b``. Anchors: a match shares at least ``t/(2-t) b`` of the template's
-``b`` bigrams, so it holds at least one of any ``b - ceil(t/(2-t) b) + 1`` of
-them; the scan picks those with the longest words and looks for the words.
+Two bounds prune, and both are exact. Sizes: sets of ``a`` and ``b`` bigrams reach ``t`` only if
+``a`` lies between ``t/(2-t) b`` and ``(2-t)/t b``, and then share at least ``t/(2-t) b``: a text that shares fewer with a
+template is left at once, and a run is followed until it has more distinct bigrams than the upper
+bound. Anchors: a match holds at least one of any ``b - ceil(t/(2-t) b) + 1`` bigrams of the template;
+the scan picks those with the longest words and looks for the words.
 
-Everything is DataFrame functions; the template side of the one join is the
-fixed table below, broadcast."""
+Everything is DataFrame functions; the template side of the joins is the
+fixed table below (or the one given), broadcast."""
 
 from __future__ import annotations
 
@@ -28,7 +31,7 @@ from .common import broadcast_if_small, checkpointed
 
 THRESHOLD = 0.8
 
-# Licence notices as their authors publish them (short notes and standard headers).
+# Licence notices as their authors publish them (short notes, standard headers, short licences).
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -71,6 +74,82 @@ granted, provided that the above copyright notice and this permission notice app
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
+    ("GPL-2.0", "Licensed under the GNU General Public License v2.0."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General
+Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later
+version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser
+General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option)
+any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
+the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for
+more details."""),
+    ("LGPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser
+General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option)
+any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
+the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for
+more details."""),
+    ("AGPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero
+General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option)
+any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
+the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for
+more details."""),
+    ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list
+of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT,
+STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF
+ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list
+of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE
+COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED
+"AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE
+OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("0BSD", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT,
+OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+SOFTWARE."""),
+    ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any
+purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original
+software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is
+not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the
+original software. 3. This notice may not be removed or altered from any source distribution."""),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("BSL-1.0", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software
+and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and
+transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is
+furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including
+the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in
+whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of
+machine-executable object code generated by a source language processor."""),
+    ("Unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+purpose, commercial or non-commercial, and by any means."""),
 ]
 
 
@@ -97,125 +176,92 @@ def anchors(templates: list[tuple[str, list[str]]], threshold: float) -> list[st
 
 
 def normalised(text: Column) -> Column:
-    """Lower case; all but letters, digits and line breaks one blank."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
-
-
-def units(text: Column) -> Column:
-    """Candidates of a normalised text: ``struct(kind, place, text)`` of its
-    lines, its paragraphs of several lines, and the whole if it has several
-    paragraphs. Places count from 0."""
-    flat = F.trim(F.regexp_replace(text, r"[ \n]+", " "))
-    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(F.lit("line").alias("kind"), i.alias("place"), F.trim(x).alias("text")))
-    pieces = F.split(text, r"\n(?: *\n)+")
-    paragraphs = F.filter(
-        F.transform(pieces, lambda x, i: F.struct(F.lit("paragraph").alias("kind"), i.alias("place"), x.alias("text"))),
-        lambda x: F.trim(x["text"], F.lit(" \n")).contains("\n"))
-    paragraphs = F.transform(paragraphs, lambda x: F.struct(
-        x["kind"].alias("kind"), x["place"].alias("place"), F.trim(F.regexp_replace(x["text"], r"[ \n]+", " ")).alias("text")))
-    whole = F.when(F.size(pieces) > 1, F.array(F.struct(F.lit("text").alias("kind"), F.lit(0).alias("place"), flat.alias("text")))) \
-        .otherwise(F.array().cast("array<struct<kind:string,place:int,text:string>>"))
-    return F.concat(lines, paragraphs, whole)
-
-
-def _spans(rows: DataFrame, side: DataFrame, found: DataFrame, known: list, threshold: float) -> DataFrame:
-    """Best run of words for each licence of ``rows(id, row, text)`` that
-    ``found`` does not have: ``row, kind, place, license, id, score``.
-
-    A run that matches shares ``least`` bigrams with a template, so a text that
-    does not hold as many of them is left after one count. In the others every
-    run that begins with a shared bigram is weighed, up to ``2 * most`` words (a
-    match has ``most`` distinct bigrams at most): a bigram counts where its
-    previous occurrence lies before the run."""
-    limits = rows.sparkSession.createDataFrame([(k, len(b), *_bounds(len(b), threshold)[:2]) for k, (_, b) in enumerate(known)],
-                                               "template int, size int, least int, most int")
-    w = F.split(F.trim(F.regexp_replace("text", r"[ \n]+", " ")), " ")
-    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1),
-                       lambda a, b: F.concat(a, F.lit(" "), b))
-    cut = rows.select("id", "row", w.alias("w")).where(F.size("w") > 1).select("id", "row", pairs.alias("g"))
-    hits = cut.select("row", F.explode(F.array_distinct("g")).alias("bigram")).join(F.broadcast(side), "bigram") \
-        .groupBy("row", "template", "license").agg(F.count(F.lit(1)).alias("both")) \
-        .join(F.broadcast(limits), "template").where("both >= least").join(found.select("row", "license").distinct(), ["row", "license"], "left_anti")
-    hits = checkpointed(hits.select("row", "template", "license", "size", "least", "most"))
-    # bigrams of what is left, with the place of their previous occurrence
-    words = cut.join(broadcast_if_small(checkpointed(hits.select("row").distinct())), "row").select("id", "row", F.posexplode("g").alias("at", "bigram"))
-    words = words.withColumn("before", F.coalesce(F.lag("at").over(Window.partitionBy("row", "bigram").orderBy("at")), F.lit(-1)))
-    words = words.join(broadcast_if_small(hits), "row").join(F.broadcast(side.select("template", "bigram", F.lit(True).alias("hit"))), ["template", "bigram"], "left")
-    texts = words.groupBy("row", "template", "license", "size", "least", "most").agg(
-        F.first("id").alias("id"),
-        F.array_sort(F.collect_list(F.struct("at", "before", F.coalesce("hit", F.lit(False)).alias("hit")))).alias("g"))
-    texts = texts.withColumn("h", F.transform(F.filter("g", lambda x: x["hit"]), lambda x: x["at"]))
-    # places with enough shared bigrams behind them
-    starts = F.filter(F.transform("h", lambda x, i: F.when(
-        F.coalesce(F.get("h", i + F.col("least") - 1) - x < 2 * F.col("most"), F.lit(False)), x)), lambda x: x.isNotNull())
-
-    def best(start):
-        def step(acc, x):
-            new = (x["before"] < start).cast("int")
-            n, both = acc["n"] + new, acc["both"] + F.when(x["hit"], new).otherwise(0)
-            score = 2 * both / (n + F.col("size"))
-            return F.struct(n.alias("n"), both.alias("both"), F.greatest(acc["score"], score).alias("score"))
-        none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("both"), F.lit(0.0).alias("score"))
-        run = F.aggregate(F.slice("g", start + 1, 2 * F.col("most")), none, step, lambda acc: acc["score"])
-        return F.struct(run.alias("score"), (-start).alias("start"))
-
-    texts = texts.withColumn("best", F.array_max(F.transform(starts, best))).where(F.col("best.score") >= threshold)
-    return texts.groupBy("row", "license").agg(F.first("id").alias("id"), F.max("best").alias("best")) \
-        .select("row", F.lit("span").alias("kind"), (-F.col("best.start")).alias("place"), "license", "id", F.col("best.score").alias("score"))
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=None,
-         threshold: float = THRESHOLD, spans: bool = False) -> DataFrame:
-    """One row for each match: ``id_col, license, kind, place, score``, where a
-    candidate equal to several templates of one licence counts once with its
-    best score.
-
-    Null and empty texts, and candidates of fewer than two words, match
-    nothing. Repeated rows are scanned each on its own. Texts are looked at
-    whole, whatever their length; only candidates that pass the exact bounds
-    are taken apart.
-
-    With ``spans``, runs of words anywhere in the text are candidates too: a
-    licence that no line, paragraph or whole text gives has one row of kind
-    ``span`` with its best run, ``place`` counting words from 0."""
+    """Lower case; all but letters and digits one blank."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
+def bigrams_of(text: Column) -> Column:
+    """The bigrams of a normalised text in order, repeats included; fewer than two words have none."""
+    w = F.split(text, " ")
+    pairs = F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>"))
+
+
+def _best_runs(texts: DataFrame, heads: DataFrame, side: DataFrame, threshold: float) -> DataFrame:
+    """``row, template, start, score, n, last``: the best run of each of
+    ``heads(row, template, size, most, start)`` that matches, with its number of distinct
+    bigrams and its last bigram.
+
+    A run is cut from twice as many bigrams as it may have distinct ones; heads behind
+    which these repeat too much for that are taken again with twice as many, until all are done."""
+    found, reach = None, 2
+    while True:
+        grouped = heads.groupBy("row").agg(F.collect_list(F.struct("template", "size", "most", "start")).alias("h"))
+        behind = F.slice("g", F.col("h.start") + 1, F.col("h.most") * reach)
+        runs = texts.join(grouped, "row").select("row", "g", F.explode("h").alias("h")) \
+            .select("row", "h.*", F.array_distinct(behind).alias("x"), (F.col("h.start") + F.col("h.most") * reach < F.size("g")).alias("more"))
+        left = F.col("more") & (F.size("x") <= F.col("most"))
+        bigrams = runs.where(~left).select("row", "template", "size", "start", F.posexplode(F.slice("x", F.lit(1), F.col("most"))).alias("k", "bigram"))
+        both = F.row_number().over(Window.partitionBy("row", "template", "start").orderBy("k"))
+        n = F.col("k") + 1
+        scored = bigrams.join(F.broadcast(side.select("template", "bigram")), ["template", "bigram"]) \
+            .withColumn("both", both).withColumn("score", 2 * F.col("both") / (n + F.col("size"))).where(F.col("score") >= threshold)
+        best = scored.groupBy("row", "template", "start").agg(F.max_by(F.struct("score", n.alias("n"), F.col("bigram").alias("last")),
+                                                                      F.struct("score", -F.col("k"))).alias("b")) \
+            .select("row", "template", "start", "b.*")
+        found = best if found is None else found.unionByName(best)
+        heads = checkpointed(runs.where(left).select("row", "template", "size", "most", "start"))
+        if heads.isEmpty():
+            return found
+        reach *= 2
+
+
+def _winners(candidates: Column) -> Column:
+    """Candidates, best first, without those that share a word with one before that stayed."""
+    none = F.slice(candidates, 1, 0)
+    return F.aggregate(F.array_sort(candidates), none, lambda kept, x: F.when(
+        F.exists(kept, lambda a: (a["start"] <= x["stop"]) & (x["start"] <= a["stop"])), kept).otherwise(F.concat(kept, F.array(x))))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=None, threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each licence found at a place: ``id_col, license, place,
+    n_words, score`` (``place`` counts words of the normalised text from 0).
+
+    Null and empty texts and those of fewer than two words match nothing. Repeated rows are
+    scanned each on its own; of templates with equal bigrams the first wins. Every run of the whole text is a
+    candidate, whatever the text's length; a text's own candidates (one a head) are weighed in one row, and
+    a text in which a template's bigrams begin ``m`` runs costs ``m`` times the template's length. ``templates``
+    (pairs of licence and text) replaces the built-in table; it is broadcast and must stay small."""
     spark = docs.sparkSession
     known = [(name, template_bigrams(text)) for name, text in (TEMPLATES if templates is None else templates)]
     known = [(name, b) for name, b in known if b]
-    table = [(k, name, len(b), g) for k, (name, b) in enumerate(known) for g in b]
-    sizes = [_bounds(len(b), threshold) for _, b in known] or [(1, 0, 1)]
-    fewest, most = min(s[0] for s in sizes), max(s[1] for s in sizes)
-    side = spark.createDataFrame(table, "template int, license string, n_template int, bigram string")
+    side = spark.createDataFrame([(k, g) for k, (_, b) in enumerate(known) for g in b], "template int, bigram string")
+    limits = spark.createDataFrame([(k, name, len(b), *_bounds(len(b), threshold)[:2]) for k, (name, b) in enumerate(known)],
+                                   "template int, license string, size int, least int, most int")
 
     needed = F.array(*[F.lit(a) for a in anchors(known, threshold)] or [F.lit("")])
     rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("text"), F.monotonically_increasing_id().alias("row"))
-    # a text without any anchor word has no candidate: it is not cut into units
-    rows = rows.where(F.arrays_overlap(F.split("text", "[ \n]+"), needed))
-    if spans:  # both passes must number the rows alike
-        rows = checkpointed(rows)
-    # distinct bigrams never outnumber word pairs: fewer pairs than the smallest bound cannot match. The tests stand
-    # inside the array, and the bigrams behind an explode of their own: filters pushed down would compute both again
-    candidates = F.filter(
-        F.transform(units(F.col("text")), lambda u: F.struct(u["kind"].alias("kind"), u["place"].alias("place"),
-                                                             F.split(u["text"], " +").alias("w"))),
-        lambda u: (F.size(u["w"]) > fewest) & F.arrays_overlap(u["w"], needed))
-    found = rows.select("id", "row", F.explode(candidates).alias("u"))
-    w = F.col("u.w")
-    pairs = F.array_distinct(F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1),
-                                        lambda a, b: F.concat(a, F.lit(" "), b)))
-    found = found.select("id", "row", F.col("u.kind").alias("kind"), F.col("u.place").alias("place"),
-                         F.explode(F.array(pairs)).alias("g")).withColumn("n", F.size("g")) \
-        .where(F.col("n").between(fewest, most))
-    shared = found.select("id", "row", "kind", "place", "n", F.explode("g").alias("bigram")) \
-        .join(F.broadcast(side), "bigram") \
-        .where((F.col("n") * (2 - threshold) >= threshold * F.col("n_template") - 1e-9)
-               & (F.col("n") * threshold <= (2 - threshold) * F.col("n_template") + 1e-9)) \
-        .groupBy("row", "kind", "place", "template").agg(
-            F.first("id").alias("id"), F.first("license").alias("license"), F.count(F.lit(1)).alias("both"),
-            F.first("n").alias("n"), F.first("n_template").alias("n_template"))
-    score = 2 * F.col("both") / (F.col("n") + F.col("n_template"))
-    matches = shared.withColumn("score", score).where(F.col("score") >= threshold) \
-        .groupBy("row", "kind", "place", "license").agg(F.first("id").alias("id"), F.max("score").alias("score"))
-    if spans:
-        matches = checkpointed(matches)
-        matches = matches.unionByName(_spans(rows, side, matches, known, threshold))
-    return matches.select(F.col("id").alias(id_col), "license", "kind", F.col("place").cast("bigint").alias("place"), "score")
+    # a text without any anchor word has no match
+    rows = checkpointed(rows.where(F.arrays_overlap(F.split("text", " "), needed)))
+    cut = rows.select("row", bigrams_of(F.col("text")).alias("g"))
+    # templates of which a text holds enough distinct bigrams
+    pairs = cut.select("row", F.explode(F.array_distinct("g")).alias("bigram")).join(F.broadcast(side), "bigram") \
+        .groupBy("row", "template").agg(F.count(F.lit(1)).alias("both")).join(F.broadcast(limits), "template").where("both >= least")
+    pairs = checkpointed(pairs.select("row", "template", "size", "most"))
+    texts = cut.join(broadcast_if_small(checkpointed(pairs.select("row").distinct())), "row")
+    hits = texts.select("row", F.posexplode("g").alias("start", "bigram")).join(F.broadcast(side), "bigram") \
+        .join(broadcast_if_small(pairs), ["row", "template"])
+    before = F.lag("start").over(Window.partitionBy("row", "template").orderBy("start"))
+    heads = checkpointed(hits.withColumn("before", before).where("before IS NULL OR before < start - 1")
+                         .select("row", "template", "size", "most", "start"))
+    runs = checkpointed(_best_runs(texts, heads, side, threshold)).join(F.broadcast(limits.select("template", "license")), "template")
+    # array_sort puts the best first: higher score, larger run, earlier start, earlier template
+    runs = runs.groupBy("row").agg(F.collect_list(F.struct("score", "n", "start", "template", "license", "last")).alias("c"))
+    end = F.transform("c", lambda x: F.struct(
+        (-x["score"]).alias("s"), (-x["n"]).alias("n"), x["start"].alias("start"), x["template"].alias("template"), x["license"].alias("license"),
+        # a bigram is two words: the last word of the run
+        (x["start"] + F.array_position(F.slice("g", x["start"] + 1, F.size("g")), x["last"]).cast("int")).alias("stop")))
+    placed = texts.join(broadcast_if_small(checkpointed(runs.select("row"))), "row").join(runs, "row").select("row", F.explode(_winners(end)).alias("w"))
+    return placed.join(rows.select("row", "id"), "row").select(
+        F.col("id").alias(id_col), "w.license", F.col("w.start").cast("bigint").alias("place"),
+        (F.col("w.stop") - F.col("w.start") + 1).cast("bigint").alias("n_words"), (-F.col("w.s")).alias("score"))

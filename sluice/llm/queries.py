@@ -141,36 +141,40 @@ def _op1_sql() -> str:
     return rf"""
 WITH tpl(template, license, bigram) AS (VALUES {rows}),
 size_of AS (SELECT template, license, count(*) AS nt FROM tpl GROUP BY ALL),
-norm AS (SELECT row_number() OVER () AS row, doc_id, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS t
+norm AS (SELECT row_number() OVER () AS row, doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w
          FROM documents WHERE text IS NOT NULL),
-pieces AS (SELECT row, doc_id, t, string_split(t, chr(10)) AS ls, regexp_split_to_array(t, '\n(?: *\n)+') AS ps FROM norm),
-units AS (
-  SELECT row, doc_id, 'line' AS kind, unnest(range(len(ls))) AS place, trim(unnest(ls)) AS u FROM pieces
-  UNION ALL
-  SELECT row, doc_id, kind, place, trim(regexp_replace(p, '[ \n]+', ' ', 'g')) FROM (
-    SELECT row, doc_id, 'paragraph' AS kind, unnest(range(len(ps))) AS place, unnest(ps) AS p FROM pieces) x
-  WHERE contains(trim(p, ' ' || chr(10)), chr(10))
-  UNION ALL
-  SELECT row, doc_id, 'text', 0, trim(regexp_replace(t, '[ \n]+', ' ', 'g')) FROM pieces WHERE len(ps) > 1),
-cand AS (
-  SELECT row, doc_id, kind, place, w FROM (SELECT *, regexp_split_to_array(u, ' +') AS w FROM units) x WHERE len(w) > 1),
-grams AS (
-  SELECT *, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM cand),
-shared AS (
-  SELECT row, doc_id, kind, place, template, license, n, count(*) AS n_both
-  FROM (SELECT row, doc_id, kind, place, len(g) AS n, unnest(g) AS bigram FROM grams) x JOIN tpl USING (bigram)
-  GROUP BY ALL)
-SELECT doc_id, s.license, kind, place::BIGINT AS place, max(2 * n_both / (n + nt)::DOUBLE) AS score
-FROM shared s JOIN size_of z USING (template)
-WHERE 2 * n_both / (n + nt)::DOUBLE >= 0.8
-GROUP BY row, doc_id, s.license, kind, place
+grams AS MATERIALIZED (
+  SELECT row, i - 1 AS i, w[i] || ' ' || w[i + 1] AS bigram FROM (SELECT row, w, unnest(range(1, len(w))) AS i FROM norm) x),
+hits AS MATERIALIZED (SELECT row, template, license, i, bigram FROM grams JOIN tpl USING (bigram)),
+enough AS (
+  SELECT row, template, nt FROM hits JOIN size_of USING (template) GROUP BY ALL HAVING count(DISTINCT bigram) >= 0.8 * nt / 1.2 - 1e-9),
+heads AS (
+  SELECT row, template, i AS start, nt FROM (
+    SELECT h.*, nt, lag(i) OVER (PARTITION BY row, template ORDER BY i) AS before FROM hits h JOIN enough USING (row, template)) x
+  WHERE before IS NULL OR before < i - 1),
+seen AS (
+  SELECT row, template, start, nt, bigram, min(i) AS i FROM heads JOIN grams USING (row) WHERE i >= start GROUP BY ALL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY row, template, start ORDER BY i) AS n FROM seen),
+scored AS (
+  SELECT r.*, license, 2 * row_number() OVER (PARTITION BY row, template, start ORDER BY n) / (n + nt)::DOUBLE AS score
+  FROM ranked r JOIN tpl USING (template, bigram)),
+best AS (
+  SELECT row, license, template, start, score, n, i + 1 AS stop FROM scored WHERE score >= 0.8
+  QUALIFY row_number() OVER (PARTITION BY row, template, start ORDER BY score DESC, n) = 1),
+kept AS (
+  SELECT row, list_reduce(list([{{'license': license, 'start': start, 'stop': stop, 'score': score}}] ORDER BY score DESC, n DESC, start, template),
+    lambda kept, x: CASE WHEN len(list_filter(kept, lambda a: a.start <= x[1].stop AND x[1].start <= a.stop)) > 0 THEN kept ELSE kept || x END) AS k
+  FROM best GROUP BY row)
+SELECT doc_id, u.license AS license, u.start AS place, u.stop - u.start + 1 AS n_words, u.score AS score
+FROM (SELECT row, unnest(k) AS u FROM kept) x JOIN norm USING (row)
 """
 
 
 @query("op1_license_dice", _op1_sql())
 def op1_license_dice(spark, sf_dir):
     from . import licenses
-    return licenses.scan(table(spark, sf_dir, "documents"), spans=True)
+    return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 OP2_SQL = """
