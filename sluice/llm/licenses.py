@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -166,12 +167,14 @@ def _bounds(size: int, threshold: float) -> tuple[int, int, int]:
 
 
 def anchors(templates: list[tuple[str, list[str]]], threshold: float) -> list[str]:
-    """Words of which every match holds at least one."""
+    """Words of which every match holds at least one: long ones first, of equal
+    length those that serve most templates, so that the list stays short."""
+    word = {b: max(b.split(), key=lambda w: (len(w), w)) for _, bigrams in templates for b in bigrams}
+    serves = Counter(w for _, bigrams in templates for w in {word[b] for b in bigrams})
     found = set()
     for _, bigrams in templates:
         n = len(bigrams) - _bounds(len(bigrams), threshold)[2] + 1
-        rare = sorted(bigrams, key=lambda b: (-max(map(len, b.split())), b))[:n]
-        found.update(max(b.split(), key=lambda w: (len(w), w)) for b in rare)
+        found.update(word[b] for b in sorted(bigrams, key=lambda b: (-len(word[b]), -serves[word[b]], b))[:n])
     return sorted(found)
 
 
@@ -198,7 +201,7 @@ def _best_runs(texts: DataFrame, heads: DataFrame, side: DataFrame, threshold: f
     while True:
         grouped = heads.groupBy("row").agg(F.collect_list(F.struct("template", "size", "most", "start")).alias("h"))
         behind = F.slice("g", F.col("h.start") + 1, F.col("h.most") * reach)
-        runs = texts.join(grouped, "row").select("row", "g", F.explode("h").alias("h")) \
+        runs = texts.select("row", "g").join(grouped, "row").select("row", "g", F.explode("h").alias("h")) \
             .select("row", "h.*", F.array_distinct(behind).alias("x"), (F.col("h.start") + F.col("h.most") * reach < F.size("g")).alias("more"))
         left = F.col("more") & (F.size("x") <= F.col("most"))
         bigrams = runs.where(~left).select("row", "template", "size", "start", F.posexplode(F.slice("x", F.lit(1), F.col("most"))).alias("k", "bigram"))
@@ -248,7 +251,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     pairs = cut.select("row", F.explode(F.array_distinct("g")).alias("bigram")).join(F.broadcast(side), "bigram") \
         .groupBy("row", "template").agg(F.count(F.lit(1)).alias("both")).join(F.broadcast(limits), "template").where("both >= least")
     pairs = checkpointed(pairs.select("row", "template", "size", "most"))
-    texts = cut.join(broadcast_if_small(checkpointed(pairs.select("row").distinct())), "row")
+    # the few texts with such a template are stored with their bigrams: every later step reads only these
+    texts = checkpointed(rows.join(broadcast_if_small(checkpointed(pairs.select("row").distinct())), "row")
+                         .select("row", "id", bigrams_of(F.col("text")).alias("g")))
     hits = texts.select("row", F.posexplode("g").alias("start", "bigram")).join(F.broadcast(side), "bigram") \
         .join(broadcast_if_small(pairs), ["row", "template"])
     before = F.lag("start").over(Window.partitionBy("row", "template").orderBy("start"))
@@ -261,7 +266,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         (-x["score"]).alias("s"), (-x["n"]).alias("n"), x["start"].alias("start"), x["template"].alias("template"), x["license"].alias("license"),
         # a bigram is two words: the last word of the run
         (x["start"] + F.array_position(F.slice("g", x["start"] + 1, F.size("g")), x["last"]).cast("int")).alias("stop")))
-    placed = texts.join(broadcast_if_small(checkpointed(runs.select("row"))), "row").join(runs, "row").select("row", F.explode(_winners(end)).alias("w"))
-    return placed.join(rows.select("row", "id"), "row").select(
+    placed = texts.join(runs, "row").select("id", F.explode(_winners(end)).alias("w"))
+    return placed.select(
         F.col("id").alias(id_col), "w.license", F.col("w.start").cast("bigint").alias("place"),
         (F.col("w.stop") - F.col("w.start") + 1).cast("bigint").alias("n_words"), (-F.col("w.s")).alias("score"))
