@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh_name
 from ..functions.paths import IMAGE_EXTENSIONS, VIDEO_EXTENSIONS
 from ..functions.text import blank_to_null, py_strip
 from .joins import join_small, persist_fresh
@@ -109,27 +110,47 @@ def reasons_column(rules) -> Column:
     return F.array_except(hits, F.array(F.lit(None).cast("string")))
 
 
-def with_unique_flag(df: DataFrame, keys, flag: str = "_dup") -> DataFrame:
-    """Uniqueness (D9): ``flag`` is true on every row whose key occurs more
-    than once. Keys with a NULL part never collide (SQL UNIQUE semantics).
-    Key counts aggregate map-side first (a hot key collapses before the
-    shuffle); the duplicate list is broadcast when its measured size allows,
-    otherwise joined with a shuffle."""
-    dups = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-              .filter(F.col("_n") > 1).select(*keys, F.lit(True).alias(flag)))
-    out = join_small(df, dups, list(keys), "left")
-    return out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+def key_digest(keys) -> Column:
+    """One digest of a row's key: columns or field accesses such as
+    ``fields['id']``; null where a part is null."""
+    parts = [_ref(k) for k in keys]
+    known = parts[0].isNotNull()
+    for p in parts[1:]:
+        known = known & p.isNotNull()
+    named = F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
+    return F.when(known, F.unhex(F.sha2(F.to_json(named), 256)))
 
 
-def apply_rules(df: DataFrame, rules=(), unique=None, unique_name: str | None = None) -> DataFrame:
-    """Tag every row with ``_reasons`` (empty = valid)."""
+def with_unique_flag(df: DataFrame, keys, flag: str = "_dup", seen: DataFrame | None = None) -> DataFrame:
+    """Uniqueness (D9): ``flag`` is true on every row whose key occurs more
+    than once, or occurs in ``seen`` (a frame of the same key columns). ``keys`` are columns or field
+    accesses. Keys with a NULL part never collide (SQL UNIQUE semantics).
+    Key counts aggregate map-side first (a hot key collapses before the
+    shuffle, and before the keys meet the seen ones); the list of refused keys is broadcast
+    when its measured size allows, otherwise joined with a shuffle."""
+    names = []
+    for k in keys:
+        names.append(fresh_name([*df.columns, *names], "_unique") if "[" in k else k)
+    keyed = df.select("*", *[_ref(k).alias(n) for k, n in zip(keys, names) if k != n])
+    counts = keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    refused = counts.filter(F.col("_n") > 1).select(*names)
+    if seen is not None:
+        refused = refused.unionByName(counts.select(*names).join(seen, names, "left_semi")).distinct()
+    out = join_small(keyed, refused.withColumn(flag, F.lit(True)), names, "left")
+    return out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False))).select(*df.columns, flag)
+
+
+def apply_rules(df: DataFrame, rules=(), unique=None, unique_name: str | None = None, seen: DataFrame | None = None) -> DataFrame:
+    """Tag every row with ``_reasons`` (empty = valid). ``seen`` holds keys
+    that were stored before (see :func:`with_unique_flag`)."""
     rules = list(rules)
+    flag = fresh_name(df.columns, "_dup")
     if unique:
         keys = list(unique)
-        df = with_unique_flag(df, keys, "_dup")
-        rules.append((unique_name or f"unique:{','.join(keys)}", F.col("_dup")))
+        df = with_unique_flag(df, keys, flag, seen)
+        rules.append((unique_name or f"unique:{','.join(keys)}", F.col(flag)))
     out = df.withColumn(REASONS, reasons_column(rules))
-    return out.drop("_dup") if unique else out
+    return out.drop(flag) if unique else out
 
 
 def record_gate(tagged: DataFrame):

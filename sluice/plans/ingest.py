@@ -190,21 +190,29 @@ def register_views(spark: SparkSession, lake: Lake) -> list[str]:
         return []
     view = exposed(spark, lake)
     names = runs.groupBy("source_name").agg(F.max_by("target_table", "run_id").alias("target_table"))
-    rows = view.join(names, "source_name").select("target_table", "lakehouse_path").collect()  # one per source
+    rows = view.join(names, "source_name").select("source_name", "target_table", "lakehouse_path").collect()  # one per source
     for r in rows:
-        spark.read.format(lake.fmt).load(r["lakehouse_path"]).createOrReplaceTempView(r["target_table"])
+        _version(spark, lake, r["source_name"], r["lakehouse_path"]).createOrReplaceTempView(r["target_table"])
     return sorted(r["target_table"] for r in rows)
 
 
+def _version(spark: SparkSession, lake: Lake, source_name: str, path: str) -> DataFrame:
+    """Rows of a source's exposed version; a stream's are those of all its accepted runs."""
+    from ..streaming import commits
+    if path.startswith(f"{commits.root_of(lake, source_name)}/"):
+        return commits.snapshot(spark, lake, source_name)
+    return spark.read.format(lake.fmt).load(path)
+
+
 def read_current(spark: SparkSession, lake: Lake, source_name: str) -> DataFrame:
     """The exposed (current) curated version of a source: the lakehouse
     version of its newest stored run (a later quarantined run leaves it
-    exposed, E17). Run ids sort by their time prefix."""
+    exposed, E17), for a stream the rows of all its accepted runs. Run ids sort by their time prefix."""
     view = exposed(spark, lake)
     row = None if view is None else view.filter(F.col("source_name") == source_name).first()
     if row is None or not row["lakehouse_path"]:
         raise LookupError(f"no stored version of {source_name!r}")
-    return spark.read.format(lake.fmt).load(row["lakehouse_path"])
+    return _version(spark, lake, source_name, row["lakehouse_path"])
 
 
 # --- file sources ---------------------------------------------------------------
@@ -666,15 +674,18 @@ def ingest_stream(spark: SparkSession, src: dict, lake: Lake, run_id: str, modal
     Kafka-shaped rows (``parquet`` / ``json``). ``options.maxFilesPerTrigger``
     / ``maxOffsetsPerTrigger`` throttle (W3); ``minPartitions`` spreads a hot
     topic partition over several tasks. ``socket://host:port`` reads lines from
-    a socket. ``options.rules`` (D9, on ``fields['key']``) tag decoded rows; under
-    the source gate one row that a rule rejects quarantines all of the run's
-    rows, which then are not exposed (dead letters alone do not: they hold no
-    row)."""
-    from ..streaming import jobs
+    a socket. ``options.rules`` (D9, on ``fields['key']``) tag decoded rows; a uniqueness rule also
+    looks at the curated rows of earlier batches and accepted runs (``options.uniqueWithin``, e.g. ``7
+    days``, forgets older batches). Under the source gate one row that a rule rejects quarantines all
+    of the run's rows (dead letters alone do not: they hold no row).
+
+    Each run writes to its own folder and commits its batches (``streaming.commits``): the run row names that
+    folder, readers see the batches of accepted runs only, and keys of a refused run are free again."""
+    from ..streaming import commits, jobs
     from ..streaming import sources as ssrc
     t0 = time.time()
     path, name, opts = src["path"], src["name"], src.get("options") or {}
-    out = f"{lake.root}/streams/{name}"
+    out = f"{commits.root_of(lake, name)}/_run={run_id}"
     ckpt = f"{lake.root}/_checkpoints/{name}"
     fmt = str(_opt(opts, "format", "text")).lower()
     max_files = _opt(opts, "maxFilesPerTrigger")
@@ -701,17 +712,22 @@ def ingest_stream(spark: SparkSession, src: dict, lake: Lake, run_id: str, modal
         stream = ssrc.kafka_shaped_file_stream(spark, path, max_files_per_trigger=max_files, fmt=fmt)
     stats: dict = {}
     rules, unique = quality.rules_from_config(_opt(opts, "rules"))
-    fn = jobs.batch_writer(out, jobs.generic_projection, rules=rules, unique=unique, fmt=lake.fmt, stats=stats)
+    commits.adopt(spark, lake, name, run_id)
+    within = _opt(opts, "uniqueWithin")
+    fn = jobs.batch_writer(
+        out, jobs.generic_projection, rules=rules, unique=unique, fmt=lake.fmt, stats=stats,
+        seen=lambda query, batch: commits.seen_keys(spark, lake, name, run_id, query, batch, within),
+        committed=lambda query, batch, counts: commits.commit(spark, lake, name, run_id, query, batch, counts))
     jobs.foreach_batch_stream(stream, fn, ckpt)
     _record_progress(spark, lake, name, run_id, stats.get("progress", []))
-    rec = stats.get("records", 0)
-    bad = stats.get("dead_letters", 0) + stats.get("invalid", 0)
+    own = commits.totals(spark, lake, name, run_id)  # adopted batches included
+    rec, bad = own["records"], own["dead_letters"] + own["invalid"]
     seconds = time.time() - t0
     prof = profile.profile_row({"record_count": rec, "invalid_count": bad}, seconds)
-    refuse = gate == "source" and stats.get("invalid", 0) > 0
+    refuse = gate == "source" and own["invalid"] > 0
     status = "empty" if rec == 0 else ("stored" if bad == 0 else ("quarantined" if refuse else "partial"))
     good, dead, wrong = (f"{out}/_row_state={side}" for side in ("curated", "dead_letter", "quarantine"))
-    refused = out if status == "quarantined" else (dead if stats.get("dead_letters") else wrong) if bad else None
+    refused = out if status == "quarantined" else (dead if own["dead_letters"] else wrong) if bad else None
     return {"run_id": run_id, "source_name": name, "status": status, "modality": modality,
             "load_mode": mode, "worker": worker, "schema_version": version,
             "record_count": prof["record_count"], "invalid_count": prof["invalid_count"],

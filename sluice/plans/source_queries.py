@@ -14,9 +14,9 @@ from ..session import scratch_path
 from ..sinks import tables
 from ..sources import config
 from . import derive
-from .ingest import Lake, ingest_sources
+from .ingest import Lake, ingest_sources, read_current
 from .queries import query
-from .stream_queries import _damaged, _kafka_files
+from .stream_queries import _damaged, _kafka_files, _kafka_rows
 
 table = derive.table
 
@@ -226,6 +226,48 @@ def q_stream_source_gate(spark, sf):
                                  "status string, record_count bigint, invalid_count bigint, n_exposed bigint")
 
 
+def _stream_drops(spark, sf, drops, gates, options) -> DataFrame:
+    """Rows of a stream that are readable after one run for each of ``drops``
+    (conditions on ``events`` whose rows arrive before the run)."""
+    src, lake = scratch_path(spark, "drops") + "/kafka", Lake(scratch_path(spark, "lake"))
+    source = config.sources_from_rows(spark, [{"name": "s", "path": src, "modality": "streaming", "options": options}])
+    for k, (drop, gate) in enumerate(zip(drops, gates)):
+        _kafka_rows(table(spark, sf, "events").filter(drop)).write.mode("append").parquet(src)
+        row = ingest_sources(spark, source, lake, run_id=f"run-{k}", gate=gate).first()
+        if row["status"] == "failed":
+            raise RuntimeError(row["error"])
+    return read_current(spark, lake, "s")
+
+
+@query("stream_gate_rows", """
+SELECT event_id, event_type FROM events WHERE event_id % 3 <> 1 AND event_type <> 'click'
+""")
+def q_stream_gate_rows(spark, sf):
+    """A stored, a refused (one kind of event is not allowed) and a
+    stored run of one stream; the readable rows are those of the stored runs."""
+    kinds = sorted(r[0] for r in table(spark, sf, "events").select("event_type").distinct().collect())  # a handful
+    rules = [{"domain": "fields['event_type']", "values": [k for k in kinds if k != "click"], "name": "type"}]
+    third, allowed = F.col("event_id") % 3, F.col("event_type") != "click"
+    rows = _stream_drops(spark, sf, [(third == 0) & allowed, third == 1, (third == 2) & allowed], ["source"] * 3,
+                         {"format": "parquet", "rules": json.dumps(rules)})
+    return rows.select(F.col("fields")["event_id"].cast("bigint").alias("event_id"), F.col("fields")["event_type"].alias("event_type"))
+
+
+@query("stream_unique", """
+WITH e AS (SELECT event_id, user_id, CAST(value AS DECIMAL(12,2)) AS v, event_id % 2 AS run FROM events),
+k AS (SELECT run, user_id, v, min(event_id) AS event_id FROM e GROUP BY ALL HAVING count(*) = 1)
+SELECT event_id FROM k WHERE run = 0 OR NOT EXISTS (
+  SELECT 1 FROM k f WHERE f.run = 0 AND f.user_id = k.user_id AND f.v = k.v)
+""")
+def q_stream_unique(spark, sf):
+    """D9 on decoded fields of a stream: a key that occurs twice in a batch,
+    or in the accepted rows of an earlier run, is rejected."""
+    half = F.col("event_id") % 2
+    rows = _stream_drops(spark, sf, [half == 0, half == 1], ["record"] * 2, {
+        "format": "parquet", "rules": json.dumps([{"unique": ["fields['user_id']", "fields['value']"]}])})
+    return rows.select(F.col("fields")["event_id"].cast("bigint").alias("event_id"))
+
+
 @query("schema_versions_by_time", """
 WITH e AS (SELECT event_type, event_id, ts, CAST(event_id % 7 < 3 AS INTEGER) AS sig FROM events),
 c AS (SELECT *, sig IS DISTINCT FROM lag(sig) OVER w OR row_number() OVER w = 1 AS changed FROM e

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec
 from ..operators import quality
+from ..operators.joins import released
 
 
 def with_watermark(df: DataFrame, ts: str, delay: str = "0 seconds") -> DataFrame:
@@ -79,39 +80,57 @@ SIDES = ("curated", "quarantine", "dead_letter")
 
 
 def batch_writer(root: str, project, rules=(), unique=None, fmt: str = "parquet", stats: dict | None = None,
-                 value_col: str = "value"):
+                 value_col: str = "value", seen=None, committed=None):
     """A ``foreachBatch`` function that decodes, gates and stores a
-    micro-batch in ONE write, partitioned by side and batch:
-    ``<root>/_row_state=<side>/_batch=<id>``. Messages that do not decode are
+    micro-batch in ONE write, partitioned by side, query and batch:
+    ``<root>/_row_state=<side>/_query=<id>/_batch=<id>`` (batch ids count from 0 again
+    under a new checkpoint; its query id is another). Messages that do not decode are
     dead letters (W6) and keep their own columns in ``_dead_letter``; decoded
     rows have the columns of ``project(decoded_df)`` and go to ``curated`` or, by
     ``rules`` (in ``_reasons``), to ``quarantine`` (D6). The write replaces its
-    own batch's folders only, so a replay is exact. ``stats`` (a driver-side
+    own batch's folders only, so a replay is exact.
+
+    ``unique`` (columns or field accesses such as ``fields['id']``) rejects decoded rows
+    whose key occurs more than once in the batch or is in ``seen(query_id, batch_id)``, a frame of
+    ``_key`` digests of earlier batches; a key with a null part never collides. The batch's
+    keys are aggregated before they meet the earlier ones, so a hot key is one row there.
+    ``committed(query_id, batch_id, counts)`` is called after the write. ``stats`` (a driver-side
     dict) accumulates records / invalid / dead letter counts and one line per
     batch, observed in the write."""
     def run(batch: DataFrame, batch_id: int):
+        with released():
+            write(batch, batch_id)
+
+    def write(batch: DataFrame, batch_id: int):
         began = time.time()
+        query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
         d = decode_batch(batch, value_col)
         ok = F.coalesce(F.col("_ok"), F.lit(False))
         whole = F.when(~ok, F.struct(*[F.col(c) for c in batch.columns]))
         rows = d.select(*project(d), ok.alias("_ok"), whole.alias("_dead_letter"))
         # only decoded rows are tested, also for uniqueness: dead letters have no fields
         tested = [(n, F.col("_ok") & v) for n, v in rules]
-        tagged = quality.apply_rules(rows, tested, unique=unique)
+        key = F.when(F.col("_ok"), quality.key_digest(unique)) if unique else F.lit(None).cast("binary")
+        earlier = seen(query_id, batch_id) if unique and seen is not None else None
+        tagged = quality.apply_rules(rows.withColumn("_key", key), tested, unique=["_key"] if unique else None,
+                                     unique_name=f"unique:{','.join(unique or [])}", seen=earlier)
         side = F.when(~F.col("_ok"), F.lit("dead_letter")).when(F.size(quality.REASONS) == 0, F.lit("curated")) \
             .otherwise(F.lit("quarantine"))
-        tagged = tagged.withColumn("_row_state", side).withColumn("_batch", F.lit(batch_id)).drop("_ok")
+        tagged = tagged.withColumn("_row_state", side).withColumn("_query", F.lit(query_id)) \
+            .withColumn("_batch", F.lit(batch_id)).drop("_ok")
         obs = Observation(f"batch_{batch_id}_{uuid.uuid4().hex[:8]}")
         tagged = tagged.observe(obs, *[F.count_if(F.col("_row_state") == s).alias(s) for s in SIDES])
         tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").format(fmt) \
-            .partitionBy("_row_state", "_batch").save(root)
+            .partitionBy("_row_state", "_query", "_batch").save(root)
+        n = {s: int(obs.get[s]) for s in SIDES}
+        counts = {"records": sum(n.values()), "invalid": n["quarantine"], "dead_letters": n["dead_letter"]}
+        if committed is not None:
+            committed(query_id, batch_id, counts)
         if stats is not None:
-            n = {s: int(obs.get[s]) for s in SIDES}
-            stats["records"] = stats.get("records", 0) + sum(n.values())
-            stats["dead_letters"] = stats.get("dead_letters", 0) + n["dead_letter"]
-            stats["invalid"] = stats.get("invalid", 0) + n["quarantine"]
+            for k, v in counts.items():
+                stats[k] = stats.get(k, 0) + v
             stats["batches"] = stats.get("batches", 0) + 1
-            stats.setdefault("progress", []).append((batch_id, sum(n.values()), time.time() - began))
+            stats.setdefault("progress", []).append((batch_id, counts["records"], time.time() - began))
     return run
 
 
@@ -120,7 +139,7 @@ def read_side(spark, root: str, side: str, fmt: str = "parquet") -> DataFrame:
     df = spark.read.format(fmt).load(root).filter(F.col("_row_state") == side)
     if side == "dead_letter":
         return df.select("_dead_letter.*", "_batch")
-    return df.drop("_dead_letter", "_row_state", *(["_reasons"] if side == "curated" else []))
+    return df.drop("_dead_letter", "_row_state", "_query", "_key", *(["_reasons"] if side == "curated" else []))
 
 
 def generic_projection(d: DataFrame) -> list:
