@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import stored_names
 from ..functions.paths import extension, file_name, source_file
 from ..operators import catalog, profile, quality, route, schema
 from ..operators.joins import join_small, persist_fresh, released
+from ..operators.schema import header_fields
 from ..sinks import tables
-from ..sources import files, headers, readers
+from ..sources import files, headers, quoted, readers
 
 RUN_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType()), T.StructField("source_name", T.StringType()),
@@ -116,6 +118,9 @@ def ingest_frame(spark: SparkSession, df: DataFrame, lake: Lake, source_name: st
     (a boolean column) says which rows are records, where not all are.
     """
     t0 = time.time()
+    own = ("_reasons", "_run_id", "_row_state")
+    if {c.lower() for c in df.columns} & set(own):
+        df = df.toDF(*stored_names(df.columns, own))
     tagged = quality.apply_rules(df, rules, unique=unique)
     tagged = tagged.withColumn("_run_id", F.lit(run_id)).withColumn(
         "_row_state", F.when(F.size(quality.REASONS) == 0, F.lit("valid")).otherwise(F.lit("invalid")))
@@ -218,8 +223,11 @@ def read_current(spark: SparkSession, lake: Lake, source_name: str) -> DataFrame
 # --- file sources ---------------------------------------------------------------
 
 #: Columns the readers add; they are no data of the source.
-TECHNICAL = ("_source_file", "_corrupt", "_raw", "_extra", "_at", "_issue", "reason", "path", "size_bytes", "modificationTime",
+TECHNICAL = ("_source_file", "_corrupt", "_raw", "_extra", "_issue", "_file_reason", "path", "size_bytes", "modificationTime",
              "length", "issue", "_file_issue")
+#: Columns of a stored row that are no data. A data column of such a name (in any case), or of the name of an
+#: earlier column in another case, is stored with a number behind its name; the run's ``metadata.columns`` says so.
+RESERVED = ("_source_file", "_corrupt", "_raw", "_extra", "_issue", "_file_reason", "_file_issue", "_reasons", "_run_id", "_row_state")
 FILE_REASONS = ("header_width", "duplicate_header", "header_order", "header_names", "empty_file", "unreadable")
 NO_ROW_REASONS = ("empty_file", "unreadable")   # files that yield no data row
 
@@ -302,7 +310,7 @@ def source_frame(spark: SparkSession, path: str, manifest: DataFrame, worker: st
         frames.append(df)
         rules += own
     if ".parquet" in present:
-        frames.append(readers.read_parquet(spark, path, merge_schema=True, recursive=True))
+        frames.append(readers.read_parquet(spark, path, merge_schema=True, recursive=True, reserved=RESERVED))
     if ".xml" in present:
         row_tag = _opt(options, "rowTag")
         frames.append(readers.read_xml(spark, path, row_tag, glob=headers.GLOBS[".xml"]) if row_tag
@@ -353,38 +361,55 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 def delimited_rows(spark: SparkSession, path: str, manifest: DataFrame, names: list[str], present: set,
                    options: dict | None = None) -> tuple:
     """Rows of a folder's CSV and TSV files with their file's
-    header reason. Files with a value over several lines are read whole-record
-    (``multiLine``), the others stay splittable; ``options.multiLine`` ``true``
-    reads all that way, ``false`` is the user's promise that there are none.
+    header reason. Files with a quote left open on some line are read by ``sources.quoted`` (records are cut in
+    splits), the others by Spark's line-wise reader; ``options.multiLine`` ``true``
+    reads all whole-record (a task a file), ``false`` is the user's promise that no value runs over a line end.
+    A file whose header has the source's names in another order is read by name, not by position.
     Files without a data row to tag are counted by their reason; if no file
     has a readable header, each file is a row with its reason."""
     wanted = str(_opt(options, "multiLine", "auto")).lower()
     strict = _truthy(_opt(options, "checkHeaderNames", "false"))
-    checks = persist_fresh(quality.header_checks(spark, path, manifest, len(names), names if strict else None))
-    bad = persist_fresh(checks.filter(F.col("reason").isNotNull()).select(F.col("file_path").alias("_source_file"), "reason"))
-    issues = {r["reason"]: int(r["n"]) for r in bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rules = [quality.row_width("_corrupt")] + [(r, F.col("reason") == r) for r in FILE_REASONS]
+    checks = persist_fresh(quality.header_checks(spark, path, manifest, len(names), names))
+    # names and their order are looked at in any case; they reject a file only on request
+    named = ("header_order", "header_names")
+    reason = F.col("reason") if strict else F.when(~F.col("reason").isin(*named), F.col("reason"))
+    moved = F.when(F.col("reason") == "header_order", F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.array_position(
+        F.transform(header_fields(F.col("cells")), lambda f: f["name"]), n).cast("int"))) if names else F.lit(None).cast("array<int>")
+    files = persist_fresh(checks.select(F.col("file_path").alias("_source_file"), reason.alias("_file_reason"), moved.alias("_moved"),
+                                        F.col("multi_line").alias("_multi")).filter("_file_reason IS NOT NULL OR _moved IS NOT NULL OR _multi"))
+    facts = files.groupBy("_file_reason", F.col("_moved").isNotNull().alias("moved"), "_multi").agg(F.count(F.lit(1)).alias("n")).collect()
+    issues: dict = {}
+    for r in facts:
+        if r["_file_reason"] is not None:
+            issues[r["_file_reason"]] = issues.get(r["_file_reason"], 0) + int(r["n"])
+    rules = [quality.row_width("_corrupt")] + [(r, F.col("_file_reason") == r) for r in FILE_REASONS]
     if not names:
-        df = bad.select("_source_file", F.lit(None).cast("string").alias("_corrupt"), "reason")
+        df = files.filter("_file_reason IS NOT NULL").select("_source_file", F.lit(None).cast("string").alias("_corrupt"), "_file_reason")
         return df, rules, issues
     over = checks.filter("multi_line").select("uri") if wanted == "auto" else None
-    some = over is not None and over.limit(1).count() > 0
+    some = over is not None and any(r["_multi"] for r in facts)
+    columns = stored_names(names, RESERVED)
     frames = []
     for ext in (".csv", ".tsv"):
         if ext not in present:
             continue
-        def read(multi_line, keep, ext=ext):
-            return readers.read_csv(spark, path, names, sep=readers.sep_for(ext), path_glob=headers.GLOBS[ext],
-                                    multi_line=multi_line, keep=keep)
+        sep, glob = readers.sep_for(ext), headers.GLOBS[ext]
         if not some:
-            frames.append(read(wanted == "true", None))
+            frames.append(readers.read_csv(spark, path, columns, sep=sep, path_glob=glob, multi_line=wanted == "true"))
         else:
-            frames.append(read(False, lambda d: headers.chosen(d, over, keep=False)))
-            frames.append(read(True, lambda d: headers.chosen(d, over)))
+            frames.append(readers.read_csv(spark, path, columns, sep=sep, path_glob=glob, keep=lambda d: headers.chosen(d, over, keep=False)))
+            frames.append(quoted.read_quoted_csv(spark, path, columns, sep, glob, lambda d: headers.chosen(d, over)))
     df = frames[0]
     for f in frames[1:]:
         df = df.unionByName(f)
-    return join_small(df, bad, "_source_file", "left"), rules, issues
+    if not any(r["moved"] or r["_file_reason"] for r in facts):
+        return df.withColumn("_file_reason", F.lit(None).cast("string")), rules, issues
+    df = join_small(df, files.drop("_multi"), "_source_file", "left")
+    if any(r["moved"] for r in facts):
+        cells = F.array(*[F.col(f"`{c}`") for c in columns])
+        df = df.select(*[F.when(F.col("_moved").isNull(), F.col(f"`{c}`")).otherwise(F.get(cells, F.col("_moved")[i] - 1)).alias(c)
+                         for i, c in enumerate(columns)], "_corrupt", "_source_file", "_file_reason")
+    return df.drop("_moved"), rules, issues
 
 
 # Python type names of discovered JSON fields -> column types (lists and
@@ -402,11 +427,8 @@ def json_rows(spark: SparkSession, path: str, fields) -> tuple:
     kept as JSON text in ``_extra`` (map). Values that are no object, and texts
     that are no JSON (reason ``json_parse``), are kept in ``_raw``."""
     docs = headers.json_documents(spark, path)
-    taken, listed = {t.lower() for t in TECHNICAL}, []
-    for n, t in fields:
-        if n.lower() not in taken and (n, t) != schema.UNKNOWN_FIELDS[0]:
-            taken.add(n.lower())
-            listed.append((n, t))
+    listed = [(n, t) for n, t in fields if (n, t) != schema.UNKNOWN_FIELDS[0]]
+    stored = stored_names([n for n, _ in listed], RESERVED)
     is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
     docs = docs.withColumn("_m", F.when(is_object, F.col("v").cast("map<string,variant>")))
 
@@ -423,7 +445,7 @@ def json_rows(spark: SparkSession, path: str, fields) -> tuple:
             plain = F.try_variant_get(value, "$", spark_type)
         return F.when(kind(value).isin(*HOLDS.get(type_name, ("str",))), plain)
 
-    columns = [held(F.col("_m")[F.lit(n)], t).alias(n) for n, t in listed]
+    columns = [held(F.col("_m")[F.lit(n)], t).alias(c) for (n, t), c in zip(listed, stored)]
     kinds = dict(listed)
 
     def left_over(key, value):
@@ -537,14 +559,19 @@ def _ingest_one(spark, src: dict, lake: Lake, run_id: str, gate: str) -> dict:
     return row
 
 
-def _metadata(src: dict, routed, modality: str, worker: str) -> dict:
-    """K1 dataset metadata: what the reference kept per source, as text."""
+def _metadata(src: dict, routed, modality: str, worker: str, fields=()) -> dict:
+    """K1 dataset metadata: what the reference kept per source, as text. ``columns``
+    (JSON, stored name -> the source's) lists the columns that are stored under another name."""
     import json
     md = {"source_path": src["path"], "exists": str(routed["file_count"] is not None).lower(),
           "modality": modality, "worker": worker, "options": json.dumps(src.get("options") or {}, sort_keys=True)}
     if routed["file_count"] is not None:
         md.update(size_bytes=str(routed["size_bytes"]), file_count=str(routed["file_count"]),
                   extensions=json.dumps(list(routed["extensions"] or [])))
+    names = [n for n, _ in fields] if worker == "direct" else []
+    other = {c: n for c, n in zip(stored_names(names, RESERVED), names) if c != n}
+    if other:
+        md["columns"] = json.dumps(other, sort_keys=True)
     return md
 
 
@@ -588,7 +615,7 @@ def _ingest_one_inner(spark, src: dict, lake: Lake, run_id: str, gate: str) -> d
     row = _route_and_ingest(spark, src, lake, run_id, gate, manifest, routed, modality, mode, worker,
                             fields, version)
     phases.done("stage", row["record_count"] or 0)
-    row.update({"fields": [(i, n, t) for i, (n, t) in enumerate(fields)], "metadata": _metadata(src, routed, modality, worker)})
+    row.update({"fields": [(i, n, t) for i, (n, t) in enumerate(fields)], "metadata": _metadata(src, routed, modality, worker, fields)})
     phases.write(spark, lake, name, run_id)
     return row
 

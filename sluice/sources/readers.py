@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import stored_names
 from ..functions.paths import source_file
 from ..sinks.tables import TS_OPTIONS
 
@@ -68,14 +69,19 @@ def read_json(spark: SparkSession, path: str, schema=None, multi_line: bool = Fa
     return _with_file(r.json(path))
 
 
-def read_parquet(spark: SparkSession, path: str, merge_schema: bool = False, recursive: bool = False) -> DataFrame:
+def read_parquet(spark: SparkSession, path: str, merge_schema: bool = False, recursive: bool = False, reserved=()) -> DataFrame:
     """Parquet (filters and projections push into the scan). A table
     folder keeps partition discovery; a source folder of loose files is read
-    recursively (only ``*.parquet`` files)."""
+    recursively (only ``*.parquet`` files). Data columns named like one of
+    ``reserved`` get a number behind their name."""
     r = spark.read.option("mergeSchema", merge_schema)
     if recursive:
         r = r.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][aA][rR][qQ][uU][eE][tT]")
-    return _with_file(r.parquet(path))
+    df = r.parquet(path)
+    if {c.lower() for c in df.columns} & set(reserved):
+        names = stored_names(df.columns, reserved)
+        return df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)], source_file().alias("_source_file"))
+    return _with_file(df)
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
