@@ -28,9 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import broadcast_if_small, checkpointed
+from .common import BROADCAST_BYTES, broadcast_if_small, checkpointed
 
 THRESHOLD = 0.8
+#: Bytes that a head takes in a broadcast, at most.
+HEAD_BYTES = 64
 
 # Licence notices as their authors publish them (short notes, standard headers, short licences).
 TEMPLATES = [
@@ -201,6 +203,8 @@ def _best_runs(texts: DataFrame, heads: DataFrame, side: DataFrame, threshold: f
     while True:
         grouped = heads.groupBy("row").agg(F.collect_list(F.struct("template", "size", "most", "start")).alias("h"))
         behind = F.slice("g", F.col("h.start") + 1, F.col("h.most") * reach)
+        if heads.count() * HEAD_BYTES <= BROADCAST_BYTES:  # mostly so after the first turn: the texts then stay where they are
+            grouped = F.broadcast(grouped)
         runs = texts.select("row", "g").join(grouped, "row").select("row", "g", F.explode("h").alias("h")) \
             .select("row", "h.*", F.array_distinct(behind).alias("x"), (F.col("h.start") + F.col("h.most") * reach < F.size("g")).alias("more"))
         left = F.col("more") & (F.size("x") <= F.col("most"))

@@ -4,6 +4,7 @@ stored tables are returned."""
 
 from __future__ import annotations
 
+import contextlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -119,6 +120,63 @@ def q_csv_source_counts(spark, sf):
                                  "gate string, status string, record_count bigint, invalid_count bigint")
 
 
+#: Column names as a source may have them: technical names of the stored rows, and two that differ in case only.
+ODD_NAMES = {"reason": "o_orderstatus", "_run_id": "o_orderkey", "_reasons": "o_orderpriority", "_source_file": "o_custkey",
+             "x": "o_orderkey + 1", "X": "o_custkey + 2"}
+
+
+@contextlib.contextmanager
+def _case_sensitive(spark):
+    """Names that differ in case can be written (the library itself never needs this)."""
+    before = spark.conf.get("spark.sql.caseSensitive")
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", before)
+
+
+def _original_names(spark, row: dict) -> DataFrame:
+    """Stored rows of a run under the source's names, as text (``name_0`` ... in the order of ``ODD_NAMES``)."""
+    renamed = json.loads(row["metadata"].get("columns", "{}"))
+    back = {v: k for k, v in renamed.items()}
+    return stored(spark, row).select(*[F.col(f"`{back.get(n, n)}`").cast("string").alias(f"name_{i}") for i, n in enumerate(ODD_NAMES)])
+
+
+@query("column_names", " UNION ALL ".join(
+    f"SELECT '{fmt}' AS format, " + ", ".join(f"CAST({e} AS VARCHAR) AS name_{i}" for i, e in enumerate(ODD_NAMES.values()))
+    + " FROM orders" for fmt in ("csv", "json")))
+def q_column_names(spark, sf):
+    """Sources whose columns are named like technical ones,
+    or alike but for case, keep every value; the run row names the columns that are stored under another name."""
+    root, out = scratch_path(spark, "names"), None
+    with _case_sensitive(spark):
+        o = table(spark, sf, "orders").select(*[F.expr(e).alias(n) for n, e in ODD_NAMES.items()])
+        tables.write_csv(o, f"{root}/csv")
+        tables.write_json(o, f"{root}/json")
+    for fmt in ("csv", "json"):
+        rows = _original_names(spark, run_source(spark, f"{root}/{fmt}", "record")).select(F.lit(fmt).alias("format"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("csv_column_order", "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders")
+def q_csv_column_order(spark, sf):
+    """A5: files of one source whose headers name the same columns in another order are read by name."""
+    root = scratch_path(spark, "order csv") + "/in"
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+    o = table(spark, sf, "orders").select(*cols)
+    third = F.col("o_orderkey") % 3
+    tables.write_csv(o.filter(third == 0), f"{root}/a")
+    tables.write_csv(o.filter(third == 1).select(*cols[::-1]), f"{root}/b")
+    # one value over two lines, so that these files are read in the other way
+    two = F.concat_ws("\n", F.lit("two"), "o_orderpriority")
+    tables.write_csv(o.filter(third == 2).select("o_orderstatus", two.alias("o_orderpriority"), "o_orderkey", "o_custkey"), f"{root}/c")
+    rows = stored(spark, run_source(spark, root, "record"))
+    return rows.select(*[F.col(c).cast("bigint").alias(c) for c in cols[:2]], "o_orderstatus",
+                       F.regexp_replace("o_orderpriority", "^two\n", "").alias("o_orderpriority"))
+
+
 @query("hinted_uri_source", "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders")
 def q_hinted_uri_source(spark, sf):
     """An explicit modality wins for a file URI with a hint word in it."""
