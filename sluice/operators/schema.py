@@ -107,6 +107,21 @@ def json_field_types(df: DataFrame, json_col: str) -> DataFrame:
     return json_key_types(df, json_col).groupBy("key", "type_name").agg(F.count(F.lit(1)).alias("n"))
 
 
+def merged_key_types(df: DataFrame, variant_col: str) -> DataFrame:
+    """C2 over all objects: ``key, type_name`` with the type that holds every
+    value of the key: int and float give float, other mixtures ``any``, a key that is only ever
+    null NoneType. At most seven kinds a key pass the shuffle; the kinds are collected map-side, so
+    a key of every row costs one row a task. Values that are no object have no keys."""
+    is_object = F.coalesce(F.schema_of_variant(variant_col).startswith("OBJECT"), F.lit(False))
+    pairs = df.filter(is_object).select(F.explode(F.col(variant_col).cast("map<string,variant>")).alias("key", "value"))
+    kinds = pairs.select("key", variant_type_to_py(F.schema_of_variant("value")).alias("kind")) \
+        .groupBy("key").agg(F.collect_set("kind").alias("kinds"))
+    real = F.array_remove("kinds", "NoneType")
+    merged = F.when(F.size(real) == 0, F.lit("NoneType")).when(F.size(real) == 1, real[0]) \
+        .when(F.size(F.array_except(real, F.array(F.lit("int"), F.lit("float")))) == 0, F.lit("float")).otherwise(F.lit("any"))
+    return kinds.select("key", merged.alias("type_name"))
+
+
 def versions_by_change(df: DataFrame, key: str, order: str, sig: str, chunks: int | None = None) -> DataFrame:
     """C6/C7 over a history: ``changed`` is true on a source's first attempt
     and whenever ``sig`` differs from the previous attempt; ``version`` is the

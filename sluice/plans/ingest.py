@@ -28,7 +28,7 @@ from ..operators import catalog, profile, quality, route, schema
 from ..operators.joins import join_small, persist_fresh, released
 from ..operators.schema import header_fields
 from ..sinks import tables
-from ..sources import files, headers, quoted, readers
+from ..sources import files, headers, jsontext, quoted, readers
 
 RUN_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType()), T.StructField("source_name", T.StringType()),
@@ -232,11 +232,12 @@ FILE_REASONS = ("header_width", "duplicate_header", "header_order", "header_name
 NO_ROW_REASONS = ("empty_file", "unreadable")   # files that yield no data row
 
 
-def discover_fields(spark: SparkSession, path: str, manifest: DataFrame, modality: str):
+def discover_fields(spark: SparkSession, path: str, manifest: DataFrame, modality: str, options: dict | None = None):
     """The source's fields from its first readable file (C5) that
     holds a record; zero-byte files and files without a header are left out of
     discovery and counted invalid instead (E10, E11), whatever the listing
-    order."""
+    order. ``options.fieldsFrom = all`` takes the fields of every JSON object of
+    the source instead of the first one's, each with the type that holds all its values."""
     if modality == "streaming":
         return schema.STREAM_FIELDS
     if modality not in ("structured", "semi_structured"):
@@ -257,21 +258,26 @@ def discover_fields(spark: SparkSession, path: str, manifest: DataFrame, modalit
         return schema.UNKNOWN_FIELDS
     if ".json" not in present:
         return schema.UNKNOWN_FIELDS
+    whole = str(_opt(options, "fieldsFrom", "first")).lower() == "all"
     # the first value of the first file that holds an object: mostly of the first file, which is looked at alone
     head = manifest.filter((F.col("extension") == ".json") & (F.col("size_bytes") > 0)).agg(F.min("path")).first()[0]
     for place in (headers.literal(head), path):
-        docs = headers.json_documents(spark, place) \
+        docs = jsontext.json_documents(spark, place) \
             .filter(F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)))
-        first = docs.select("_source_file", "_at", F.to_json("v").alias("doc")).orderBy("_source_file", "_at").limit(1)
+        # keys in the order of the text; a list's elements share a text, whose first one they follow
+        order = F.coalesce(F.json_object_keys("_text"), F.json_object_keys(F.get_json_object("_text", "$[0]")))
+        first = docs.select("_source_file", "_at", F.to_json("v").alias("doc"), order.alias("order")).orderBy("_source_file", "_at").limit(1)
         found = first.collect()
         if found:
             break
     else:
         return schema.UNKNOWN_FIELDS
-    first = spark.createDataFrame(found, first.schema)
-    keys = schema.json_key_types(first, "doc").collect()
-    order = {k: i for i, k in enumerate(headers.first_keys(spark, found[0]["_source_file"]))}
-    return [(r["key"], r["type_name"]) for r in sorted(keys, key=lambda r: order.get(r["key"], 0))] or schema.UNKNOWN_FIELDS
+    order = {k: i for i, k in enumerate(found[0]["order"] or [])}
+    if whole:
+        keys = schema.merged_key_types(jsontext.json_documents(spark, path), "v").collect()  # a row a key
+    else:
+        keys = schema.json_key_types(spark.createDataFrame(found, first.schema), "doc").collect()
+    return [(r["key"], r["type_name"]) for r in sorted(keys, key=lambda r: (order.get(r["key"], len(order)), r["key"]))] or schema.UNKNOWN_FIELDS
 
 
 def _opt(options: dict | None, key: str, default=None):
@@ -305,7 +311,7 @@ def source_frame(spark: SparkSession, path: str, manifest: DataFrame, worker: st
         rules += own
     if ".json" in present:
         # beside csv/tsv files the source's schema is theirs; the JSON values have fields of their own
-        own_fields = discover_fields(spark, path, manifest, "semi_structured") if present & {".csv", ".tsv"} else fields
+        own_fields = discover_fields(spark, path, manifest, "semi_structured", options) if present & {".csv", ".tsv"} else fields
         df, own = json_rows(spark, path, own_fields)
         frames.append(df)
         rules += own
@@ -415,10 +421,10 @@ def delimited_rows(spark: SparkSession, path: str, manifest: DataFrame, names: l
 # Python type names of discovered JSON fields -> column types (lists and
 # objects stay JSON text).
 PY_TO_SPARK = {"str": "string", "int": "bigint", "float": "double", "bool": "boolean",
-               "list": "string", "dict": "string", "NoneType": "string"}
+               "list": "string", "dict": "string", "NoneType": "string", "any": "string"}
 #: Kinds of values that a column of a kind holds; any other value goes to ``_extra``.
 HOLDS = {"int": ("int",), "float": ("float", "int"), "str": ("str",), "bool": ("bool",), "list": ("list",), "dict": ("dict",),
-         "NoneType": ("str", "int", "float", "bool", "list", "dict")}
+         "NoneType": ("str", "int", "float", "bool", "list", "dict"), "any": ("str", "int", "float", "bool", "list", "dict")}
 
 
 def json_rows(spark: SparkSession, path: str, fields) -> tuple:
@@ -426,7 +432,7 @@ def json_rows(spark: SparkSession, path: str, fields) -> tuple:
     typed columns; every other key, and every value its column cannot hold, is
     kept as JSON text in ``_extra`` (map). Values that are no object, and texts
     that are no JSON (reason ``json_parse``), are kept in ``_raw``."""
-    docs = headers.json_documents(spark, path)
+    docs = jsontext.json_documents(spark, path)
     listed = [(n, t) for n, t in fields if (n, t) != schema.UNKNOWN_FIELDS[0]]
     stored = stored_names([n for n, _ in listed], RESERVED)
     is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
@@ -439,7 +445,7 @@ def json_rows(spark: SparkSession, path: str, fields) -> tuple:
         spark_type = PY_TO_SPARK.get(type_name, "string")
         if type_name in ("list", "dict"):
             plain = F.to_json(value)
-        elif type_name == "NoneType":
+        elif type_name in ("NoneType", "any"):
             plain = F.when(kind(value) == "str", F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
         else:
             plain = F.try_variant_get(value, "$", spark_type)
@@ -609,7 +615,7 @@ def _ingest_one_inner(spark, src: dict, lake: Lake, run_id: str, gate: str) -> d
         return {"run_id": run_id, "source_name": name, "status": "failed", "modality": modality, "load_mode": mode,
                 "worker": worker, "record_count": 0, "invalid_count": 0, "valid_count": 0, "source_path": path,
                 "error": f"worker {src.get('worker')!r} is not supported"}
-    fields = discover_fields(spark, path, manifest, modality)
+    fields = discover_fields(spark, path, manifest, modality, src.get("options"))
     version = register_schema(spark, lake, name, modality, fields, run_id)
     phases.done("discover", len(fields))
     row = _route_and_ingest(spark, src, lake, run_id, gate, manifest, routed, modality, mode, worker,

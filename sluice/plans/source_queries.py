@@ -120,6 +120,27 @@ def q_csv_source_counts(spark, sf):
                                  "gate string, status string, record_count bigint, invalid_count bigint")
 
 
+@query("json_merged_fields", """
+WITH r AS (
+  SELECT o_orderkey % 5 AS k, CASE o_orderkey % 5 WHEN 0 THEN 'int' WHEN 1 THEN (CASE WHEN o_custkey % 2 = 0 THEN 'int' ELSE 'float' END)
+    WHEN 2 THEN (CASE WHEN o_custkey % 97 = 0 THEN 'int' ELSE 'str' END) WHEN 3 THEN 'NoneType' ELSE 'bool' END AS t FROM orders),
+g AS (SELECT k, list_sort(list(DISTINCT t)) AS ts FROM r GROUP BY k)
+SELECT 'k' || k AS key, CASE WHEN len(ts) = 1 THEN ts[1] WHEN ts = ['float', 'int'] THEN 'float' ELSE 'any' END AS type_name FROM g
+""")
+def q_json_merged_fields(spark, sf):
+    """C2 over every object of every file: each key's type holds all its values."""
+    root = scratch_path(spark, "merged json") + "/in"
+    o = table(spark, sf, "orders")
+    fifth, even, rare = F.col("o_orderkey") % 5, F.col("o_custkey") % 2 == 0, F.col("o_custkey") % 97 == 0
+    parts = [(fifth == 0, "k0", F.col("o_custkey")), ((fifth == 1) & even, "k1", F.col("o_custkey")),
+             ((fifth == 1) & ~even, "k1", F.col("o_custkey") + F.lit(0.5)), ((fifth == 2) & rare, "k2", F.col("o_custkey")),
+             ((fifth == 2) & ~rare, "k2", F.col("o_orderpriority")), (fifth == 3, "k3", F.lit(None).cast("string")), (fifth == 4, "k4", even)]
+    for i, (rows, key, value) in enumerate(parts):
+        o.filter(rows).select(value.alias(key)).write.option("ignoreNullFields", False).json(f"{root}/{i}")
+    row = run_source(spark, root, "record", options={"fieldsFrom": "all"})
+    return spark.createDataFrame([(n, t) for _, n, t in row["fields"]], "key string, type_name string")
+
+
 #: Column names as a source may have them: technical names of the stored rows, and two that differ in case only.
 ODD_NAMES = {"reason": "o_orderstatus", "_run_id": "o_orderkey", "_reasons": "o_orderpriority", "_source_file": "o_custkey",
              "x": "o_orderkey + 1", "X": "o_custkey + 2"}

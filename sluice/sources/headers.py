@@ -1,11 +1,8 @@
-"""First records of delimited files and records of JSON files (C1, C2, D1),
-read by Spark's text scan.
+"""First records of delimited files (C1, D1), read by Spark's text scan.
 
 A folder's delimited files are scanned once as lines; per file one aggregate
 row keeps the first non-empty line and whether any line holds an odd number
-of quotes (a quoted value then runs over line ends, and the file must be read
-as a whole). JSON files are read as lines; a file with a line that is no JSON
-value is tried as one document."""
+of quotes (a quoted value may then run over line ends, see ``sources.quoted``)."""
 
 from __future__ import annotations
 
@@ -14,8 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import decoded_path, source_file
-from .files import MAX_ROW_BYTES
+from ..functions.paths import decoded_path
 
 #: File globs of the text formats, in any case.
 GLOBS = {".csv": "*.[cC][sS][vV]", ".tsv": "*.[tT][sS][vV]", ".json": "*.[jJ][sS][oO][nN]", ".xml": "*.[xX][mM][lL]",
@@ -112,62 +108,3 @@ def chosen(df: DataFrame, files: DataFrame, uri: str = "uri", keep: bool = True)
         return df.filter(hit if keep else ~hit)
     key = F.col("_metadata.file_path").alias("_uri")
     return df.select("*", key).join(files.select(F.col(uri).alias("_uri")), "_uri", "left_semi" if keep else "left_anti").drop("_uri")
-
-
-# --- JSON ---------------------------------------------------------------------------
-
-def parse_whole(text) -> Column:
-    """Variant of a text that is one JSON value from end to end, else NULL. The
-    built-in parse takes the first value and ignores what follows; as the only
-    member of an object and the only element of a list, the text cannot hold
-    anything else."""
-    text = F.col(text) if isinstance(text, str) else text
-    member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    element = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    alone = F.try_variant_get(element, "$[1]", "variant").isNull()
-    return F.when(member.isNotNull() & alone, F.try_variant_get(element, "$[0]", "variant"))
-
-
-def first_keys(spark: SparkSession, path: str) -> list[str]:
-    """Keys of the first object of one JSON file in the order of its text."""
-    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    lines = spark.read.text(literal(path)).filter(F.btrim("value", F.lit(" \t\r\n")) != "")
-    small = spark.read.text(literal(path), wholetext=True).filter(F.col("_metadata.file_size") <= MAX_ROW_BYTES)
-    for text in (lines.select("value", at.alias("at")).agg(F.min_by("value", "at").alias("t")), small.select(F.col("value").alias("t"))):
-        # a list's first element keeps the order of its text
-        keys = F.coalesce(F.json_object_keys("t"), F.json_object_keys(F.get_json_object("t", "$[0]")))
-        row = text.select(keys.alias("k")).first()
-        if row and row["k"]:
-            return list(row["k"])
-    return []
-
-
-def json_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Every JSON value of the ``.json`` files under ``path`` as ``_source_file,
-    _at`` (order in the file), ``v`` (variant, NULL if the text is no JSON) and
-    ``_raw`` (that text).
-
-    A file is one document if not all its lines are JSON values but the whole
-    is; otherwise each non-blank line is a value of its own. The elements of a
-    top-level array are values of their own."""
-    glob = GLOBS[".json"]
-    value = parse_whole("value")
-    lines = _lines(spark, path, glob).filter(F.btrim("value", F.lit(" \t\r\n")) != "")
-    suspects = lines.filter(value.isNull()).select(F.col("_metadata.file_path").alias("uri")).distinct()
-    whole = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-             .text(path, wholetext=True).filter(F.col("_metadata.file_size") <= MAX_ROW_BYTES))
-    documents = chosen(whole, suspects).select(
-        source_file().alias("_source_file"), F.col("_metadata.file_path").alias("uri"), value.alias("v")).filter(F.col("v").isNotNull())
-    at = F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
-    single = chosen(lines, documents, keep=False).select(
-        source_file().alias("_source_file"), at.alias("_at"), value.alias("v"),
-        F.when(value.isNull(), F.col("value")).alias("_raw"))
-    documents = documents.select("_source_file", F.struct(F.lit(0).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("i")).alias("_at"),
-                                 "v", F.lit(None).cast("string").alias("_raw"))
-    values = single.unionByName(documents)
-    is_list = F.coalesce(F.schema_of_variant("v").startswith("ARRAY"), F.lit(False))
-    listed = values.filter(is_list).lateralJoin(spark.tvf.variant_explode(F.col("v").outer())) \
-        .filter(F.col("pos").isNotNull()) \
-        .select("_source_file", F.struct(F.col("_at.b").alias("b"), (F.col("_at.i") * 0 + F.col("pos")).alias("i")).alias("_at"),
-                F.col("value").alias("v"), "_raw")
-    return values.filter(~is_list).unionByName(listed)
