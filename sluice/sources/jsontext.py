@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.paths import decoded_path
-from ..operators.joins import join_small
+from ..operators.joins import join_small, persist_fresh
 from .headers import GLOBS, chosen
 
 #: A JSON string, whatever its length (possessive, without alternatives: no recursion).
@@ -117,17 +117,25 @@ def json_documents(spark: SparkSession, path: str) -> DataFrame:
     splits = splits.select("uri", "block", F.coalesce(F.sum("more").over(before), F.lit(0)).alias("depth"), F.sum("more").over(every).alias("total"),
                            F.max("uneven").over(every).alias("uneven"), (F.first("char").over(every) == "[").alias("listed")) \
         .filter("uneven AND total = 0").select("uri", "block", "depth", "listed")
+    splits = persist_fresh(splits)  # only of files with such values: it names them, and begins their splits
     many = splits.select("uri").distinct()
     at = F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
-    single = chosen(lines, many, keep=False).select(F.col("_metadata.file_path").alias("uri"), at.alias("_at"), F.col("value").alias("text"))
-    single = single.withColumn("v", parse_whole("text"))
+
+    def single(kept):
+        return kept.select(F.col("_metadata.file_path").alias("uri"), at.alias("_at"), F.col("value").alias("text")).withColumn("v", parse_whole("text"))
+    if splits.isEmpty():
+        return _elements(single(lines))
     cut = _segments(chosen(lines, many), splits).select("uri", F.struct("b", "i").alias("_at"), "raw", "text").withColumn("v", parse_whole("text"))
     # lines of a text between brackets that is no JSON are looked at one by one: a damaged value does not take others with it
     broken = F.col("v").isNull() & F.col("raw").contains("\n")
     texts = F.when(broken, F.filter(F.split("raw", "\n"), lambda x: F.btrim(x, F.lit(_BLANK)) != "")).otherwise(F.array("raw"))
     cut = cut.select("uri", "_at", F.explode(texts).alias("text"), F.when(~broken, F.col("v")).alias("v"), broken.alias("broken"))
     cut = cut.select("uri", "_at", "text", F.when(F.col("broken"), parse_whole("text")).otherwise(F.col("v")).alias("v"))
-    values = single.unionByName(cut)
+    return _elements(single(chosen(lines, many, keep=False)).unionByName(cut))
+
+
+def _elements(values: DataFrame) -> DataFrame:
+    """Values as rows, the elements of lists each on its own."""
     is_list = F.coalesce(F.schema_of_variant("v").startswith("ARRAY"), F.lit(False))
     each = F.when(is_list, F.col("v").cast("array<variant>")).otherwise(F.array("v"))
     return values.select("uri", "_at", "text", F.posexplode(each).alias("pos", "v")).select(
