@@ -6,10 +6,12 @@ the two states *boilerplate* and *content* is decoded by the Viterbi rule, and
 a text is kept if its content lines hold at least ``CONTENT_SHARE`` of its
 word characters.
 
-The field is trained here, by maximum conditional likelihood, on the lines of
+The field is trained here, by maximum conditional likelihood, on neighbouring lines of
 a bounded sample of labelled documents (``SAMPLE_ROWS``, chosen by a hash of
-the id): lines of good documents count as content, lines of bad ones as
-boilerplate. Lines that look like those of good documents come out as content
+the id; ``SAMPLE_LINES`` lines that follow each other in a document, from a place chosen likewise): lines of good
+documents count as content, lines of bad ones as boilerplate. A document has one label, so a change of
+state is learned from sequences put together here: runs of neighbouring lines of good and of bad documents in
+turn. Lines that look like those of good documents come out as content
 wherever they stand, because far more good documents have them."""
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Labelled documents the field is trained on, about, and lines of a training sequence.
-SAMPLE_ROWS, SEQUENCE_LINES = 6000, 20
+#: Labelled documents the field is trained on, about, and neighbouring lines of each.
+SAMPLE_ROWS, SAMPLE_LINES = 6000, 40
+#: Joined sequences for each document sampled, their runs, and the lines of a run, at most.
+JOINED_SHARE, JOINED_RUNS, RUN_LINES = 0.5, 5, 8
 #: Rules: fewest words, largest percentage of words in repeated windows, window length.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: Smallest share of word characters in content lines.
@@ -171,21 +175,40 @@ class Field:
         return float((sizes * state).sum() / sizes.sum()), len(sizes), int(state.sum())
 
 
-def train(sequences: list[tuple[np.ndarray, int]], steps: int = 80, rate: float = 0.2, decay: float = 1e-3) -> Field:
+def joined(sequences: list[tuple[np.ndarray, int]], seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sequences with changes of state: runs of neighbouring lines of good and
+    of bad documents in turn, each run from another document."""
+    sides = [[s for s, y in sequences if y == state] for state in (0, 1)]
+    if not sides[0] or not sides[1]:
+        return []
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(int(JOINED_SHARE * len(sequences))):
+        rows, states, state = [], [], int(rng.integers(2))
+        for _ in range(int(rng.integers(2, JOINED_RUNS + 1))):
+            lines = sides[state][int(rng.integers(len(sides[state])))]
+            size = min(len(lines), int(rng.integers(1, RUN_LINES + 1)))
+            at = int(rng.integers(len(lines) - size + 1))
+            rows.append(lines[at:at + size])
+            states += [state] * size
+            state = 1 - state
+        out.append((np.concatenate(rows), np.array(states)))
+    return out
+
+
+def train(sequences: list[tuple[np.ndarray, int | np.ndarray]], steps: int = 80, rate: float = 0.2, decay: float = 1e-3) -> Field:
     """Maximum conditional likelihood by gradient ascent (Adam) over padded
-    sequences ``(numbers, state of all its lines)``, all of them in each step.
+    sequences ``(numbers, states)`` (one state for all lines, or one a line), all of them in each step.
     Without sequences, every line is content."""
     if not sequences:
         field = Field(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)), np.zeros(2))
         field.emit[-1, 1] = 1.0
         return field
-    cut = [(numbers[a:a + SEQUENCE_LINES], y) for numbers, y in sequences for a in range(0, len(numbers), SEQUENCE_LINES)]
-    longest = max(len(c[0]) for c in cut)
-    n = len(cut)
+    longest = max(len(numbers) for numbers, _ in sequences)
+    n = len(sequences)
     x = np.zeros((n, longest, N_FEATURES), dtype=np.float32)
     mask = np.zeros((n, longest), dtype=bool)
     gold = np.zeros((n, longest), dtype=np.int64)
-    for i, (numbers, y) in enumerate(cut):
+    for i, (numbers, y) in enumerate(sequences):
         x[i, :len(numbers)] = featurize(numbers)
         mask[i, :len(numbers)] = True
         gold[i, :len(numbers)] = y
@@ -230,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Field trained on about ``sample_rows`` labelled documents, a quarter of
     them at least bad ones where there are as many (label 0; any other label
     is good; null labels and texts are left out). A document gives at most
-    ``SEQUENCE_LINES`` lines, taken evenly over the whole of it."""
+    ``SAMPLE_LINES`` neighbouring lines."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()) \
         .groupBy(F.col(id_col).alias("id")).agg(F.min((F.col(label_col) != 0).cast("int")).alias("y"))
     marked = marked.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 30)))
@@ -239,25 +262,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     keep = F.lit(False)
     for y, n in sizes.items():
         keep = keep | ((F.col("y") == y) & (F.col("h") <= min(1 << 30, int(share[y] / n * (1 << 30)))))
-    chosen = marked.where(keep).select("id", "y")
+    chosen = marked.where(keep).select("id", "y", "h")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def numbers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
+    def numbers(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, places in batches:
             out = []
-            for t in s:
+            for t, h in zip(texts, places):
                 m, _ = line_numbers(t)
-                if len(m) > SEQUENCE_LINES:
-                    m = m[np.linspace(0, len(m) - 1, SEQUENCE_LINES).astype(int)]
-                out.append(m.ravel())
+                at = h % max(1, len(m) - SAMPLE_LINES + 1)
+                out.append(m[at:at + SAMPLE_LINES].ravel())
             yield pd.Series(out)
 
     # about sample_rows ids of 8 bytes: small enough to broadcast by the parameter
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "y", numbers.asNondeterministic()("text").alias("m")) \
+    rows = texts.join(F.broadcast(chosen), "id").select("id", "y", numbers.asNondeterministic()("text", "h").alias("m")) \
         .toPandas().sort_values("id", kind="stable")
     found = [(np.array(m, dtype=np.float64).reshape(-1, 11), int(y)) for m, y in zip(rows["m"], rows["y"])]
-    return train([f for f in found if len(f[0])])
+    found = [f for f in found if len(f[0])]
+    return train(found + joined(found))
 
 
 # --- the operator -----------------------------------------------------------------

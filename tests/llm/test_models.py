@@ -177,3 +177,27 @@ def test_training_gradient_reaches_likelihood():
     field = crf.train(good + bad)
     assert field.decode(crf.featurize(good[0][0])).all() and not field.decode(crf.featurize(bad[0][0])).any()
     assert crf.train([]).decode(crf.featurize(numbers)).all()
+
+
+def test_mixed_texts_get_both_labels(spark, frames):
+    """Transitions between the states are learned, so the content share decides."""
+    rows, docs, labels = frames
+    field = crf.fit(docs, labels)
+    judged = {r["doc_id"]: r for r in crf.judge(docs, field).collect()}
+    good = [t for i, t, _, q in rows if q and judged[i]["kept"] and t.count("\n") > 3]
+    bad = [t for i, t, _, q in rows if not q and not judged[i]["kept"] and not judged[i]["base_failed"] and t.count("\n") > 3]
+    rng, mixed = random.Random(6), []
+    for _ in range(60):
+        a, b = rng.choice(good).split("\n"), rng.choice(bad).split("\n")
+        mixed.append("\n".join(a[:rng.randint(2, len(a))] + b[1:] + a[-2:]))
+    got = crf.judge(spark.createDataFrame(list(enumerate(mixed)), "doc_id long, text string"), field).collect()
+    both = [r for r in got if 0 < r["n_content_lines"] < r["n_lines"]]
+    assert len(both) >= 0.9 * len(got)
+    assert len({r["kept"] for r in both if not r["base_failed"]}) == 2 or all(r["base_failed"] for r in both)
+
+
+def test_joined_sequences_change_state():
+    lines = [(np.arange(55.0).reshape(5, 11) + k, k % 2) for k in range(8)]
+    found = crf.joined(lines)
+    assert len(found) == 4 and all(len(x) == len(y) and 0 < y.sum() < len(y) for x, y in found)
+    assert crf.joined(lines[::2]) == [] and all(np.array_equal(a[0], b[0]) for a, b in zip(found, crf.joined(lines)))
