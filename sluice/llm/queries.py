@@ -92,14 +92,18 @@ p AS (
   SELECT *, CASE WHEN whole < 2 THEN target - whole * size ELSE 0.0 END AS extra
   FROM (SELECT *, CASE WHEN size > 0 THEN least(floor(target / size), 2)::BIGINT ELSE 0 END AS whole FROM t) x),
 k AS (
-  SELECT d.source, d.g, d.n, count(*) AS times, sum(d.n) AS words FROM d GROUP BY ALL),
+  SELECT d.source, d.g, d.n, count(*) AS times, sum(d.n)::BIGINT AS words FROM d GROUP BY ALL),
 o AS (
-  SELECT k.*, p.extra, (sum(words) OVER (PARTITION BY k.source ORDER BY g, k.n
-                                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::DOUBLE AS upto
+  SELECT k.*, p.extra, row_number() OVER (PARTITION BY k.source ORDER BY g, k.n) AS i
   FROM k JOIN p ON k.source IS NOT DISTINCT FROM p.source),
+z AS (
+  SELECT source, list_reduce(
+    list_prepend({'rest': extra::DOUBLE, 'w': 0::BIGINT, 'ids': []::BIGINT[]}, list({'rest': 0::DOUBLE, 'w': words, 'ids': [i]} ORDER BY i)),
+    lambda a, x: {'rest': CASE WHEN x.w <= a.rest THEN a.rest - x.w ELSE a.rest END, 'w': 0::BIGINT,
+                  'ids': CASE WHEN x.w <= a.rest THEN a.ids || x.ids ELSE a.ids END}) AS z
+  FROM o GROUP BY source, extra),
 r AS (
-  SELECT *, extra > 0 AND upto <= extra AS fits,
-         extra - COALESCE(max(CASE WHEN upto <= extra THEN upto END) OVER (PARTITION BY source), 0) AS rest FROM o),
+  SELECT o.*, z.z.rest AS rest, extra > 0 AND list_contains(z.z.ids, i) AS fits FROM o JOIN z ON o.source IS NOT DISTINCT FROM z.source),
 b AS (
   SELECT *, extra > 0 AND NOT fits AND n > 0 AND times = 1 AND abs(n - rest) < rest AS able FROM r),
 f AS (

@@ -77,3 +77,49 @@ def test_empty_and_wordless(spark):
     assert all(r["m_size"] == 0 and r["m_target"] == 0 for r in got)
     one = mixing.mix(frame(spark, [(1, "a b", None)]), prefix="m_").first()
     assert (one["m_size"], one["m_target"]) == (2, 3.0)
+
+
+def plain_takes(rows):
+    """First fit in digest order over documents of each source, then the nearest one."""
+    import hashlib
+    sizes, target = plain_targets(rows)
+    out = {}
+    for s in sizes:
+        extra = float(target[s])
+        whole = min(int(extra // sizes[s]), 2) if sizes[s] else 0
+        rest = extra - whole * sizes[s] if whole < 2 else 0.0
+        docs = sorted((hashlib.md5(f"mix-1:{i}".encode()).hexdigest(), len((t or "").encode().split()), i) for i, t, x in rows if x == s)
+        more, begun = set(), rest > 0
+        for _, n, i in docs:
+            if n <= rest and begun:
+                rest, _ = rest - n, more.add(i)
+        left = [(abs(n - rest), g, i) for g, n, i in docs if i not in more and n > 0 and abs(n - rest) < rest] if begun else []
+        more |= {min(left)[2]} if left else set()
+        out.update({i: n * (whole + (i in more)) for _, n, i in docs})
+    return out
+
+
+def test_documents_that_do_not_fit_are_passed_over(spark):
+    rng = random.Random(8)
+    rows = [(k, "w " * 100, "a") for k in range(100)] + [(1000 + k, "v " * rng.choice([20000, 9000, 3000, 17]), "b") for k in range(40)]
+    rows += [(2000, "u " * 20000, "a"), (2001, "u " * 15000, "a"), (3000, "x " * 60000, "c")]
+    got = {r["doc_id"]: r["m_size"] * r["m_copies"] for r in mixing.mix(frame(spark, rows), prefix="m_").collect()}
+    assert got == plain_takes(rows)
+    _, target = plain_targets(rows)
+    for s in "ab":
+        smallest = min(len(t.split()) for _, t, x in rows if x == s)
+        taken = sum(got[i] for i, _, x in rows if x == s)
+        assert abs(taken - target[s]) <= max(smallest, 0.02 * float(target[s])), s
+
+
+def test_query_equals_its_sql_on_skewed_sources(spark):
+    import duckdb
+    import pandas as pd
+
+    from sluice.llm import queries
+    rng = random.Random(9)
+    rows = [(k, "w " * rng.choice([1, 5, 40, 300, 5000]), rng.choice(["a", "a", "b", None])) for k in range(250)] + [(7, "w " * 3, "a")]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "source"])  # noqa: F841
+    want = duckdb.sql(f"SELECT doc_id, size, taken FROM ({queries.OP3_SQL}) q").fetchall()
+    got = mixing.mix(frame(spark, rows), prefix="m_").select("doc_id", "m_size", F.col("m_size") * F.col("m_copies")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
