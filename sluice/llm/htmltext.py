@@ -32,7 +32,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 DROPPED = frozenset("script style noscript template head title nav footer aside form button select option input textarea "
                     "iframe object embed svg canvas audio video map dialog menu datalist".split())
 #: Elements that flow inside a block; every other element starts a block of its own.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr "
+INLINE = frozenset("a abbr acronym b bdi bdo big br button cite code data del dfn em font i img ins kbd label mark meter nobr "
                    "output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that a start tag closes when they are open in the same container.
 _P = frozenset(["p"])
@@ -51,6 +51,16 @@ respond replies reply related recommended recommendations teaser outbrain tabool
 complementary search searchform skip form forms""".split())
 #: Those of them that no element inside the part speaks against.
 COMMENTS = frozenset("comments comment commentlist disqus respond replies reply".split())
+#: Those of them that are subjects of texts, too: beside a word that is neither noise nor a ``PLAIN`` one they name what a
+#: part is about ("related-work", "legal-history", "search-results").
+SUBJECTS = frozenset("""related legal search copyright disclaimer share sharing social recommended login promotion rail menu form
+forms notification notifications subscription alert banner""".split())
+#: Words of names that say how a part looks or where it stands, not what it is about.
+PLAIN = frozenset("""a area article articles aside bar bars block body bottom box btn button buttons card cards col column columns
+container content contents div entry field fields flex footer global grid group header heading icon icons id img image inner
+inside item items js l layout left line link links list lists local m main module modules navbar news next on outer page pages
+panel part parts popular post posts prev primary r read region right row s secondary section sections site slot small sm md lg
+stories story sub tab tabs text title toggle top ul unit view views web wide wrap wrapper x xl xs""".split())
 #: Words that, in the same name, turn a header into the article's own.
 ARTICLE = frozenset("article content main post entry story body".split())
 #: Words that make a name speak of something else than the part itself ("page-with-sidebar").
@@ -66,7 +76,8 @@ _PARTS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd tr td th tbody thead b
 
 
 class Node:
-    __slots__ = ("tag", "names", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "names", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total",
+                 "centre", "size", "linked", "best")
 
     def __init__(self, tag: str, names: str, parent: "Node | None"):
         self.tag, self.names, self.parent = tag, names, parent
@@ -161,35 +172,31 @@ def parse(html: str) -> Node:
     return builder.root
 
 
-def _holds(node: Node, tags: frozenset) -> bool:
-    stack = [node]
-    while stack:
-        for c in stack.pop().children:
-            if not isinstance(c, str):
-                if c.tag in tags:
-                    return True
-                stack.append(c)
-    return False
-
-
-def _letters(root: Node) -> dict[Node, int]:
-    """Characters below every node, without those of elements that are always left out."""
-    out: dict[Node, int] = {}
+def weigh(root: Node) -> None:
+    """For every node, in one pass: whether an element of ``_CENTRE`` lies below it, the
+    characters below it (without those of elements that are always left out), and those of them in links."""
     for node in _post_order(root):
-        out[node] = 0 if node.tag in DROPPED and node.tag != "form" else \
-            sum(len("".join(c.split())) if isinstance(c, str) else out[c] for c in node.children)
-    return out
+        node.centre, node.size, node.linked = False, 0, 0
+        below = [c for c in node.children if not isinstance(c, str)]
+        node.centre = any(c.centre or c.tag in _CENTRE for c in below)
+        if node.tag not in DROPPED or node.tag in ("form", "button"):
+            node.size = sum(len("".join(c.split())) for c in node.children if isinstance(c, str)) + sum(c.size for c in below)
+            node.linked = node.size if node.tag == "a" else sum(c.linked for c in below)
 
 
 def is_noise(node: Node, in_article: bool, most: bool = False) -> bool:
     """True for a part that does not belong to the article's text: by its
     element, or by a name that says so. A name does not condemn a part that
     holds the article, a main element or a first heading, unless it speaks of
-    reader comments. A form that holds one of those, or ``most`` of the
-    page's text, is judged like a plain div."""
+    reader comments. Inside the article (or of a section) it does not condemn a part that is about
+    something of that name, as other words in it tell, unless most of the part is links. A form that holds
+    one of those, or ``most`` of the
+    page's text, is judged like a plain div; a button in running text is a part of it."""
     if node.tag == "form":
-        if not most and not _holds(node, _CENTRE):
+        if not most and not node.centre:
             return True
+    elif node.tag == "button" and node.parent.tag in _PARTS and any(isinstance(c, str) and c.strip() for c in node.parent.children):
+        pass
     elif node.tag in DROPPED:
         return True
     if node.tag == "header" and not in_article:
@@ -206,22 +213,22 @@ def is_noise(node: Node, in_article: bool, most: bool = False) -> bool:
         hit = words & NOISE - (_FORMS if node.tag == "form" else frozenset())
         if hit == {"header"} and (words & ARTICLE or in_article and words == hit):
             continue
+        if hit and hit <= SUBJECTS and words - NOISE - PLAIN and (in_article or node.tag == "section") and 3 * node.linked < node.size:
+            continue
         hits |= hit
     if not hits:
         return False
-    return bool(hits & COMMENTS) or not (node.tag == "article" and hits <= {"header", "search"} or _holds(node, _CENTRE))
+    return bool(hits & COMMENTS) or not (node.tag == "article" and hits <= {"header", "search"} or node.centre)
 
 
 def prune(root: Node) -> None:
     """Remove noise parts from the tree, in place."""
-    nodes = _post_order(root)
-    sizes = _letters(root) if any(n.tag == "form" for n in nodes) else {}
-    whole = sizes.get(root, 0)
+    weigh(root)
     stack = [(root, False)]
     while stack:
         node, inside = stack.pop()
         inside = inside or node.tag in ("article", "main")
-        node.children = [c for c in node.children if isinstance(c, str) or not is_noise(c, inside, 2 * sizes.get(c, 0) > whole)]
+        node.children = [c for c in node.children if isinstance(c, str) or not is_noise(c, inside, 2 * c.size > root.size)]
         stack.extend((c, inside) for c in node.children if not isinstance(c, str))
 
 
@@ -246,6 +253,7 @@ def measure(body: Node) -> None:
         below = [c for c in node.children if not isinstance(c, str)]
         node.chars += sum(c.chars for c in below)
         node.tags = sum(c.tags + 1 for c in below)
+        node.centre = any(c.centre or c.tag in _CENTRE for c in below)
         if node.tag == "a":
             node.link_chars, node.link_tags = node.chars, node.tags
         else:
@@ -262,6 +270,10 @@ def measure(body: Node) -> None:
         node.total = sum(x.density for x in node.children if not isinstance(x, str))
         if any(isinstance(x, str) and x.strip() for x in node.children):
             node.total += sum(len(x.strip()) for x in node.children if isinstance(x, str)) / t
+        node.best = node
+        for x in reversed(node.children):
+            if not isinstance(x, str) and x.best.total > node.best.total:
+                node.best = x.best
 
 
 def select(body: Node) -> list[Node]:
@@ -269,11 +281,7 @@ def select(body: Node) -> list[Node]:
     measure(body)
     if not body.chars:
         return []
-    best = body
-    order = _post_order(body)[::-1]
-    for node in order:
-        if node.total > best.total:
-            best = node
+    best = body.best
     # headings and paragraphs beside a single chosen block belong to the same container
     while best is not body and (best.tag in INLINE or best.tag in _PARTS):
         best = best.parent
@@ -285,20 +293,21 @@ def select(body: Node) -> list[Node]:
             _drop_links(n, threshold)
         return found
     chosen: list[Node] = []
-    stack = [(body, best)]
+    stack = [(body, best, set(_ancestors_to(best, body)))]
     while stack:
-        node, top = stack.pop()
+        node, top, path = stack.pop()
         if node is top:
             chosen.append(node)
             continue
         for c in reversed(node.children):
             if isinstance(c, str):
                 continue
-            inside = top is not None and any(x is c for x in _ancestors_to(top, node))
-            if not inside and c.density >= threshold and c.chars:
-                stack.append((c, max(_post_order(c)[::-1], key=lambda x: x.total)))
-            elif inside or c.chars:
-                stack.append((c, top if inside else None))
+            if c in path:
+                stack.append((c, top, path))
+            elif c.density >= threshold and c.chars:
+                stack.append((c, c.best, set(_ancestors_to(c.best, c))))
+            elif c.chars:
+                stack.append((c, None, set()))
     return chosen
 
 
@@ -333,7 +342,7 @@ def _drop_links(root: Node, threshold: float) -> None:
     while stack:
         node = stack.pop()
         node.children = [c for c in node.children if isinstance(c, str) or c.tag in INLINE
-                         or not _is_links(c, threshold) or _holds(c, _CENTRE)]
+                         or not _is_links(c, threshold) or c.centre]
         stack.extend(c for c in node.children if not isinstance(c, str))
 
 

@@ -112,3 +112,92 @@ def test_extract(spark):
     assert [(r["page_id"], r["url"], r["text"], r["n_chars"]) for r in got] == \
         [(1, "u", "hello wörld", 11), (1, "u", "", 0), (None, None, "", 0)]
     assert htmltext.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("part", ['<section id="related-work">{}</section>', '<section class="legal-history">{}</section>',
+                                  '<div class="search-results">{}</div>', '<div id="share-prices">{}</div>'])
+@pytest.mark.parametrize("page", ["<article><h1>T</h1>{a}{x}</article>", "<main><h1>T</h1>{a}{x}</main>"])
+def test_parts_about_a_subject_stay(page, part):
+    x = part.format("<p>" + "subject " * 25 + "</p>")
+    assert htmltext.main_text(page.format(a=PARAGRAPHS, x=x)) == f"T\n{PARAGRAPH_TEXT}\n{('subject ' * 25).strip()}"
+    links = part.format("<p>" + "<a href=x>another subject</a> " * 9 + "</p>")
+    assert htmltext.main_text(page.format(a=PARAGRAPHS, x=links)) == f"T\n{PARAGRAPH_TEXT}"
+
+
+def test_button_in_running_text():
+    page = "<article><p>Press the <button>Save</button> button to " + "word " * 20 + "</p>" + PARAGRAPHS + "<button>Send</button></article>"
+    assert htmltext.main_text(page) == f"Press the Save button to {('word ' * 20).strip()}\n{PARAGRAPH_TEXT}"
+
+
+def test_nested_noise_names_are_linear():
+    import time
+
+    def seconds(n):
+        page = "<div class=sidebar>" * n + "<article><p>" + "word " * 30 + "</p></article>"
+        began = time.perf_counter()
+        assert htmltext.main_text(page) == ("word " * 30).strip()
+        return time.perf_counter() - began
+    seconds(500)
+    assert min(seconds(8000) for _ in range(3)) < 8 * max(0.02, min(seconds(2000) for _ in range(3)))
+
+
+def plain_densities(node):
+    """The definitions, by recursion over every subtree."""
+    import math
+
+    def text(n):
+        return sum(len("".join(c.split())) if isinstance(c, str) else text(c) for c in n.children)
+
+    def below(n):
+        return [x for c in n.children if not isinstance(c, str) for x in [c, *below(c)]]
+
+    def outer_links(n):
+        return [x for c in n.children if not isinstance(c, str) for x in ([c] if c.tag == "a" else outer_links(c))]
+
+    def density(n):
+        c, t = text(n), max(1, len(below(n)))
+        if not c:
+            return 0.0
+        if n.tag == "a":
+            lc, lt = c, len(below(n))
+        else:
+            links = outer_links(n)
+            lc, lt = sum(map(text, links)), sum(1 + len(below(x)) for x in links)
+        whole = (text(node) if node.tag == "a" else sum(map(text, outer_links(node)))) / text(node)
+        base = math.log(c / max(1, c - lc) * lc + whole * c + math.e)
+        return c / t * max(0.0, math.log(max(1e-9, c / max(1, lc) * t / max(1, lt))) / (1 + math.log(base)))
+    out = {}
+    for n in [node, *below(node)]:
+        own = sum(len(c.strip()) for c in n.children if isinstance(c, str))
+        out[n] = (density(n), sum(density(c) for c in n.children if not isinstance(c, str)) + own / max(1, len(below(n))))
+    return out
+
+
+def test_densities_against_plain_recursion():
+    rng = random.Random(12)
+
+    def tree(depth):
+        kind = rng.random()
+        if depth > 4 or kind < 0.3:
+            return " ".join(rng.choices(["word", "a", "é", ""], k=rng.randint(0, 12)))
+        tag = rng.choice(["div", "p", "a", "b", "ul", "section"])
+        return f"<{tag}>" + "".join(tree(depth + 1) for _ in range(rng.randint(0, 5))) + f"</{tag}>"
+    for _ in range(60):
+        body = htmltext.parse("<body>" + "".join(tree(0) for _ in range(4)) + "some text</body>").children[0]
+        htmltext.measure(body)
+        for node, (density, total) in plain_densities(body).items():
+            assert node.density == pytest.approx(density, rel=1e-9) and node.total == pytest.approx(total, rel=1e-9)
+
+
+def test_pages_without_article_elements():
+    """The same texts when the pages' article and main elements are plain divs: the densities find them."""
+    import os
+    import re
+
+    import pyarrow.parquet as pq
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("driver test data not present")
+    for page in pq.read_table(path).column("html").to_pylist():
+        plain = re.sub(r"<(/?)(article|main)\b", r"<\1div", page or "")
+        assert htmltext.main_text(plain) == htmltext.main_text(page)
