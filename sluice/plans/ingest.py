@@ -13,6 +13,7 @@ passes through it. Tables live under ``root`` (a shared folder)."""
 
 from __future__ import annotations
 
+import hashlib
 import threading
 import time
 import uuid
@@ -786,39 +787,44 @@ def _record_progress(spark, lake: Lake, source_name: str, run_id: str, progress:
     lake.write_leaf(df, "stream_progress", run_id, source_name)
 
 
-_REGISTRY_LOCK = threading.Lock()
+#: Seconds that a claimed schema version is waited for before it counts as given up.
+CLAIM_SECONDS = 30.0
+REGISTRY_SCHEMA = T.StructType([T.StructField("source_name", T.StringType()), T.StructField("modality", T.StringType()),
+                                T.StructField("fields", schema.FIELDS_TYPE), T.StructField("version", T.IntegerType()),
+                                T.StructField("run_id", T.StringType())])
 
 
-def register_schema(spark: SparkSession, lake: Lake, source_name: str, modality: str, fields, run_id: str) -> int:
+def register_schema(spark: SparkSession, lake: Lake, source_name: str, modality: str, fields, run_id: str,
+                    claim_seconds: float = CLAIM_SECONDS) -> int:
     """C6/C7 live: compare with the latest registered version and append a
     new version when the fields (order-free) or the modality changed.
-    Registry appends of concurrently ingested sources are serialized (two
-    jobs appending to one folder would share the committer's temp folder)."""
-    with _REGISTRY_LOCK:
-        return _register(spark, lake, source_name, modality, fields, run_id)
-
-
-def _register(spark, lake, source_name, modality, fields, run_id) -> int:
-    discovered = spark.createDataFrame(
-        [(source_name, modality, [(i, n, t) for i, (n, t) in enumerate(fields)])],
-        T.StructType([T.StructField("source_name", T.StringType()), T.StructField("modality", T.StringType()),
-                      T.StructField("fields", schema.FIELDS_TYPE)]))
-    registry = lake.read_section(spark, "schema_registry")
-    if registry is None:
-        registry = spark.createDataFrame([], T.StructType([
-            T.StructField("source_name", T.StringType()), T.StructField("modality", T.StringType()),
-            T.StructField("fields", schema.FIELDS_TYPE), T.StructField("version", T.IntegerType())]))
-    e = schema.evolve(discovered, registry).first()
-    if e["evolved"]:
-        row = spark.createDataFrame([(source_name, modality, [(i, n, t) for i, (n, t) in enumerate(fields)],
-                                      int(e["version"]), run_id)],
-                                    T.StructType([T.StructField("source_name", T.StringType()),
-                                                  T.StructField("modality", T.StringType()),
-                                                  T.StructField("fields", schema.FIELDS_TYPE),
-                                                  T.StructField("version", T.IntegerType()),
-                                                  T.StructField("run_id", T.StringType())]))
-        lake.write_leaf(row, "schema_registry", run_id, source_name)
-    return int(e["version"])
+
+    Drivers do not share a lock: a version is claimed by creating a file that must not exist yet. Where
+    another run was first, its row is waited for and compared with anew, so two runs of the same
+    schema share a version and two different ones never do. A claim whose row does not come within
+    ``claim_seconds`` (its driver was lost) is passed over; version numbers then have a gap."""
+    row = [(i, n, t) for i, (n, t) in enumerate(fields)]
+    discovered = spark.createDataFrame([(source_name, modality, row)], T.StructType(REGISTRY_SCHEMA.fields[:3]))
+    passed, waited, since = 0, None, 0.0
+    while True:
+        registry = lake.read_section(spark, "schema_registry")
+        if registry is None:
+            registry = spark.createDataFrame([], T.StructType(REGISTRY_SCHEMA.fields[:4]))
+        e = schema.evolve(discovered, registry).first()
+        version = int(e["version"])
+        if not e["evolved"]:
+            return version
+        version = max(version, passed + 1)
+        claim = f"{lake.root}/catalog/_claims/{hashlib.sha256(source_name.encode()).hexdigest()[:32]}/{version}"
+        if files.create_exclusive(spark, claim):
+            one = spark.createDataFrame([(source_name, modality, row, version, run_id)], REGISTRY_SCHEMA)
+            lake.write_leaf(one, "schema_registry", run_id, source_name)
+            return version
+        if waited != version:
+            waited, since = version, time.time()
+        elif time.time() - since > claim_seconds:
+            passed = version
+        time.sleep(0.2)
 
 
 __all__ = ["Lake", "ingest_frame", "ingest_sources", "record_run", "register_schema", "new_run_id",

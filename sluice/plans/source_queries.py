@@ -347,6 +347,36 @@ def q_stream_unique(spark, sf):
     return rows.select(F.col("fields")["event_id"].cast("bigint").alias("event_id"))
 
 
+@query("config_sources", """
+SELECT p_name || ' ' || p_partkey AS name, '/data/' || p_brand AS path, CASE WHEN p_partkey % 2 = 0 THEN 'structured' END AS modality,
+       CASE WHEN p_partkey % 3 = 0 THEN 'batch' END AS load_mode, CASE WHEN p_partkey % 5 = 0 THEN CAST(p_size AS VARCHAR) END AS limit_option
+FROM part
+""")
+def q_config_sources(spark, sf):
+    """A1: a JSON configuration with a source for each part; what an entry leaves out is null, options of any type are text."""
+    p, key = table(spark, sf, "part"), F.col("p_partkey")
+    mode_key = config.MODE_KEY
+    entry = F.struct(F.concat_ws(" ", "p_name", key).alias("name"), F.concat(F.lit("/data/"), "p_brand").alias("path"),
+                     F.when(key % 2 == 0, F.lit("structured")).alias("modality"), F.when(key % 3 == 0, F.lit("batch")).alias(mode_key),
+                     F.when(key % 5 == 0, F.struct(F.col("p_size").alias("limit"))).alias("options"))
+    path = scratch_path(spark, "config")
+    # a configuration is one document
+    p.agg(F.collect_list(entry).alias("sources")).coalesce(1).write.json(path)
+    got = config.load_sources(spark, path)
+    return got.select("name", "path", "modality", "load_mode", F.col("options")["limit"].alias("limit_option"))
+
+
+@query("run_phases", """
+SELECT 'discover' AS phase, CAST(3 AS BIGINT) AS items UNION ALL SELECT 'stage', count(*) FROM orders
+""")
+def q_run_phases(spark, sf):
+    """What each phase of a run handled (fields, records); seconds are measured beside it."""
+    root, lake = scratch_path(spark, "phases") + "/in", Lake(scratch_path(spark, "lake"))
+    tables.write_csv(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), root)
+    ingest_sources(spark, config.sources_from_rows(spark, [{"name": "s", "path": root}]), lake)
+    return lake.read_section(spark, "phases").filter("phase <> 'list' AND seconds >= 0").select("phase", "items")
+
+
 @query("schema_versions_by_time", """
 WITH e AS (SELECT event_type, event_id, ts, CAST(event_id % 7 < 3 AS INTEGER) AS sig FROM events),
 c AS (SELECT *, sig IS DISTINCT FROM lag(sig) OVER w OR row_number() OVER w = 1 AS changed FROM e

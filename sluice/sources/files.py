@@ -27,6 +27,25 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p))
 
 
+def create_exclusive(spark: SparkSession, path: str) -> bool:
+    """Create an empty file that must not exist yet; False if it does."""
+    from py4j.protocol import Py4JJavaError
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if fs.getUri().getScheme() == "file":  # the file system class of local disks looks first and creates then
+        f = jvm.java.io.File(p.toUri().getPath())
+        f.getParentFile().mkdirs()
+        return bool(f.createNewFile())
+    try:
+        fs.create(p, False).close()
+        return True
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+
+
 def _listing(spark: SparkSession, path: str) -> DataFrame:
     return (spark.read.format("binaryFile").option("recursiveFileLookup", True)
             .load(path).select("path", "length", "modificationTime"))
