@@ -201,3 +201,50 @@ def test_joined_sequences_change_state():
     found = crf.joined(lines)
     assert len(found) == 4 and all(len(x) == len(y) and 0 < y.sum() < len(y) for x, y in found)
     assert crf.joined(lines[::2]) == [] and all(np.array_equal(a[0], b[0]) for a, b in zip(found, crf.joined(lines)))
+
+
+def test_dual_descent_reaches_the_dual_optimum():
+    """The dual value against projected gradient ascent on the whole problem, and the gap to the primal value."""
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, 60, size=12)) for _ in range(60)]
+    y = np.where([(r < 20).sum() > 3 for r in rows], 1.0, -1.0)
+    y[:6] *= -1  # not separable
+    ratio, cost = nbsvm.log_count_ratio(rows, y), np.where(y > 0, 0.7, 1.3)
+    w, bias = nbsvm.dual_descent(rows, y, ratio, cost)
+    x = np.zeros((len(rows), 61))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.linalg.norm(ratio[r])
+    x[:, 60] = 1.0
+    q = (x @ x.T) * np.outer(y, y)
+    alpha, step = np.zeros(len(rows)), 1.0 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(100_000):
+        alpha = np.clip(alpha + step * (1 - q @ alpha), 0, cost)
+    best = alpha.sum() - 0.5 * alpha @ q @ alpha
+    found = np.append(w[:60], bias)
+    primal = 0.5 * found @ found + (cost * np.maximum(0, 1 - y * (x @ found))).sum()
+    assert best - 1e-9 <= primal <= best + 0.01 * abs(best)
+    assert np.allclose(found, (alpha * y) @ x, atol=0.05)
+
+
+def test_language_set_against_every_subset():
+    """The penalised likelihood of the chosen set against that of all sets of up to four languages."""
+    from itertools import combinations
+    rng = np.random.default_rng(8)
+    size, names = 400, ["aa", "bb", "cc", "dd"]
+    table = np.stack([rng.gamma(0.3, size=size) + 1e-3 for _ in names], axis=1)
+    model = langmix.Model(names, table / table.sum(axis=0))
+    for shares in ([1, 0, 0, 0], [0.6, 0.4, 0, 0], [0.4, 0.3, 0.3, 0], [0.25] * 4, [0, 0, 0.97, 0.03]):
+        drawn = rng.multinomial(4000, model.prob @ np.array(shares))
+        grams = np.flatnonzero(drawn)
+        p, c = model.prob[grams], drawn[grams].astype(float)
+        cost = langmix.PENALTY * np.log(c.sum())
+
+        def value(chosen):
+            s = np.full(len(chosen), 1 / len(chosen))
+            for _ in range(3000):
+                s = s * ((c / (p[:, chosen] @ s)) @ p[:, chosen]) / c.sum()
+            return c @ np.log(p[:, chosen] @ s) - cost * (len(chosen) - 1), s
+        best = max(((*value(list(k)), k) for n in range(1, 5) for k in combinations(range(4), n)), key=lambda v: v[0])
+        got = dict(model.mixture(grams, drawn[grams]))
+        assert set(got) == {names[k] for k in best[2]}
+        assert all(abs(got[names[k]] - s) < 0.02 for k, s in zip(best[2], best[1]))
