@@ -51,3 +51,26 @@ def test_pipeline_stages(spark, tmp_path):
 def test_pipeline_runs(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.count() > 0 and set(got.columns) >= {"doc_id", "n_tokens", "ids_sha256"}
+
+
+@pytest.fixture
+def no_labels(spark, monkeypatch):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(queries, "table", lambda s, d, name: none)
+
+
+def test_stages_on_an_empty_table(spark, no_labels):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, _key int")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0, name
+
+
+def test_stages_without_labels_and_with_repeated_rows(spark, no_labels):
+    texts = [" ".join(f"word{(i * 7 + j * j) % 53}" for j in range(60)) + "." for i in range(6)]
+    rows = [(i, t, None, "s", 1) for i, t in enumerate(texts)] + [(0, texts[0], None, "s", 1), (9, texts[1], None, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    language, quality, near, mix, bpe = [stage for _, stage in corpus_pipeline.STAGES]
+    assert language(spark, docs, SF).count() == len(rows) and quality(spark, docs, SF).count() == len(rows)
+    kept = near(spark, docs, SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3, 4, 5]
+    assert mix(spark, kept, SF).columns == docs.columns and bpe(spark, kept, SF).count() == 6
