@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 MAX_BROADCAST_BYTES = 64 << 20
 _TAG = "_sluice_call"
+_PLACE = "_sluice_place"
 _KEPT: contextvars.ContextVar = contextvars.ContextVar("sluice_kept", default=None)
 
 
@@ -73,3 +74,16 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
     fresh = small if _TAG in small.columns else persist_fresh(small)
     side = F.broadcast(fresh) if measured_bytes(fresh) <= max_bytes else fresh
     return big.join(side, on, how).drop(_TAG)
+
+
+def join_small_in_order(big: DataFrame, small: DataFrame, on, how: str = "left",
+                        max_bytes: int | None = None) -> DataFrame:
+    """:func:`join_small` for a pass that reads ``big`` in its order: a
+    broadcast leaves the rows where they are; a shuffle join brings the rows of a key together in any order, so
+    they are sorted back by their place in ``big``."""
+    bound = MAX_BROADCAST_BYTES if max_bytes is None else max_bytes
+    fresh = small if _TAG in small.columns else persist_fresh(small)
+    if measured_bytes(fresh) <= bound:
+        return big.join(F.broadcast(fresh), on, how).drop(_TAG)
+    placed = big.withColumn(_PLACE, F.monotonically_increasing_id())
+    return placed.join(fresh, on, how).sortWithinPartitions(*on, _PLACE).drop(_TAG, _PLACE)

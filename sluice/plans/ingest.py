@@ -29,7 +29,7 @@ from ..operators import catalog, profile, quality, route, schema
 from ..operators.joins import join_small, persist_fresh, released
 from ..operators.schema import header_fields
 from ..sinks import tables
-from ..sources import files, headers, jsontext, quoted, readers
+from ..sources import chunks, files, headers, jsontext, quoted, readers
 
 RUN_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType()), T.StructField("source_name", T.StringType()),
@@ -225,10 +225,11 @@ def read_current(spark: SparkSession, lake: Lake, source_name: str) -> DataFrame
 
 #: Columns the readers add; they are no data of the source.
 TECHNICAL = ("_source_file", "_corrupt", "_raw", "_extra", "_issue", "_file_reason", "path", "size_bytes", "modificationTime",
-             "length", "issue", "_file_issue")
+             "length", "issue", "_file_issue", "_chunk", "_offset")
 #: Columns of a stored row that are no data. A data column of such a name (in any case), or of the name of an
 #: earlier column in another case, is stored with a number behind its name; the run's ``metadata.columns`` says so.
-RESERVED = ("_source_file", "_corrupt", "_raw", "_extra", "_issue", "_file_reason", "_file_issue", "_reasons", "_run_id", "_row_state")
+RESERVED = ("_source_file", "_corrupt", "_raw", "_extra", "_issue", "_file_reason", "_file_issue", "_reasons", "_run_id", "_row_state",
+            "_chunk", "_offset")
 FILE_REASONS = ("header_width", "duplicate_header", "header_order", "header_names", "empty_file", "unreadable")
 NO_ROW_REASONS = ("empty_file", "unreadable")   # files that yield no data row
 
@@ -298,7 +299,7 @@ def source_frame(spark: SparkSession, path: str, manifest: DataFrame, worker: st
     ``file_issues`` counts CSV/TSV files by header reason (None when there is no
     such file)."""
     if worker == "text":
-        return (*text_documents(spark, path, manifest, _truthy(_opt(options, "checkUtf8", "false"))), None)
+        return (*text_documents(spark, path, manifest, _truthy(_opt(options, "checkUtf8", "false")), options), None)
     if worker == "image":
         return (*image_rows(spark, path, manifest, options), None)
     if worker == "video":
@@ -328,8 +329,9 @@ def source_frame(spark: SparkSession, path: str, manifest: DataFrame, worker: st
         frames.append(readers.read_table(spark, path, "delta"))  # fails the source where its connector is absent
     others = sorted(present - {".csv", ".tsv", ".json", ".parquet", ".xml", ".yaml", ".yml", ".delta"})
     if others:  # whatever else lies in the folder is stored too, as bytes
-        rest = files.read_binary(spark, path, with_content=True, extensions=others)
-        frames.append(rest.select(F.col("path").alias("_source_file"), "length", "content", F.col("issue").alias("_issue")))
+        rest = _file_bytes(spark, path, manifest, others, options)
+        frames.append(rest.select(F.col("path").alias("_source_file"), "length", "content", F.col("issue").alias("_issue"),
+                                  *[c for c in CHUNK_COLUMNS if c in rest.columns]))
         rules.append((files.TOO_LARGE, F.col("_issue") == files.TOO_LARGE))
     if any(e in present for e in (".xml", ".yaml", ".yml")):
         rules.append(("unreadable", F.col("_issue") == "unreadable"))
@@ -337,6 +339,38 @@ def source_frame(spark: SparkSession, path: str, manifest: DataFrame, worker: st
     return union_all(frames), rules, issues
 
 
+#: Columns of chunk rows; a source has them only where it has a file above the row bound.
+CHUNK_COLUMNS = ("_chunk", "_offset")
+
+
+def _row_bytes(options: dict | None) -> int:
+    return int(_opt(options, "rowBytes", files.MAX_ROW_BYTES))
+
+
+def _large(manifest: DataFrame, options: dict | None, extensions=None) -> bool:
+    """Whether a file of the source is stored in chunks: one above ``rowBytes`` (the most a
+    Spark value holds), unless ``largeFiles = refuse`` gives it a reason instead."""
+    if str(_opt(options, "largeFiles", "chunks")).lower() == "refuse":
+        return False
+    found = manifest.filter(F.col("size_bytes") > _row_bytes(options))
+    return not (found.filter(F.col("extension").isin(*extensions)) if extensions else found).isEmpty()
+
+
+def _chunked(spark: SparkSession, path: str, options: dict | None, **how) -> DataFrame:
+    return chunks.file_chunks(spark, path, above=_row_bytes(options),
+                              chunk_bytes=int(_opt(options, "chunkBytes", chunks.CHUNK_BYTES)), **how) \
+        .withColumnsRenamed({"chunk": "_chunk", "offset": "_offset"})
+
+
+def _file_bytes(spark: SparkSession, path: str, manifest: DataFrame, extensions, options: dict | None) -> DataFrame:
+    """The bytes of files: a row each, or a row a chunk above the row bound."""
+    rows = files.read_binary(spark, path, with_content=True, extensions=extensions, max_content_bytes=_row_bytes(options))
+    if not _large(manifest, options, extensions):
+        return rows
+    cut = _chunked(spark, path, options, extensions=extensions).withColumnRenamed("size_bytes", "length")
+    return rows.filter(F.col("length") <= _row_bytes(options)).unionByName(cut, allowMissingColumns=True)
+
+
 def _documents(spark: SparkSession, path: str, glob: str) -> DataFrame:
     d = files.read_text_documents(spark, path, glob=glob)
     return d.select(F.col("path").alias("_source_file"), F.col("text").alias("document"))
@@ -468,19 +502,25 @@ def json_rows(spark: SparkSession, path: str, fields) -> tuple:
     return df, [("json_parse", F.col("_issue") == "json_parse")]
 
 
-def text_documents(spark: SparkSession, path: str, manifest: DataFrame, check_utf8: bool = False):
+def text_documents(spark: SparkSession, path: str, manifest: DataFrame, check_utf8: bool = False, options: dict | None = None):
     """Text worker rows: one row per file (a file is a record, as in the
     reference). Reasons: ``unreadable`` for a non-empty file that gave no text
-    (D2, I/O or codec failure), ``too_large_for_row`` for a file that no Spark
-    value can hold (its lines are counted in the ``text_data`` entities) and,
-    opt-in, ``bad_utf8`` when the text is not valid UTF-8 (E12)."""
-    docs = files.read_text_documents(spark, path, ignore_corrupt=True).withColumn("_file_issue", F.lit(None).cast("string"))
+    (D2, I/O or codec failure) and, opt-in, ``bad_utf8`` when the text is not valid UTF-8 (E12). A file that no Spark
+    value can hold is stored in chunks of whole lines (``_chunk``, ``_offset``); ``too_large_for_row`` is
+    left for those that cannot be cut (:mod:`sluice.sources.chunks`)."""
+    most = _row_bytes(options)
+    docs = files.read_text_documents(spark, path, ignore_corrupt=True, max_bytes=most).withColumn("_file_issue", F.lit(None).cast("string"))
+    if _large(manifest, options):
+        cut = _chunked(spark, path, options, by_line=True)
+        cut = cut.select("path", F.col("content").cast("string").alias("text"), "size_bytes", F.col("issue").alias("_file_issue"), *CHUNK_COLUMNS)
+        docs = docs.unionByName(cut, allowMissingColumns=True)
+        manifest = manifest.filter(F.col("size_bytes") <= most)
     # files that give no text row: empty (readable), unreadable, too large
-    issue = F.when(F.col("size_bytes") > files.MAX_ROW_BYTES, F.lit(files.TOO_LARGE)) \
+    issue = F.when(F.col("size_bytes") > most, F.lit(files.TOO_LARGE)) \
         .when(F.col("size_bytes") > 0, F.lit("unreadable"))
     missing = manifest.select("path", "size_bytes").join(docs.select("path"), "path", "left_anti") \
         .select("path", F.when(F.col("size_bytes") == 0, F.lit("")).alias("text"), "size_bytes", issue.alias("_file_issue"))
-    rows = docs.unionByName(missing)
+    rows = docs.unionByName(missing, allowMissingColumns=True)
     rules = [(r, F.col("_file_issue") == r) for r in ("unreadable", files.TOO_LARGE)]
     if check_utf8:
         rules.append(("bad_utf8", ~F.is_valid_utf8(F.col("text"))))
@@ -511,15 +551,15 @@ def image_rows(spark: SparkSession, path: str, manifest: DataFrame, options: dic
 def video_rows(spark: SparkSession, path: str, manifest: DataFrame, options: dict | None = None) -> tuple:
     """Video worker rows (A12, D4): the bytes of video files; other files as
     rows without bytes, invalid by extension. A file that no Spark value can
-    hold is quarantined (``too_large_for_row``); ``options.content = paths``
-    stores the listing alone."""
+    hold is stored in chunks (``_chunk``, ``_offset``), or with ``largeFiles = refuse`` quarantined
+    (``too_large_for_row``); ``options.content = paths`` stores the listing alone."""
     rules = [("extension", quality.video_file_invalid(F.col("extension"))),
              (files.TOO_LARGE, F.col("issue") == files.TOO_LARGE)]
     listed = manifest.select("source_name", "path", "file_name", "extension", "size_bytes")
     if str(_opt(options, "content", "bytes")).lower() == "paths":
         return listed, rules[:1]
     name = file_name(F.col("path"))
-    videos = files.read_binary(spark, path, with_content=True).withColumn("file_name", name) \
+    videos = _file_bytes(spark, path, manifest, files.VIDEO_EXTENSIONS, options).withColumn("file_name", name) \
         .withColumn("extension", extension(name)).withColumnRenamed("length", "size_bytes")
     rest = listed.filter(~F.col("extension").isin(*files.VIDEO_EXTENSIONS) | (F.col("size_bytes") == 0))
     return videos.unionByName(rest, allowMissingColumns=True), rules
@@ -678,6 +718,8 @@ def _route_and_ingest(spark, src, lake, run_id, gate, manifest, routed, modality
             counted = tabular
         elif fields != schema.UNKNOWN_FIELDS:
             extra = sum(n for r, n in file_issues.items() if r in NO_ROW_REASONS)
+    if worker in ("text", "video") and set(CHUNK_COLUMNS) <= set(df.columns):
+        counted = F.coalesce(F.col("_offset") == 0, F.lit(True))  # a file is a record, in however many chunks
     return ingest_frame(spark, df, lake, src["name"], run_id, rules=rules + own_rules, unique=unique, gate=gate,
                         target_table=src.get("target_table"), modality=modality, load_mode=mode,
                         worker=worker, schema_version=version, source_path=path,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import quality, schema
 from ..session import scratch_path
 from ..sinks import tables
-from ..sources import config
+from ..sources import chunks, config
 from . import derive
 from .ingest import Lake, ingest_sources, read_current
 from .queries import query
@@ -245,6 +245,47 @@ def q_binary_source_rows(spark, sf):
                                                   F.substring_index("line", " ", -1).alias("event_type"))
 
 
+#: The keys below cut every file; a lake does so above the bytes that one Spark value can hold.
+CUT = {"rowBytes": 0, "chunkBytes": 4096}
+
+
+@query("large_file_chunks", f"""
+WITH f AS (
+  SELECT event_id % 16 AS file, string_agg(event_id || ' ' || event_type || chr(10), '' ORDER BY event_id, event_type) AS s FROM events GROUP BY ALL),
+c AS (SELECT file, strlen(s) AS size_bytes, s, unnest(range((strlen(s) + {CUT["chunkBytes"] - 1}) // {CUT["chunkBytes"]})) AS i FROM f)
+SELECT file, size_bytes, count(*) AS n_chunks,
+       sha256(string_agg(sha256(substr(s, i * {CUT["chunkBytes"]} + 1, {CUT["chunkBytes"]})), '' ORDER BY i)) AS digest, true AS complete
+FROM c GROUP BY file, size_bytes
+""")
+def q_large_file_chunks(spark, sf):
+    """Files stored in chunks of fixed size, told by the digest of their chunks' digests."""
+    root = scratch_path(spark, "large video") + "/in"
+    e = table(spark, sf, "events").select((F.col("event_id") % 16).alias("file"), "event_id", "event_type",
+                                          F.concat_ws(" ", "event_id", "event_type").alias("line"))
+    # a file is written by one task in its order, which is the case under test
+    e = e.repartition(16, "file").sortWithinPartitions("file", "event_id", "event_type").select("file", "line")
+    e.write.partitionBy("file").option("extension", "mp4").csv(root)
+    rows = spark.read.parquet(run_source(spark, root, "source", worker="video", options=CUT)["lakehouse_path"])
+    found = chunks.chunk_digests(rows.filter("content IS NOT NULL").withColumnRenamed("_offset", "offset"))
+    return found.select(F.regexp_extract("path", r"file=(\d+)", 1).cast("bigint").alias("file"), "size_bytes", "n_chunks", "digest", "complete")
+
+
+@query("large_text_lines", r"""
+SELECT doc_id, doc_id % 16 AS file, sha256(replace(COALESCE(text, ''), chr(10), ' ')) AS text_sha256 FROM documents
+""")
+def q_large_text_lines(spark, sf):
+    """Text files stored in chunks of whole lines; every line of every file is there once, whole."""
+    root = scratch_path(spark, "large text") + "/in"
+    line = F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")))
+    d = table(spark, sf, "documents").select((F.col("doc_id") % 16).alias("file"), line.alias("line"))
+    d.repartition(16, "file").write.partitionBy("file").text(root)
+    rows = spark.read.parquet(run_source(spark, root, "source", worker="text", options=CUT)["lakehouse_path"])
+    each = rows.select("path", F.explode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("line"))
+    return each.select(F.substring_index("line", "\t", 1).cast("bigint").alias("doc_id"),
+                       F.regexp_extract("path", r"file=(\d+)", 1).cast("bigint").alias("file"),
+                       F.sha2(F.expr("substring(line, instr(line, '\t') + 1)"), 256).alias("text_sha256"))
+
+
 # --- gates, rules -------------------------------------------------------------------
 GATE_LIMIT = 499900
 

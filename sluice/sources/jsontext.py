@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.paths import decoded_path
-from ..operators.joins import join_small, persist_fresh
+from ..operators.joins import join_small_in_order, persist_fresh
 from .headers import GLOBS, chosen
 
 #: A JSON string, whatever its length (possessive, without alternatives: no recursion).
@@ -51,7 +51,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 def _segments(lines: DataFrame, splits: DataFrame) -> DataFrame:
     """``uri, b, i, text``: texts to parse of the files of ``splits(uri, block,
     depth, listed)``: whole values, or elements of the file's array as a list."""
-    told = join_small(lines.select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block"),
+    told = join_small_in_order(lines.select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block"),
                                    "value", opened(F.col("value")).alias("more")), splits, ["uri", "block"], "inner") \
         .select("uri", "block", "value", "more", "depth", "listed")
     names = ["uri", "block", "seq", "kind", "begins", "ends", "listed", "text"]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.paths import decoded_path
-from ..operators.joins import join_small
+from ..operators.joins import join_small_in_order
 
 #: What is left of a quoted value: no quotes but doubled ones. (Possessive, without alternatives: any length, no recursion.)
 _INSIDE = '[^"]*+(?:""[^"]*+)*+'
@@ -88,7 +88,7 @@ def records(spark: SparkSession, path: str, glob: str, sep: str, keep) -> DataFr
     lines = _lines(spark, path, glob, keep)
     states = split_states(lines, sep)
     out0, out1 = after_line(F.col("value"), sep)
-    told = join_small(lines.select("*", out0.alias("o0"), out1.alias("o1")), states, ["uri", "block"], "left") \
+    told = join_small_in_order(lines.select("*", out0.alias("o0"), out1.alias("o1")), states, ["uri", "block"], "left") \
         .select("uri", "block", "value", "o0", "o1", "open", "crlf")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -199,7 +199,7 @@ def test_text_source_with_a_file_no_value_can_hold(spark, tmp_path, monkeypatch)
     write(f"{root}/small.txt", "a b\n")
     write(f"{root}/big.log", "word " * 200 + "\n")
     lake = Lake(str(tmp_path / "lake"))
-    src = config.sources_from_rows(spark, [{"name": "t", "path": root}])
+    src = config.sources_from_rows(spark, [{"name": "t", "path": root, "options": {"largeFiles": "refuse"}}])
     monkeypatch.setattr(files, "MAX_ROW_BYTES", 100)
     monkeypatch.setattr(files.read_text_documents, "__defaults__", (False, None, 100))
     r = ingest_sources(spark, src, lake, run_id="r1", gate="record").first()
