@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from ..functions.names import stored_names
 from ..functions.paths import extension, file_name, source_file
-from ..operators import catalog, profile, quality, route, schema
+from ..operators import catalog, profile, quality, route, schema, sketches
 from ..operators.joins import join_small, persist_fresh, released
 from ..operators.schema import header_fields
 from ..sinks import tables
@@ -221,6 +221,31 @@ def read_current(spark: SparkSession, lake: Lake, source_name: str) -> DataFrame
     return _version(spark, lake, source_name, row["lakehouse_path"])
 
 
+def _store_statistics(spark: SparkSession, lake: Lake, row: dict) -> None:
+    """P5: the mergeable statistics of the rows a run stored (option ``statistics``), read once when they are written."""
+    if not row.get("lakehouse_path"):
+        return
+    df = spark.read.format(lake.fmt).load(row["lakehouse_path"])
+    cols = [c for c in df.columns if c not in RESERVED and c not in TECHNICAL]
+    if cols:
+        states = sketches.column_sketches(df, cols).select(F.lit(row["source_name"]).alias("source_name"), F.lit(row["run_id"]).alias("run_id"), "*")
+        lake.write_leaf(states, "column_statistics", row["run_id"], row["source_name"])
+
+
+def version_statistics(spark: SparkSession, lake: Lake, source_name: str, first_run: str | None = None,
+                       last_run: str | None = None, ranks=(0.25, 0.5, 0.75), top: int = 5) -> DataFrame:
+    """P5 over the versions of a range of runs (ids sort by time; both ends included), from stored
+    sketches alone: no data is read again."""
+    states = lake.read_section(spark, "column_statistics")
+    if states is not None:
+        states = states.filter(F.col("source_name") == source_name)
+        states = states.filter(F.col("run_id") >= first_run) if first_run else states
+        states = states.filter(F.col("run_id") <= last_run) if last_run else states
+    if states is None or states.isEmpty():
+        raise LookupError(f"no stored statistics of {source_name!r} in these runs")
+    return sketches.statistics(sketches.merge_sketches(states), ranks, top)
+
+
 # --- file sources ---------------------------------------------------------------
 
 #: Columns the readers add; they are no data of the source.
@@ -662,6 +687,9 @@ def _ingest_one_inner(spark, src: dict, lake: Lake, run_id: str, gate: str) -> d
     row = _route_and_ingest(spark, src, lake, run_id, gate, manifest, routed, modality, mode, worker,
                             fields, version)
     phases.done("stage", row["record_count"] or 0)
+    if _truthy(_opt(src.get("options"), "statistics", "false")):
+        _store_statistics(spark, lake, row)
+        phases.done("statistics", row["valid_count"] or 0)
     row.update({"fields": [(i, n, t) for i, (n, t) in enumerate(fields)], "metadata": _metadata(src, routed, modality, worker, fields)})
     phases.write(spark, lake, name, run_id)
     return row

@@ -593,6 +593,57 @@ def q_column_profile(spark, sf):
     return profile.column_profile(o, [c for c, _ in ORDER_PROFILE_COLS], exact=True)
 
 
+MERGED_COLS = ("o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+MERGED_RANGE = "o_orderkey % 8 BETWEEN 2 AND 5"
+
+
+def _merged_sql():
+    parts = []
+    for c in MERGED_COLS:
+        text = c in ("o_orderstatus", "o_orderpriority")
+        num, top = ("NULL::DOUBLE", "NULL::DOUBLE"), "NULL::VARCHAR"
+        if text:
+            top = (f"(SELECT string_agg(v || ':' || k, '|' ORDER BY k DESC, v) FROM (SELECT {c} AS v, count(*) AS k FROM orders "
+                   f"WHERE {MERGED_RANGE} AND {c} IS NOT NULL GROUP BY {c}) t)")
+        else:
+            num = f"min({c})::DOUBLE", f"max({c})::DOUBLE"
+        parts.append(f"SELECT '{c}' AS column_name, count(*) AS n, count(*) - count({c}) AS n_null, {num[0]} AS min_num, {num[1]} AS max_num, "
+                     f"{top} AS top, true AS distinct_close, true AS quantiles_close FROM orders WHERE {MERGED_RANGE}")
+    return "\nUNION ALL\n".join(parts)
+
+
+@query("merged_column_statistics", _merged_sql())
+def q_merged_column_statistics(spark, sf):
+    """P5 of a range of versions from their stored sketches. Estimates are held against the exact numbers:
+    distinct values within 5 %, the rank of each quantile within 2 % of the rows."""
+    from ..operators import sketches
+    from ..session import scratch_path
+    o, ranks = table(spark, sf, "orders").withColumn("version", F.col("o_orderkey") % 8), (0.25, 0.5, 0.75)
+    path = scratch_path(spark, "column statistics")
+    sketches.column_sketches(o, MERGED_COLS, by=["version"]).write.parquet(path)
+    merged = sketches.statistics(sketches.merge_sketches(spark.read.parquet(path).filter("version BETWEEN 2 AND 5")), ranks, 100)
+    # a row a column of estimates reaches the driver; the exact numbers of the same rows are one aggregate
+    cuts = {r["column_name"]: r["quantiles"] for r in merged.select("column_name", "quantiles").collect() if r["quantiles"]}
+    rows = o.filter(MERGED_RANGE)
+    below = [F.array(*[F.count_if(F.col(c) < F.lit(q)) for q in qs]).alias(f"lt_{c}") for c, qs in cuts.items()]
+    upto = [F.array(*[F.count_if(F.col(c) <= F.lit(q)) for q in qs]).alias(f"le_{c}") for c, qs in cuts.items()]
+    exact = rows.agg(*[F.countDistinct(c).alias(f"d_{c}") for c in MERGED_COLS], *below, *upto, *[F.count(c).alias(f"n_{c}") for c in cuts])
+
+    def close(c):
+        ok = F.lit(True)
+        for i, r in enumerate(ranks if c in cuts else ()):
+            ok = ok & (F.col(f"lt_{c}")[i] <= (r + 0.02) * F.col(f"n_{c}")) & (F.col(f"le_{c}")[i] >= (r - 0.02) * F.col(f"n_{c}"))
+        return ok
+    told = exact.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"d_{c}").alias("d"), close(c).alias("quantiles_close"))
+                                           for c in MERGED_COLS])))
+    found = merged.join(F.broadcast(told), "column_name")  # a row a column
+    # most frequent first, ties by value
+    ordered = F.array_sort(F.transform("top", lambda x: F.struct((-x["count"]).alias("k"), x["item"].alias("item"))))
+    top = F.array_join(F.transform(ordered, lambda x: F.concat(x["item"], F.lit(":"), (-x["k"]).cast("string"))), "|")
+    return found.select("column_name", "n", "n_null", "min_num", "max_num", F.when(F.col("min_num").isNull(), top).alias("top"),
+                        (F.abs(F.col("n_distinct") - F.col("d")) <= 0.05 * F.col("d")).alias("distinct_close"), "quantiles_close")
+
+
 # ============================================================================
 # K1, K3, K5, K6, K7, S9 catalog
 # ============================================================================
