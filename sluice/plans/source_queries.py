@@ -250,8 +250,8 @@ CUT = {"rowBytes": 0, "chunkBytes": 4096}
 
 
 @query("large_file_chunks", f"""
-WITH f AS (
-  SELECT event_id % 16 AS file, string_agg(event_id || ' ' || event_type || chr(10), '' ORDER BY event_id, event_type) AS s FROM events GROUP BY ALL),
+WITH d AS (SELECT COALESCE(doc_id, 0) AS id, md5(COALESCE(text, '')) AS h FROM documents),
+f AS (SELECT id % 16 AS file, string_agg(id || ' ' || h || chr(10), '' ORDER BY id, h) AS s FROM d GROUP BY ALL),
 c AS (SELECT file, strlen(s) AS size_bytes, s, unnest(range((strlen(s) + {CUT["chunkBytes"] - 1}) // {CUT["chunkBytes"]})) AS i FROM f)
 SELECT file, size_bytes, count(*) AS n_chunks,
        sha256(string_agg(sha256(substr(s, i * {CUT["chunkBytes"]} + 1, {CUT["chunkBytes"]})), '' ORDER BY i)) AS digest, true AS complete
@@ -260,11 +260,11 @@ FROM c GROUP BY file, size_bytes
 def q_large_file_chunks(spark, sf):
     """Files stored in chunks of fixed size, told by the digest of their chunks' digests."""
     root = scratch_path(spark, "large video") + "/in"
-    e = table(spark, sf, "events").select((F.col("event_id") % 16).alias("file"), "event_id", "event_type",
-                                          F.concat_ws(" ", "event_id", "event_type").alias("line"))
+    d = table(spark, sf, "documents").select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("h"))
+    d = d.withColumn("file", F.col("id") % 16)
     # a file is written by one task in its order, which is the case under test
-    e = e.repartition(16, "file").sortWithinPartitions("file", "event_id", "event_type").select("file", "line")
-    e.write.partitionBy("file").option("extension", "mp4").csv(root)
+    d = d.repartition(16, "file").sortWithinPartitions("file", "id", "h").select("file", F.concat_ws(" ", "id", "h").alias("line"))
+    d.write.partitionBy("file").option("extension", "mp4").csv(root)
     rows = spark.read.parquet(run_source(spark, root, "source", worker="video", options=CUT)["lakehouse_path"])
     found = chunks.chunk_digests(rows.filter("content IS NOT NULL").withColumnRenamed("_offset", "offset"))
     return found.select(F.regexp_extract("path", r"file=(\d+)", 1).cast("bigint").alias("file"), "size_bytes", "n_chunks", "digest", "complete")
