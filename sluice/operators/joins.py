@@ -85,5 +85,5 @@ def join_small_in_order(big: DataFrame, small: DataFrame, on, how: str = "left",
     fresh = small if _TAG in small.columns else persist_fresh(small)
     if measured_bytes(fresh) <= bound:
         return big.join(F.broadcast(fresh), on, how).drop(_TAG)
-    placed = big.withColumn(_PLACE, F.monotonically_increasing_id())
-    return placed.join(fresh, on, how).sortWithinPartitions(*on, _PLACE).drop(_TAG, _PLACE)
+    placed, keys = big.withColumn(_PLACE, F.monotonically_increasing_id()), [on] if isinstance(on, str) else on
+    return placed.join(fresh, on, how).sortWithinPartitions(*keys, _PLACE).drop(_TAG, _PLACE)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import decoded_path
+from ..operators.joins import join_small_in_order
 
 #: File globs of the text formats, in any case.
 GLOBS = {".csv": "*.[cC][sS][vV]", ".tsv": "*.[tT][sS][vV]", ".json": "*.[jJ][sS][oO][nN]", ".xml": "*.[xX][mM][lL]",
@@ -101,10 +102,12 @@ def header_of(spark: SparkSession, path: str, sep: str, multi_line: bool) -> lis
 def chosen(df: DataFrame, files: DataFrame, uri: str = "uri", keep: bool = True) -> DataFrame:
     """Rows of ``df`` (a file scan) that come from ``files`` (or do not). A
     short choice is named in a filter on the file path, which prunes the scan's
-    file list; a long one is joined. The rows are the same."""
+    file list; a long one is joined, in the scan's order. The rows are the same; a join hides what
+    a scan knows of its files, so its result has ``_metadata`` as a column."""
     rows = files.select(uri).limit(NAMED_FILES + 1).collect()
     if len(rows) <= NAMED_FILES:
         hit = F.col("_metadata.file_path").isin([r[0] for r in rows]) if rows else F.lit(False)
         return df.filter(hit if keep else ~hit)
-    key = F.col("_metadata.file_path").alias("_uri")
-    return df.select("*", key).join(files.select(F.col(uri).alias("_uri")), "_uri", "left_semi" if keep else "left_anti").drop("_uri")
+    told = df.select("*", "_metadata", F.col("_metadata.file_path").alias("_uri"))
+    names = files.select(F.col(uri).alias("_uri")).distinct()
+    return join_small_in_order(told, names, "_uri", "left_semi" if keep else "left_anti").drop("_uri")

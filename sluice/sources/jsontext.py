@@ -48,11 +48,25 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
             .filter(F.btrim("value", F.lit(_BLANK)) != ""))
 
 
+def _splits(lines: DataFrame) -> DataFrame:
+    """``uri, block, depth, listed``: a row a split of ``lines``: the depth that it begins in, and whether its
+    file is an array. A scan of other files may be split in other places, so this is asked of the scan that is cut."""
+    told = lines.select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block"),
+                        opened(F.col("value")).alias("more"), F.substr(F.ltrim(F.col("value")), F.lit(1), F.lit(1)).alias("char"),
+                        F.monotonically_increasing_id().alias("id"))
+    # what a split opens, and its first character
+    splits = told.groupBy("uri", "block").agg(F.sum("more").alias("more"), F.min_by("char", "id").alias("char"))
+    before = Window.partitionBy("uri").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy("uri").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return splits.select("uri", "block", F.coalesce(F.sum("more").over(before), F.lit(0)).alias("depth"),
+                         (F.first("char").over(every) == "[").alias("listed"))
+
+
 def _segments(lines: DataFrame, splits: DataFrame) -> DataFrame:
     """``uri, b, i, text``: texts to parse of the files of ``splits(uri, block,
     depth, listed)``: whole values, or elements of the file's array as a list."""
     told = join_small_in_order(lines.select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block"),
-                                   "value", opened(F.col("value")).alias("more")), splits, ["uri", "block"], "inner") \
+                                   "value", opened(F.col("value")).alias("more")), splits, ["uri", "block"], "left") \
         .select("uri", "block", "value", "more", "depth", "listed")
     names = ["uri", "block", "seq", "kind", "begins", "ends", "listed", "text"]
 
@@ -62,6 +76,8 @@ def _segments(lines: DataFrame, splits: DataFrame) -> DataFrame:
             out = []
             for uri, block, value, more, start, listed in zip(*[c.to_pylist() for c in batch.columns]):
                 if (uri, block) != at:
+                    if start is None:
+                        raise RuntimeError(f"{uri}: the file's splits changed while it was read")
                     if at is not None and held:
                         out.append((*at, seq, "through" if head else "tail", begins, False, last_listed, "\n".join(held)))
                     at, depth, seq, held, last_listed = (uri, block), start, 0, [], listed
@@ -107,25 +123,18 @@ def json_documents(spark: SparkSession, path: str) -> DataFrame:
     Values are lines where every line is balanced, else whatever stands between depths
     of 0; the elements of a top-level array are values of their own. Each text is parsed once."""
     lines = _lines(spark, path)
-    told = lines.select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block"),
-                        opened(F.col("value")).alias("more"), F.substr(F.ltrim(F.col("value")), F.lit(1), F.lit(1)).alias("char"),
-                        F.monotonically_increasing_id().alias("id"))
-    # one row a split: what it opens, whether a line of it is unbalanced, its first character
-    splits = told.groupBy("uri", "block").agg(F.sum("more").alias("more"), F.bool_or(F.col("more") != 0).alias("uneven"), F.min_by("char", "id").alias("char"))
-    before = Window.partitionBy("uri").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy("uri").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    splits = splits.select("uri", "block", F.coalesce(F.sum("more").over(before), F.lit(0)).alias("depth"), F.sum("more").over(every).alias("total"),
-                           F.max("uneven").over(every).alias("uneven"), (F.first("char").over(every) == "[").alias("listed")) \
-        .filter("uneven AND total = 0").select("uri", "block", "depth", "listed")
-    splits = persist_fresh(splits)  # only of files with such values: it names them, and begins their splits
-    many = splits.select("uri").distinct()
+    # one row a file: the files with an unbalanced line whose brackets balance in all
+    files = lines.select(F.col("_metadata.file_path").alias("uri"), opened(F.col("value")).alias("more")) \
+        .groupBy("uri").agg(F.sum("more").alias("total"), F.bool_or(F.col("more") != 0).alias("uneven"))
+    many = persist_fresh(files.filter("uneven AND total = 0").select("uri"))
     at = F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
 
     def single(kept):
         return kept.select(F.col("_metadata.file_path").alias("uri"), at.alias("_at"), F.col("value").alias("text")).withColumn("v", parse_whole("text"))
-    if splits.isEmpty():
+    if many.isEmpty():
         return _elements(single(lines))
-    cut = _segments(chosen(lines, many), splits).select("uri", F.struct("b", "i").alias("_at"), "raw", "text").withColumn("v", parse_whole("text"))
+    cut = chosen(lines, many)
+    cut = _segments(cut, _splits(cut)).select("uri", F.struct("b", "i").alias("_at"), "raw", "text").withColumn("v", parse_whole("text"))
     # lines of a text between brackets that is no JSON are looked at one by one: a damaged value does not take others with it
     broken = F.col("v").isNull() & F.col("raw").contains("\n")
     texts = F.when(broken, F.filter(F.split("raw", "\n"), lambda x: F.btrim(x, F.lit(_BLANK)) != "")).otherwise(F.array("raw"))

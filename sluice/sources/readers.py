@@ -53,7 +53,10 @@ def read_csv(spark: SparkSession, path: str, columns, sep: str = ",", multi_line
     if path_glob:
         r = r.option("pathGlobFilter", path_glob)
     df = r.csv(path)
-    return _with_file(df if keep is None else keep(df))
+    if keep is None:
+        return _with_file(df)
+    names = df.columns
+    return _with_file(keep(df)).select(*[F.col(f"`{c}`") for c in names], "_source_file")
 
 
 def sep_for(ext: str) -> str:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from conftest import write
 from sluice.plans.ingest import Lake, ingest_sources, read_current
-from sluice.sources import config, jsontext
+from sluice.operators import joins
+from sluice.sources import config, headers, jsontext, quoted, readers
 
 
 def _values(spark, path):
@@ -93,3 +94,41 @@ def test_fields_of_all_objects(spark, tmp_path):
     got = sorted([str(tuple(r[c] for c in "abcd")) for r in read_current(spark, lake, "s").collect()])
     assert got == sorted(map(str, [("x", 1.0, None, None), (None, 2.5, True, None), ("5", None, None, "[1]"), (None, None, False, None)]))
     assert all(r["_extra"] is None for r in read_current(spark, lake, "s").collect())
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_more_files_than_are_named(spark, tmp_path, small_splits, monkeypatch, broadcast):
+    for k in range(6):
+        write(str(tmp_path / f"j/{k}.json"), "\n".join(json.dumps({"k": k, "i": i}, indent=2) for i in range(9)))
+        write(str(tmp_path / f"j/l{k}.json"), "".join(json.dumps({"k": k + 6, "i": i}) + "\n" for i in range(9)))
+        write(str(tmp_path / f"c/{k}.csv"), "a,b\n" + "".join(f'{k},"x\n{i}"\n' for i in range(9)))
+        write(str(tmp_path / f"c/l{k}.csv"), "a,b\n" + "".join(f"{k + 6},x{i}\n" for i in range(9)))
+    monkeypatch.setattr(headers, "NAMED_FILES", 2)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if not broadcast:
+        monkeypatch.setattr(joins, "MAX_BROADCAST_BYTES", 0)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert _values(spark, str(tmp_path / "j")) == sorted(json.dumps({"k": k, "i": i}, sort_keys=True) for k in range(12) for i in range(9))
+        path = str(tmp_path / "c")
+        over = headers.first_records(spark, path, (".csv",)).filter("multi_line").select("uri")
+        rest = readers.read_csv(spark, path, ["a", "b"], keep=lambda d: headers.chosen(d, over, keep=False))
+        cut = quoted.read_quoted_csv(spark, path, ["a", "b"], ",", "*.csv", lambda d: headers.chosen(d, over))
+        assert rest.columns == cut.columns
+        assert sorted((int(r["a"]), r["b"]) for r in cut.collect()) == [(k, f"x\n{i}") for k in range(6) for i in range(9)]
+        assert sorted((int(r["a"]), r["b"]) for r in rest.collect()) == [(k + 6, f"x{i}") for k in range(6) for i in range(9)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_named_files_are_split_alike(spark, tmp_path):
+    """A pretty-printed file is few bytes of the folder, so a scan of it alone has smaller splits."""
+    write(str(tmp_path / "a.json"), "\n".join(json.dumps({"k": i}, indent=2) for i in range(400)))
+    for f in range(4):
+        write(str(tmp_path / f"l{f}.json"), "".join(json.dumps({"f": f, "i": i}) + "\n" for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert jsontext.json_documents(spark, str(tmp_path)).filter("v IS NOT NULL").count() == 400 + 4 * 3000
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
