@@ -388,21 +388,29 @@ def q_stream_unique(spark, sf):
     return rows.select(F.col("fields")["event_id"].cast("bigint").alias("event_id"))
 
 
+#: Entries of one configuration document.
+CONFIG_ENTRIES = 10_000
+
+
 @query("config_sources", """
 SELECT p_name || ' ' || p_partkey AS name, '/data/' || p_brand AS path, CASE WHEN p_partkey % 2 = 0 THEN 'structured' END AS modality,
        CASE WHEN p_partkey % 3 = 0 THEN 'batch' END AS load_mode, CASE WHEN p_partkey % 5 = 0 THEN CAST(p_size AS VARCHAR) END AS limit_option
 FROM part
 """)
 def q_config_sources(spark, sf):
-    """A1: a JSON configuration with a source for each part; what an entry leaves out is null, options of any type are text."""
+    """A1: a JSON configuration, in as many documents as it takes, with a source for each part; what an entry leaves out is null,
+    options of any type are text."""
     p, key = table(spark, sf, "part"), F.col("p_partkey")
     mode_key = config.MODE_KEY
     entry = F.struct(F.concat_ws(" ", "p_name", key).alias("name"), F.concat(F.lit("/data/"), "p_brand").alias("path"),
                      F.when(key % 2 == 0, F.lit("structured")).alias("modality"), F.when(key % 3 == 0, F.lit("batch")).alias(mode_key),
                      F.when(key % 5 == 0, F.struct(F.col("p_size").alias("limit"))).alias("options"))
     path = scratch_path(spark, "config")
-    # a configuration is one document
-    p.agg(F.collect_list(entry).alias("sources")).coalesce(1).write.json(path)
+    # a folder of documents, each with some thousand entries: a document is read whole by one task
+    entries = p.select(entry.alias("e"))
+    entries = entries.repartition(max(1, -(-entries.count() // CONFIG_ENTRIES)))
+    documents = entries.groupBy(F.spark_partition_id().alias("part")).agg(F.collect_list("e").alias("sources"))
+    documents.select("sources").write.option("maxRecordsPerFile", 1).json(path)
     got = config.load_sources(spark, path)
     return got.select("name", "path", "modality", "load_mode", F.col("options")["limit"].alias("limit_option"))
 
