@@ -289,11 +289,11 @@ def discover_fields(spark: SparkSession, path: str, manifest: DataFrame, modalit
     # the first value of the first file that holds an object: mostly of the first file, which is looked at alone
     head = manifest.filter((F.col("extension") == ".json") & (F.col("size_bytes") > 0)).agg(F.min("path")).first()[0]
     for place in (headers.literal(head), path):
-        docs = jsontext.json_documents(spark, place) \
-            .filter(F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)))
+        docs = jsontext.json_documents(spark, place).filter(jsontext.fields_of("v").isNotNull())
         # keys in the order of the text; a list's elements share a text, whose first one they follow
         order = F.coalesce(F.json_object_keys("_text"), F.json_object_keys(F.get_json_object("_text", "$[0]")))
-        first = docs.select("_source_file", "_at", F.to_json("v").alias("doc"), order.alias("order")).orderBy("_source_file", "_at").limit(1)
+        first = docs.select("_source_file", "_at", "v", "_text").orderBy("_source_file", "_at").limit(1) \
+            .select("_source_file", "_at", F.to_json("v").alias("doc"), order.alias("order"))
         found = first.collect()
         if found:
             break
@@ -495,31 +495,36 @@ def json_rows(spark: SparkSession, path: str, fields) -> tuple:
     docs = jsontext.json_documents(spark, path)
     listed = [(n, t) for n, t in fields if (n, t) != schema.UNKNOWN_FIELDS[0]]
     stored = stored_names([n for n, _ in listed], RESERVED)
-    is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
-    docs = docs.withColumn("_m", F.when(is_object, F.col("v").cast("map<string,variant>")))
+    docs = docs.withColumn("_m", jsontext.fields_of("v"))
+    is_object = F.col("_m").isNotNull()
 
-    def kind(value):
-        return schema.variant_type_to_py(F.schema_of_variant(value))
+    # each listed value, its type and its kind are looked up once a row
+    docs = docs.select("*", *[F.col("_m")[F.lit(n)].alias(f"_v{i}") for i, (n, _) in enumerate(listed)])
+    docs = docs.select("*", *[F.schema_of_variant(f"_v{i}").alias(f"_t{i}") for i in range(len(listed))])
+    docs = docs.select("*", *[schema.variant_type_to_py(F.col(f"_t{i}")).alias(f"_k{i}") for i in range(len(listed))])
 
-    def held(value, type_name):
-        spark_type = PY_TO_SPARK.get(type_name, "string")
+    def held(i, type_name):
+        value, own = F.col(f"_v{i}"), F.col(f"_k{i}")
         if type_name in ("list", "dict"):
             plain = F.to_json(value)
         elif type_name in ("NoneType", "any"):
-            plain = F.when(kind(value) == "str", F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
+            plain = F.when(own == "str", F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
         else:
-            plain = F.try_variant_get(value, "$", spark_type)
-        return F.when(kind(value).isin(*HOLDS.get(type_name, ("str",))), plain)
-
-    columns = [held(F.col("_m")[F.lit(n)], t).alias(c) for (n, t), c in zip(listed, stored)]
-    kinds = dict(listed)
-
-    def left_over(key, value):
-        out = F.lit(True)
-        for n, t in kinds.items():
-            out = F.when(key == n, held(value, t).isNull() & (kind(value) != "NoneType")).otherwise(out)
-        return out
-    extra = F.transform_values(F.map_filter("_m", left_over), lambda k, x: F.to_json(x))
+            plain = F.try_variant_get(value, "$", PY_TO_SPARK.get(type_name, "string"))
+        return F.when(own.isin(*HOLDS.get(type_name, ("str",))), plain)
+
+    docs = docs.select("*", *[held(i, t).alias(f"_c{i}") for i, (_, t) in enumerate(listed)])
+    columns = [F.col(f"_c{i}").alias(c) for i, c in enumerate(stored)]
+    names = [n for n, _ in listed]
+    refused = [F.when(F.col(f"_c{i}").isNull() & (F.col(f"_k{i}") != "NoneType"), F.lit(n)) for i, n in enumerate(names)]
+    if listed:
+        # a key is left over if it is not listed, or its column cannot hold its value
+        docs = docs.withColumn("_refused", F.array_compact(F.array(*refused)))
+        some = (F.size(F.map_keys("_m")) != F.size(F.filter(F.map_keys("_m"), lambda k: k.isin(*names)))) | (F.size("_refused") > 0)
+        over = F.when(some, F.map_filter("_m", lambda k, x: ~k.isin(*names) | F.array_contains("_refused", k)))
+    else:
+        over = F.col("_m")
+    extra = F.transform_values(over, lambda k, x: F.to_json(x))
     df = docs.select(*columns, F.when(F.size(extra) > 0, extra).alias("_extra"),
                      F.when(F.col("v").isNotNull() & ~is_object, F.to_json("v")).otherwise(F.col("_raw")).alias("_raw"),
                      F.col("v").isNull().alias("_issue"), "_source_file")

@@ -34,7 +34,14 @@ def parse_whole(text) -> Column:
     random word, the text must be the one element before it."""
     text = F.col(text) if isinstance(text, str) else text
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
-    return F.when(F.try_variant_get(listed, "$[1]", "string") == _END, F.try_variant_get(listed, "$[0]", "variant"))
+    # the list is bound to a name: a condition and its branch would parse it twice
+    return F.get(F.transform(F.array(listed), lambda x: F.when(F.try_variant_get(x, "$[1]", "string") == _END,
+                                                               F.try_variant_get(x, "$[0]", "variant"))), F.lit(0))
+
+
+def fields_of(value) -> Column:
+    """Fields of a variant that is an object, as a map; NULL for any other value."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
 
 
 def opened(line: Column) -> Column:
@@ -145,7 +152,8 @@ def json_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def _elements(values: DataFrame) -> DataFrame:
     """Values as rows, the elements of lists each on its own."""
-    is_list = F.coalesce(F.schema_of_variant("v").startswith("ARRAY"), F.lit(False))
+    # a text that is one JSON value is a list if it begins like one
+    is_list = F.col("v").isNotNull() & F.ltrim(F.col("text"), F.lit(_BLANK)).startswith("[")
     each = F.when(is_list, F.col("v").cast("array<variant>")).otherwise(F.array("v"))
     return values.select("uri", "_at", "text", F.posexplode(each).alias("pos", "v")).select(
         decoded_path("uri").alias("_source_file"), F.struct(F.col("_at.b").alias("b"), F.col("_at.i").alias("i"), "pos").alias("_at"),

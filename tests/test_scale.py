@@ -3,8 +3,12 @@ import glob
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from conftest import write
 from sluice.plans import source_queries
+from sluice.plans.ingest import json_rows
+from sluice.sources import jsontext
 
 
 @pytest.mark.parametrize("n", [0, 1, 37])
@@ -22,3 +26,15 @@ def test_configuration_of_several_documents(spark, tmp_path, monkeypatch, n):
         text = open(f).read()
         sizes += [len(json.loads(text)["sources"])] if text.strip() else []  # one document a file
     assert sum(sizes) == n and max(sizes, default=0) <= 10 and len(sizes) >= -(-n // 10)
+
+
+def test_json_text_is_parsed_once(spark, tmp_path):
+    write(str(tmp_path / "a.json"), '{"a": 1, "b": "x"}\n{"a": 2.5, "c": [1], "b": null}\n[{"a": 3}, 7]\n "s"\n{}\nno\n')
+    df, _ = json_rows(spark, str(tmp_path), [("a", "int"), ("b", "str")])
+    got = sorted(((r["a"], r["b"], r["_extra"], r["_raw"], r["_issue"]) for r in df.collect()), key=str)
+    assert got == sorted([(1, "x", None, None, None), (None, None, {"a": "2.5", "c": "[1]"}, None, None), (3, None, None, None, None),
+                          (None, None, None, "7", None), (None, None, None, '"s"', None), (None, None, None, None, None),
+                          (None, None, None, "no", "json_parse")], key=str)
+    plan = spark.range(1).select(jsontext.parse_whole(F.concat(F.lit('{"a":1}'), F.col("id").cast("string"))).alias("v")) \
+        ._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().replace("_", "").count("parsejson") == 1, plan
