@@ -152,9 +152,7 @@ def json_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def _elements(values: DataFrame) -> DataFrame:
     """Values as rows, the elements of lists each on its own."""
-    # a text that is one JSON value is a list if it begins like one
-    is_list = F.col("v").isNotNull() & F.ltrim(F.col("text"), F.lit(_BLANK)).startswith("[")
-    each = F.when(is_list, F.col("v").cast("array<variant>")).otherwise(F.array("v"))
+    each = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
     return values.select("uri", "_at", "text", F.posexplode(each).alias("pos", "v")).select(
         decoded_path("uri").alias("_source_file"), F.struct(F.col("_at.b").alias("b"), F.col("_at.i").alias("i"), "pos").alias("_at"),
         "v", F.when(F.col("v").isNull(), F.col("text")).alias("_raw"), F.col("text").alias("_text"))
