@@ -2,7 +2,7 @@
 of ``sluice.llm`` to everything its predecessor kept.
 
 1. language ID: documents without a determined language, or whose determined
-   languages hold less than half of the text together, go;
+   languages explain less than half of the text together, go;
 2. quality rules: documents that the rules or the line labelling reject go;
 3. SimHash near-duplicates: one document of each group stays;
 4. mixing: documents appear as often as the source mix takes them;
@@ -23,20 +23,21 @@ from sluice.llm import bpe, crf, langmix, mixing, queries, simhash
 from sluice.llm.common import fresh, held_out
 from sluice.session import scratch_path
 
-#: Smallest share that a document's determined languages must have together.
+#: Smallest share of a text that its determined languages must explain together.
 LANGUAGE_SHARE = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one or several known languages. Null and letterless texts go.
-    Without a labelled row no language is known, and nothing is rejected."""
+    """Documents in one or several known languages. Null and letterless texts go,
+    and those that are mostly in none of the languages the labels know (another
+    language, strings of random letters, encoded data). Without a labelled row no
+    language is known, and nothing is rejected."""
     model = langmix.fit(docs.where(~held_out(F.col("doc_id"))))
     if not model.languages:
         return docs
     found = fresh(docs, "_language")
     kept = docs.withColumn(found, langmix.predict_column(model, F.col("text")))
-    share = F.aggregate(f"{found}.languages", F.lit(0.0), lambda a, x: a + x["share"])
-    return kept.where((F.col(f"{found}.lang_pred") != langmix.UNDETERMINED) & (share >= LANGUAGE_SHARE)).drop(found)
+    return kept.where((F.col(f"{found}.lang_pred") != langmix.UNDETERMINED) & (F.col(f"{found}.known") >= LANGUAGE_SHARE)).drop(found)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ A document is a bag of letter trigrams drawn from a mixture of languages.
 Expectation-maximisation estimates its proportions from the trigrams'
 likelihoods under each language's model; the set of languages grows from the
 best single one as long as the log-likelihood gains more than a penalty for
-each added language.
+each added language. The shares of the languages sum to 1 whatever the text
+is; how much of it they explain is told apart (``known``), against a law
+under which every trigram is equally likely, admitted for the same penalty.
 
 The models are trigram counts over labelled rows: about
 ``per_language`` rows a language, chosen by a hash of the id (the bound is the
@@ -40,7 +42,8 @@ CHUNK = 1 << 18
 
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
                        T.StructField("languages", T.ArrayType(T.StructType([
-                           T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())])))])
+                           T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))),
+                       T.StructField("known", T.DoubleType())])
 
 
 def letter_table() -> np.ndarray:
@@ -112,6 +115,19 @@ class Model:
         order = sorted(range(len(chosen)), key=lambda i: (-share[i], self.languages[chosen[i]]))
         return [(self.languages[chosen[i]], float(share[i])) for i in order]
 
+    def known(self, grams: np.ndarray, counts: np.ndarray, found: list[tuple[str, float]]) -> float:
+        """Share of a bag of trigrams that its languages ``found`` explain; 1
+        unless the log-likelihood gains more than the penalty by the uniform law."""
+        share = np.array([s for _, s in found])
+        own = self.prob[grams][:, [self.languages.index(a) for a, _ in found]]
+        c = counts.astype(np.float64)
+        n, any_gram = c.sum(), 1.0 / len(self.prob)
+        mix, cost = own @ share, PENALTY * np.log(max(n, 2.0))
+        if (c / mix).sum() * any_gram - n <= cost:  # as in ``mixture``, the slope bounds the gain
+            return 1.0
+        like, shares = self._em(np.column_stack((own, np.full(len(own), any_gram))), c, n, np.append(share * 0.8, 0.2))
+        return float(1.0 - shares[-1]) if like - c @ np.log(mix) > cost else 1.0
+
     @staticmethod
     def _em(p: np.ndarray, c: np.ndarray, n: float, share: np.ndarray) -> tuple[float, np.ndarray]:
         for _ in range(EM_STEPS):
@@ -123,16 +139,21 @@ class Model:
                 break
         return float(c @ np.log(p @ share)), share
 
-    def predict(self, text: str | None, letters: np.ndarray) -> tuple[str, float, list]:
-        """(language, its share, all languages with shares); ``und`` and 0 for
-        a null text or one without a letter."""
+    def describe(self, text: str | None, letters: np.ndarray) -> tuple[str, float, list, float]:
+        """(language, its share, all languages with shares, share of the text
+        that they explain); ``und`` and 0 for a null text or one without a letter."""
+        nothing = UNDETERMINED, 0.0, [], 0.0
         if not text:
-            return UNDETERMINED, 0.0, []
+            return nothing
         grams, counts = trigram_counts(text, letters)
         if not len(grams) or not self.languages:
-            return UNDETERMINED, 0.0, []
+            return nothing
         found = self.mixture(grams, counts)
-        return found[0][0], min(1.0, found[0][1]), found
+        return found[0][0], min(1.0, found[0][1]), found, self.known(grams, counts, found)
+
+    def predict(self, text: str | None, letters: np.ndarray) -> tuple[str, float, list]:
+        """The first three of ``describe``."""
+        return self.describe(text, letters)[:3]
 
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
@@ -173,19 +194,20 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
 
 def predict_column(model: Model, text: Column) -> Column:
-    """``struct(lang_pred, score, languages)`` of a text column."""
+    """``struct(lang_pred, score, languages, known)`` of a text column."""
     shared = {"model": model}
 
     @F.pandas_udf(RESULT)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         letters, m = letter_table(), shared["model"]
         for s in batches:
-            rows = [m.predict(t, letters) for t in s]
+            rows = [m.describe(t, letters) for t in s]
             yield pd.DataFrame({"lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows],
-                                "languages": [[{"lang": a, "share": b} for a, b in r[2]] for r in rows]})
+                                "languages": [[{"lang": a, "share": b} for a, b in r[2]] for r in rows],
+                                "known": [r[3] for r in rows]})
     return run.asNondeterministic()(text)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``id_col, lang_pred, score, languages``."""
+    """One row per row of ``docs``: ``id_col, lang_pred, score, languages, known``."""
     return docs.select(F.col(id_col), predict_column(model, F.col(text_col)).alias("_r")).select(id_col, "_r.*")

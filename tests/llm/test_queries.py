@@ -1,6 +1,8 @@
 """The registered keys of this package over the smallest tables, and the pipeline's stages."""
 
+import base64
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,3 +76,23 @@ def test_stages_without_labels_and_with_repeated_rows(spark, no_labels):
     kept = near(spark, docs, SF)
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3, 4, 5]
     assert mix(spark, kept, SF).columns == docs.columns and bpe(spark, kept, SF).count() == 6
+
+
+def test_language_stage_rejects_what_no_known_language_explains(spark):
+    """Shares of languages sum to 1 in every text; a text that is mostly in none of them goes all the same."""
+    rng = random.Random(5)
+    parts = {"aa": ["ka", "lo", "mi", "ren", "to"], "bb": ["schu", "ber", "ein", "gt", "wo"]}
+
+    def words(lang, n):
+        return " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+    def noise(n):
+        return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    clean = [(i, words(lang, 120), lang) for i, lang in enumerate(["aa", "bb"] * 60)]
+    stay = [(200, words("aa", 60) + " " + words("bb", 60), None), (201, words("bb", 120) + " " + noise(20), None), (202, words("aa", 1), None)]
+    go = [(300, noise(150), None), (301, base64.b64encode(rng.randbytes(1500)).decode(), None), (302, words("aa", 30) + " " + noise(150), None),
+          (303, " ".join("".join(rng.choice("αβγδεζηθικλμνξοπρστυφχψω") for _ in range(6)) for _ in range(150)), None), (304, "12 !!", None)]
+    docs = spark.createDataFrame(clean + stay + go, "doc_id long, text string, lang string")
+    got = corpus_pipeline.language_stage(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == [i for i, _, _ in clean + stay]
