@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import catalog, quality, route
 from ..session import scratch_path
 from ..sinks import tables
-from ..sources import files, headers, readers
+from ..sources import chunks, files, headers, readers
 from . import derive
 from .ingest import Lake, ingest_frame, new_run_id, record_run
 from .queries import ORDER_RULES_SQL, order_rules, query
@@ -175,9 +175,11 @@ def q_manifest_summary(spark, sf):
 
 @query("binary_scan")
 def q_binary_scan(spark, sf):
-    """The binary scan with bytes: path, length and a content digest."""
-    b = files.read_binary(spark, sf, with_content=True, extensions=None)
-    return b.select("path", "length", F.sha2("content", 256).alias("content_sha256"))
+    """The binary scan with bytes: path, length and a content digest. Files too large for a task are digested split by split."""
+    b = files.read_binary(spark, sf, with_content=True, extensions=None, max_content_bytes=chunks.DIGEST_BYTES)
+    small = b.filter("issue IS NULL").select("path", "length", F.sha2("content", 256).alias("content_sha256"))
+    large = chunks.file_digests(spark, sf, above=chunks.DIGEST_BYTES).withColumnsRenamed({"size_bytes": "length", "digest": "content_sha256"})
+    return small.unionByName(large)
 
 
 # --- D1 + D7 on driver data ---------------------------------------------------------

@@ -15,6 +15,7 @@ with the issue ``too_large_for_row`` and no content."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,11 +23,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import sha256
 from ..functions.paths import decoded_path, extension, file_name, plain_path
 from ..operators.joins import join_small_in_order, persist_fresh
-from .files import TOO_LARGE
+from .files import TOO_LARGE, read_binary
 
 CHUNK_BYTES = 8 << 20
+#: A larger file's SHA-256 is taken split by split, not from one value of a row.
+DIGEST_BYTES = 256 << 20
+DIGESTS = "path string, size_bytes bigint, digest string"
 #: Extensions that Spark's line reader unpacks (fixed values of the Hadoop codecs).
 PACKED = (".bz2", ".deflate", ".gz", ".lz4", ".snappy", ".zst")
 BYTE_ORDER_MARK = b"\xef\xbb\xbf"
@@ -102,10 +107,10 @@ def _cutter(chunk_bytes: int, by_line: bool):
     return cut
 
 
-def file_chunks(spark: SparkSession, path: str, above: int = 0, chunk_bytes: int = CHUNK_BYTES, by_line: bool = False,
-                extensions=None, glob: str | None = None) -> DataFrame:
-    """``path, size_bytes, chunk, offset, content, issue``: the chunks of every file under ``path`` with more than
-    ``above`` bytes (and one of ``extensions``, if given). The contents of a file's rows in the order of ``offset`` are the file."""
+def _pieces(spark: SparkSession, path: str, above: int, chunk_bytes: int, by_line: bool = False, extensions=None,
+            glob: str | None = None, longest: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the pieces of the files that can be cut, each where it was read and in a split's order; ``path, size_bytes`` of the others).
+    A task reads a line to its end up to ``longest`` bytes; a file with a longer one is among the others."""
     if chunk_bytes < 1:
         raise ValueError("chunk_bytes must be positive")
 
@@ -116,7 +121,10 @@ def file_chunks(spark: SparkSession, path: str, above: int = 0, chunk_bytes: int
     def reader(r):
         r = r.option("recursiveFileLookup", True)
         return r.option("pathGlobFilter", glob) if glob else r
-    text = reader(spark.read).option("lineSep", "\n").option("ignoreCorruptFiles", True).text(path)
+    lines_of = reader(spark.read).option("lineSep", "\n").option("ignoreCorruptFiles", True)
+    if longest:
+        lines_of = lines_of.option("mapreduce.input.linerecordreader.line.maxlength", longest)
+    text = lines_of.text(path)
     uri = decoded_path("_metadata.file_path")
     lines = chosen(text, uri, "_metadata.file_size").filter(~extension(file_name(uri)).isin(*PACKED)).select(
         uri.alias("uri"), F.col("_metadata.file_size").alias("size_bytes"), F.col("_metadata.file_block_start").alias("block"),
@@ -124,6 +132,16 @@ def file_chunks(spark: SparkSession, path: str, above: int = 0, chunk_bytes: int
     splits = persist_fresh(_splits(lines))
     told = join_small_in_order(lines, splits.filter("whole"), ["uri", "block"], "inner")
     pieces = told.select("uri", "size_bytes", "block", "n", "begin", "mark", "value").mapInArrow(_cutter(chunk_bytes, by_line), SCHEMA)
+    listing = reader(spark.read.format("binaryFile")).load(path).select(plain_path("path").alias("path"), F.col("length").alias("size_bytes"))
+    done = splits.filter("whole").select(F.col("uri").alias("path")).distinct()
+    return pieces, chosen(listing, F.col("path"), "size_bytes").join(done, "path", "left_anti")
+
+
+def file_chunks(spark: SparkSession, path: str, above: int = 0, chunk_bytes: int = CHUNK_BYTES, by_line: bool = False,
+                extensions=None, glob: str | None = None) -> DataFrame:
+    """``path, size_bytes, chunk, offset, content, issue``: the chunks of every file under ``path`` with more than
+    ``above`` bytes (and one of ``extensions``, if given). The contents of a file's rows in the order of ``offset`` are the file."""
+    pieces, others = _pieces(spark, path, above, chunk_bytes, by_line, extensions, glob)
     columns = ["uri", "size_bytes", "chunk", "offset", "content"]
     part = F.array_sort(F.collect_list(F.struct("offset", "content")))
     joined = pieces.filter("edge").groupBy("uri", "size_bytes", "chunk").agg(part.alias("p")) \
@@ -131,14 +149,88 @@ def file_chunks(spark: SparkSession, path: str, above: int = 0, chunk_bytes: int
                 F.aggregate("p", F.lit(bytearray(b"")), lambda a, x: F.concat(a, x["content"])).alias("content"))
     chunks = pieces.filter("NOT edge").select(*columns).unionByName(joined).withColumnRenamed("uri", "path") \
         .withColumn("issue", F.lit(None).cast("string"))
-    listing = reader(spark.read.format("binaryFile")).load(path).select(plain_path("path").alias("path"), F.col("length").alias("size_bytes"))
-    done = splits.filter("whole").select(F.col("uri").alias("path")).distinct()
-    left = chosen(listing, F.col("path"), "size_bytes").join(done, "path", "left_anti").select(
+    left = others.select(
         "path", "size_bytes", F.lit(None).cast("bigint").alias("chunk"), F.lit(None).cast("bigint").alias("offset"),
         F.lit(None).cast("binary").alias("content"), F.lit(TOO_LARGE).alias("issue"))
     return chunks.unionByName(left)
 
 
+def _runs(rows) -> Iterator[tuple[str, int, int, Iterator[bytes]]]:
+    """``file, its size, offset, contents``: the pieces of a task that follow on each other in a file, read one by one."""
+    rows = iter(rows)
+    ahead = next(rows, None)
+    while ahead is not None:
+        uri, size, begin = ahead[:3]
+
+        def contents():
+            nonlocal ahead
+            end = begin
+            while ahead is not None and (ahead[0], ahead[2]) == (uri, end):
+                content = bytes(ahead[3])
+                end += len(content)
+                ahead = next(rows, None)
+                yield content
+        of_run = contents()
+        yield uri, size, begin, of_run
+        for _ in of_run:
+            pass
+
+
+def _told(index, rows):
+    """Where the runs of a task lie, and whether it can go on with another's digest."""
+    for uri, size, begin, contents in _runs(rows):
+        yield index, uri, size, begin, begin + sum(map(len, contents)), sha256.available()
+
+
+def _link(states: dict):
+    """The task that goes on with the digests of ``(file, offset)``."""
+    def link(rows):
+        for uri, _, begin, contents in _runs(rows):
+            if (uri, begin) in states:
+                digest, end = sha256.Sha256(states[uri, begin]), begin
+                for content in contents:
+                    digest.update(content)
+                    end += len(content)
+                yield uri, begin, end, digest.state()
+    return link
+
+
+def file_digests(spark: SparkSession, path: str, above: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``path, size_bytes, digest``: the SHA-256 of every file under ``path`` with more than ``above`` bytes, none of which a task
+    reads whole. The digest is one chain over a file: a task goes on with the state that the task of the split before ended with, so a
+    job takes one split of every file, and there are as many jobs as the largest file has splits. The driver holds a state a file
+    and a place a split. A file that cannot be cut (see above; here also one with ``above`` bytes between two line ends) is read by one task
+    if it fits a row; if not, its digest is null."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    if listing.filter(F.col("length") > above).select("path").isEmpty():
+        return spark.createDataFrame([], DIGESTS)
+    pieces, others = _pieces(spark, path, above, chunk_bytes, longest=above)
+    rdd = pieces.select("uri", "size_bytes", "offset", "content").rdd
+    runs = rdd.mapPartitionsWithIndex(_told).collect()
+    of_file: dict = {}
+    if all(r[5] for r in runs):
+        for index, uri, size, begin, end, _ in sorted(runs, key=lambda r: r[3]):
+            of_file.setdefault((uri, size), []).append((begin, end, index))
+    jobs = max(map(len, of_file.values()), default=0)
+    states = {uri: (0, None) for uri, _ in of_file}
+    for job in range(jobs):
+        # files end together: the short splits at their ends, which share tasks, are read once
+        now = {uri: r[job - jobs] for (uri, _), r in of_file.items() if job >= jobs - len(r)}
+        told = {(uri, begin): states[uri][1] for uri, (begin, _, _) in now.items()}
+        for uri, begin, end, state in spark.sparkContext.runJob(rdd, _link(told), sorted({index for _, _, index in now.values()})):
+            if (begin, end) != now[uri][:2] or begin != states[uri][0]:
+                raise RuntimeError(f"{uri}: the file was not read as before")
+            states[uri] = (end, state)
+    if any(states[uri][0] != size for uri, size in of_file):
+        raise RuntimeError("a file was not read as before")
+    found = spark.createDataFrame([(uri, size, sha256.Sha256(states[uri][1]).hexdigest()) for uri, size in of_file], DIGESTS)
+    names = [r["path"] for r in (others if of_file else listing.filter(F.col("length") > above).select(plain_path("path").alias("path"))).collect()]
+    if not names:
+        return found
+    rest = read_binary(spark, [re.sub(r"([\\{}\[\]*?])", r"\\\1", n) for n in names], with_content=True, extensions=None)
+    return found.unionByName(rest.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("digest")))
+
+
 def chunk_digests(chunks: DataFrame) -> DataFrame:
     """``path, size_bytes, n_chunks, digest``: a file's digest is the SHA-256 of its chunks' SHA-256 (hex) in order, so contents are
     hashed where they lie and a file hands on 64 characters a chunk. ``complete`` says whether the chunks hold all its bytes."""

@@ -7,7 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from conftest import write
+from sluice.functions import sha256
 from sluice.operators import joins
 from sluice.plans.ingest import Lake, ingest_sources
 from sluice.sources import chunks, config, files, jsontext, quoted
@@ -151,3 +153,54 @@ def test_split_tables_too_large_to_broadcast_keep_the_order(spark, tmp_path, sma
         assert sorted(r["v"] for r in values) == sorted('{"a":%d}' % i for i in range(200))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("split", [61, 700, 1 << 20])
+def test_digests_of_whole_files_go_from_task_to_task(spark, tmp_path, small_splits, monkeypatch, split):
+    root = str(tmp_path / "in")
+    made = _files(root)
+    made |= {"a [b]{c}.gz": gzip.compress(random.Random(4).randbytes(900)), "two.bin": bytes(random.Random(6).choices(range(40), k=2500))}
+    for name in ("a [b]{c}.gz", "two.bin"):
+        write(f"{root}/{name}", made[name])
+    small_splits(split)
+    alone, read = [], chunks.read_binary
+    monkeypatch.setattr(chunks, "read_binary", lambda s, paths, **k: alone.extend(paths) or read(s, paths, **k))
+    rows = chunks.file_digests(spark, root, above=600, chunk_bytes=100).collect()
+    assert {os.path.basename(r["path"]): (r["size_bytes"], r["digest"]) for r in rows} == {
+        n: (len(d), hashlib.sha256(d).hexdigest()) for n, d in made.items() if len(d) > 600}
+    assert len(rows) == sum(len(d) > 600 for d in made.values())
+    # packed, or no line end in 600 bytes
+    assert {os.path.basename(p).replace("\\", "") for p in alone} == {
+        n for n, d in made.items() if len(d) > 600 and (n.endswith(".gz") or max(map(len, d.split(b"\n"))) >= 600)}
+    assert not {"two.bin", "mark.txt", "no end 5%.bin", "exact.bin"} & {os.path.basename(p) for p in alone}
+    assert chunks.file_digests(spark, root, above=10_000).count() == 0
+
+
+def test_no_task_digests_a_large_file_alone(spark, tmp_path, small_splits, monkeypatch):
+    root = str(tmp_path / "in")
+    data = random.Random(7).randbytes(200_000)
+    write(f"{root}/a.bin", data)
+    write(f"{root}/b.bin", b"12")
+    small_splits(8_000)
+    monkeypatch.setattr(chunks, "DIGEST_BYTES", 10_000)
+    told, link = [], chunks._link
+    monkeypatch.setattr(chunks, "_link", lambda states: told.append(len(states)) or link(states))
+    rows = {os.path.basename(r["path"]): (r["length"], r["content_sha256"]) for r in queries()["binary_scan"](spark, root).collect()}
+    assert rows == {"a.bin": (200_000, hashlib.sha256(data).hexdigest()), "b.bin": (2, hashlib.sha256(b"12").hexdigest())}
+    assert told == [1] * 25  # a job a split
+
+
+def test_a_digest_goes_on_from_a_state():
+    data = random.Random(8).randbytes(1000)
+    for cut in (0, 1, 63, 64, 65, 640, 1000):
+        state = sha256.Sha256().update(data[:cut]).state()
+        assert sha256.Sha256(state).update(data[cut:]).hexdigest() == hashlib.sha256(data).hexdigest()
+
+
+def test_without_openssl_a_file_is_read_by_one_task(spark, tmp_path, small_splits, monkeypatch):
+    root = str(tmp_path / "in")
+    write(f"{root}/a.bin", b"xy\n" * 900)
+    small_splits(500)
+    told = chunks._told
+    monkeypatch.setattr(chunks, "_told", lambda index, rows: ((*r[:5], False) for r in told(index, rows)))
+    assert [r["digest"] for r in chunks.file_digests(spark, root, above=600).collect()] == [hashlib.sha256(b"xy\n" * 900).hexdigest()]
